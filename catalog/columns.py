@@ -1 +1,216 @@
-"""placeholder"""
+"""Column normalisers, classifications and row validation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import bindings as b
+from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
+from catalog.registry import plain, query
+from pitgate.functions import classify, dates, identity, numbers, text
+from pitgate.operators.actions import named_record
+from pitgate.operators.checks import failed_checks, key_text, row_violations, summarize
+
+_RAW_NUMBER = """case l_linenumber when 1 then '-' when 2 then '--' when 3 then 'n/a' when 4 then ''
+  when 5 then ' ' || cast(cast(l_quantity as bigint) * 1000 as varchar) || ',5 ' when 6 then '-' || cast(cast(l_quantity as bigint) as varchar)
+  else cast(cast(l_extendedprice as decimal(12,2)) as varchar) end"""
+
+
+@query("numbers_normalized", "N1 N2 N3 N3b N14", f"""
+select l_orderkey, l_linenumber, l_partkey, strict, coalesce(strict, 0) as lenient,
+  case when strict >= 0 then strict end as price,
+  case when d * 100 >= 0 and d * 100 = floor(d * 100) then cast(cast(d * 100 as bigint) as varchar) end as scaled,
+  cast(cast(coalesce(d, 0) / 10 as decimal(18,6)) as double) as per_share
+from (select *, cast(d as double) as strict from (
+  select l_orderkey, l_linenumber, l_partkey, try_cast(trim(replace({_RAW_NUMBER}, ',', '')) as decimal(18,6)) as d from lineitem))""")
+def numbers_normalized(spark, sf):
+    quantity = F.col("l_quantity").cast("bigint")
+    raw = (F.when(F.col("l_linenumber") == 1, "-").when(F.col("l_linenumber") == 2, "--")
+           .when(F.col("l_linenumber") == 3, "n/a").when(F.col("l_linenumber") == 4, "")
+           .when(F.col("l_linenumber") == 5, F.concat(F.lit(" "), (quantity * 1000).cast("string"), F.lit(",5 ")))
+           .when(F.col("l_linenumber") == 6, F.concat(F.lit("-"), quantity.cast("string")))
+           .otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string")))
+    rows = b.table(spark, sf, "lineitem").withColumn("raw", raw)
+    lenient = numbers.lenient_decimal(F.col("raw"))
+    return plain(rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", numbers.strict_decimal(F.col("raw")).alias("strict"),
+        lenient.alias("lenient"), numbers.non_negative_price(F.col("raw")).alias("price"),
+        numbers.non_negative_integer(F.col("raw"), 100).cast("string").alias("scaled"),
+        numbers.per_ten(lenient).alias("per_share")))
+
+
+@query("dates_normalized", "N5 N6 N7", """
+select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then cast(d as varchar) end as strict,
+  case when o_orderpriority = '5-LOW' then null else cast(d as varchar) end as lenient, cast(d as varchar) as in_text
+from (select *, cast(o_orderdate as date) as d from orders)""")
+def dates_normalized(spark, sf):
+    day = F.col("o_orderdate").cast("date")
+    raw = (F.when(F.col("o_orderpriority") == "1-URGENT", F.date_format(day, "yyyyMMdd"))
+           .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("<td> "), day.cast("string"), F.lit(" </td>")))
+           .when(F.col("o_orderpriority") == "3-MEDIUM", F.date_format(day, "yyyy/MM/dd"))
+           .when(F.col("o_orderpriority") == "5-LOW", F.lit("1970-01-01"))
+           .otherwise(F.concat(F.date_format(day, "yyyy.MM.dd"), F.lit(" 00:00:00"))))
+    # The strict form cleans tags away first; the lenient one reads the bare text.
+    bare = F.when(F.col("o_orderpriority") == "2-HIGH", day.cast("string")).otherwise(F.col("raw"))
+    shown = F.concat(F.lit("20xx, "),
+                     F.lit("until "), F.concat(F.lit("20"), F.date_format(day, "yy")),
+                     F.lit("年"), F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"))
+    found = dates.date_in_text(shown)
+    century = F.when(F.year(day) < 2000, F.add_months(found, -1200)).otherwise(found)
+    rows = b.table(spark, sf, "orders").withColumn("raw", raw)
+    strict = F.when(F.col("o_orderpriority") != "5-LOW", dates.strict_date(F.col("raw")))
+    return plain(rows.select("o_orderkey", strict.alias("strict"),
+                             dates.lenient_date(bare).alias("lenient"), century.alias("in_text")))
+
+
+@query("html_text_clean", "N8", r"""
+select page_id, length(t) as n_chars, md5(t) as digest from (
+  select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&#39;', ''''), '&#8217;', '’'), '&amp;', '&'),
+    '<[^>]*>', '', 'g'), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as t from pages)""")
+def html_text_clean(spark, sf):
+    cleaned = b.table(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("t"))
+    return cleaned.select("page_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+@query("first_nonempty_values", "N9", """
+select doc_id, coalesce(case when lang not in ('', '-', 'en') then lang end, case when source <> 'src1' then source end,
+  cast(n_chars as varchar)) as label, length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{Z}]+', '', 'g')) as squeezed
+from documents""")
+def first_nonempty_values(spark, sf):
+    lang = F.when(F.col("lang") == "en", "-").otherwise(F.col("lang"))
+    source = F.when(F.col("source") == "src1", "").otherwise(F.concat(F.lit(" "), "source", F.lit(" ")))
+    return b.table(spark, sf, "documents").select(
+        "doc_id", text.first_nonempty(lang, source, F.col("n_chars")).alias("label"),
+        F.length(text.squeeze(F.col("text"))).alias("squeezed"))
+
+
+@query("code_classes", "N10 N12 N13 N22", f"""
+select c_custkey, code, exchange, case when exchange = 'SSE' then case when length(code) = 6 and substr(code, 1, 3) not in ('688', '689') then 1 else 0 end
+    when length(code) = 6 and n between 1 and 4999 and not n between 1001 and 1199 then 1 else 0 end as in_scope,
+  case when length(code) = 6 and code like '6%' and substr(code, 1, 3) not in ('688', '689') then 1 else 0 end as sse_main,
+  case when length(code) <> 6 then 'UNKNOWN' when n between 1001 and 1199 then 'MAIN_CDR' when n between 1 and 4999 then 'MAIN_A'
+    when code like '200%' then 'MAIN_B' else 'UNKNOWN' end as szse_class,
+  case exchange when 'SSE' then 'sh.' else 'sz.' end || code as supplier_code
+from (select c_custkey, {sql_venue('c_custkey')} as exchange, cast(n as bigint) as n, {sql_code6('n')} as code
+  from (select c_custkey, case c_mktsegment when 'MACHINERY' then 687000 + c_custkey when 'BUILDING' then 200000 + c_custkey
+    else c_custkey end as n from customer))""")
+def code_classes(spark, sf):
+    n = (F.when(F.col("c_mktsegment") == "MACHINERY", F.col("c_custkey") + 687000)
+         .when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey") + 200000).otherwise(F.col("c_custkey")))
+    rows = b.table(spark, sf, "customer").select(
+        "c_custkey", b.venue(F.col("c_custkey")).alias("exchange"), b.code6(n).alias("code"))
+    e, c = F.col("exchange"), F.col("code")
+    return plain(rows.select(
+        "c_custkey", "exchange", "code", identity.in_scope(e, c).alias("in_scope"),
+        identity.is_sse_main_code(c).alias("sse_main"), classify.szse_security_class(c).alias("szse_class"),
+        identity.supplier_code(e, c).alias("supplier_code")))
+
+
+@query("board_basis", "N11", f"""
+select p_partkey, 'MAIN' as board, case when p_size % 3 = 0 then 'OFFICIAL_SZSE_BOARD_FIELD' else 'DERIVED_CODE_PREFIX' end as basis
+from (select p_partkey, p_size, {sql_code6('case when p_size % 5 = 0 then 300000 + p_partkey else p_partkey end')} as code from part)
+where p_size % 7 <> 1 and substr(code, 1, 3) not in ('300', '301') and (p_size % 3 = 0 or substr(code, 1, 3) in ('000', '001', '002', '003'))""")
+def board_basis(spark, sf):
+    size = F.col("p_size")
+    code = b.code6(F.when(size % 5 == 0, F.col("p_partkey") + 300000).otherwise(F.col("p_partkey")))
+    shown = F.when(size % 7 == 1, "创业板").when(size % 3 == 0, "<b>主板</b>").otherwise("")
+    rows = b.table(spark, sf, "part").select("p_partkey", classify.szse_board(shown, code).alias("c"))
+    return rows.where("c is not null").select("p_partkey", "c.board", "c.basis")
+
+
+@query("action_tags", "N15", """
+select l_orderkey, l_linenumber, l_partkey, concat_ws('+', case when l_discount > 0.02 then 'CASH_DIVIDEND' end,
+  case when l_tax > 0.02 then 'BONUS_SHARE' end, case when l_quantity > 25 then 'CAPITAL_TRANSFER' end,
+  case when l_returnflag = 'R' then 'RIGHTS_ISSUE' end) as action_type from lineitem""")
+def action_tags(spark, sf):
+    one_if = lambda c: F.when(c, 1).otherwise(0)
+    return b.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        classify.action_type(one_if(F.col("l_discount") > 0.02), one_if(F.col("l_tax") > 0.02),
+                             one_if(F.col("l_quantity") > 25), one_if(F.col("l_returnflag") == "R")).alias("action_type"))
+
+
+@query("row_digests", "N17 N18 N19", with_ctes("""
+select exchange, code, cast(trade_date as varchar) as trade_date,
+  sha256('{"code":"' || code || '","exchange":"' || exchange || '","trade_date":"' || cast(trade_date as varchar)
+    || '","volume_shares":' || cast(volume_shares as varchar) || '}') as digest,
+  ((case exchange when 'SZSE' then 1 else 0 end)::bigint << 50) | (cast(code as bigint) << 20)
+    | (date_diff('day', date '1970-01-01', trade_date) + 719163) as compact
+from bars"""))
+def row_digests(spark, sf):
+    key = identity.compact_key(F.col("exchange"), F.col("code"), F.col("trade_date"))
+    json = identity.canonical_json(["exchange", "code", "trade_date", "volume_shares"])
+    return plain(b.bars(spark, sf).select(
+        "exchange", "code", "trade_date", identity.row_digest(json).alias("digest"), key.alias("compact")))
+
+
+@query("canonical_event_props", "N18", """
+select event_id, '{"event_type":"' || event_type || '","k":"' || json_extract_string(props, '$.k') || '"}' as canonical from events""")
+def canonical_event_props(spark, sf):
+    entries = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("event_type"), F.col("event_type"))
+    return b.table(spark, sf, "events").select("event_id", identity.canonical_map(entries).alias("canonical"))
+
+
+@query("declared_differential", "N20 C12", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, max(case when cash <> 0 then 1 else 0 end) as declared_cash,
+  max(case when bonus <> 0 then 1 else 0 end) as declared_bonus, max(case when transfer <> 0 then 1 else 0 end) as declared_transfer
+from components where o_orderpriority = '5-LOW' group by 1, 2, 3"""))
+def declared_differential(spark, sf):
+    from pitgate.operators.actions import declared_differentials
+
+    return plain(declared_differentials(b.components(spark, sf)))
+
+
+@query("positional_records", "N21", """
+select o_orderkey, cast(o_custkey as varchar) as code, cast(o_orderdate as date)::varchar as day, o_orderpriority as kind
+from orders where o_orderstatus <> 'P'""")
+def positional_records(spark, sf):
+    values = [F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("date").cast("string"), F.col("o_orderpriority")]
+    short, whole = F.array(*values[:2]), F.array(*values)
+    rows = b.table(spark, sf, "orders").withColumn(
+        "r", named_record(F.when(F.col("o_orderstatus") == "P", short).otherwise(whole), ["code", "day", "kind"]))
+    return rows.where("r is not null").select(
+        "o_orderkey", *[F.col("r")[F.lit(n)].alias(n) for n in ("code", "day", "kind")])
+
+
+@query("active_on_day", "P2 P3 P1", with_ctes("""
+select p.exchange, p.code, p.l_orderkey, p.l_linenumber, p.l_partkey,
+  cast(p.trade_date >= l.listed_from and (l.listed_to_exclusive is null or p.trade_date < l.listed_to_exclusive) as integer) as active
+from px p join life l using (exchange, code) where p.trade_date between date '1995-02-01' and date '2001-06-30'
+  and l.listed_from <= date '2001-06-30' and (l.listed_to_exclusive is null or l.listed_to_exclusive > date '1995-02-01')"""))
+def active_on_day(spark, sf):
+    life = b.intervals(spark, sf).where(dates.overlaps(
+        F.col("listed_from"), F.col("listed_to_exclusive"), RULES.coverage_start, RULES.coverage_end))
+    rows = b.px(spark, sf).where(F.col("trade_date").between(F.lit(RULES.coverage_start), F.lit(RULES.coverage_end)))
+    joined = rows.join(life.select("exchange", "code", "listed_from", "listed_to_exclusive"), ["exchange", "code"])
+    active = dates.active_on(F.col("listed_from"), F.col("listed_to_exclusive"), F.col("trade_date"))
+    return plain(joined.select("exchange", "code", "l_orderkey", "l_linenumber", "l_partkey", active.alias("active")))
+
+
+@query("placeholder_rows", "P6", """
+select doc_id from documents where regexp_full_match(split_part(text, ' ', 1), '[A-Z][a-z]{1,4}')""")
+def placeholder_rows(spark, sf):
+    first = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
+    return b.table(spark, sf, "documents").where(first.rlike(r"\A[A-Z][a-z]{1,4}\z")).select("doc_id")
+
+
+@query("required_fields", "P7", f"""
+select "check", severity, count(*) as n_violations, min(k) as first_key, max(k) as last_key from (
+  select 'error' as severity, {sql_code6('o_orderkey')} as k, unnest(list_filter([case when o_orderstatus = 'P' then 'bad status' end,
+    case when o_totalprice < 50000 then 'small total' end, case when o_orderdate >= timestamp '2001-01-01' then 'late date' end],
+    lambda x: x is not null)) as "check" from orders) group by 1, 2""")
+def required_fields(spark, sf):
+    rows = b.table(spark, sf, "orders").withColumn("key", b.code6(F.col("o_orderkey")))
+    found = row_violations(rows, key_text("key"), {
+        "bad status": F.col("o_orderstatus") != "P", "small total": F.col("o_totalprice") >= 50000,
+        "late date": F.col("o_orderdate").cast("date") < F.lit("2001-01-01").cast("date")})
+    return summarize(found)
+
+
+@query("failed_check_lists", "P7 U1", f"""
+select o_orderkey, concat_ws('|', case when o_orderstatus = 'P' then 'bad status' end,
+  case when o_totalprice < 50000 then 'small total' end) as failed from orders""")
+def failed_check_lists(spark, sf):
+    failed = failed_checks({"bad status": F.col("o_orderstatus") != "P", "small total": F.col("o_totalprice") >= 50000})
+    return b.table(spark, sf, "orders").select("o_orderkey", F.array_join(failed, "|").alias("failed"))

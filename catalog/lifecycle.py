@@ -1 +1,158 @@
-"""placeholder"""
+"""Lifecycle events, intervals, code changes, universes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import bindings as b
+from catalog.bindings import with_ctes
+from catalog.registry import plain, query
+from pitgate.operators import lifecycle as lc
+from pitgate.operators.checks import summarize
+from pitgate.schema import SECURITY
+
+_MARKED = ("marked", """select *, case
+    when kind = 'LIST' and not (prev is null or prev = 'DELIST') then 'duplicate LIST without DELIST'
+    when kind = 'RENAME' and (prev is null or prev = 'DELIST') then 'RENAME before LIST'
+    when kind = 'DELIST' and (prev is null or prev = 'DELIST') then 'DELIST before LIST'
+    when kind = 'DELIST' and effective_date <= opened then 'non-positive life interval' end as fault
+  from (select exchange, code, event_type as kind, effective_date, name, prec,
+      lag(event_type) over w as prev,
+      last_value(case when event_type = 'LIST' then effective_date end ignore nulls) over (w rows between unbounded preceding and current row) as opened,
+      sum(case when event_type = 'LIST' then 1 else 0 end) over (w rows between unbounded preceding and current row) as episode
+    from (select *, case event_type when 'LIST' then 0 when 'RENAME' then 1 else 2 end as prec from lifecycle_events)
+    window w as (partition by exchange, code order by effective_date, prec))""")
+
+
+@query("listing_intervals", "C1 W9", with_ctes("""
+select exchange, code, coalesce(arg_max(name, row(effective_date, prec)) filter (where kind <> 'DELIST' and name <> ''), '') as name,
+  cast(min(case when kind = 'LIST' then effective_date end) as varchar) as listed_from,
+  cast(min(case when kind = 'DELIST' then effective_date end) as varchar) as listed_to_exclusive
+from marked where (exchange, code) not in (select exchange, code from marked where fault is not null)
+group by exchange, code, episode""", _MARKED))
+def listing_intervals(spark, sf):
+    made, _ = lc.build_intervals(b.lifecycle_events(spark, sf))
+    return plain(made.select(*SECURITY, "name", "listed_from", "listed_to_exclusive"))
+
+
+@query("lifecycle_faults", "C1 P7", with_ctes("""
+select fault as "check", exchange || ':' || code as key, cast(effective_date as varchar) as detail
+from marked where fault is not null""", _MARKED))
+def lifecycle_faults(spark, sf):
+    _, bad = lc.build_intervals(b.lifecycle_events(spark, sf))
+    return bad
+
+
+@query("lifecycle_event_checks", "S1 P7", with_ctes("""
+select 'bad code' as "check", 'error' as severity, count(*) as n_violations, min(k) as first_key, max(k) as last_key
+from (select exchange || ':' || (code || 'x') || ':' || event_type as k from lifecycle_events where event_type = 'RENAME')
+union all
+select 'bad effective_date', 'error', count(*), min(k), max(k)
+from (select exchange || ':' || code || ':' || event_type as k from lifecycle_events where event_type = 'DELIST' and exchange = 'SSE')"""))
+def lifecycle_event_checks(spark, sf):
+    events = b.lifecycle_events(spark, sf).withColumns({
+        "code": F.when(F.col("event_type") == "RENAME", F.concat("code", F.lit("x"))).otherwise(F.col("code")),
+        "effective_date": F.when(~((F.col("event_type") == "DELIST") & (F.col("exchange") == "SSE")),
+                                 F.col("effective_date"))})
+    _, bad = lc.validate_events(events)
+    return summarize(bad)
+
+
+@query("code_transitions", "C2", with_ctes("""
+select l.exchange, p.code, p.name, cast(p.f as varchar) as listed_from, cast(p.t as varchar) as listed_to_exclusive,
+  p.le as list_evidence_class, p.de as delist_evidence_class
+from life l left join transitions t on t.exchange = l.exchange and t.new_code = l.code,
+  lateral (select unnest(case when t.old_code is not null and l.listed_from < t.effective_date then [
+      {'code': t.old_code, 'name': t.old_name, 'f': l.listed_from, 't': t.effective_date, 'le': l.list_evidence_class, 'de': t.evidence_class},
+      {'code': l.code, 'name': t.new_name, 'f': t.effective_date, 't': cast(null as date), 'le': t.evidence_class, 'de': l.delist_evidence_class}]
+    else [{'code': l.code, 'name': l.name, 'f': l.listed_from, 't': l.listed_to_exclusive, 'le': l.list_evidence_class, 'de': l.delist_evidence_class}] end) as p)"""))
+def code_transitions(spark, sf):
+    made, _ = lc.apply_transitions(b.intervals(spark, sf), b.transitions(spark, sf))
+    return plain(made)
+
+
+@query("code_transition_faults", "C2", with_ctes(f"""
+select "check", exchange || ':' || old_code || ':' || code as key, cast(eff as varchar) as detail from (
+  select t.exchange, t.old_code, t.code, t.eff, case when l.listed_from is null then 'transition successor absent from base intervals'
+    when o.code is not null then 'transition predecessor already exists in base intervals'
+    when l.listed_to_exclusive is not null then 'transition successor is not current/open'
+    when l.listed_from >= t.eff then 'transition effective date must be after inherited entity listing date' end as "check"
+  from (select exchange, {b.sql_code6('k + 2 - k % 3 * 2')} as old_code,
+      case when k % 10 = 3 then {b.sql_code6('k + 700000')} else code end as code, k,
+      case when k % 4 = 1 then date '1995-01-10' else date '1998-06-01' end as eff from life) t
+  left join life l on l.exchange = t.exchange and l.code = t.code
+  left join life o on o.exchange = t.exchange and o.code = t.old_code) where "check" is not null"""))
+def code_transition_faults(spark, sf):
+    k = F.col("k")
+    changes = b.life(spark, sf).select(
+        "exchange", b.code6(k + 2 - k % 3 * 2).alias("old_code"),
+        F.when(k % 10 == 3, b.code6(k + 700000)).otherwise(F.col("code")).alias("new_code"),
+        F.when(k % 4 == 1, F.lit("1995-01-10")).otherwise(F.lit("1998-06-01")).cast("date").alias("effective_date"),
+        F.lit("o").alias("old_name"), F.lit("n").alias("new_name"), F.lit("X").alias("evidence_class"))
+    _, bad = lc.apply_transitions(b.intervals(spark, sf), changes)
+    return bad
+
+
+@query("seeded_events", "C3 N17", """
+select case when c_custkey % 2 = 1 then 'SSE' else 'SZSE' end as exchange, case when length(c_custkey::varchar) < 6 then lpad(c_custkey::varchar, 6, '0') else c_custkey::varchar end as code,
+  'LIST' as event_type, cast(date '1990-01-01' + cast(c_custkey % 4000 as integer) as varchar) as effective_date,
+  sha256(c_name) as source_sha256
+from customer where c_mktsegment <> 'FURNITURE' and c_mktsegment <> 'BUILDING'""")
+def seeded_events(spark, sf):
+    master = b.table(spark, sf, "customer").select(
+        F.when(F.col("c_mktsegment") == "BUILDING", "XX").otherwise(b.venue(F.col("c_custkey"))).alias("exchange"),
+        b.code6(F.col("c_custkey")).alias("code"), F.col("c_name").alias("name"), F.lit("u").alias("source_url"),
+        F.when(F.col("c_mktsegment") == "FURNITURE", "-").otherwise(F.date_format(
+            F.date_add(F.lit("1990-01-01").cast("date"), (F.col("c_custkey") % 4000).cast("int")),
+            "yyyyMMdd")).alias("listing_date"),
+        F.col("c_name").alias("source_row_json"))
+    events, _ = lc.seed_events(master)
+    return plain(events.select(*SECURITY, "event_type", "effective_date", "source_sha256"))
+
+
+@query("seed_faults", "C3 P7", """
+select "check", count(*) as n, min(key) as first_key from (
+  select case when c_mktsegment = 'FURNITURE' then 'missing listing_date' when c_mktsegment = 'BUILDING' then 'invalid exchange' end as "check",
+    case c_mktsegment when 'BUILDING' then 'XX' else case when c_custkey % 2 = 1 then 'SSE' else 'SZSE' end end || ':' ||
+    case when length(c_custkey::varchar) < 6 then lpad(c_custkey::varchar, 6, '0') else c_custkey::varchar end as key
+  from customer where c_mktsegment in ('FURNITURE', 'BUILDING')) group by 1""")
+def seed_faults(spark, sf):
+    master = b.table(spark, sf, "customer").select(
+        F.when(F.col("c_mktsegment") == "BUILDING", "XX").otherwise(b.venue(F.col("c_custkey"))).alias("exchange"),
+        b.code6(F.col("c_custkey")).alias("code"), F.col("c_name").alias("name"), F.lit("u").alias("source_url"),
+        F.when(F.col("c_mktsegment") == "FURNITURE", "-").otherwise(F.lit("19900101")).alias("listing_date"),
+        F.col("c_name").alias("source_row_json"))
+    _, bad = lc.seed_events(master)
+    return bad.groupBy("check").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+
+
+@query("delisted_events", "C4 U1", with_ctes("""
+select exchange, code, e.t as event_type, cast(e.d as varchar) as effective_date
+from life, lateral (select unnest([{'t': 'LIST', 'd': listed_from}, {'t': 'DELIST', 'd': listed_to_exclusive}]) as e)
+where listed_to_exclusive is not null"""))
+def delisted_events(spark, sf):
+    closed = b.life(spark, sf).where("listed_to_exclusive is not null").select(
+        *SECURITY, "name", F.col("listed_from").alias("list_date"), F.col("listed_to_exclusive").alias("delist_date"),
+        F.lit("u").alias("source_url"), F.lit("").alias("source_sha256"), F.lit("{}").alias("source_payload"))
+    return plain(lc.delisted_events(closed).select(*SECURITY, "event_type", "effective_date"))
+
+
+@query("query_universe", "C14", with_ctes("""
+select exchange, code from (select exchange, code from life union select exchange, old_code from transitions)
+where (exchange, code) not in (select exchange, old_code from transitions)"""))
+def query_universe(spark, sf):
+    split, _ = lc.apply_transitions(b.intervals(spark, sf), b.transitions(spark, sf))
+    return lc.alias_free_universe(split.select(*SECURITY), b.transitions(spark, sf))
+
+
+@query("state_partition", "A16", with_ctes("""
+select (select count(*) from (select distinct exchange, code from px)) as all_count, 0 as only_all, 0 as only_partition,
+  (select count(*) from life where listed_to_exclusive is null) as active_count,
+  (select count(*) from life where listed_to_exclusive is not null or k % 10 = 3) as delisted_count,
+  (select count(*) from life where k % 10 = 3) as overlap_count,
+  cast((select count(*) from life where k % 10 = 3) = 0 as integer) as partition_exact"""))
+def state_partition(spark, sf):
+    life = b.life(spark, sf)
+    return plain(lc.state_partition(
+        b.px(spark, sf).select(*SECURITY), life.where("listed_to_exclusive is null"),
+        life.where("listed_to_exclusive is not null or k % 10 = 3")))

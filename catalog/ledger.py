@@ -1 +1,411 @@
-"""placeholder"""
+"""Corporate actions: ledger, control, adjustment chain, secondary factors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import bindings as b
+from catalog.bindings import RULES, with_ctes
+from catalog.registry import plain, query
+from pitgate.operators import actions as ac
+from pitgate.operators import adjust as ad
+from pitgate.operators import control as ct
+from pitgate.operators.aggregates import has_conflict, unique_value
+from pitgate.schema import SECURITY
+
+KEY = [*SECURITY, "ex_date"]
+
+_DEDUPED = ("deduped", "select distinct on (exchange, code, ex_date, o_orderkey) * from components")
+_MERGED = ("merged", """select exchange, code, ex_date, sum(cash) as cash, sum(bonus) as bonus, sum(transfer) as transfer,
+    coalesce(max(case when rights <> 0 then rights end), 0) as rights, coalesce(max(case when rights_price <> 0 then rights_price end), 0) as rights_price,
+    min(record_date) as record_date, min(announcement_date) as announcement_date, max(rights_listing_date) as rights_listing_date, count(*) as source_count
+  from deduped group by 1, 2, 3""")
+
+
+def _tags(cash, bonus, transfer, rights):
+    return (f"concat_ws('+', case when {cash} > 0 then 'CASH_DIVIDEND' end, case when {bonus} > 0 then 'BONUS_SHARE' end, "
+            f"case when {transfer} > 0 then 'CAPITAL_TRANSFER' end, case when {rights} > 0 then 'RIGHTS_ISSUE' end)")
+
+
+@query("ledger_merge", "C10 A7 A9 A11 N15", with_ctes(f"""
+select exchange, code, cast(ex_date as varchar) as ex_date, cast(record_date as varchar) as record_date,
+  cast(announcement_date as varchar) as announcement_date, cast(rights_listing_date as varchar) as rights_listing_date,
+  {_tags('cash', 'bonus', 'transfer', 'rights')} as action_type, cast(cash as double) as cash_per_share, cast(bonus as double) as bonus_per_share,
+  cast(transfer as double) as transfer_per_share, cast(rights as double) as rights_per_share, cast(rights_price as double) as rights_price,
+  source_count from merged""", _DEDUPED, _MERGED))
+def ledger_merge(spark, sf):
+    ledger, _ = ac.merge_components(b.components(spark, sf))
+    return plain(ledger)
+
+
+@query("ledger_conflicts", "A6 C10", with_ctes("""
+select 'conflicting ' || f as "check", exchange || ':' || code || ':' || cast(ex_date as varchar) as key, cast(max(v) as varchar) as detail
+from (select exchange, code, ex_date, 'rights_per_share' as f, cast(rights as decimal(18,6)) as v from deduped where rights <> 0
+  union all select exchange, code, ex_date, 'rights_price', cast(rights_price as decimal(18,6)) from deduped where rights_price <> 0)
+group by f, exchange, code, ex_date having count(distinct v) > 1""", _DEDUPED))
+def ledger_conflicts(spark, sf):
+    _, bad = ac.merge_components(b.components(spark, sf))
+    return bad
+
+
+@query("ledger_merge_unique", "C10b A6", with_ctes(f"""
+select exchange, code, cast(ex_date as varchar) as ex_date, {_tags('cash', 'bonus', 'transfer', 'rights')} as action_type,
+  cast(cash as double) as cash_per_share, cast(bonus as double) as bonus_per_share, cast(transfer as double) as transfer_per_share, source_count
+from (select exchange, code, ex_date, max(cash) as cash, max(bonus) as bonus, max(transfer) as transfer, max(rights) as rights, count(*) as source_count
+  from components group by 1, 2, 3)"""))
+def ledger_merge_unique(spark, sf):
+    ledger, _ = ac.merge_unique(b.components(spark, sf))
+    return plain(ledger.select(*KEY, "action_type", "cash_per_share", "bonus_per_share", "transfer_per_share", "source_count"))
+
+
+@query("unique_or_conflict", "A6", """
+select l_suppkey, l_shipdate::date::varchar as day, cast(coalesce(max(nullif(d, 0)), 0) as double) as discount,
+  cast(count(distinct nullif(d, 0)) > 1 as integer) as conflict
+from (select *, cast(l_discount as decimal(18,6)) as d from lineitem) group by 1, 2""")
+def unique_or_conflict(spark, sf):
+    d = F.col("l_discount").cast("decimal(18,6)")
+    return plain(b.table(spark, sf, "lineitem").groupBy(
+        "l_suppkey", F.col("l_shipdate").cast("date").alias("day")).agg(
+        unique_value(d).alias("discount"), has_conflict(d).alias("conflict")))
+
+
+@query("evidence_dedupe", "A9", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, o_orderkey, action_component, cast(cash as double) as cash_per_share from deduped""", _DEDUPED))
+def evidence_dedupe(spark, sf):
+    rows = ac.dedupe_evidence(b.components(spark, sf))
+    return plain(rows.select(*KEY, F.get_json_object("source_payload", "$.k").cast("bigint").alias("o_orderkey"),
+                             "action_component", "cash_per_share"))
+
+
+@query("evidence_union", "A10", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, component, source_system, sha256(cast(o_orderkey as varchar)) as source_sha256
+from (select distinct exchange, code, ex_date, action_component as component, 'CNINFO' as source_system, o_orderkey from components union
+  select distinct exchange, code, ex_date, action_component, 'SSE', o_orderkey from control_components where action_component <> 'RIGHTS')"""))
+def evidence_union(spark, sf):
+    items = ac.merged_evidence(b.components(spark, sf), b.control_components(spark, sf))
+    return plain(items.select(*KEY, "component", "source_system", "source_sha256"))
+
+
+_PROFILED = ("profiled", """select exchange, code, ex_date, count(*) filter (where a = 'DIVIDEND') > 0 as cp, count(*) filter (where a = 'BONUS') > 0 as bp,
+    count(distinct nullif(cash, 0)) filter (where a = 'DIVIDEND') > 1 as cd, count(distinct nullif(bonus, 0)) filter (where a = 'BONUS') > 1 as bd,
+    count(distinct nullif(transfer, 0)) filter (where a = 'BONUS') > 1 as td,
+    coalesce(max(cash) filter (where a = 'DIVIDEND'), 0) as ct, coalesce(max(bonus) filter (where a = 'BONUS'), 0) as bt,
+    coalesce(max(transfer) filter (where a = 'BONUS'), 0) as tt, count(*) filter (where a <> 'RIGHTS') as nonrights,
+    min(record_date) filter (where a <> 'RIGHTS') as record_date
+  from (select *, action_component as a from control_components) group by 1, 2, 3""")
+
+
+@query("component_profiles", "A8 C11", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, cast(cp as integer) as cash_present, cast(cd as integer) as cash_differential,
+  cast(ct as double) as cash_target, cast(bp as integer) as bonus_present, cast(bd as integer) as bonus_differential, cast(bt as double) as bonus_target,
+  cast(td as integer) as transfer_differential, cast(tt as double) as transfer_target from profiled""", _PROFILED))
+def component_profiles(spark, sf):
+    profile = ac.aggregate_control(b.control_components(spark, sf))
+    return plain(profile.select(*KEY, "cash_present", "cash_differential", "cash_target", "bonus_present",
+                                "bonus_differential", "bonus_target", "transfer_differential", "transfer_target"))
+
+
+_DECLARED = ("declared", """select exchange, code, ex_date, bool_or(cash <> 0) as dc, bool_or(bonus <> 0) as db, bool_or(transfer <> 0) as dt
+  from components where o_orderpriority = '5-LOW' group by 1, 2, 3""")
+
+
+def _decision(present, differential, target, declared, old):
+    return f"""case when not coalesce({present}, false) then 'KEEP' when {differential} and {old} = 0 then 'UNRESOLVED'
+      when {differential} then 'DIFFERENTIAL' when coalesce({declared}, false) and {old} <> 0 then 'DECLARED'
+      when abs({old} - {target}) > 0.00051 and {old} <> 0 then 'OVERRIDE' when abs({old} - {target}) > 0.00051 then 'FILL' else 'SAME' end"""
+
+
+_DECIDED = ("decided", f"""select *, {_decision('cp', 'cd', 'ct', 'dc', 'oc')} as c, {_decision('bp', 'bd', 'bt', 'db', 'ob')} as b,
+    {_decision('bp', 'td', 'tt', 'dt', 'ot')} as t
+  from (select exchange, code, ex_date, m.exchange is not null as has_primary, p.nonrights is not null as checked, p.cp, p.cd, p.ct, p.bp, p.bd, p.bt, p.td, p.tt,
+      d.dc, d.db, d.dt, coalesce(m.cash, 0) as oc, coalesce(m.bonus, 0) as ob, coalesce(m.transfer, 0) as ot, coalesce(m.rights, 0) as rights,
+      coalesce(m.record_date, p.record_date) as record_date
+    from merged m full outer join (select * from profiled where nonrights > 0) p using (exchange, code, ex_date)
+    left join declared d using (exchange, code, ex_date))""")
+_VALUED = ("valued", """select *, case when c in ('OVERRIDE', 'FILL', 'SAME') then ct else oc end as vc,
+    case when b in ('OVERRIDE', 'FILL', 'SAME') then bt else ob end as vb, case when t in ('OVERRIDE', 'FILL', 'SAME') then tt else ot end as vt from decided""")
+_RECON = (_DEDUPED, _MERGED, _PROFILED, _DECLARED, _DECIDED, _VALUED)
+
+
+def _reconciled(spark, sf):
+    primary = b.components(spark, sf)
+    ledger, _ = ac.merge_components(primary)
+    return ac.reconcile_control(ledger, ac.aggregate_control(b.control_components(spark, sf)),
+                                ac.declared_differentials(primary), RULES)
+
+
+@query("control_reconciliation", "C13 J13", with_ctes(f"""
+select exchange, code, cast(ex_date as varchar) as ex_date, cast(record_date as varchar) as record_date,
+  {_tags('vc', 'vb', 'vt', 'rights')} as action_type, cast(vc as double) as cash_per_share, cast(vb as double) as bonus_per_share,
+  cast(vt as double) as transfer_per_share, c as cash_decision, b as bonus_decision, t as transfer_decision from valued""", *_RECON))
+def control_reconciliation(spark, sf):
+    return plain(_reconciled(spark, sf).select(
+        *KEY, "record_date", "action_type", "cash_per_share", "bonus_per_share", "transfer_per_share",
+        "cash_decision", "bonus_decision", "transfer_decision"))
+
+
+@query("reconciliation_counts", "C13 A14", with_ctes("""
+select count(*) as checked,
+  count_if(c not in ('OVERRIDE', 'FILL', 'UNRESOLVED') and b not in ('OVERRIDE', 'FILL', 'UNRESOLVED') and t not in ('OVERRIDE', 'FILL', 'UNRESOLVED') and has_primary) as matched,
+  cast(sum((c = 'FILL')::int + (b = 'FILL')::int + (t = 'FILL')::int + (not has_primary and (vc <> 0 or vb <> 0 or vt <> 0))::int) as bigint) as fills,
+  cast(sum((c = 'OVERRIDE')::int + (b = 'OVERRIDE')::int + (t = 'OVERRIDE')::int) as bigint) as overrides,
+  cast(sum((c in ('DIFFERENTIAL', 'UNRESOLVED'))::int + (b in ('DIFFERENTIAL', 'UNRESOLVED'))::int + (t in ('DIFFERENTIAL', 'UNRESOLVED'))::int) as bigint) as differential,
+  cast(sum((c = 'UNRESOLVED')::int + (b = 'UNRESOLVED')::int + (t = 'UNRESOLVED')::int) as bigint) as unresolved,
+  cast(sum((c = 'DECLARED')::int + (b = 'DECLARED')::int + (t = 'DECLARED')::int) as bigint) as declared
+from valued where checked""", *_RECON))
+def reconciliation_counts(spark, sf):
+    return ac.reconciliation_counts(_reconciled(spark, sf))
+
+
+@query("components_outside_life", "J3 P1", with_ctes("""
+select c.exchange, c.code, count(*) as n, case when l.code is null then 'out-of-universe official row' else 'official action outside lifecycle' end as "check"
+from components c left join (select * from life where k % 9 <> 4) l using (exchange, code)
+where l.code is null or c.ex_date < l.listed_from or c.ex_date >= l.listed_to_exclusive or c.ex_date not between date '1995-02-01' and date '2001-06-30'
+group by 1, 2, 4"""))
+def components_outside_life(spark, sf):
+    known = b.life(spark, sf).where("k % 9 <> 4")
+    bad = ac.lifecycle_violations(b.components(spark, sf), known, RULES)
+    parts = F.split("key", ":")
+    return bad.groupBy(parts[0].alias("exchange"), parts[1].alias("code"), "check").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("native_components", "P4 N14 N6", with_ctes("""
+select o.exchange, o.code, cast(o.ex_date as varchar) as ex_date, o.o_orderkey, o.bonus_per_share, o.transfer_per_share
+from (select case when k % 2 = 1 then 'SSE' else 'SZSE' end as exchange, case when length(cast(k as varchar)) < 6 then lpad(cast(k as varchar), 6, '0') else cast(k as varchar) end as code, *
+  from (select cast(floor(o_custkey / 15) as bigint) as k, cast(o_orderdate as date) as ex_date, o_orderkey,
+    cast(case when o_orderstatus = 'P' then 0 else o_orderkey % 9 end as double) / 10 as bonus_per_share, cast(o_orderkey % 4 as double) / 10 as transfer_per_share from orders)) o
+join life l using (exchange, code)
+where (bonus_per_share > 0 or transfer_per_share > 0) and ex_date between date '1995-02-01' and date '2001-06-30'
+  and ex_date >= l.listed_from and (l.listed_to_exclusive is null or ex_date < l.listed_to_exclusive)"""))
+def native_components(spark, sf):
+    key = F.col("o_orderkey")
+    day = F.col("o_orderdate").cast("date")
+    k = F.floor(F.col("o_custkey") / 15).cast("bigint")
+    record = F.create_map(
+        F.lit("A_STOCK_CODE"), F.concat(F.lit(" "), b.code6(k)), F.lit("A_DERIGHTS_DATE"), F.date_format(day, "yyyy/MM/dd"),
+        F.lit("A_REG_DATE"), F.lit("-"), F.lit("BONUS_RATIO"), F.when(F.col("o_orderstatus") == "P", "-").otherwise((key % 9).cast("string")),
+        F.lit("CONVERT_RATIO"), (key % 4).cast("string"))
+    records = b.table(spark, sf, "orders").select(
+        b.venue(k).alias("exchange"), record.alias("record"), key.cast("string").alias("source_id"),
+        F.lit("u").alias("source_url"), F.lit("").alias("source_sha256"), F.lit("{}").alias("source_payload"))
+    rows = ac.read_components(records, "BONUS", ac.NATIVE_FIELDS["BONUS"], "SSE", False, b.intervals(spark, sf), RULES)
+    return plain(rows.select(*KEY, F.col("source_id").cast("bigint").alias("o_orderkey"),
+                             "bonus_per_share", "transfer_per_share"))
+
+
+# --- adjustment -------------------------------------------------------------------------
+
+_TERMS = ("terms", """select a.exchange, a.code, a.k, a.ex_date, a.action_type, a.prior_trade_date, cast(a.prior_close as double) as prior_close,
+    cast(cash as double) - cast(rights_price as double) * cast(rights as double) as paid,
+    1e0 + 0e0 + cast(transfer as double) + cast(rights as double) as shares, a.k % 4 <> 3 as has_control,
+    coalesce(case when a.k % 2 = 0 then cast(a.prior_close as double) else cast(a.prior_close as double) / 2 end, 0e0) as preclose,
+    action_type like '%CAPITAL_TRANSFER%' as distributed,
+    row_number() over (partition by a.exchange, a.code order by a.ex_date) as rn from action_prior a""")
+
+
+def _decide(base):
+    nominal = f"(({base}) - t.paid) / t.shares"
+    return f"""case when ({base}) is null then 'missing prior close/reference' when not (({base}) > 0 and t.shares > 0 and {nominal} > 0) then 'invalid ex-reference input'
+      when not t.has_control then 'OFFICIAL_ACTION_FORMULA' when t.preclose <= 0 then 'ex-date preclose is nonpositive'
+      when abs(t.preclose - {nominal}) / greatest(abs({nominal}), 1e-18) <= 0.01e0 then 'OFFICIAL_ACTION_FORMULA'
+      when t.distributed then '{ad.MARKET}'
+      else 'material nominal/market reference discrepancy without share-distribution semantics' end"""
+
+
+def _price(base):
+    return (f"case ({_decide(base)}) when 'OFFICIAL_ACTION_FORMULA' then (({base}) - t.paid) / t.shares "
+            f"when '{ad.MARKET}' then t.preclose end")
+
+
+_NEXT = "case when t.prior_trade_date is not distinct from w.prior_trade_date then w.ref else t.prior_close end"
+_WALK = ("walk", f"""select t.exchange, t.code, t.rn, t.prior_trade_date, t.prior_close as base, {_decide('t.prior_close')} as decision,
+    {_price('t.prior_close')} as price, coalesce({_price('t.prior_close')}, t.prior_close) as ref, coalesce(t.prior_close / ({_price('t.prior_close')}), 1e0) as cum
+  from terms t where rn = 1
+  union all
+  select t.exchange, t.code, t.rn, t.prior_trade_date, {_NEXT}, {_decide(_NEXT)}, {_price(_NEXT)}, coalesce({_price(_NEXT)}, {_NEXT}),
+    w.cum * coalesce(({_NEXT}) / ({_price(_NEXT)}), 1e0)
+  from walk w join terms t on t.exchange = w.exchange and t.code = w.code and t.rn = w.rn + 1""")
+
+
+def _action_state(spark, sf):
+    return b.action_state(spark, sf).where(F.col("code").cast("bigint") % 4 != 3)
+
+
+def _chain(spark, sf):
+    ledger = b.action_ledger(spark, sf)
+    return ad.adjustment_chain(ledger, b.bars(spark, sf), RULES, state=_action_state(spark, sf))
+
+
+@query("adjustment_chain", "C18 C15 C16 W8 J7", with_ctes(f"""
+select t.exchange, t.code, cast(t.ex_date as varchar) as ex_date, t.action_type, round(w.base, 4) as prior_reference_price,
+  round((w.base - t.paid) / t.shares, 4) as nominal, round(w.price, 4) as ex_reference_price,
+  round(w.base / w.price, 4) as back_adjust_multiplier, round(w.cum, 2) as cumulative,
+  w.decision || '_WITH_{ad.FROM_PRICES}' as reference_source
+from walk w join terms t using (exchange, code, rn) where w.price is not null""", _TERMS, _WALK, recursive=True))
+def adjustment_chain(spark, sf):
+    chain, _ = _chain(spark, sf)
+    r = lambda c, n: F.round(c, n)
+    return plain(chain.select(
+        *KEY, "action_type", r("prior_reference_price", 4).alias("prior_reference_price"),
+        r("nominal_formula_ex_reference_price", 4).alias("nominal"), r("ex_reference_price", 4).alias("ex_reference_price"),
+        r("back_adjust_multiplier", 4).alias("back_adjust_multiplier"),
+        r("cumulative_back_adjust_multiplier", 2).alias("cumulative"), "reference_source"))
+
+
+@query("adjustment_faults", "C16 C18", with_ctes("""
+select decision as "check", exchange || ':' || code || ':' || cast(t.ex_date as varchar) as key, '' as detail
+from walk w join terms t using (exchange, code, rn) where w.price is null""", _TERMS, _WALK, recursive=True))
+def adjustment_faults(spark, sf):
+    _, bad = _chain(spark, sf)
+    return bad
+
+
+@query("ex_reference_formula", "C15", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, round((cast(prior_close as double) - paid) / shares, 6) as ex_reference,
+  round((cast(prior_close as double) - paid) / shares / cast(prior_close as double), 6) as continuity from terms where prior_close is not null""", _TERMS))
+def ex_reference_formula(spark, sf):
+    from pitgate.operators.blocks import strict_asof
+
+    priced = strict_asof(b.action_ledger(spark, sf), b.bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
+    base = F.col("prior_close").cast("double")
+    nominal = ad.nominal_reference(base, lambda n: F.col(n).cast("double"))
+    return plain(priced.where("prior_close is not null").select(
+        *KEY, F.round(nominal, 6).alias("ex_reference"), F.round(nominal / base, 6).alias("continuity")))
+
+
+@query("reference_selection", "C16", with_ctes(f"""
+select exchange, code, cast(ex_date as varchar) as ex_date, {_decide('t.prior_close')} as decision from terms t""", _TERMS))
+def reference_selection(spark, sf):
+    from pitgate.operators.blocks import strict_asof
+
+    ledger = b.action_ledger(spark, sf).withColumn("shares_distributed", F.col("action_type").contains("CAPITAL_TRANSFER"))
+    controlled = ad.with_controls(ledger, _action_state(spark, sf))
+    priced = strict_asof(controlled, b.bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
+    get = lambda n: F.col(n).cast("double") if n.endswith(("_share", "_price")) else F.col(n)
+    return plain(priced.select(*KEY, ad.choose_reference(F.col("prior_close").cast("double"), get, RULES).alias("decision")))
+
+
+_BOOT = ("boot", """select *, case when not has_row then 'whitelisted suspended bootstrap lacks state row'
+    when tradable then 'whitelisted suspended bootstrap is not suspended' when pre <= 0 then 'whitelisted suspended bootstrap has invalid preclose'
+    when pre * shares + paid <= 0 then 'whitelisted suspended bootstrap derived invalid prior'
+    when abs(pre * shares + paid - filed) > 0.0001 then 'bootstrap independent control mismatch' end as err
+  from (select t.exchange, t.code, t.ex_date, paid, shares, t.k % 7 <> 6 as has_row, t.k % 7 = 5 as tradable, case when t.k % 7 = 4 then 0e0 else 10e0 end as pre,
+      10e0 * shares + paid + case when t.k % 7 = 3 then 1e0 else 0e0 end as filed from terms t)""")
+
+
+@query("suspended_bootstrap", "C17", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, err as boot_error, case when err is null then round(pre * shares + paid, 6) end as boot_prior from boot""", _TERMS, _BOOT))
+def suspended_bootstrap(spark, sf):
+    k = F.col("k") % 7
+    get = lambda n: F.col(n).cast("double")
+    paid, shares = ad._terms(get)
+    ledger = b.action_ledger(spark, sf)
+    state = ledger.where(k != 6).select(
+        *SECURITY, F.col("ex_date").alias("trade_date"), (k == 5).alias("tradable"),
+        F.when(k == 4, 0.0).otherwise(10.0).alias("preclose"))
+    listed = ledger.select(*KEY, (F.lit(10.0) * shares + paid + F.when(k == 3, 1.0).otherwise(0.0))
+                           .alias("expected_prior_reference_price"))
+    booted = ad.bootstrap(ad.with_controls(ledger, state), listed)
+    return plain(booted.select(*KEY, "boot_error", F.round("boot_prior", 6).alias("boot_prior")))
+
+
+@query("bootstrapped_chain", "C17 C18 J8", with_ctes(f"""
+select exchange, code, cast(ex_date as varchar) as ex_date, reference_source, round(price, 6) as ex_reference_price from (
+  select exchange, code, ex_date, row_number() over (partition by exchange, code order by ex_date) as n, (20e0 - paid) / shares as price,
+    'OFFICIAL_ACTION_FORMULA_WITH_{ad.FROM_BOOTSTRAP}' as reference_source from terms) where n = 1""", _TERMS))
+def bootstrapped_chain(spark, sf):
+    """Only the first action of each code, without any bar: its price comes from the bootstrap."""
+    get = lambda n: F.col(n).cast("double")
+    ledger = b.action_ledger(spark, sf)
+    spans = ledger.groupBy(*SECURITY).agg(F.min("ex_date").alias("ex_date"))
+    first = ledger.join(spans, KEY, "left_semi")
+    nominal = ad.nominal_reference(F.lit(20.0), get)
+    state = first.select(*SECURITY, F.col("ex_date").alias("trade_date"), F.lit(False).alias("tradable"),
+                         nominal.alias("preclose"))
+    listed = first.select(*KEY, F.lit(20.0).alias("expected_prior_reference_price"))
+    no_bars = b.bars(spark, sf).where("trade_date < date '1990-01-01'")
+    chain, _ = ad.adjustment_chain(first, no_bars, RULES, state=state, whitelist=listed)
+    return plain(chain.select(*KEY, "reference_source", F.round("ex_reference_price", 6).alias("ex_reference_price")))
+
+
+@query("cumulative_factor", "W8", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, round(product(theory) over (partition by exchange, code order by ex_date), 4) as cumulative from official_chain"""))
+def cumulative_factor(spark, sf):
+    from pitgate.operators.blocks import running_product
+
+    chained = running_product(b.official_chain(spark, sf), SECURITY, "ex_date", F.col("back_adjust_multiplier"), "cumulative")
+    return plain(chained.select(*KEY, F.round("cumulative", 4).alias("cumulative")))
+
+
+# --- secondary control ------------------------------------------------------------------
+
+_FROWS = ("frows", """select f.exchange, coalesce(t.old_code, f.code) as code, f.effective_date, fore, back, t.old_code is not null as remapped
+  from factors f left join transitions t on t.exchange = f.exchange and t.new_code = f.code and f.effective_date < t.effective_date
+  where f.effective_date between date '1995-02-01' and date '2001-06-30'""")
+_LINKED = ("linked", """select *, lag(fore) over w as pf, lag(back) over w as pb from frows where fore > 0 and back > 0
+  window w as (partition by exchange, code order by effective_date)""")
+_RATIOS = ("ratios", """select exchange, code, effective_date as change_date, fore / pf as rf, back / pb as rb,
+    abs(fore / pf - back / pb) / greatest(abs(fore / pf), abs(back / pb), 1e-18) as gap from linked where pb is not null""")
+
+
+@query("factor_ratio_changes", "W5 C19", with_ctes("""
+select exchange, code, cast(change_date as varchar) as change_date, round(rf, 6) as fore_ratio, round(rb, 6) as back_ratio,
+  cast(gap > 0.005e0 or (abs(rf - 1) > 0.000001e0 and not abs(rb - 1) > 0.000001e0) as integer) as is_rebase,
+  cast(abs(rb - 1) > 0.000001e0 as integer) as is_change from ratios""", _FROWS, _LINKED, _RATIOS))
+def factor_ratio_changes(spark, sf):
+    rows = ct.covered_factors(b.factors(spark, sf), b.transitions(spark, sf), RULES)
+    changes = ct.factor_changes(rows, RULES)
+    return plain(changes.select(*SECURITY, "change_date", F.round("fore_ratio", 6).alias("fore_ratio"),
+                                F.round("back_ratio", 6).alias("back_ratio"), "is_rebase", "is_change"))
+
+
+_COVERED = ("covered", """select o.*, coalesce(o.ex_date > r.f and o.ex_date <= r.l, false) as cov,
+    row_number() over (partition by o.exchange, o.code, coalesce(o.ex_date > r.f and o.ex_date <= r.l, false) order by o.ex_date) as rn
+  from official_chain o left join (select exchange, code, min(effective_date) as f, max(effective_date) as l from frows group by 1, 2) r using (exchange, code)""")
+_LISTS = ("lists", """select exchange, code, list({'d': change_date, 'o': rb} order by change_date) as cs from ratios
+  where abs(rb - 1) > 0.000001e0 group by 1, 2""")
+
+
+def _pick(cs, used, day, theory):
+    return (f"list_sort(list_transform(list_filter({cs}, lambda c: abs(date_diff('day', c.d, {day})) <= 10 and not list_contains({used}, c.d)), "
+            f"lambda c: {{'dist': abs(date_diff('day', c.d, {day})), 'err': abs(c.o - {theory}), 'd': c.d, 'o': c.o}}))[1]")
+
+
+_MATCH = ("match", f"""select exchange, code, ex_date, theory, rn, pick, case when pick is null then cast([] as date[]) else [pick.d] end as used
+  from (select v.exchange, v.code, v.ex_date, v.theory, v.rn, {_pick('l.cs', 'cast([] as date[])', 'v.ex_date', 'v.theory')} as pick
+    from covered v left join lists l using (exchange, code) where v.cov and v.rn = 1)
+  union all
+  select exchange, code, ex_date, theory, rn, pick, case when pick is null then used else list_append(used, pick.d) end
+  from (select v.exchange, v.code, v.ex_date, v.theory, v.rn, m.used, {_pick('l.cs', 'm.used', 'v.ex_date', 'v.theory')} as pick
+    from match m join covered v on v.exchange = m.exchange and v.code = m.code and v.rn = m.rn + 1 and v.cov
+    left join lists l on l.exchange = v.exchange and l.code = v.code)""")
+_JUDGED = ("judged", """select c.exchange, c.code, c.ex_date, c.action_type, c.theory, m.pick.d as change_date, m.pick.o as observed, m.pick.dist as distance,
+    case when not c.cov then 'NOT_COVERED' when m.pick is null and abs(c.theory - 1) <= 0.0005e0 then 'TINY_UNOBSERVED' when m.pick is null then 'UNOBSERVED'
+      when abs(m.pick.o - c.theory) / greatest(abs(c.theory), 1e-18) > 0.01e0 then 'MISMATCH' else 'MATCHED' end as status
+  from covered c left join match m on c.cov and m.exchange = c.exchange and m.code = c.code and m.rn = c.rn""")
+_CONTROL = (_FROWS, _LINKED, _RATIOS, _COVERED, _LISTS, _MATCH, _JUDGED)
+
+
+def _controlled(spark, sf):
+    return ct.factor_control(b.official_chain(spark, sf), b.factors(spark, sf), b.transitions(spark, sf), RULES)
+
+
+@query("factor_control", "C20 J10 J9", with_ctes("""
+select exchange, code, cast(ex_date as varchar) as ex_date, status, cast(change_date as varchar) as change_date,
+  round(observed, 6) as observed from judged""", *_CONTROL, recursive=True))
+def factor_control(spark, sf):
+    actions, _, _ = _controlled(spark, sf)
+    return plain(actions.select(*KEY, "status", "change_date", F.round("observed", 6).alias("observed")))
+
+
+@query("factor_control_counts", "C20 A2", with_ctes("""
+select a.*, r.rebases, s.supplier_only from
+  (select count(*) as actions, count_if(status = 'MATCHED') as matched, count_if(status = 'MISMATCH') as mismatches,
+    count_if(status = 'UNOBSERVED') as unobserved, count_if(status = 'TINY_UNOBSERVED') as tiny_unobserved,
+    count_if(status = 'NOT_COVERED') as not_covered from judged) a,
+  (select count_if(gap > 0.005e0 or (abs(rf - 1) > 0.000001e0 and not abs(rb - 1) > 0.000001e0)) as rebases from ratios) r,
+  (select count(*) as supplier_only from ratios x where abs(rb - 1) > 0.000001e0 and not exists (select 1 from judged j
+    where j.exchange = x.exchange and j.code = x.code and j.change_date = x.change_date)) s""", *_CONTROL, recursive=True))
+def factor_control_counts(spark, sf):
+    actions, changes, _ = _controlled(spark, sf)
+    return ct.control_counts(actions, changes)

@@ -119,7 +119,7 @@ def _reclassified(spark, sf):
     life = b.life(spark, sf)
     quiet = life.where("k % 6 = 5").select(
         *SECURITY, F.lit("1996-05-13").cast("date").alias("trade_date"), F.lit("SCHEDULE").alias("reason"))
-    relisted = life.where("k % 6 = 4").select(*SECURITY, F.lit("1997-03-04").cast("date").alias("trade_date"))
+    relisted = life.where("k % 6 = 4").select(*SECURITY, F.lit("2000-02-01").cast("date").alias("trade_date"))
     closed = life.where("listed_to_exclusive is not null").select(*SECURITY, "listed_to_exclusive")
     return st.reclassify(_stored(spark, sf), closed, b.transitions(spark, sf), quiet, relisted, RULES)
 
@@ -137,7 +137,7 @@ _QUIET = ("quiet", """select r.exchange, coalesce(t.old_code, r.code) as code, r
   from (select *, k % 6 = 5 and trade_date = date '1996-05-13' and (exchange, code) not in (select exchange, new_code from transitions where effective_date > date '1996-05-13') as q from ruled) r
   left join transitions t on t.exchange = r.exchange and t.new_code = r.code and r.trade_date < t.effective_date""")
 _TARGET = ("target", """select q.*, case
-    when q.k % 6 = 4 and q.trade_date = date '1997-03-04' and not q.remapped then 'RELISTING_FIRST_DAY_NO_LIMIT'
+    when q.k % 6 = 4 and q.trade_date = date '2000-02-01' and not q.remapped then 'RELISTING_FIRST_DAY_NO_LIMIT'
     when tradable and p.regime = 'NEW_15DAY_FIRST_NO_LIMIT' and q.trade_date = p.first_date then 'DELISTING_15DAY_FIRST_DAY_NO_LIMIT'
     when tradable and q.trade_date between p.first_date and p.last_date then 'DELISTING_CONSOLIDATION_10PCT' end as target
   from quiet q left join periods p using (exchange, code)""")
@@ -167,9 +167,9 @@ def reclassification_counts(spark, sf):
 
 
 @query("relisting_faults", "J14", with_ctes("""
-select 'relisting override date missing/duplicate' as "check", exchange || ':' || code || ':1997-03-04' as key, '0' as detail
+select 'relisting override date missing/duplicate' as "check", exchange || ':' || code || ':2000-02-01' as key, '0' as detail
 from life l where k % 6 = 4 and not exists (select 1 from quiet q where q.exchange = l.exchange and q.code = l.code
-  and q.trade_date = date '1997-03-04')""", _INDEXED, _RULED, _QUIET))
+  and q.trade_date = date '2000-02-01')""", _INDEXED, _RULED, _QUIET))
 def relisting_faults(spark, sf):
     _, _, bad = _reclassified(spark, sf)
     return bad

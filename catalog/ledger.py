@@ -298,7 +298,7 @@ select exchange, code, cast(ex_date as varchar) as ex_date, err as boot_error, c
 def suspended_bootstrap(spark, sf):
     k = F.col("k") % 7
     get = lambda n: F.col(n).cast("double")
-    paid, shares = ad._terms(get)
+    paid, shares = ad.terms(get)
     ledger = b.action_ledger(spark, sf)
     state = ledger.where(k != 6).select(
         *SECURITY, F.col("ex_date").alias("trade_date"), (k == 5).alias("tradable"),

@@ -123,7 +123,8 @@ def replace_securities(bars: DataFrame, rebuilt: DataFrame, years: Sequence[int]
     year = F.year("trade_date")
     codes = rebuilt.select(*SECURITY).distinct()
     kept = missing_keys(bars.where(year.isin(*years)), codes, SECURITY)
-    return kept.unionByName(rebuilt.where(year.isin(*years)).select(*bars.columns))
+    typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in bars.schema.fields]
+    return kept.unionByName(rebuilt.where(year.isin(*years)).select(*typed))
 
 
 def transition_bar_checks(bars: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:

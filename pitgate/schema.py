@@ -13,8 +13,16 @@ RATE = T.DecimalType(4, 2)
 SECURITY = ("exchange", "code")
 
 
+_TYPES = {
+    "STRING": T.StringType(), "DATE": T.DateType(), "BIGINT": T.LongType(),
+    "BOOLEAN": T.BooleanType(), "DECIMAL(18,6)": PRICE, "DECIMAL(4,2)": RATE,
+}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """A schema from ``name TYPE, …`` without a session (``fromDDL`` needs one)."""
+    fields = [item.split() for item in spec.split(", ")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 MASTER = _struct(

@@ -75,29 +75,27 @@ def payload_rows(payloads: DataFrame, payload: str, fields: Sequence[str],
     return rows.select(*rest, *[F.get_json_object("row_json", f"$.{f}").alias(f) for f in fields], "row_json")
 
 
-def _holders(node: object, key: str) -> Iterator[dict]:
-    """Every object that has ``key``, outermost first."""
-    pending = [node]
-    while pending:
-        item = pending.pop()
-        if isinstance(item, dict):
-            if key in item:
-                yield item
-            pending.extend(reversed(list(item.values())))
-        elif isinstance(item, list):
-            pending.extend(reversed(item))
-
-
 def objects_with_key(payloads: DataFrame, payload: str, key: str) -> DataFrame:
     """One row per object, at any depth of the payload, that has ``key``.
 
     SQL recursion would rescan the payload level by level and stops at a row limit, so a
-    small Arrow-batched function walks each document where it lies.
+    small Arrow-batched function walks each document where it lies. It is defined in here
+    so that it travels to the workers with the query.
     """
+    def holders(doc: str) -> Iterator[dict]:
+        pending = [json.loads(doc)]
+        while pending:
+            item = pending.pop()
+            if isinstance(item, dict):
+                if key in item:
+                    yield item
+                pending.extend(reversed(list(item.values())))
+            elif isinstance(item, list):
+                pending.extend(reversed(item))
+
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def walk(docs: pd.Series) -> pd.Series:
-        return docs.map(lambda d: [json.dumps(o, ensure_ascii=False, sort_keys=True)
-                                   for o in _holders(json.loads(d), key)])
+        return docs.map(lambda d: [json.dumps(o, ensure_ascii=False, sort_keys=True) for o in holders(d)])
 
     rest = [c for c in payloads.columns if c != payload]
     return payloads.select(*rest, F.posexplode(walk(F.col(payload))).alias("position", "object_json"))

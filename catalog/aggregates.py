@@ -62,10 +62,12 @@ _LINES = ("lines", """select exchange, year(trade_date) as year, sha256(concat_w
 _PARTS = ("parts", f"select exchange, year, count(*) as n, {DIGEST_SQL} as digest from lines group by 1, 2")
 
 
-def partition_digests(bars):
+def partition_digests(bars, year=None):
+    """Rows and content digest per (exchange, year); ``year`` names a stored column."""
     content = F.concat_ws(",", *[F.col(c).cast("string") for c in (
         *BAR_KEY, "open", "high", "low", "close", "volume_shares", "amount_cny")])
-    return bars.groupBy("exchange", F.year("trade_date").alias("year")).agg(
+    part = F.year("trade_date") if year is None else F.col(year)
+    return bars.groupBy("exchange", part.alias("year")).agg(
         F.count(F.lit(1)).alias("n"), ag.content_digest(content).alias("digest"))
 
 

@@ -1 +1,302 @@
-"""placeholder"""
+"""The gates over tables that hold known faults, so that every check has work to do."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog import bindings as b
+from catalog.aggregates import partition_digests
+from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
+from catalog.ledger import _chain, _controlled, _reconciled
+from catalog.registry import plain, query
+from catalog.states import _INDEXED, _P
+from pitgate.operators import actions as ac
+from pitgate.operators import control as ct
+from pitgate.operators import state as st
+from pitgate.operators.checks import report, summarize
+from pitgate.operators.joins import interval_join
+from pitgate.operators.lifecycle import apply_transitions
+from pitgate.operators.trading_days import weekdays
+from pitgate.plans import facts as fx
+from pitgate.plans import gates as gt
+from pitgate.schema import SECURITY
+from pitgate.sources.writers import rank_shards
+
+DAY = [*SECURITY, "trade_date"]
+SUMMARY = """select "check", 'error' as severity, count(*) as n_violations, min(key) as first_key, max(key) as last_key from found group by 1"""
+
+
+def summary_sql(found: str, *extra, recursive: bool = False) -> str:
+    return with_ctes(SUMMARY, *extra, ("found", found), recursive=recursive)
+
+
+def _master(spark, sf):
+    k = F.col("s_suppkey")
+    number = F.when(k % 31 == 7, k + 688000).when(k % 31 == 8, k + 300000).otherwise(k)
+    copies = F.when(k % 23 == 5, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return b.table(spark, sf, "supplier").select(
+        b.venue(k).alias("exchange"), b.code6(number).alias("code"),
+        F.when(k % 17 == 3, "GEM").otherwise("MAIN").alias("board"), F.lit("A_SHARE").alias("security_type"),
+        F.when(k % 19 == 4, "DERIVED_CODE_PREFIX").otherwise("OFFICIAL_SZSE_BOARD_FIELD").alias("board_basis"),
+        F.explode(copies).alias("copy"))
+
+
+_MASTER = ("m", f"""select {sql_venue('k')} as exchange, {sql_code6('case when k % 31 = 7 then k + 688000 when k % 31 = 8 then k + 300000 else k end')} as code, k,
+  unnest(case when k % 23 = 5 then [1, 2] else [1] end) as copy from (select s_suppkey as k from supplier)""")
+
+
+@query("gate_master", "G1 A18 U5", summary_sql("""
+select 'out-of-scope row' as "check", exchange || ':' || code as key from m where k % 17 = 3
+union all select 'STAR contamination', exchange || ':' || code from m where exchange = 'SSE' and k % 31 = 7
+union all select 'ChiNext contamination', exchange || ':' || code from m where exchange = 'SZSE' and k % 31 = 8
+union all select 'weak board evidence', exchange || ':' || code from m where k % 19 = 4
+union all select 'duplicate security', exchange || ':' || code from m group by exchange, code having count(*) > 1
+union all select 'only in primary', exchange || ':' || code from (select exchange, code from m except select exchange, code from life)
+union all select 'only in control', exchange || ':' || code from (select exchange, code from life except select exchange, code from m)
+union all select 'implausibly small universe', 'SSE' from (select count(*) as n from m where exchange = 'SSE') where n < 100000000""", _MASTER))
+def gate_master(spark, sf):
+    return summarize(gt.master_gate(_master(spark, sf), b.intervals(spark, sf), {"SSE": 100_000_000, "SZSE": 1}))
+
+
+def _split(spark, sf):
+    return apply_transitions(b.intervals(spark, sf), b.transitions(spark, sf))[0]
+
+
+def _clean_events(spark, sf):
+    k = F.col("k")
+    item = lambda kind, day, when: F.when(when, F.struct(
+        F.lit(kind).alias("event_type"), F.col(day).alias("effective_date")))
+    closed = k % 5 == 0
+    events = F.array_compact(F.array(
+        item("LIST", "listed_from", F.lit(True)), item("DELIST", "listed_to_exclusive", closed & (k % 35 != 0)),
+        item("DELIST", "listed_to_exclusive", k % 25 == 10), item("DELIST", "listed_from", k % 22 == 3)))
+    return b.life(spark, sf).select(*SECURITY, F.explode(events).alias("e")).select(*SECURITY, "e.*")
+
+
+_SPLIT = ("split", """select l.exchange, l.code, l.k, l.name, case when t.eff is not null then t.eff else l.listed_from end as f, l.listed_to_exclusive as t
+  from life l left join (select exchange, new_code as code, effective_date as eff from transitions) t using (exchange, code)
+  union all select l.exchange, t.old_code, l.k + 900000, 'x', l.listed_from, t.effective_date from life l join transitions t on t.exchange = l.exchange and t.new_code = l.code""")
+_EV = ("ev", """select exchange, code, k, 'LIST' as kind, listed_from as d from life
+  union all select exchange, code, k, 'DELIST', listed_to_exclusive from life where k % 5 = 0 and k % 35 <> 0
+  union all select exchange, code, k, 'DELIST', listed_to_exclusive from life where k % 25 = 10
+  union all select exchange, code, k, 'DELIST', listed_from from life where k % 22 = 3""")
+
+
+@query("gate_lifecycle", "G2 U3 A5", summary_sql("""
+select 'open interval without current security' as "check", exchange || ':' || code as key from split where t is null and k % 15 = 4
+union all select 'out-of-scope lifecycle row', exchange || ':' || code || ':' || kind from ev where exchange = 'SZSE' and (k < 1 or k > 4999 or k between 1001 and 1199)
+union all select 'out-of-scope lifecycle row', exchange || ':' || code from split where exchange = 'SZSE' and (k < 1 or k > 4999 or k between 1001 and 1199)
+union all select 'invalid effective_date', exchange || ':' || code || ':' || kind from ev where kind = 'DELIST' and d is null
+union all select 'duplicate DELIST security', exchange || ':' || code from ev where kind = 'DELIST' group by 1, exchange, code having count(*) > 1
+union all select 'current and delisted', exchange || ':' || code from split s where t is null and k % 15 <> 4 and exists (select 1 from ev where kind = 'DELIST' and ev.exchange = s.exchange and ev.code = s.code)
+union all select 'closed interval without evidence', exchange || ':' || code from (select exchange, code from split where t is not null except (select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions))
+union all select 'evidence without closed interval', exchange || ':' || code from ((select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions) except select exchange, code from split where t is not null)
+union all select 'manifest count mismatch', 'code_transitions' union all select 'manifest count mismatch', 'current_active'""", _SPLIT, _EV))
+def gate_lifecycle(spark, sf):
+    split = _split(spark, sf)
+    master = split.where("listed_to_exclusive is null and cast(code as bigint) % 15 <> 4")
+    declared = spark.createDataFrame([("current_active", "-1"), ("code_transitions", "-2")], "name string, expected string")
+    return summarize(gt.lifecycle_gate(master, split, _clean_events(spark, sf), b.transitions(spark, sf), declared, RULES))
+
+
+def _stored_bars(spark, sf):
+    inside = interval_join(b.bars(spark, sf), b.intervals(spark, sf), "trade_date", RULES)
+    covered = inside.where(F.col("trade_date").between(F.lit(RULES.coverage_start), F.lit(RULES.coverage_end)))
+    k = F.col("code").cast("bigint")
+    return covered.select(
+        *DAY, "open", F.when(k % 33 == 9, F.col("low") - 1).otherwise(F.col("high")).cast("decimal(18,6)").alias("high"),
+        "low", "close", "volume_shares", "amount_cny",
+        (F.year("trade_date") + F.when(k % 40 == 7, 1).otherwise(0)).alias("year"))
+
+
+_STORED = ("stored", """select exchange, code, k, trade_date, open, cast(case when k % 33 = 9 then low - 1 else high end as decimal(18,6)) as high, low, close, volume_shares, amount_cny,
+    year(trade_date) + case when k % 40 = 7 then 1 else 0 end as year
+  from bars join (select exchange, code, k, listed_from, listed_to_exclusive from life) using (exchange, code)
+  where trade_date between date '1995-02-01' and date '2001-06-30' and trade_date >= listed_from and (listed_to_exclusive is null or trade_date < listed_to_exclusive)""")
+
+
+_WEEKDAYS = ("wd", """select d from (select cast(unnest(generate_series(date '1995-02-01', date '2001-06-30', interval 1 day)) as date) as d)
+  where isodow(d) < 6""")
+
+
+@query("gate_bars", "G3 A12 A19 J15 U2 W6", summary_sql("""
+select 'year mismatch' as "check", exchange || ':' || code || ':' || cast(trade_date as varchar) as key from stored where k % 40 = 7
+union all select 'OHLC invariant failed', exchange || ':' || code || ':' || cast(trade_date as varchar) from stored where k % 33 = 9
+union all select 'bad source sha', exchange || ':' || code from life where exchange = 'SSE' and k % 37 <> 11 and k % 21 = 1
+union all select 'empty source', exchange || ':' || code from life where exchange = 'SSE' and k % 37 <> 11 and k % 27 = 0
+union all select 'expected security without source', exchange || ':' || code from life where exchange = 'SSE' and k % 37 = 11
+  and listed_from <= date '2001-06-30' and (listed_to_exclusive is null or listed_to_exclusive > date '1995-02-01')
+union all select 'weekday not requested', cast(d as varchar) from wd where day(d) = 13
+union all select 'data day without positive source', 'SZSE:' || cast(trade_date as varchar) from (select distinct trade_date from stored where exchange = 'SZSE' and day(trade_date) = 13 and isodow(trade_date) < 6)
+union all select 'data day without positive source', 'SZSE:' || cast(trade_date as varchar) from (select distinct trade_date from stored where exchange = 'SZSE' and isodow(trade_date) > 5)
+union all select 'row-count mismatch', exchange || ':' || year from (select distinct exchange, year from stored) where year = 1999
+union all select 'data sha mismatch', exchange || ':' || year from (select distinct exchange, year from stored) where year = 1996
+union all select 'row accounting mismatch', exchange from (select exchange, sum(case when exchange = 'SSE' and k % 37 = 11 then 1 when exchange = 'SZSE' and (day(trade_date) = 13 or isodow(trade_date) > 5) then 1 else 0 end) as off from stored group by 1) where off > 0
+union all select 'trading-day calendar mismatch', min(exchange) || ':' || cast(trade_date as varchar) from (select distinct exchange, trade_date from stored) group by trade_date having count(*) = 1
+""", _STORED, _WEEKDAYS))
+def gate_bars(spark, sf):
+    stored = _stored_bars(spark, sf)
+    life = b.intervals(spark, sf)
+    k = F.col("code").cast("bigint")
+    sse = stored.where("exchange = 'SSE'").groupBy(*SECURITY).agg(F.count(F.lit(1)).alias("normalized_rows"))
+    universe = life.where("exchange = 'SSE'")
+    ranked = rank_shards(universe, SECURITY, F.concat("exchange", F.substring("code", 1, 4)), 8)
+    sources = (ranked.join(sse, list(SECURITY), "left").where(k % 37 != 11)
+               .withColumns({"shards": F.lit(8), "normalized_rows": F.coalesce("normalized_rows", F.lit(0)),
+                             "sha256": F.when(k % 21 == 1, "bad").otherwise(F.sha2("code", 256)), "bytes": k % 27}))
+    per_day = stored.where("exchange = 'SZSE'").groupBy(F.col("trade_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    requested = weekdays(spark, RULES.coverage_start, RULES.coverage_end).where(F.dayofmonth("day") != 13)
+    day_sources = requested.join(per_day, "day", "left").select(
+        F.lit("SZSE").alias("exchange"), "day", F.sha2(F.col("day").cast("string"), 256).alias("sha256"),
+        F.lit(1).alias("bytes"), F.coalesce("n", F.lit(0)).alias("source_rows"), F.coalesce("n", F.lit(0)).alias("normalized_rows"))
+    digests = partition_digests(stored, "year")
+    files = digests.select(
+        "exchange", "year", (F.col("n") + (F.col("year") == 1999).cast("int")).alias("rows"),
+        F.when(F.col("year") == 1996, "x").otherwise(F.col("digest")).alias("sha256"))
+    found, _ = gt.bars_gate(stored, life, sources, day_sources, files, RULES)
+    return summarize(found)
+
+
+def _ruled(spark, sf):
+    return st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, mode="v1", legacy=True)
+
+
+@query("gate_state", "G4 J5 A14", summary_sql("""
+select 'unclassified special no-limit day' as "check", exchange || ':' || code || ':' || cast(trade_date as varchar) as key from ruled where rule = 'UNCLASSIFIED_SPECIAL_NO_LIMIT'
+union all select 'old-regime delisting contains non-10pct row', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+  where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime = 'OLD_30DAY_ALL_10PCT'
+union all select 'new-regime first day not no-limit', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+  where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date = p.first_date
+union all select 'new-regime later day not 10pct', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+  where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date <> p.first_date
+union all select 'delisting period has no classified rows', exchange || ':' || code from periods p where not exists (select 1 from ruled r where r.exchange = p.exchange and r.code = p.code and rule like 'DELISTING_%')
+union all select 'security missing from state sources', exchange || ':' || code from life where k % 16 = 3
+union all select 'source hash missing', exchange || ':' || code from life where k % 16 <> 3 and k % 18 = 4
+union all select 'source rows differ from state rows', exchange || ':' || code from life where k % 16 <> 3 and k % 14 = 2
+union all select 'missing relisting first-day state', exchange || ':' || code || ':2000-02-01' from life l where k % 6 = 4 and k % 5 = 0
+union all select 'relisting first day not classified no-limit', exchange || ':' || code || ':2000-02-01' from ruled where k % 6 = 4 and trade_date = date '2000-02-01'
+union all select 'suspension control row missing', exchange || ':' || code || ':1995-03-01' from life l where k % 8 = 1 and not exists (select 1 from ruled r where r.exchange = l.exchange and r.code = l.code and r.trade_date = date '1995-03-01')
+union all select 'suspension control contradicted', exchange || ':' || code || ':1995-03-01' from ruled where k % 8 = 1 and trade_date = date '1995-03-01' and tradable
+union all select 'predecessor has zero bars', exchange || ':' || old_code || ':' || new_code from transitions
+union all select 'successor bar predates transition', exchange || ':' || old_code || ':' || new_code from transitions
+union all select 'tradable state without bar', exchange || ':' || code || ':' || cast(trade_date as varchar) from ruled r where tradable
+  and not exists (select 1 from px p where p.exchange = r.exchange and p.code = r.code and p.trade_date = r.trade_date and p.q > 10)""",
+    _P, _INDEXED, ("ruled", """select *, case when not tradable then 'SUSPENDED'
+  when listed_from >= date '1995-07-01' and ti <= 5 then 'IPO_FIRST5_NO_LIMIT'
+  when listed_from between date '1995-01-01' and date '1995-06-30' and ti = 1 then 'IPO_FIRST_DAY_2014_RULE'
+  when abs(coalesce(pct_chg, 0)) > 10.5 and date_diff('day', trade_date, listed_to_exclusive) between 1 and 45 then 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT'
+  when abs(coalesce(pct_chg, 0)) > 10.5 then 'UNCLASSIFIED_SPECIAL_NO_LIMIT' else 'OTHER' end as rule from indexed""")))
+def gate_state(spark, sf):
+    state = _ruled(spark, sf)
+    life = b.life(spark, sf)
+    k = F.col("k")
+    counts = st.identity_manifest(state)
+    manifest = life.where(k % 16 != 3).select(*SECURITY, "k").join(counts, list(SECURITY), "left").select(
+        *SECURITY, (F.col("rows") + F.when(k % 14 == 2, 1).otherwise(0)).alias("rows"),
+        F.when(k % 18 == 4, "").otherwise(F.sha2("code", 256)).alias("sha256"))
+    periods = st.delisting_periods(b.state(spark, sf), b.intervals(spark, sf), RULES)
+    day = lambda text: F.lit(text).cast("date").alias("trade_date")
+    relisting = life.where(k % 6 == 4).select(*SECURITY, day("2000-02-01"))
+    quiet = life.where(k % 8 == 1).select(*SECURITY, day("1995-03-01"))
+    official = b.px(spark, sf).where("q > 10").select(*DAY)
+    return summarize(gt.state_gate(state, life.select(*SECURITY), manifest, periods, relisting,
+                                   b.transitions(spark, sf), official, quiet, RULES))
+
+
+def _factor_events(spark, sf):
+    key = F.get_json_object("source_payload", "$.k").cast("bigint")
+    dividends = b.components(spark, sf).select(
+        *SECURITY, F.col("ex_date").alias("operate_date"), key.alias("seq"),
+        F.col("cash_per_share").alias("cash_ps_before_tax"), F.col("bonus_per_share").alias("stock_ps"),
+        F.col("transfer_per_share").alias("reserve_to_stock_ps"), F.lit("").alias("event_detail"))
+    return ct.factor_events(b.factors(spark, sf), dividends)[0]
+
+
+@query("gate_factors", "G5a", summary_sql("""
+select 'unmatched factor event' as "check", exchange || ':' || code || ':' || cast(effective_date as varchar) as key from factors f
+  where not exists (select 1 from components c where c.exchange = f.exchange and c.code = f.code and c.ex_date = f.effective_date)
+union all select 'nonpositive factor', exchange || ':' || code || ':' || cast(effective_date as varchar) from factors where least(fore, back, adj) <= 0
+union all select 'missing source hash', exchange || ':' || code from (select distinct exchange, code from factors) where cast(code as bigint) % 13 = 6
+union all select 'scanned events differ from manifest', (select count(*) from factors) || ' <> ' || (select count(*) + count(distinct exchange || code) from factors)"""))
+def gate_factors(spark, sf):
+    events = _factor_events(spark, sf)
+    k = F.col("code").cast("bigint")
+    manifest = b.factors(spark, sf).groupBy(*SECURITY).agg((F.count(F.lit(1)) + 1).alias("factor_rows")).select(
+        *SECURITY, "factor_rows", (k % 4).alias("shard"), F.when(k % 13 == 6, "").otherwise(F.sha2("code", 256)).alias("sha256"))
+    return summarize(gt.factor_gate(events, manifest, 4))
+
+
+def _final_facts(spark, sf):
+    """The figures the last gates compare: ledger, chain and control, each in one row."""
+    recon = ac.reconciliation_counts(_reconciled(spark, sf))
+    chain, faults = _chain(spark, sf)
+    adjusted = chain.agg(F.count(F.lit(1)).alias("adjustment_event_count"))
+    failed = faults.agg(F.count(F.lit(1)).alias("fault_count"))
+    ledger = b.action_ledger(spark, sf).agg(F.count(F.lit(1)).alias("official_action_count"))
+    actions, changes, _ = _controlled(spark, sf)
+    control = ct.control_counts(actions, changes)
+    parts = [fx.facts_of(recon, "ledger."), fx.facts_of(adjusted, "chain."), fx.facts_of(failed, "chain."),
+             fx.facts_of(ledger, "ledger."), fx.facts_of(control, "control.")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+@query("gate_final_figures", "G5b", None)
+def gate_final_figures(spark, sf):
+    facts = _final_facts(spark, sf)
+    pairs = spark.createDataFrame([
+        ("not every official action produced an adjustment event", "ledger.official_action_count", "chain.adjustment_event_count"),
+        ("chain and control disagree", "ledger.official_action_count", "control.actions"),
+    ], "check string, left string, right string")
+    pins = spark.createDataFrame([("control.mismatches", "0"), ("ledger.unresolved", "0"), ("ledger.absent", "1")],
+                                 "name string, expected string")
+    return fx.unequal_pairs(facts, pairs).unionByName(fx.unmet_pins(facts, pins))
+
+
+def _gate_reports(spark, sf):
+    """Gate results by event type: a type passes when it has no negative and few small values."""
+    return b.table(spark, sf, "events").groupBy(F.col("event_type").alias("gate")).agg(
+        (F.count_if(F.col("value") < 1) < F.count(F.lit(1)) / 50).alias("pass"))
+
+
+@query("gate_stage", "GS", """
+select "check", gate as key, coalesce(status, '') as detail from (
+  select coalesce(r.gate, c.gate) as gate, c.status, r.pass,
+    unnest(list_filter([case when r.pass is null then 'gate evidence missing' end, case when not r.pass then 'gate evidence does not pass' end,
+      case when r.pass and coalesce(c.status, '') <> 'PASS' then 'evidence passes but config does not' end], lambda x: x is not null)) as "check"
+  from (select event_type as gate, count_if(value < 1) < count(*) / 50 as pass from events group by 1) r
+  full outer join (values ('click', 'PASS'), ('view', 'FAIL'), ('error', 'PASS'), ('refund', 'PASS')) c(gate, status) on c.gate = r.gate)""")
+def gate_stage(spark, sf):
+    config = spark.createDataFrame([("click", "PASS"), ("view", "FAIL"), ("error", "PASS"), ("refund", "PASS")],
+                                   "gate string, status string")
+    return gt.stage_gate(_gate_reports(spark, sf), config)
+
+
+@query("gate_freeze", "GF N18 A12", with_ctes("""
+select 'pinned figure not met' as "check", 'g3.total_rows' as key, cast((select count(*) from bars) as varchar) || ' instead of 8038444' as detail
+union all select 'pinned figure not met', 'g3.dataset_fingerprint', 'missing instead of x'
+union all select 'unequal figures', 'g3.trading_days=g2.total_intervals', (select count(distinct trade_date)::varchar from bars) || ' <> ' || (select count(*)::varchar from life)"""))
+def gate_freeze(spark, sf):
+    bars = b.bars(spark, sf).agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("trade_date").alias("trading_days"),
+                                 F.count_distinct("exchange").alias("venues"))
+    life = b.life(spark, sf).agg(F.count(F.lit(1)).alias("total_intervals"))
+    facts = fx.facts_of(bars, "g3.").unionByName(fx.facts_of(life, "g2."))
+    pinned = spark.createDataFrame([("g3.total_rows", "8038444"), ("g3.venues", "2"), ("g3.dataset_fingerprint", "x")],
+                                   "name string, expected string")
+    pairs = spark.createDataFrame([("unequal figures", "g3.trading_days", "g2.total_intervals")],
+                                  "check string, left string, right string")
+    return fx.unmet_pins(facts, pinned).unionByName(fx.unequal_pairs(facts, pairs))
+
+
+@query("gate_report", "S16 A13 A18", with_ctes("""
+select 'G1' as gate, 0 as pass, (select count(*) from life) as securities, count(*) as n_errors,
+  string_agg(line, '|' order by c, rank) filter (where rank <= 20) as errors
+from (select 'duplicate bar' as c, 'duplicate bar: ' || key || ' ' || n as line, row_number() over (order by key, n::varchar) as rank
+  from (select exchange || ':' || code || ':' || cast(trade_date as varchar) as key, count(*) as n from px group by 1 having count(*) > 1))"""))
+def gate_report(spark, sf):
+    from pitgate.operators.checks import enforce_unique
+    from pitgate.schema import KEYS
+
+    _, found = enforce_unique(b.px(spark, sf), list(KEYS["bar"]), "duplicate bar")
+    facts = b.px(spark, sf).agg(F.count_distinct("code").alias("securities"))
+    made = report("G1", found, facts)
+    return plain(made.withColumn("errors", F.array_join("errors", "|")))

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pitgate.operators.blocks import last_before
+from pitgate.operators.blocks import strict_asof
 from pitgate.operators.joins import lifecycle_status
 from pitgate.operators.trading_days import security_days, venue_days
 from pitgate.schema import SECURITY, Rules
@@ -113,13 +113,21 @@ def lifecycle_events(spark, sf) -> DataFrame:
         F.lit("RETROSPECTIVE_PRIMARY").alias("evidence_class"))
 
 
-def state(spark, sf) -> DataFrame:
-    """A row per security and trading day of its life; a day without a bar is a suspension."""
+def state_days(spark, sf) -> DataFrame:
+    """A row per security and trading day of its life, with the day's close if it traded."""
     b = bars(spark, sf)
     days = security_days(life(spark, sf).select(*SECURITY, "k", "listed_from", "listed_to_exclusive"),
                          venue_days(b), RULES.coverage_start, RULES.coverage_end)
-    joined = days.join(b.select(*SECURITY, "trade_date", "close"), [*SECURITY, "trade_date"], "left")
-    known = last_before(joined, SECURITY, "trade_date", F.col("close"), "preclose")
+    return days.join(b.select(*SECURITY, "trade_date", "close"), [*SECURITY, "trade_date"], "left")
+
+
+def state(spark, sf) -> DataFrame:
+    """Daily state; a day without a bar is a suspension."""
+    joined = state_days(spark, sf)
+    # One row per security and day by construction, so a plain window will do here.
+    before = (Window.partitionBy(*SECURITY).orderBy("trade_date")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    known = joined.withColumn("preclose", F.last("close", ignorenulls=True).over(before))
     change = (F.col("close").cast("double") - F.col("preclose").cast("double")) * 100
     return known.select(
         *SECURITY, "trade_date", F.col("close").isNotNull().alias("tradable"),
@@ -152,8 +160,6 @@ def action_ledger(spark, sf) -> DataFrame:
 
 def action_state(spark, sf) -> DataFrame:
     """The market's preclose on action days: the prior close for even codes, half of it for odd."""
-    from pitgate.operators.blocks import strict_asof
-
     keys = action_ledger(spark, sf).select(*SECURITY, F.col("ex_date").alias("trade_date"), "k")
     priced = strict_asof(keys, bars(spark, sf), SECURITY, "trade_date", "trade_date", ["close"], prefix="p_")
     close = F.col("p_close").cast("double")
@@ -221,8 +227,6 @@ def control_components(spark, sf) -> DataFrame:
 
 def _numbered_ledger(spark, sf) -> DataFrame:
     """Actions numbered per code; a code has at most one action a day of the calendar."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*SECURITY).orderBy("ex_date")
     return action_ledger(spark, sf).select(*SECURITY, "ex_date", "action_type", "k").withColumn(
         "rn", F.row_number().over(w).cast("double"))
@@ -250,8 +254,6 @@ def factors(spark, sf) -> DataFrame:
 
 def whitelist(spark, sf) -> DataFrame:
     """Actions of codes that have no earlier bar, with the price their filing states."""
-    from pitgate.operators.blocks import strict_asof
-
     priced = strict_asof(action_ledger(spark, sf), bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
     return priced.where("prior_close is null").select(*SECURITY, "ex_date")
 

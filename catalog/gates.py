@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from catalog.aggregates import partition_digests
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
-from catalog.ledger import _chain, _controlled, _reconciled
+from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _chain, _controlled, _reconciled
 from catalog.registry import plain, query
 from catalog.states import _INDEXED, _P
 from pitgate.operators import actions as ac
@@ -91,6 +91,7 @@ union all select 'duplicate DELIST security', exchange || ':' || code from ev wh
 union all select 'current and delisted', exchange || ':' || code from split s where t is null and k % 15 <> 4 and exists (select 1 from ev where kind = 'DELIST' and ev.exchange = s.exchange and ev.code = s.code)
 union all select 'closed interval without evidence', exchange || ':' || code from (select exchange, code from split where t is not null except (select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions))
 union all select 'evidence without closed interval', exchange || ':' || code from ((select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions) except select exchange, code from split where t is not null)
+union all select 'no historical DELIST events', e from (values ('SSE'), ('SZSE')) v(e) where not exists (select 1 from ev where kind = 'DELIST' and exchange = e)
 union all select 'manifest count mismatch', 'code_transitions' union all select 'manifest count mismatch', 'current_active'""", _SPLIT, _EV))
 def gate_lifecycle(spark, sf):
     split = _split(spark, sf)
@@ -126,6 +127,7 @@ union all select 'bad source sha', exchange || ':' || code from life where excha
 union all select 'empty source', exchange || ':' || code from life where exchange = 'SSE' and k % 37 <> 11 and k % 27 = 0
 union all select 'expected security without source', exchange || ':' || code from life where exchange = 'SSE' and k % 37 = 11
   and listed_from <= date '2001-06-30' and (listed_to_exclusive is null or listed_to_exclusive > date '1995-02-01')
+union all select 'missing shards', n::varchar from (select count(distinct position % 8) as n from (select k, row_number() over (order by code) - 1 as position from life where exchange = 'SSE') where k % 37 <> 11) where n <> 8
 union all select 'weekday not requested', cast(d as varchar) from wd where day(d) = 13
 union all select 'data day without positive source', 'SZSE:' || cast(trade_date as varchar) from (select distinct trade_date from stored where exchange = 'SZSE' and day(trade_date) = 13 and isodow(trade_date) < 6)
 union all select 'data day without positive source', 'SZSE:' || cast(trade_date as varchar) from (select distinct trade_date from stored where exchange = 'SZSE' and isodow(trade_date) > 5)
@@ -240,7 +242,13 @@ def _final_facts(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
 
 
-@query("gate_final_figures", "G5b", None)
+@query("gate_final_figures", "G5b", with_ctes("""
+select 'not every official action produced an adjustment event' as "check", 'ledger.official_action_count=chain.adjustment_event_count' as key,
+  (select count(*) from terms)::varchar || ' <> ' || (select count(*) from walk where price is not null)::varchar as detail
+union all select 'pinned figure not met', 'control.mismatches', (select count(*) from judged where status = 'MISMATCH')::varchar || ' instead of 0'
+union all select 'pinned figure not met', 'ledger.unresolved',
+  (select sum((c = 'UNRESOLVED')::int + (b = 'UNRESOLVED')::int + (t = 'UNRESOLVED')::int) from valued where checked)::bigint::varchar || ' instead of 0'
+union all select 'pinned figure not met', 'ledger.absent', 'missing instead of 1' """, *_CONTROL, *_RECON, _TERMS, _WALK, recursive=True))
 def gate_final_figures(spark, sf):
     facts = _final_facts(spark, sf)
     pairs = spark.createDataFrame([

@@ -32,7 +32,11 @@ _P = ("periods", _PERIODS.format(src="state"))
 select exchange, code, cast(trade_date as varchar) as trade_date, cast(tradable as integer) as tradable,
   cast(preclose as double) as preclose from state"""))
 def carried_close(spark, sf):
-    return plain(b.state(spark, sf).select(*DAY, "tradable", "preclose"))
+    from pitgate.operators.blocks import last_before
+
+    rows = b.state_days(spark, sf)
+    known = last_before(rows, SECURITY, "trade_date", F.col("close"), "preclose")
+    return plain(known.select(*DAY, F.col("close").isNotNull().alias("tradable"), "preclose"))
 
 
 @query("trading_index", "W1", with_ctes("""

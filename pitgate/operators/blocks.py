@@ -6,6 +6,10 @@ are): a combining aggregation gives one row per (key, block), a window over thos
 gives what each block carries in, and the row window runs inside a block. Rows of one key
 spread over as many tasks as there are blocks, and the only per-key window holds at most
 one row per block of the calendar.
+
+The input is read twice (for the totals only its key, day and value columns), so these are
+for stored tables; event tables that hold at most one row per key and day use a plain
+window.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Block = Callable[[Column], Column]
+# How to cut the calendar: a function of the day, or a column that is already there and
+# rises with the day (rows joined by that column are then partitioned as they must be).
+Block = Callable[[Column], Column] | str
 BLOCK = "_block"
 
 
@@ -23,7 +29,11 @@ def year_block(day: Column) -> Column:
     return F.year(day)
 
 
-def _join_null_safe(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _blocked(df: DataFrame, day: str, block: Block) -> DataFrame:
+    return df.withColumn(BLOCK, F.col(block) if isinstance(block, str) else block(F.col(day)))
+
+
+def _with_carry(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(carry, [*keys, BLOCK], "left")
 
 
@@ -31,7 +41,7 @@ def running_total(df: DataFrame, keys: Sequence[str], day: str, value: Column, o
                   order: Sequence[str] = (), reverse: bool = False,
                   block: Block = year_block) -> DataFrame:
     """Sum of ``value`` from the key's first row to this one (to the last with ``reverse``)."""
-    work = df.withColumn("_v", value.cast("bigint")).withColumn(BLOCK, block(F.col(day)))
+    work = _blocked(df.withColumn("_v", value.cast("bigint")), day, block)
     totals = work.groupBy(*keys, BLOCK).agg(F.sum("_v").alias("_t"))
     step = F.col(BLOCK).desc() if reverse else F.col(BLOCK).asc()
     earlier = Window.partitionBy(*keys).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
@@ -39,20 +49,20 @@ def running_total(df: DataFrame, keys: Sequence[str], day: str, value: Column, o
     cols = [F.col(c).desc() if reverse else F.col(c).asc() for c in (day, *order)]
     inside = (Window.partitionBy(*keys, BLOCK).orderBy(*cols)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = _join_null_safe(work, carry, keys)
+    joined = _with_carry(work, carry, keys)
     return joined.withColumn(out, F.col("_c") + F.sum("_v").over(inside)).drop("_v", "_c", BLOCK)
 
 
 def running_product(df: DataFrame, keys: Sequence[str], day: str, value: Column, out: str,
                     block: Block = year_block) -> DataFrame:
     """Product of ``value`` (a double) from the key's first row to this one."""
-    work = df.withColumn("_v", value.cast("double")).withColumn(BLOCK, block(F.col(day)))
+    work = _blocked(df.withColumn("_v", value.cast("double")), day, block)
     totals = work.groupBy(*keys, BLOCK).agg(F.product("_v").alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(*keys, BLOCK, F.coalesce(F.product("_t").over(earlier), F.lit(1.0)).alias("_c"))
     inside = (Window.partitionBy(*keys, BLOCK).orderBy(day)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    joined = _join_null_safe(work, carry, keys)
+    joined = _with_carry(work, carry, keys)
     return joined.withColumn(out, F.col("_c") * F.product("_v").over(inside)).drop("_v", "_c", BLOCK)
 
 
@@ -63,7 +73,7 @@ def last_before(df: DataFrame, keys: Sequence[str], day: str, value: Column, out
     "Earlier" follows ``(day, *order)``. With a value that is never null this is ``lag``;
     with gaps it is the last known value carried forward.
     """
-    work = df.withColumn("_v", value).withColumn(BLOCK, block(F.col(day)))
+    work = _blocked(df.withColumn("_v", value), day, block)
     position = F.struct(day, *order)
     latest = F.max_by("_v", F.when(F.col("_v").isNotNull(), position))
     totals = work.groupBy(*keys, BLOCK).agg(latest.alias("_t"))
@@ -71,7 +81,7 @@ def last_before(df: DataFrame, keys: Sequence[str], day: str, value: Column, out
     carry = totals.select(*keys, BLOCK, F.last("_t", ignorenulls=True).over(earlier).alias("_c"))
     inside = (Window.partitionBy(*keys, BLOCK).orderBy(day, *order)
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = _join_null_safe(work, carry, keys)
+    joined = _with_carry(work, carry, keys)
     known = F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_c"))
     return joined.withColumn(out, known).drop("_v", "_c", BLOCK)
 
@@ -89,8 +99,7 @@ def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day
                     F.struct(*left.columns).alias("_l"))
     b = right.select(*keys, F.col(right_day).alias("_d"), F.lit(1).alias("_side"),
                      F.struct(*values).alias("_r"))
-    both = (a.unionByName(b, allowMissingColumns=True)
-            .withColumn(BLOCK, block(F.col("_d"))))
+    both = _blocked(a.unionByName(b, allowMissingColumns=True), "_d", block)
     per_block = both.groupBy(*keys, BLOCK).agg(
         F.max_by("_r", F.when(F.col("_side") == 1, F.col("_d"))).alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -98,7 +107,7 @@ def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day
     inside = (Window.partitionBy(*keys, BLOCK).orderBy("_d", "_side")
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = both.withColumn("_b", F.last("_r", ignorenulls=True).over(inside)).where("_side = 0")
-    found = _join_null_safe(placed, carry, keys).withColumn("_m", F.coalesce("_b", "_c"))
+    found = _with_carry(placed, carry, keys).withColumn("_m", F.coalesce("_b", "_c"))
     return found.select(
         *[F.col(f"_l.`{c}`").alias(c) for c in left.columns],
         *[F.col(f"_m.`{c}`").alias(prefix + c) for c in values],

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgate.functions.classify import dividend_class
 from pitgate.operators.actions import ACTION_KEY
-from pitgate.operators.blocks import last_before
 from pitgate.operators.checks import gather, key_text, violations
 from pitgate.operators.joins import first_match, near_clusters, remap_identity
 from pitgate.schema import SECURITY, Rules
@@ -31,11 +30,15 @@ def factor_ranges(factors: DataFrame) -> DataFrame:
 
 
 def factor_changes(factors: DataFrame, rules: Rules) -> DataFrame:
-    """Ratio of each usable factor row to the one before, with ``is_rebase`` and ``is_change``."""
+    """Ratio of each usable factor row to the one before, with ``is_rebase`` and ``is_change``.
+
+    A security has at most one factor row a day, so the calendar bounds the window.
+    """
     fore, back = (F.col(c).cast("double") for c in ("fore_adjust_factor", "back_adjust_factor"))
     usable = factors.where((fore > 0) & (back > 0)).select(
         *SECURITY, F.col("effective_date").alias("change_date"), fore.alias("_f"), back.alias("_b"))
-    linked = last_before(usable, SECURITY, "change_date", F.struct("_f", "_b"), "_p")
+    order = Window.partitionBy(*SECURITY).orderBy("change_date")
+    linked = usable.withColumn("_p", F.lag(F.struct("_f", "_b")).over(order))
     ratios = linked.where("_p is not null").select(
         *SECURITY, "change_date", (F.col("_f") / F.col("_p._f")).alias("fore_ratio"),
         (F.col("_b") / F.col("_p._b")).alias("back_ratio"))

@@ -25,6 +25,10 @@ def _clamp(year: Column, rules: Rules) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), year))
 
 
+def day_slice(day: str, rules: Rules) -> Column:
+    return _clamp(F.year(day), rules)
+
+
 def _all_slices(rules: Rules) -> Column:
     return F.explode(F.sequence(F.lit(rules.coverage_start.year), F.lit(rules.coverage_end.year)))
 
@@ -36,27 +40,34 @@ def interval_join(fact: DataFrame, life: DataFrame, day: str, rules: Rules,
     first = _clamp(F.year(start), rules)
     last = _clamp(F.coalesce(F.year(end), F.lit(rules.coverage_end.year)), rules)
     spread = life.withColumn(SLICE, F.explode(F.sequence(first, F.greatest(first, last))))
-    facts = fact.withColumn(SLICE, _clamp(F.year(day), rules))
+    facts = fact.withColumn(SLICE, day_slice(day, rules))
     joined = facts.join(spread, [*keys, SLICE])
     return joined.where(active_on(F.col(start), F.col(end), F.col(day))).drop(SLICE)
 
 
 def lifecycle_status(fact: DataFrame, life: DataFrame, day: str, rules: Rules,
                      keys: Sequence[str] = SECURITY, start: str = "listed_from",
-                     end: str = "listed_to_exclusive") -> DataFrame:
+                     end: str = "listed_to_exclusive", extra: Sequence[str] = (),
+                     keep_slice: bool = False) -> DataFrame:
     """Facts with INSIDE, OUTSIDE_LIFECYCLE or OUT_OF_UNIVERSE, and the life's dates.
 
-    ``life`` holds one interval per key.
+    ``life`` holds one interval per key; ``extra`` of its columns come along. With
+    ``keep_slice`` the slice column stays, for steps that go on by (key, slice).
     """
-    spread = life.select(*keys, start, end).withColumn(SLICE, _all_slices(rules))
-    facts = fact.withColumn(SLICE, _clamp(F.year(day), rules))
+    spread = life.select(*keys, start, end, *extra).withColumn(SLICE, _all_slices(rules))
+    facts = fact.withColumn(SLICE, day_slice(day, rules))
     status = (
         F.when(F.col(start).isNull(), "OUT_OF_UNIVERSE")
         .when(active_on(F.col(start), F.col(end), F.col(day)), "INSIDE")
         .otherwise("OUTSIDE_LIFECYCLE")
     )
-    joined = facts.join(spread, [*keys, SLICE], "left").drop(SLICE)
-    return joined.withColumn("lifecycle_status", status)
+    joined = facts.join(spread, [*keys, SLICE], "left").withColumn("lifecycle_status", status)
+    return joined if keep_slice else joined.drop(SLICE)
+
+
+def slices_between(first: str, last: str, rules: Rules) -> Column:
+    """The slices that the days ``first`` … ``last`` touch, one row each."""
+    return F.explode(F.sequence(_clamp(F.year(first), rules), _clamp(F.year(last), rules)))
 
 
 def remap_identity(rows: DataFrame, transitions: DataFrame, day: str, rules: Rules) -> DataFrame:
@@ -68,7 +79,7 @@ def remap_identity(rows: DataFrame, transitions: DataFrame, day: str, rules: Rul
     first = F.lit(rules.coverage_start.year)
     spread = changes.withColumn(
         SLICE, F.explode(F.sequence(first, _clamp(F.year("_eff"), rules))))
-    facts = rows.withColumn(SLICE, _clamp(F.year(day), rules))
+    facts = rows.withColumn(SLICE, day_slice(day, rules))
     joined = facts.join(spread, ["exchange", "code", SLICE], "left").drop(SLICE)
     moved = F.coalesce(F.col(day) < F.col("_eff"), F.lit(False))
     out = (joined.withColumn("source_code", F.col("code"))

@@ -9,7 +9,7 @@ from catalog.aggregates import partition_digests
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
 from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _chain, _controlled, _reconciled
 from catalog.registry import plain, query
-from catalog.states import _INDEXED, _P
+from catalog.states import _INDEXED, _P, _stored
 from pitgate.operators import actions as ac
 from pitgate.operators import control as ct
 from pitgate.operators import state as st
@@ -20,7 +20,7 @@ from pitgate.operators.trading_days import weekdays
 from pitgate.plans import facts as fx
 from pitgate.plans import gates as gt
 from pitgate.schema import SECURITY
-from pitgate.sources.writers import rank_shards
+from pitgate.sources.writers import rank_shards, stored
 
 DAY = [*SECURITY, "trade_date"]
 SUMMARY = """select "check", 'error' as severity, count(*) as n_violations, min(key) as first_key, max(key) as last_key from found group by 1"""
@@ -59,7 +59,7 @@ def gate_master(spark, sf):
 
 
 def _split(spark, sf):
-    return apply_transitions(b.intervals(spark, sf), b.transitions(spark, sf))[0]
+    return stored(apply_transitions(b.intervals(spark, sf), b.transitions(spark, sf))[0], "intervals")
 
 
 def _clean_events(spark, sf):
@@ -137,32 +137,28 @@ union all select 'row accounting mismatch', exchange from (select exchange, sum(
 union all select 'trading-day calendar mismatch', min(exchange) || ':' || cast(trade_date as varchar) from (select distinct exchange, trade_date from stored) group by trade_date having count(*) = 1
 """, _STORED, _WEEKDAYS))
 def gate_bars(spark, sf):
-    stored = _stored_bars(spark, sf)
-    life = b.intervals(spark, sf)
+    bars = stored(_stored_bars(spark, sf), "bars")
+    life = stored(b.intervals(spark, sf), "intervals")
     k = F.col("code").cast("bigint")
-    sse = stored.where("exchange = 'SSE'").groupBy(*SECURITY).agg(F.count(F.lit(1)).alias("normalized_rows"))
+    sse = bars.where("exchange = 'SSE'").groupBy(*SECURITY).agg(F.count(F.lit(1)).alias("normalized_rows"))
     universe = life.where("exchange = 'SSE'")
     ranked = rank_shards(universe, SECURITY, F.concat("exchange", F.substring("code", 1, 4)), 8)
     sources = (ranked.join(sse, list(SECURITY), "left").where(k % 37 != 11)
                .withColumns({"shards": F.lit(8), "normalized_rows": F.coalesce("normalized_rows", F.lit(0)),
                              "sha256": F.when(k % 21 == 1, "bad").otherwise(F.sha2("code", 256)), "bytes": k % 27}))
-    per_day = stored.where("exchange = 'SZSE'").groupBy(F.col("trade_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    per_day = bars.where("exchange = 'SZSE'").groupBy(F.col("trade_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     requested = weekdays(spark, RULES.coverage_start, RULES.coverage_end).where(F.dayofmonth("day") != 13)
     day_sources = requested.join(per_day, "day", "left").select(
         F.lit("SZSE").alias("exchange"), "day", F.sha2(F.col("day").cast("string"), 256).alias("sha256"),
         F.lit(1).alias("bytes"), F.coalesce("n", F.lit(0)).alias("source_rows"), F.coalesce("n", F.lit(0)).alias("normalized_rows"))
-    digests = partition_digests(stored, "year")
+    digests = partition_digests(bars, "year")
     files = digests.select(
         "exchange", "year", (F.col("n") + (F.col("year") == 1999).cast("int")).alias("rows"),
         F.when(F.col("year") == 1996, "x").otherwise(F.col("digest")).alias("sha256"))
-    found, _ = gt.bars_gate(stored, life, sources, day_sources, files, RULES)
+    found, _ = gt.bars_gate(bars, life, sources, day_sources, files, RULES)
     return summarize(found)
 
 
-def _ruled(spark, sf):
-    return st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, mode="v1", legacy=True)
-
-
 @query("gate_state", "G4 J5 A14", summary_sql("""
 select 'unclassified special no-limit day' as "check", exchange || ':' || code || ':' || cast(trade_date as varchar) as key from ruled where rule = 'UNCLASSIFIED_SPECIAL_NO_LIMIT'
 union all select 'old-regime delisting contains non-10pct row', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
@@ -189,20 +185,21 @@ union all select 'tradable state without bar', exchange || ':' || code || ':' ||
   when abs(coalesce(pct_chg, 0)) > 10.5 and date_diff('day', trade_date, listed_to_exclusive) between 1 and 45 then 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT'
   when abs(coalesce(pct_chg, 0)) > 10.5 then 'UNCLASSIFIED_SPECIAL_NO_LIMIT' else 'OTHER' end as rule from indexed""")))
 def gate_state(spark, sf):
-    state = _ruled(spark, sf)
-    life = b.life(spark, sf)
+    state = _stored(spark, sf)
+    life = stored(b.life(spark, sf), "life")
     k = F.col("k")
     counts = st.identity_manifest(state)
     manifest = life.where(k % 16 != 3).select(*SECURITY, "k").join(counts, list(SECURITY), "left").select(
         *SECURITY, (F.col("rows") + F.when(k % 14 == 2, 1).otherwise(0)).alias("rows"),
         F.when(k % 18 == 4, "").otherwise(F.sha2("code", 256)).alias("sha256"))
-    periods = st.delisting_periods(b.state(spark, sf), b.intervals(spark, sf), RULES)
+    periods = stored(st.delisting_periods(state, life, RULES), "periods")
     day = lambda text: F.lit(text).cast("date").alias("trade_date")
     relisting = life.where(k % 6 == 4).select(*SECURITY, day("2000-02-01"))
     quiet = life.where(k % 8 == 1).select(*SECURITY, day("1995-03-01"))
     official = b.px(spark, sf).where("q > 10").select(*DAY)
+    changes = stored(b.transitions(spark, sf), "transitions")
     return summarize(gt.state_gate(state, life.select(*SECURITY), manifest, periods, relisting,
-                                   b.transitions(spark, sf), official, quiet, RULES))
+                                   changes, official, quiet, RULES))
 
 
 def _factor_events(spark, sf):
@@ -231,12 +228,12 @@ def gate_factors(spark, sf):
 def _final_facts(spark, sf):
     """The figures the last gates compare: ledger, chain and control, each in one row."""
     recon = ac.reconciliation_counts(_reconciled(spark, sf))
-    chain, faults = _chain(spark, sf)
+    chain, faults = (stored(df, "chain") for df in _chain(spark, sf))
     adjusted = chain.agg(F.count(F.lit(1)).alias("adjustment_event_count"))
     failed = faults.agg(F.count(F.lit(1)).alias("fault_count"))
     ledger = b.action_ledger(spark, sf).agg(F.count(F.lit(1)).alias("official_action_count"))
     actions, changes, _ = _controlled(spark, sf)
-    control = ct.control_counts(actions, changes)
+    control = stored(ct.control_counts(actions, changes), "control")
     parts = [fx.facts_of(recon, "ledger."), fx.facts_of(adjusted, "chain."), fx.facts_of(failed, "chain."),
              fx.facts_of(ledger, "ledger."), fx.facts_of(control, "control.")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
@@ -250,7 +247,7 @@ union all select 'pinned figure not met', 'ledger.unresolved',
   (select sum((c = 'UNRESOLVED')::int + (b = 'UNRESOLVED')::int + (t = 'UNRESOLVED')::int) from valued where checked)::bigint::varchar || ' instead of 0'
 union all select 'pinned figure not met', 'ledger.absent', 'missing instead of 1' """, *_CONTROL, *_RECON, _TERMS, _WALK, recursive=True))
 def gate_final_figures(spark, sf):
-    facts = _final_facts(spark, sf)
+    facts = stored(_final_facts(spark, sf), "facts")
     pairs = spark.createDataFrame([
         ("not every official action produced an adjustment event", "ledger.official_action_count", "chain.adjustment_event_count"),
         ("chain and control disagree", "ledger.official_action_count", "control.actions"),

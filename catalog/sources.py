@@ -14,7 +14,7 @@ from catalog.bindings import RULES, with_ctes
 from catalog.registry import plain, query
 from pitgate.functions.text import first_nonempty
 from pitgate.operators import bars as br
-from pitgate.operators.checks import summarize
+from pitgate.operators.checks import beside, summarize
 from pitgate.operators.joins import interval_join
 from pitgate.schema import BAR, SECURITY
 from pitgate.sources import readers as rd
@@ -253,9 +253,9 @@ def file_digest_check(spark, sf):
     files = joined.agg(
         F.count_if(F.col("registered").isNull()).alias("unregistered"),
         F.count_if(F.col("registered") != F.col("sha256")).alias("mismatched"),
-        (F.count(F.lit(1)) > 0).alias("some_files")).withColumn("_k", F.lit(1))
-    rows = rd.read_table(spark, data, BAR).agg(F.count(F.lit(1)).alias("rows")).withColumn("_k", F.lit(1))
-    return plain(rows.join(files, "_k").drop("_k"))
+        (F.count(F.lit(1)) > 0).alias("some_files"))
+    rows = rd.read_table(spark, data, BAR).agg(F.count(F.lit(1)).alias("rows"))
+    return plain(beside(rows, files))
 
 
 @query("sorted_partitions", "S10 S12 O1", with_ctes("""

@@ -10,6 +10,7 @@ from catalog.registry import plain, query
 from pitgate.operators import state as st
 from pitgate.operators.joins import missing_keys
 from pitgate.schema import SECURITY
+from pitgate.sources.writers import stored
 
 DAY = [*SECURITY, "trade_date"]
 
@@ -80,7 +81,8 @@ select i.exchange, i.code, cast(i.trade_date as varchar) as trade_date, case
 from indexed i left join periods p using (exchange, code)""", _P, _INDEXED))
 def limit_rules(spark, sf):
     successors = b.transitions(spark, sf).select("exchange", F.col("new_code").alias("code"))
-    ruled = st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, successors=successors)
+    rows = stored(b.state(spark, sf), "state")
+    ruled = st.classify_state(rows, b.intervals(spark, sf), RULES, successors=successors)
     return plain(ruled.select(*DAY, "limit_rule"))
 
 
@@ -110,13 +112,16 @@ where tradable and abs(coalesce(pct_chg, 0)) > 10.5
                                         _P, _INDEXED))
 def unexplained_moves(spark, sf):
     successors = b.transitions(spark, sf).select("exchange", F.col("new_code").alias("code"))
-    ruled = st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, successors=successors)
+    rows = stored(b.state(spark, sf), "state")
+    ruled = st.classify_state(rows, b.intervals(spark, sf), RULES, successors=successors)
     return plain(st.unexplained_moves(ruled).select(*DAY, F.round("pct_chg", 4).alias("pct_chg")))
 
 
 def _stored(spark, sf):
     """State as an earlier run would have stored it: by today's code, with the v1 rules."""
-    return st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, mode="v1", legacy=True)
+    ruled = st.classify_state(stored(b.state(spark, sf), "state"), b.intervals(spark, sf), RULES,
+                              mode="v1", legacy=True)
+    return stored(ruled, "ruled-state")
 
 
 def _reclassified(spark, sf):

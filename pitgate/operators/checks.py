@@ -74,6 +74,12 @@ def gather(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row frames with different columns as one row, without joining them."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def summarize(found: DataFrame, severity: str = "error") -> DataFrame:
     """Count and extreme keys per check; one combining pass whatever their number."""
     return found.groupBy("check").agg(
@@ -103,26 +109,15 @@ def report(gate: str, found: DataFrame, facts: DataFrame, sample_size: int = 20,
            warnings: DataFrame | None = None) -> DataFrame:
     """A one-row audit report: facts, pass flag, and at most ``sample_size`` messages a check.
 
-    ``facts`` is one row. The parts are one row each and meet on the gate's name.
+    ``facts`` is one row.
     """
     message = F.rtrim(F.format_string("%s: %s %s", "check", "key", "detail"))
 
     def condensed(frame: DataFrame, name: str) -> DataFrame:
         few = samples(frame, sample_size).select(F.struct("check", "rank", message.alias("text")).alias("m"))
-        return few.groupBy(F.lit(gate).alias("gate")).agg(
-            F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]).alias(name))
+        return few.agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["text"]).alias(name))
 
-    counted = found.groupBy(F.lit(gate).alias("gate")).agg(F.count(F.lit(1)).alias("n_errors"))
-    out = facts.withColumn("gate", F.lit(gate))
-    out = out.join(counted, "gate", "left").join(condensed(found, "errors"), "gate", "left")
-    texts = ["errors"]
+    parts = [facts, found.agg(F.count(F.lit(1)).alias("n_errors")), condensed(found, "errors")]
     if warnings is not None:
-        out = out.join(condensed(warnings, "warnings"), "gate", "left")
-        texts.append("warnings")
-    none = F.array().cast("array<string>")
-    return out.select(
-        "gate", F.col("n_errors").isNull().alias("pass"),
-        *[c for c in facts.columns if c != "gate"],
-        F.coalesce("n_errors", F.lit(0)).alias("n_errors"),
-        *[F.coalesce(c, none).alias(c) for c in texts],
-    )
+        parts.append(condensed(warnings, "warnings"))
+    return beside(*parts).select(F.lit(gate).alias("gate"), (F.col("n_errors") == 0).alias("pass"), "*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitgate.functions.classify import dividend_class
 from pitgate.operators.actions import ACTION_KEY
-from pitgate.operators.checks import gather, key_text, violations
+from pitgate.operators.checks import beside, gather, key_text, violations
 from pitgate.operators.joins import first_match, near_clusters, remap_identity
 from pitgate.schema import SECURITY, Rules
 
@@ -133,13 +133,13 @@ def factor_control(chain: DataFrame, factors: DataFrame, transitions: DataFrame,
 def control_counts(actions: DataFrame, changes: DataFrame) -> DataFrame:
     """The run's counts in one row."""
     is_ = lambda s: F.count_if(F.col("status") == s)
-    a = actions.groupBy(F.lit(1).alias("_k")).agg(
+    a = actions.agg(
         F.count(F.lit(1)).alias("actions"), is_(MATCHED).alias("matched"), is_(MISMATCH).alias("mismatches"),
         is_(UNOBSERVED).alias("unobserved"), is_(TINY_UNOBSERVED).alias("tiny_unobserved"),
         is_(NOT_COVERED).alias("not_covered"))
-    c = changes.groupBy(F.lit(1).alias("_k")).agg(
+    c = changes.agg(
         F.count_if("is_rebase").alias("rebases"), F.count_if("supplier_only").alias("supplier_only"))
-    return a.join(c, "_k", "full_outer").drop("_k").fillna(0)
+    return beside(a, c)
 
 
 def factor_events(factors: DataFrame, dividends: DataFrame) -> tuple[DataFrame, DataFrame]:

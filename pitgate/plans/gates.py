@@ -14,7 +14,7 @@ from pitgate.functions.numbers import ohlc_valid
 from pitgate.operators.aggregates import completeness, content_digest
 from pitgate.operators.bars import transition_bar_checks
 from pitgate.operators.checks import (
-    duplicate_keys, failed_checks, gather, key_text, row_violations, violations,
+    beside, duplicate_keys, failed_checks, gather, key_text, row_violations, violations,
 )
 from pitgate.operators.joins import at_keys, lifecycle_status, missing_keys, override_hits, set_sides
 from pitgate.operators.state import NEW_REGIME, OLD_REGIME
@@ -140,7 +140,8 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
 
     relevant = life.where((F.col("listed_from") <= F.lit(rules.coverage_end)) & (
         F.col("listed_to_exclusive").isNull() | (F.col("listed_to_exclusive") > F.lit(rules.coverage_start))))
-    first = sources.select("exchange").distinct()
+    # The lists of venues have a row per venue, so they may be broadcast.
+    first = F.broadcast(sources.select("exchange").distinct())
     expected = relevant.join(first, "exchange", "left_semi")
     shards = completeness(sources, "shard", "shards")
 
@@ -161,7 +162,7 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
     spark = bars.sparkSession
     wanted = weekdays(spark, rules.coverage_start, rules.coverage_end)
     days = venue_days(bars)
-    second = day_sources.select("exchange").distinct()
+    second = F.broadcast(day_sources.select("exchange").distinct())
     positive = day_sources.where("source_rows > 0")
     found = gather(
         data, origin, requested, per_file,
@@ -257,8 +258,8 @@ def factor_gate(events: DataFrame, manifest: DataFrame, shards: int) -> DataFram
     """
     key = key_text(*KEYS["factor_event"])
     have = manifest.agg(F.count_distinct("shard").alias("n"))
-    totals = manifest.agg(F.sum("factor_rows").alias("declared")).withColumn("_k", F.lit(1)).join(
-        events.agg(F.count(F.lit(1)).alias("scanned")).withColumn("_k", F.lit(1)), "_k")
+    totals = beside(manifest.agg(F.sum("factor_rows").alias("declared")),
+                    events.agg(F.count(F.lit(1)).alias("scanned")))
     return gather(
         row_violations(events, key, {
             "unmatched factor event": F.col("event_type") != "UNMATCHED_FACTOR_EVENT",

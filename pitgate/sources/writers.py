@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table below the shared folder, for steps that read it several times."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The frame, written to the shared folder: lost executors do not lose it."""
     context = df.sparkSession.sparkContext

@@ -36,8 +36,8 @@ def listing_intervals(spark, sf):
 
 
 @query("lifecycle_faults", "C1 P7", with_ctes("""
-select fault as "check", exchange || ':' || code as key, cast(effective_date as varchar) as detail
-from marked where fault is not null""", _MARKED))
+select arg_min(fault, row(effective_date, prec)) as "check", exchange || ':' || code as key, cast(min(effective_date) as varchar) as detail
+from marked where fault is not null group by exchange, code""", _MARKED))
 def lifecycle_faults(spark, sf):
     _, bad = lc.build_intervals(b.lifecycle_events(spark, sf))
     return bad

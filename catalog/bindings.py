@@ -53,17 +53,22 @@ def px(spark, sf) -> DataFrame:
 
 def bars(spark, sf) -> DataFrame:
     position = F.struct("l_orderkey", "l_linenumber", "l_partkey", "q", "p")
-    return px(spark, sf).groupBy("exchange", "code", "trade_date").agg(
+    # Grouped by the number; the two text keys are made of it once per group.
+    grouped = px(spark, sf).groupBy("k", "trade_date").agg(
         F.min_by("p", position).cast(PRICE).alias("open"),
         F.max("p").cast(PRICE).alias("high"), F.min("p").cast(PRICE).alias("low"),
         F.max_by("p", position).cast(PRICE).alias("close"),
         F.sum("q").alias("volume_shares"),
         F.sum((F.col("p") * 100).cast("bigint")).alias("amount_cny"))
+    return grouped.select(
+        venue(F.col("k")).alias("exchange"), code6(F.col("k")).alias("code"), "trade_date", "open",
+        "high", "low", "close", "volume_shares", "amount_cny")
 
 
 def life(spark, sf) -> DataFrame:
     """One interval per code; every fifth ends, and listing lags the first trade by code."""
-    spans = px(spark, sf).groupBy("exchange", "code", "k").agg(F.min("trade_date").alias("_first"))
+    grouped = px(spark, sf).groupBy("k").agg(F.min("trade_date").alias("_first"))
+    spans = grouped.withColumns({"exchange": venue(F.col("k")), "code": code6(F.col("k"))})
     ends = F.when(F.col("k") % 5 == 0, F.lit(dt.date(2000, 1, 1)))
     return spans.select(
         "exchange", "code", "k", F.concat(F.lit("S"), "code").alias("name"),

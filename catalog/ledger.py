@@ -157,6 +157,45 @@ def reconciliation_counts(spark, sf):
     return ac.reconciliation_counts(_reconciled(spark, sf))
 
 
+_STAGED = (
+    ("components_plain", b.CTES["components"]),
+    ("components", """select c.* replace (coalesce(t.old_code, c.code) as code) from (
+        select * from components_plain union all by name
+        select exchange, code, ex_date, record_date, action_component, cash, bonus, transfer, rights, rights_price, ex_date + 20 as rights_listing_date,
+          o_orderkey, 1 as copy, 'SSE' || shift as o_orderpriority from control_components where action_component = 'RIGHTS') c
+      left join transitions t on t.exchange = c.exchange and t.new_code = c.code and c.ex_date < t.effective_date"""),
+    ("deduped", "select distinct on (exchange, code, ex_date, o_orderkey, case when o_orderpriority like 'SSE%' then o_orderpriority end) * from components"),
+)
+
+
+@query("ledger_stage", "C13 J6 C10 A10", with_ctes(f"""
+select v.exchange, v.code, cast(v.ex_date as varchar) as ex_date, {_tags('vc', 'vb', 'vt', 'rights')} as action_type,
+  cast(vc as double) as cash_per_share, cast(rights as double) as rights_per_share, coalesce(m.source_count, 0) + case when checked then coalesce(a.n, 0) else 0 end as source_count
+from valued v left join (select exchange, code, ex_date, source_count from merged) m using (exchange, code, ex_date)
+left join (select exchange, code, ex_date, count(*) as n from (select distinct exchange, code, ex_date, o_orderkey, action_component from control_components
+  where action_component <> 'RIGHTS') group by 1, 2, 3) a using (exchange, code, ex_date)""",
+    *_STAGED, _MERGED, _PROFILED, _DECLARED, _DECIDED, _VALUED))
+def ledger_stage(spark, sf):
+    from pitgate.plans.stages import ledger_stage as stage
+
+    ledger, _ = stage(b.components(spark, sf), b.control_components(spark, sf), b.intervals(spark, sf),
+                      b.transitions(spark, sf), RULES)
+    return plain(ledger.select(*KEY, "action_type", "cash_per_share", "rights_per_share", "source_count"))
+
+
+@query("allotment_records", "N21", """
+select o_orderkey, case when o_orderstatus = 'P' then null else cast(o_custkey as varchar) end as price,
+  case when o_orderstatus = 'P' then null else cast(o_orderdate as date)::varchar end as ex_date from orders""")
+def allotment_records(spark, sf):
+    at = {"配股价格": F.col("o_custkey").cast("string"), "除权基准日": F.col("o_orderdate").cast("date").cast("string")}
+    whole = F.array(*[at.get(n, F.lit("")) for n in ac.ALLOTMENT_COLUMNS])
+    named = F.to_json(F.struct(at["配股价格"].alias("F005N"), at["除权基准日"].alias("F012D")))
+    payload = (F.when(F.col("o_orderstatus") == "P", F.to_json(F.slice(whole, 1, 5)))
+               .when(F.col("o_orderstatus") == "F", F.to_json(whole)).otherwise(named))
+    rows = b.table(spark, sf, "orders").select("o_orderkey", ac.allotment_record(payload).alias("r"))
+    return rows.select("o_orderkey", F.col("r")["F005N"].alias("price"), F.col("r")["F012D"].alias("ex_date"))
+
+
 @query("components_outside_life", "J3 P1", with_ctes("""
 select c.exchange, c.code, count(*) as n, case when l.code is null then 'out-of-universe official row' else 'official action outside lifecycle' end as "check"
 from components c left join (select * from life where k % 9 <> 4) l using (exchange, code)

@@ -8,8 +8,11 @@ from catalog import bindings as b
 from catalog.bindings import with_ctes
 from catalog.registry import plain, query
 from pitgate.operators import lifecycle as lc
+from pitgate.operators import master as ms
 from pitgate.operators.checks import summarize
+from pitgate.plans.gates import digest_violations
 from pitgate.schema import SECURITY
+from pitgate.sources.readers import objects_with_key, payload_rows
 
 _MARKED = ("marked", """select *, case
     when kind = 'LIST' and not (prev is null or prev = 'DELIST') then 'duplicate LIST without DELIST'
@@ -156,3 +159,81 @@ def state_partition(spark, sf):
     return plain(lc.state_partition(
         b.px(spark, sf).select(*SECURITY), life.where("listed_to_exclusive is null"),
         life.where("listed_to_exclusive is not null or k % 10 = 3")))
+
+
+_SSE_KEPT = """select c_custkey, code, name from (select c_custkey, c_mktsegment, case when c_mktsegment = 'AUTOMOBILE' then null else c_name end as name,
+  cast(600000 + c_custkey as varchar) as code from customer) where length(code) = 6 and code like '6%' and code not like '688%' and code not like '689%' and c_mktsegment <> 'BUILDING'"""
+
+
+def _sse_list(spark, sf):
+    row = F.struct(
+        F.when(F.col("c_custkey") % 3 == 0, "-").otherwise((F.col("c_custkey") + 600000).cast("string")).alias("A_STOCK_CODE"),
+        (F.col("c_custkey") + 600000).cast("string").alias("STOCK_CODE"),
+        F.when(F.col("c_mktsegment") != "AUTOMOBILE", F.concat(F.lit("<b>"), "c_name", F.lit("</b>"))).alias("COMPANY_ABBR"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "2").otherwise("1").alias("LIST_BOARD"),
+        F.lit("19990101").alias("LIST_DATE"))
+    docs = b.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("page")).agg(F.collect_list(row).alias("result"))
+    payloads = docs.select("page", F.concat(F.lit("cb("), F.to_json(F.struct("result")), F.lit(")")).alias("payload"))
+    return payload_rows(payloads, "payload", [])
+
+
+@query("first_venue_master", "S6 N8 N9 N10", f"""
+select 'SSE' as exchange, code, name, '1999-01-01' as listing_date, 'OFFICIAL_SSE_STOCK_TYPE_1' as board_basis from ({_SSE_KEPT}) where name is not null""")
+def first_venue_master(spark, sf):
+    made, _ = ms.sse_master(_sse_list(spark, sf), "u")
+    return plain(made.select(*SECURITY, "name", "listing_date", "board_basis"))
+
+
+@query("first_venue_master_faults", "P7 S6", f"""
+select 'row missing name' as "check", 'SSE:' || code as key, '' as detail from ({_SSE_KEPT}) where name is null""")
+def first_venue_master_faults(spark, sf):
+    return ms.sse_master(_sse_list(spark, sf), "u")[1]
+
+
+@query("second_venue_master", "S8 N11 A17", """
+select 'SZSE' as exchange, code, arg_max(name, p_partkey) as name, arg_max(basis, p_partkey) as board_basis from (
+  select p_partkey, p_name || ' ' || p_partkey as name, lpad((p_partkey % 1500)::varchar, 6, '0') as code,
+    case when p_size % 3 = 0 then 'OFFICIAL_SZSE_BOARD_FIELD' else 'DERIVED_CODE_PREFIX' end as basis from part where p_size % 7 <> 1) group by code""")
+def second_venue_master(spark, sf):
+    """Codes repeat over the pages; the last page's object counts."""
+    size = F.col("p_size")
+    item = F.struct(
+        F.lpad((F.col("p_partkey") % 1500).cast("string"), 6, "0").alias("agdm"),
+        F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string")).alias("agjc"),
+        F.when(size % 7 == 1, "创业板").when(size % 3 == 0, "主板").otherwise("-").alias("bk"))
+    docs = b.table(spark, sf, "part").groupBy(F.floor(F.col("p_partkey") / 40).cast("bigint").alias("page")).agg(
+        F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("p_partkey", item.alias("row")))).alias("data"))).alias("payload"))
+    return plain(ms.szse_master(objects_with_key(docs, "payload", "agdm", "zqdm"), "u").select(*SECURITY, "name", "board_basis"))
+
+
+@query("quote_control", "A17 A1 N10", """
+select 'SSE' as exchange, cast(600000 + c_custkey as varchar) as code from customer where c_mktsegment = 'MACHINERY'""")
+def quote_control(spark, sf):
+    subtype = F.when(F.col("c_mktsegment") == "MACHINERY", "ASH").otherwise("KSH")
+    item = F.array((F.col("c_custkey") + 600000).cast("string"), F.col("c_name"), subtype)
+    quotes = b.table(spark, sf, "customer").groupBy(F.floor(F.col("c_custkey") / 50).alias("page")).agg(
+        F.count(F.lit(1)).alias("total"), F.collect_list(item).alias("list"))
+    return ms.quote_control(quotes)[0]
+
+
+@query("second_venue_delisted", "N12 A1 S3 C4", """
+select security_class, count(*) as n from (select case when k between 1001 and 1199 then 'MAIN_CDR' when k between 1 and 4999 then 'MAIN_A'
+  when k >= 200000 and k < 201000 then 'MAIN_B' else 'UNKNOWN' end as security_class
+  from (select case c_mktsegment when 'BUILDING' then 200000 + c_custkey % 1000 else c_custkey end as k from customer)) group by 1""")
+def second_venue_delisted(spark, sf):
+    k = F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey") % 1000 + 200000).otherwise(F.col("c_custkey"))
+    cells = [b.code6(k), F.col("c_name"), F.lit("1991-01-01"), F.lit("20260714")]
+    table = b.table(spark, sf, "customer").select(*[c.alias(n) for c, n in zip(cells, ms.DELISTED_HEADER)])
+    return ms.szse_delisted(table, "u")[2]
+
+
+@query("evidence_digests", "A20 G2", with_ctes("""
+select case when code like '%7' then 'evidence missing' else 'evidence digest mismatch' end as "check", count(*) as n, min(code) as first_key
+from life where code like '%7' or k % 4 = 0 group by 1"""))
+def evidence_digests(spark, sf):
+    life = b.life(spark, sf)
+    registered = life.select("code", F.sha2("code", 256).alias("sha256"))
+    actual = life.where("code not like '%7'").select(
+        "code", F.when(F.col("k") % 4 == 0, "x").otherwise(F.sha2("code", 256)).alias("sha256"))
+    return digest_violations(registered, actual, "code").groupBy("check").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))

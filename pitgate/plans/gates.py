@@ -182,6 +182,15 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
     return found, quiet
 
 
+def digest_violations(registered: DataFrame, actual: DataFrame, key: str) -> DataFrame:
+    """Registered digests (``key``, sha256) that no evidence has, or that differ from it."""
+    found = actual.select(key, F.col("sha256").alias("_actual"))
+    joined = registered.join(found, key, "left")
+    return row_violations(joined, F.col(key), {
+        "evidence missing": F.col("_actual").isNotNull(),
+        "evidence digest mismatch": F.col("_actual").isNull() | (F.col("sha256") == F.col("_actual"))})
+
+
 def identity_gate(bars: DataFrame, transitions: DataFrame) -> DataFrame:
     """Bars follow the code of their day across every code change."""
     return transition_bar_checks(bars, transitions)[1]
@@ -202,11 +211,13 @@ def period_violations(periods: DataFrame, rules: Rules) -> DataFrame:
 
 def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, periods: DataFrame,
                relisting: DataFrame, transitions: DataFrame, bars: DataFrame,
-               suspended_controls: DataFrame, rules: Rules) -> DataFrame:
+               suspended_controls: DataFrame, rules: Rules,
+               unclassified: DataFrame | None = None) -> DataFrame:
     """Universe, accounting, delisting and relisting rules, code changes, point controls, bars.
 
     ``manifest`` lists the source securities with ``rows`` and ``sha256``;
-    ``suspended_controls`` holds days officially known to be non-trading.
+    ``suspended_controls`` holds days officially known to be non-trading; ``unclassified``
+    is the manifest's list of unclassified days, if it keeps one.
     """
     key = key_text(*DAY)
     no_limit = F.col("limit_up_rate").isNull() & F.col("limit_down_rate").isNull()
@@ -228,7 +239,11 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
     relisted = state.join(relisting.select(*DAY), DAY, "left_semi")
     quiet = state.join(suspended_controls.select(*DAY), DAY, "left_semi")
     _, moved = transition_bar_checks(state, transitions)
+    listed = [] if unclassified is None else [_one_sided(
+        set_sides(unclassified, state.where("limit_rule = 'UNCLASSIFIED_SPECIAL_NO_LIMIT'"), DAY),
+        "unclassified day only in manifest", "unclassified day not in manifest", *DAY)]
     return gather(
+        *listed,
         rows, delisting, period_violations(periods, rules),
         _duplicates(state, DAY, "duplicate state row"),
         _one_sided(set_sides(universe, manifest, SECURITY), "security missing from state sources",

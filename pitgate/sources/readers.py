@@ -75,8 +75,8 @@ def payload_rows(payloads: DataFrame, payload: str, fields: Sequence[str],
     return rows.select(*rest, *[F.get_json_object("row_json", f"$.{f}").alias(f) for f in fields], "row_json")
 
 
-def objects_with_key(payloads: DataFrame, payload: str, key: str) -> DataFrame:
-    """One row per object, at any depth of the payload, that has ``key``.
+def objects_with_key(payloads: DataFrame, payload: str, *keys: str) -> DataFrame:
+    """One row per object, at any depth of the payload, that has one of ``keys``.
 
     SQL recursion would rescan the payload level by level and stops at a row limit, so a
     small Arrow-batched function walks each document where it lies. It is defined in here
@@ -87,7 +87,7 @@ def objects_with_key(payloads: DataFrame, payload: str, key: str) -> DataFrame:
         while pending:
             item = pending.pop()
             if isinstance(item, dict):
-                if key in item:
+                if any(key in item for key in keys):
                     yield item
                 pending.extend(reversed(list(item.values())))
             elif isinstance(item, list):

@@ -1,4 +1,5 @@
 import json
+
 from pitgate.operators import master as ms
 from pitgate.sources.readers import objects_with_key, payload_rows
 from tests.helpers import checks, day, names, rows

@@ -8,7 +8,7 @@ from catalog import bindings as b
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
 from catalog.registry import plain, query
 from pitgate.functions import classify, dates, identity, numbers, text
-from pitgate.operators.actions import named_record
+from pitgate.operators.actions import declared_differentials, named_record
 from pitgate.operators.checks import failed_checks, key_text, row_violations, summarize
 
 _RAW_NUMBER = """case l_linenumber when 1 then '-' when 2 then '--' when 3 then 'n/a' when 4 then ''
@@ -52,9 +52,10 @@ def dates_normalized(spark, sf):
            .otherwise(F.concat(F.date_format(day, "yyyy.MM.dd"), F.lit(" 00:00:00"))))
     # The strict form cleans tags away first; the lenient one reads the bare text.
     bare = F.when(F.col("o_orderpriority") == "2-HIGH", day.cast("string")).otherwise(F.col("raw"))
-    shown = F.concat(F.lit("20xx, "),
-                     F.lit("until "), F.concat(F.lit("20"), F.date_format(day, "yy")),
-                     F.lit("年"), F.month(day).cast("string"), F.lit("月"), F.dayofmonth(day).cast("string"))
+    # The pattern reads years 20yy only, so the last century is shown a century later.
+    later = F.when(F.year(day) < 2000, F.add_months(day, 1200)).otherwise(day)
+    shown = F.concat(F.lit("as of "), F.year(later).cast("string"), F.lit("年"), F.month(later).cast("string"),
+                     F.lit("月"), F.dayofmonth(later).cast("string"), F.lit("日"))
     found = dates.date_in_text(shown)
     century = F.when(F.year(day) < 2000, F.add_months(found, -1200)).otherwise(found)
     rows = b.table(spark, sf, "orders").withColumn("raw", raw)
@@ -157,8 +158,6 @@ select exchange, code, cast(ex_date as varchar) as ex_date, max(case when cash <
   max(case when bonus <> 0 then 1 else 0 end) as declared_bonus, max(case when transfer <> 0 then 1 else 0 end) as declared_transfer
 from components where o_orderpriority = '5-LOW' group by 1, 2, 3"""))
 def declared_differential(spark, sf):
-    from pitgate.operators.actions import declared_differentials
-
     return plain(declared_differentials(b.components(spark, sf)))
 
 

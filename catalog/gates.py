@@ -13,13 +13,13 @@ from catalog.states import _INDEXED, _P, _stored
 from pitgate.operators import actions as ac
 from pitgate.operators import control as ct
 from pitgate.operators import state as st
-from pitgate.operators.checks import report, summarize
+from pitgate.operators.checks import enforce_unique, report, summarize
 from pitgate.operators.joins import interval_join
 from pitgate.operators.lifecycle import apply_transitions
 from pitgate.operators.trading_days import weekdays
 from pitgate.plans import facts as fx
 from pitgate.plans import gates as gt
-from pitgate.schema import SECURITY
+from pitgate.schema import KEYS, SECURITY
 from pitgate.sources.writers import rank_shards, stored
 
 DAY = [*SECURITY, "trade_date"]
@@ -298,9 +298,6 @@ select 'G1' as gate, 0 as pass, (select count(*) from life) as securities, count
 from (select 'duplicate bar' as c, 'duplicate bar: ' || key || ' ' || n as line, row_number() over (order by key, n::varchar) as rank
   from (select exchange || ':' || code || ':' || cast(trade_date as varchar) as key, count(*) as n from px group by 1 having count(*) > 1))"""))
 def gate_report(spark, sf):
-    from pitgate.operators.checks import enforce_unique
-    from pitgate.schema import KEYS
-
     _, found = enforce_unique(b.px(spark, sf), list(KEYS["bar"]), "duplicate bar")
     facts = b.px(spark, sf).agg(F.count_distinct("code").alias("securities"))
     made = report("G1", found, facts)

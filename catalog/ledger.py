@@ -11,6 +11,8 @@ from pitgate.operators import actions as ac
 from pitgate.operators import adjust as ad
 from pitgate.operators import control as ct
 from pitgate.operators.aggregates import has_conflict, unique_value
+from pitgate.operators.blocks import running_product, strict_asof
+from pitgate.plans import stages
 from pitgate.schema import SECURITY
 
 KEY = [*SECURITY, "ex_date"]
@@ -176,9 +178,7 @@ left join (select exchange, code, ex_date, count(*) as n from (select distinct e
   where action_component <> 'RIGHTS') group by 1, 2, 3) a using (exchange, code, ex_date)""",
     *_STAGED, _MERGED, _PROFILED, _DECLARED, _DECIDED, _VALUED))
 def ledger_stage(spark, sf):
-    from pitgate.plans.stages import ledger_stage as stage
-
-    ledger, _ = stage(b.components(spark, sf), b.control_components(spark, sf), b.intervals(spark, sf),
+    ledger, _ = stages.ledger_stage(b.components(spark, sf), b.control_components(spark, sf), b.intervals(spark, sf),
                       b.transitions(spark, sf), RULES)
     return plain(ledger.select(*KEY, "action_type", "cash_per_share", "rights_per_share", "source_count"))
 
@@ -303,8 +303,6 @@ def adjustment_faults(spark, sf):
 select exchange, code, cast(ex_date as varchar) as ex_date, round((cast(prior_close as double) - paid) / shares, 6) as ex_reference,
   round((cast(prior_close as double) - paid) / shares / cast(prior_close as double), 6) as continuity from terms where prior_close is not null""", _TERMS))
 def ex_reference_formula(spark, sf):
-    from pitgate.operators.blocks import strict_asof
-
     priced = strict_asof(b.action_ledger(spark, sf), b.bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
     base = F.col("prior_close").cast("double")
     nominal = ad.nominal_reference(base, lambda n: F.col(n).cast("double"))
@@ -315,8 +313,6 @@ def ex_reference_formula(spark, sf):
 @query("reference_selection", "C16", with_ctes(f"""
 select exchange, code, cast(ex_date as varchar) as ex_date, {_decide('t.prior_close')} as decision from terms t""", _TERMS))
 def reference_selection(spark, sf):
-    from pitgate.operators.blocks import strict_asof
-
     ledger = b.action_ledger(spark, sf).withColumn("shares_distributed", F.col("action_type").contains("CAPITAL_TRANSFER"))
     controlled = ad.with_controls(ledger, _action_state(spark, sf))
     priced = strict_asof(controlled, b.bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
@@ -370,8 +366,6 @@ def bootstrapped_chain(spark, sf):
 @query("cumulative_factor", "W8", with_ctes("""
 select exchange, code, cast(ex_date as varchar) as ex_date, round(product(theory) over (partition by exchange, code order by ex_date), 4) as cumulative from official_chain"""))
 def cumulative_factor(spark, sf):
-    from pitgate.operators.blocks import running_product
-
     chained = running_product(b.official_chain(spark, sf), SECURITY, "ex_date", F.col("back_adjust_multiplier"), "cumulative")
     return plain(chained.select(*KEY, F.round("cumulative", 4).alias("cumulative")))
 

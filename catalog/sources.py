@@ -8,14 +8,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalog import bindings as b
 from catalog.bindings import RULES, with_ctes
 from catalog.registry import plain, query
 from pitgate.functions.text import first_nonempty
 from pitgate.operators import bars as br
+from pitgate.operators.blocks import last_before
 from pitgate.operators.checks import beside, summarize
 from pitgate.operators.joins import interval_join
+from pitgate.operators.lifecycle import apply_transitions
 from pitgate.schema import BAR, SECURITY
 from pitgate.sources import readers as rd
 from pitgate.sources import writers as wr
@@ -159,6 +162,20 @@ def page_completeness(spark, sf):
     return plain(joined.withColumn("complete", F.col("found") == F.col("declared")))
 
 
+@query("json_array_scan", "S5", """
+select s_suppkey, s_name, s_nationkey as nation from supplier""")
+def json_array_scan(spark, sf):
+    """Suppliers as JSON files, each one array of at most 500 objects."""
+    path = _folder(spark, "arrays")
+    row = F.struct("s_suppkey", "s_name", F.col("s_nationkey").alias("nation"))
+    pages = b.table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 500).alias("page")).agg(
+        F.to_json(F.collect_list(row)).alias("value"))
+    pages.write.partitionBy("page").text(path)
+    schema = T.StructType([T.StructField("s_suppkey", T.LongType()), T.StructField("s_name", T.StringType()),
+                           T.StructField("nation", T.IntegerType())])
+    return rd.read_json_array(spark, f"{path}/*/*.txt", schema)
+
+
 @query("header_aliases", "S4", """
 select case when length(p_partkey::varchar) < 6 then lpad(p_partkey::varchar, 6, '0') else p_partkey::varchar end as code, p_type as board from part""")
 def header_aliases(spark, sf):
@@ -190,8 +207,6 @@ union all
 select b.exchange, b.code, cast(b.trade_date as varchar), cast(b.close as double) from bars b
 where year(b.trade_date) in (1997, 1998) and not exists (select 1 from transitions t where t.exchange = b.exchange and t.new_code = b.code)"""))
 def transition_repair(spark, sf):
-    from pitgate.operators.lifecycle import apply_transitions
-
     changes = b.transitions(spark, sf)
     split, _ = apply_transitions(b.intervals(spark, sf), changes)
     bars = b.bars(spark, sf)
@@ -211,8 +226,6 @@ from (select t.*, (select min(b.trade_date) from bars b where b.exchange = t.exc
   from transitions t), lateral (select unnest(list_filter([case when old_bars = 0 then 'predecessor has zero bars' end, case when first_new is null then 'successor has zero bars' end,
     case when first_new <> effective_date then 'successor first bar is not the effective date' end], lambda x: x is not null)) as "check")"""))
 def transition_repair_faults(spark, sf):
-    from pitgate.operators.lifecycle import apply_transitions
-
     changes = b.transitions(spark, sf)
     split, _ = apply_transitions(b.intervals(spark, sf), changes)
     source = b.bars(spark, sf)
@@ -226,8 +239,6 @@ def transition_repair_faults(spark, sf):
 select exchange, year(trade_date) as year, count(*) as data_rows, count(*) + case when year(trade_date) = 1999 then 1 else 0 end as declared_rows,
   cast(year(trade_date) <> 1999 as integer) as accounted from bars group by 1, 2"""))
 def manifest_round_trip(spark, sf):
-    from pyspark.sql import types as T
-
     path = _folder(spark, "manifests")
     counts = b.bars(spark, sf).groupBy("exchange", F.year("trade_date").alias("year")).agg(F.count(F.lit(1)).alias("n"))
     entry = F.struct(F.concat_ws("_", "exchange", F.col("year").cast("string")).alias("file"), "year",
@@ -265,8 +276,6 @@ def sorted_partitions(spark, sf):
     path = _folder(spark, "sorted")
     wr.write_years(b.bars(spark, sf), path, "trade_date", ["trade_date", "code"])
     rows = spark.read.parquet(path)
-    from pitgate.operators.blocks import last_before
-
     placed = rows.select("exchange", "code", "trade_date", F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.row_index").alias("position"))
     key = F.concat_ws(":", F.col("trade_date").cast("string"), "code")

@@ -8,6 +8,7 @@ from catalog import bindings as b
 from catalog.bindings import RULES, with_ctes
 from catalog.registry import plain, query
 from pitgate.operators import state as st
+from pitgate.operators.blocks import last_before, running_total
 from pitgate.operators.joins import missing_keys
 from pitgate.schema import SECURITY
 from pitgate.sources.writers import stored
@@ -33,8 +34,6 @@ _P = ("periods", _PERIODS.format(src="state"))
 select exchange, code, cast(trade_date as varchar) as trade_date, cast(tradable as integer) as tradable,
   cast(preclose as double) as preclose from state"""))
 def carried_close(spark, sf):
-    from pitgate.operators.blocks import last_before
-
     rows = b.state_days(spark, sf)
     known = last_before(rows, SECURITY, "trade_date", F.col("close"), "preclose")
     return plain(known.select(*DAY, F.col("close").isNotNull().alias("tradable"), "preclose"))
@@ -51,8 +50,6 @@ def trading_index(spark, sf):
 select exchange, code, cast(trade_date as varchar) as trade_date, cast(sum(tradable::integer) over (partition by exchange, code
   order by trade_date desc) as bigint) as remaining from state"""))
 def remaining_tradable_days(spark, sf):
-    from pitgate.operators.blocks import running_total
-
     counted = running_total(b.state(spark, sf), SECURITY, "trade_date", F.col("tradable").cast("int"),
                             "remaining", reverse=True)
     return plain(counted.select(*DAY, "remaining"))

@@ -43,12 +43,12 @@ def canonical_map(entries: Column) -> Column:
 
 
 def compact_key(exchange: Column, code: Column, day: Column) -> Column:
-    """One 64-bit number per (venue, six-digit code, day).
+    """One 64-bit number per (venue, six-digit code, day); null for a code that is no number.
 
     The day part counts days from 0001-01-01 as 1.
     """
     venue = F.shiftleft(F.when(exchange == "SZSE", F.lit(1)).otherwise(F.lit(0)).cast("bigint"), 50)
-    number = F.shiftleft(code.cast("bigint"), 20)
+    number = F.shiftleft(code.try_cast("bigint"), 20)
     ordinal = (F.unix_date(day) + F.lit(719163)).cast("bigint")
     return venue.bitwiseOR(number).bitwiseOR(ordinal)
 

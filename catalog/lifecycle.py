@@ -10,6 +10,7 @@ from catalog.registry import plain, query
 from pitgate.operators import lifecycle as lc
 from pitgate.operators import master as ms
 from pitgate.operators.checks import summarize
+from pitgate.plans import stages
 from pitgate.plans.gates import digest_violations
 from pitgate.schema import SECURITY
 from pitgate.sources.readers import objects_with_key, payload_rows
@@ -74,6 +75,20 @@ def code_transitions(spark, sf):
     return plain(made)
 
 
+@query("lifecycle_stage", "C1 C2 P7 W9", with_ctes("""
+select exchange, p.code, cast(p.f as varchar) as listed_from, cast(p.t as varchar) as listed_to_exclusive
+from (select m.exchange, m.code, min(case when kind = 'LIST' then m.effective_date end) as f, min(case when kind = 'DELIST' then m.effective_date end) as t,
+    count(distinct episode) as episodes from marked m
+  where (m.exchange, m.code) not in (select exchange, code from marked where fault is not null) group by 1, 2) i
+left join (select exchange, new_code as code, old_code, effective_date as eff from transitions) c using (exchange, code),
+  lateral (select unnest(case when c.eff is not null and i.t is null and i.f < c.eff then [{'code': c.old_code, 'f': i.f, 't': c.eff}, {'code': i.code, 'f': c.eff, 't': cast(null as date)}]
+    else [{'code': i.code, 'f': i.f, 't': i.t}] end) as p)
+where episodes = 1""", _MARKED))
+def lifecycle_stage(spark, sf):
+    intervals, _ = stages.lifecycle_stage(b.lifecycle_events(spark, sf), b.transitions(spark, sf))
+    return plain(intervals.select(*SECURITY, "listed_from", "listed_to_exclusive"))
+
+
 @query("code_transition_faults", "C2", with_ctes(f"""
 select "check", exchange || ':' || old_code || ':' || code as key, cast(eff as varchar) as detail from (
   select t.exchange, t.old_code, t.code, t.eff, case when l.listed_from is null then 'transition successor absent from base intervals'

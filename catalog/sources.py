@@ -19,6 +19,7 @@ from pitgate.operators.blocks import last_before
 from pitgate.operators.checks import beside, summarize
 from pitgate.operators.joins import interval_join
 from pitgate.operators.lifecycle import apply_transitions
+from pitgate.plans import stages
 from pitgate.schema import BAR, SECURITY
 from pitgate.sources import readers as rd
 from pitgate.sources import writers as wr
@@ -99,6 +100,14 @@ def day_table_bars(spark, sf):
     return plain(bars)
 
 
+@query("bars_stage", "C5 S7 S9 U1", with_ctes(
+    _NORMAL + """ and case when exchange = 'SSE' then cast(b.code as bigint) % 12 <> 5 else cast(b.code as bigint) % 14 <> 6 end"""))
+def bars_stage(spark, sf):
+    nested = array_payloads(spark, sf).where("exchange = 'SSE'")
+    bars, _, _ = stages.bars_stage(nested, day_tables(spark, sf), b.intervals(spark, sf), RULES)
+    return plain(bars)
+
+
 @query("day_table_diagnostics", "C5 A14 J3", with_ctes("""
 select exchange, code, count(*) as source_rows, count_if(i) as normalized_rows, count_if(not i) as ignored_rows
 from (select b.*, b.trade_date >= l.listed_from and (l.listed_to_exclusive is null or b.trade_date < l.listed_to_exclusive) as i

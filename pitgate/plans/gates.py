@@ -116,7 +116,8 @@ def lifecycle_gate(master: DataFrame, intervals: DataFrame, events: DataFrame,
 
 
 def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources: DataFrame,
-              files: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
+              files: DataFrame, rules: Rules, first: str = "SSE",
+              second: str = "SZSE") -> tuple[DataFrame, DataFrame]:
     """``(violations, warnings)`` of the stored bars.
 
     ``sources`` per security of the first venue: shard, shards, exchange, code, sha256,
@@ -140,9 +141,7 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
 
     relevant = life.where((F.col("listed_from") <= F.lit(rules.coverage_end)) & (
         F.col("listed_to_exclusive").isNull() | (F.col("listed_to_exclusive") > F.lit(rules.coverage_start))))
-    # The lists of venues have a row per venue, so they may be broadcast.
-    first = F.broadcast(sources.select("exchange").distinct())
-    expected = relevant.join(first, "exchange", "left_semi")
+    expected = relevant.where(F.col("exchange") == first)
     shards = completeness(sources, "shard", "shards")
 
     content = F.concat_ws(",", *[F.col(c).cast("string") for c in KEYS["bar"]],
@@ -162,7 +161,6 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
     spark = bars.sparkSession
     wanted = weekdays(spark, rules.coverage_start, rules.coverage_end)
     days = venue_days(bars)
-    second = F.broadcast(day_sources.select("exchange").distinct())
     positive = day_sources.where("source_rows > 0")
     found = gather(
         data, origin, requested, per_file,
@@ -171,11 +169,11 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
         _one_sided(set_sides(expected, sources, SECURITY), "expected security without source",
                    "source without expected security", *SECURITY),
         _one_sided(set_sides(wanted, day_sources, ["day"]), "weekday not requested", "requested day not a weekday", "day"),
-        _one_sided(set_sides(positive, days.join(second, "exchange", "left_semi"), ["exchange", "day"]),
+        _one_sided(set_sides(positive, days.where(F.col("exchange") == second), ["exchange", "day"]),
                    "positive source day without data", "data day without positive source", "exchange", "day"),
         violations(totals.where(~F.col("normalized").eqNullSafe(F.col("scanned"))), "row accounting mismatch",
                    F.col("exchange"), F.concat_ws(" <> ", F.col("normalized").cast("string"), F.col("scanned").cast("string"))),
-        violations(calendar_mismatch(days, "SSE", "SZSE"), "trading-day calendar mismatch", key_text("only", "day")),
+        violations(calendar_mismatch(days, first, second), "trading-day calendar mismatch", key_text("only", "day")),
     )
     quiet = violations(sources.where("normalized_rows = 0"), "security with zero rows needs a state explanation",
                        key_text(*SECURITY))

@@ -55,9 +55,9 @@ def bars(spark, sf) -> DataFrame:
     position = F.struct("l_orderkey", "l_linenumber", "l_partkey", "q", "p")
     # Grouped by the number; the two text keys are made of it once per group.
     grouped = px(spark, sf).groupBy("k", "trade_date").agg(
-        F.min_by("p", position).cast(PRICE).alias("open"),
+        F.min(position)["p"].cast(PRICE).alias("open"),
         F.max("p").cast(PRICE).alias("high"), F.min("p").cast(PRICE).alias("low"),
-        F.max_by("p", position).cast(PRICE).alias("close"),
+        F.max(position)["p"].cast(PRICE).alias("close"),
         F.sum("q").alias("volume_shares"),
         F.sum((F.col("p") * 100).cast("bigint")).alias("amount_cny"))
     return grouped.select(

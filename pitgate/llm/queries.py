@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgate.llm.ngram_join import ngram_components
+from pitgate.llm.packing import packed_documents
 from pitgate.llm.suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def tokenizer(name: str) -> str:
+    """Where the vocabulary file of a public tokenizer is; the file is the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,3 +73,9 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op5_best_fit_packing")
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of 4096 tokens."""
+    return packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)

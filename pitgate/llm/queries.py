@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
 from pitgate.llm.suffix_dedup import repeated_spans
@@ -79,3 +80,9 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of 4096 tokens."""
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
+
+
+@query("op7_mixing_sources")
+def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words a mix with weights 1, 2, 3 takes of each document."""
+    return mixed_words(table(spark, sf_dir, "documents"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitgate.llm import langid, toxicity
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -86,3 +87,28 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words a mix with weights 1, 2, 3 takes of each document."""
     return mixed_words(table(spark, sf_dir, "documents"))
+
+
+def remainder(of: int) -> Column:
+    """crc32 of the document id as text, modulo ``of``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(remainder(4) != 2))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How toxic every document is, learned from four fifths of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    taught = docs.select("doc_id", "text").join(labels, "doc_id").where(remainder(5) != 0)
+    found = toxicity.toxic_scores(docs, toxicity.train(taught))
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = b" \t\n\x0b\x0c\r"
 LOW_56 = (1 << 56) - 1
@@ -122,3 +123,31 @@ def shingle_hashes(words: np.ndarray, words_at: np.ndarray, n: int) -> tuple[np.
         part = mix(words[np.where(there, start + j, 0)] + np.uint64((j + 1) * 0xE7037ED1A0B428DB & (1 << 64) - 1))
         total += np.where(there, part, np.uint64(0))
     return (mix(total) & np.uint64(LOW_56)).astype(np.int64), out_at
+
+
+def unique_words(texts: pa.Array, apart: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct lower-cased words of the texts, each word's number in the order of the texts,
+    and ``len + 1`` offsets. ``apart``: an RE2 pattern of what stands between words."""
+    lower = pc.utf8_lower(pc.fill_null(texts, ""))
+    words = pc.ascii_split_whitespace(pc.replace_substring_regex(lower, apart, " "))
+    at = words.offsets.to_numpy().astype(np.int64)
+    flat = words.flatten()
+    real = np.asarray(pc.not_equal(flat, "").to_numpy(zero_copy_only=False), bool)
+    coded = flat.filter(pa.array(real)).dictionary_encode()
+    counted = np.concatenate(([0], np.cumsum(real)))
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), counted[at - at[0]]
+
+
+def letter_grams(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``n``-character grams of words between boundary marks, and the number of
+    the word each belongs to. A word shorter than its grams has none."""
+    joined = "\x02" + "\x03\x02".join(words.to_pylist()) + "\x03"
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.cumsum(code == 2) - 1
+    many = max(len(code) - n + 1, 0)
+    total = np.full(many, n, np.uint64)
+    for j in range(n):
+        total = mix(total + code[j:j + many] * np.uint64(0x9E3779B97F4A7C15))
+    inside = owner[:many] == owner[n - 1:n - 1 + many]
+    inside &= ~((n == 1) & (code[:many] < 4))
+    return total[inside], owner[:many][inside]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgate.llm import langid, toxicity
+from pitgate.llm.html_blocks import main_texts
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -112,3 +113,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.toxic_scores(docs, toxicity.train(taught))
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_html_extraction")
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = main_texts(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))

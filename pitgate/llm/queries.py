@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitgate.llm import langid, toxicity
+from pitgate.llm import imatch, langid, toxicity
 from pitgate.llm.html_blocks import main_texts
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
@@ -120,3 +120,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = main_texts(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op2_document_fingerprints")
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    docs = table(spark, sf_dir, "documents")
+    return imatch.edited_likeness(docs, imatch.lexicon(docs))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pitgate.llm import imatch, langid, toxicity
 from pitgate.llm.html_blocks import main_texts
+from pitgate.llm.kmeans_tree import neighbours
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -127,3 +128,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     docs = table(spark, sf_dir, "documents")
     return imatch.edited_likeness(docs, imatch.lexicon(docs))
+
+
+@query("op3_nearest_neighbours")
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pitgate.llm import imatch, langid, toxicity
 from pitgate.llm.html_blocks import main_texts
 from pitgate.llm.kmeans_tree import neighbours
+from pitgate.llm.log_templates import without_templates
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -135,3 +136,33 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op4_line_dedup", """
+WITH t AS (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT text, unnest(string_split(text, chr(10))) AS raw,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM t),
+tidy AS (SELECT text, pos, trim(regexp_replace(raw, '[ \\t\\r]+', ' ', 'g'), ' ') AS line FROM raw),
+tok AS (SELECT text, pos, list_transform(string_split(line, ' '),
+               lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws FROM tidy),
+l AS (SELECT text, pos, ws, array_to_string(ws, ' ') AS line,
+             len(ws) || ':' || array_to_string(ws[1:3], ' ') AS leaf FROM tok WHERE len(ws) >= 3),
+k AS (SELECT leaf, line, any_value(ws) AS ws, count(DISTINCT text) AS n_docs FROM l GROUP BY leaf, line),
+modal AS (SELECT leaf, ws AS modal FROM k
+          QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY n_docs DESC, line) = 1),
+members AS (
+    SELECT k.leaf, k.line FROM k JOIN modal USING (leaf)
+    WHERE 10 * len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = modal[i])) >= 6 * len(ws)),
+belonging AS (SELECT l.text, l.pos, l.leaf FROM l JOIN members USING (leaf, line)),
+often AS (SELECT leaf FROM belonging GROUP BY leaf HAVING count(DISTINCT text) >= 10),
+gone AS (SELECT text, list(pos) AS gone FROM belonging JOIN often USING (leaf) GROUP BY text)
+SELECT doc_id, coalesce(len(string_split(d.text, chr(10))), 0)::BIGINT AS n_lines,
+       coalesce(len(gone), 0)::BIGINT AS n_dropped,
+       CASE WHEN gone IS NULL THEN d.text ELSE array_to_string(list_transform(
+           list_filter(range(len(string_split(d.text, chr(10)))), lambda i: NOT list_contains(gone, i)),
+           lambda i: string_split(d.text, chr(10))[i + 1]), chr(10)) END AS text
+FROM documents d LEFT JOIN gone ON gone.text = d.text""")
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines whose template ten documents share."""
+    found = without_templates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")

@@ -1,18 +1,72 @@
 """The corpus pipeline: language, repeated lines, near copies, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written and read again as
-the next stage's documents.
+the next stage's documents. All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pitgate.llm import langid
+from pitgate.llm.log_templates import without_templates
+from pitgate.llm.mixing import mixed_documents
+from pitgate.llm.ngram_join import ngram_components
+from pitgate.llm.packing import packed_documents
+from pitgate.llm.queries import tokenizer
 from pitgate.llm.tables import stored
 
-STAGES = []
+LEAST_SCORE = 0.5
+COPY_SHARE = 0.5
 
-# Learned models, hashes and iterations are in the stages, which SQL cannot say.
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told, learned from the labelled ones; texts without letters and
+    those with a score below :data:`LEAST_SCORE` go."""
+    told = langid.with_language(docs, langid.train(docs))
+    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of recurring templates; a document that is mostly such lines is a
+    copy, and is left to the next stage as it is."""
+    return _counted(without_templates(docs, most_share=COPY_SHARE).select(*docs.columns))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 80 % or more of their five-word shingles: the one with
+    the smallest id. Rows without an id are in no group and stay."""
+    groups = ngram_components(docs, n=5, percent=80)
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, a row for each pass that takes words of a document."""
+    return _counted(mixed_documents(docs).select(*docs.columns))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces, placed in sequences of 4096 tokens."""
+    return packed_documents(docs, tokenizer("word_bpe_49k.json"), keep_ids=False)
+
+
+STAGES = [
+    ("language_id", language),
+    ("line_dedup", repeated_lines),
+    ("near_duplicates", near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+
+# Learned models, hashed draws and a tokenizer are in the stages, which SQL cannot say; the
+# tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pitgate.llm.hashing import chunks, letter_grams, unique_words
 
@@ -134,23 +135,24 @@ def word_scores(model: Model, words: pa.Array, known: pa.Array) -> np.ndarray:
     return out
 
 
-def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, lang_pred, score`` for every row.
+def with_language(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all by default) with ``lang_pred`` and ``score`` for every row.
 
     ``score`` is the chosen language's share (0 to 1) when each language's mean log frequency
     per word counts with :data:`SHARPNESS`. A text that is null, empty or without letters, and
     any text under a model without languages, is ``und`` with score 0. Ties go to the first
-    language by name. Repeated rows give a row each; other columns are not looked at.
+    language by name. Repeated rows give a row each; columns of the two new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         known = pa.array(own.words, pa.string())
         names = [*own.langs, "und"]
         for batch in batches:
-            for part in chunks(batch, 1, 4 << 20):
-                words, index, at = unique_words(part.column(1), APART)
+            for part in chunks(batch, 0, 4 << 20):
+                words, index, at = unique_words(part.column(0), APART)
                 each = word_scores(own, words.cast(pa.string()), known)
                 size = np.diff(at)
                 mean = np.zeros((len(size), len(own.langs)))
@@ -165,9 +167,13 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
                     best[told] = np.argmax(weight, axis=1)
                     share[told] = weight.max(axis=1) / weight.sum(axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([names[k] for k in best], pa.string()), pa.array(share)],
-                    ["id", "lang_pred", "score"])
-
-    picked = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(predict, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", key)
+                    [*part.columns[1:], pa.array([names[k] for k in best], pa.string()), pa.array(share)],
+                    [*fields, "lang_pred", "score"])
+
+    fields = [f"k{i}" for i in range(len(kept))]
+    picked = docs.select(F.col(f"`{text}`").alias("text"), *[
+        F.col(f"`{c}`").alias(f) for c, f in zip(kept, fields, strict=True)])
+    shape = T.StructType([*picked.schema.fields[1:], T.StructField("lang_pred", T.StringType()),
+                          T.StructField("score", T.DoubleType())])
+    return picked.mapInArrow(predict, shape).select(
+        *[F.col(f).alias(c) for c, f in zip(kept, fields, strict=True)], "lang_pred", "score")

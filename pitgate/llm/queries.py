@@ -102,7 +102,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(remainder(4) != 2))
-    found = langid.identify(docs, model)
+    found = langid.with_language(docs, model, keep=["doc_id"])
     return found.select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 

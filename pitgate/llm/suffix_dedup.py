@@ -12,13 +12,16 @@ with this gram at this place can hold).
   common extension of two suffixes in logarithmically many steps. The bytes of neighbours
   verify each common extension. At each offset, strings are equal when neither order has a
   shorter extension between them.
-* A gram with more than ``GROUP`` different contexts never meets in one task: its strings
-  are dealt out one by one, and counted by two hashes with combining aggregation.
+* A gram with more than ``GROUP`` different contexts is split: two equal strings around it agree
+  in half of the bytes before it or in half of those after it, so its contexts meet by
+  either half. What still exceeds ``GROUP`` never meets in one task: its strings are dealt out
+  one by one, and counted by two hashes with combining aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pitgate.llm.hashing import chunks, mix, powers, prefix_hashes, span_hashes,
 from pitgate.llm.tables import stored
 
 GRAM = 32
-GROUP = 4096
+GROUP = 8192
 CHUNK = 1 << 19
 CONTEXTS = 1 << 14
 
@@ -154,9 +157,10 @@ def verified_order(data: np.ndarray, start: np.ndarray, size: np.ndarray,
     return order, shared
 
 
-def repeated_offsets(contexts: list[bytes], left: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
-    """Per context and offset o: whether the string that starts o bytes before the anchor
-    occurs in another context of the group, at the same offset."""
+def repeated_offsets(contexts: list[bytes], left: np.ndarray, group: np.ndarray, length: int,
+                     least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Per context and offset o from ``least`` to ``most``: whether the string that starts o bytes
+    before the anchor occurs in another context of the group, at the same offset."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     size = np.array([len(x) for x in contexts], np.int64)
     anchor = np.concatenate(([0], np.cumsum(size)[:-1])) + left
@@ -167,11 +171,11 @@ def repeated_offsets(contexts: list[bytes], left: np.ndarray, group: np.ndarray,
     back, back_shared = verified_order(data[::-1].copy(), len(data) - anchor, left, group)
     longest = []
     for order, shared in ((right, right_shared), (back, back_shared)):
-        most = np.empty(len(order), np.int64)
-        most[order] = np.maximum(shared, np.append(shared[1:], -1))
-        longest.append(most)
+        best = np.empty(len(order), np.int64)
+        best[order] = np.maximum(shared, np.append(shared[1:], -1))
+        longest.append(best)
     for o in range(width):
-        some = np.flatnonzero((longest[1] >= o) & (longest[0] >= length - o))
+        some = np.flatnonzero((longest[1] >= o) & (longest[0] >= length - o) & (least <= o) & (o <= most))
         if len(some) < 2:
             continue
         cluster = np.empty((2, len(contexts)), np.int64)
@@ -205,28 +209,47 @@ def _anchors(rows: DataFrame, length: int) -> DataFrame:
         find, "gram long, context long, rid long, n_bytes int, pos int")
 
 
-def _contexts(places: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """``places`` (gram, context, c, hot, rid, n_bytes, pos) with ``lead`` and the context's bytes."""
-    listed = places.groupBy("rid", "n_bytes").agg(F.collect_list(F.struct("pos", "gram", "context", "c", "hot")).alias("ps"))
+def _contexts(places: DataFrame, rows: DataFrame, length: int, halves: bool) -> DataFrame:
+    """``places`` (gram, context, c, rid, n_bytes, pos) with the contexts' bytes.
+
+    ``part`` is what contexts meet by: the gram, or with ``halves`` a hash of the gram and half of
+    the bytes on one side; ``least`` and ``most`` are the offsets to look at, ``lead`` the bytes
+    before the anchor.
+    """
+    listed = places.groupBy("rid", "n_bytes").agg(F.collect_list(F.struct("pos", "gram", "c")).alias("ps"))
     both = rows.join(listed, ["rid", "n_bytes"]).select("rid", "n_bytes", "id", "body", "ps")
-    names = ["gram", "context", "c", "hot", "rid", "n_bytes", "pos", "lead", "bytes"]
+    around = length - GRAM
+    half = (around + 1) // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def digest(side: bytes, text: bytes) -> int:
+            return int.from_bytes(blake2b(side + text, digest_size=8).digest(), "little", signed=True)
+
         for batch in batches:
             for i in range(batch.num_rows):
                 body = batch.column(3)[i].as_py().encode()
                 ps = batch.column(4)[i].values
                 pos = ps.field("pos").to_numpy()
-                low = np.maximum(pos - (length - GRAM), 0)
+                part, which = ps.field("gram").to_numpy(), np.arange(len(pos))
+                least, most = np.zeros(len(pos), np.int32), np.full(len(pos), around, np.int32)
+                if halves:
+                    before = [(digest(b"<", body[p - half:p + GRAM]), k, half, around)
+                              for k, p in enumerate(pos) if p >= half]
+                    after = [(digest(b">", body[p:p + GRAM + half]), k, 0, half)
+                             for k, p in enumerate(pos) if p + GRAM + half <= len(body)]
+                    part, which, least, most = (np.array(x, np.int64) for x in zip(*before, *after, strict=True))
+                pos = pos[which]
+                low = np.maximum(pos - around, 0)
                 text = [body[a:b] for a, b in zip(low, pos + length, strict=True)]
                 same = pa.array(np.zeros(len(pos), np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [ps.field(x) for x in names[:4]]
-                    + [batch.column(k).slice(i, 1).take(same) for k in (0, 1)]
-                    + [pa.array(pos), pa.array((pos - low).astype(np.int32)), pa.array(text, pa.binary())], names)
+                    [pa.array(part), ps.field("c").take(pa.array(which)),
+                     *[batch.column(k).slice(i, 1).take(same) for k in (0, 1)], pa.array(pos.astype(np.int32)),
+                     pa.array((pos - low).astype(np.int32)), pa.array(least.astype(np.int32)),
+                     pa.array(most.astype(np.int32)), pa.array(text, pa.binary())],
+                    ["part", "c", "rid", "n_bytes", "pos", "lead", "least", "most", "bytes"])
 
-    return both.mapInArrow(
-        cut, "gram long, context long, c long, hot boolean, rid long, n_bytes int, pos int, lead int, bytes binary")
+    return both.mapInArrow(cut, "part long, c long, rid long, n_bytes int, pos int, lead int, least int, most int, bytes binary")
 
 
 def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
@@ -236,10 +259,10 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
         rows = 0
 
         def work(table: pa.Table) -> pa.RecordBatch:
-            gram = table["gram"].to_numpy()
-            group = np.concatenate(([0], np.cumsum(gram[1:] != gram[:-1])))
-            lead = table["lead"].to_numpy().astype(np.int64)
-            hit = repeated_offsets(table["bytes"].to_pylist(), lead, group, length)
+            part = table["part"].to_numpy()
+            group = np.concatenate(([0], np.cumsum(part[1:] != part[:-1])))
+            lead, least, most = (table[x].to_numpy().astype(np.int64) for x in ("lead", "least", "most"))
+            hit = repeated_offsets(table["bytes"].to_pylist(), lead, group, length, least, most)
             hit[table["c"].to_numpy() > 1] = False
             edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
             row, first = np.nonzero(edge == 1)
@@ -256,8 +279,8 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
             rows += batch.num_rows
             if rows >= CONTEXTS:
                 table = pa.Table.from_batches(waiting).combine_chunks()
-                gram = table["gram"].to_numpy()
-                whole = int(np.searchsorted(gram, gram[-1]))
+                part = table["part"].to_numpy()
+                whole = int(np.searchsorted(part, part[-1]))
                 if whole:
                     yield work(table.slice(0, whole))
                     waiting = table.slice(whole).to_batches()
@@ -265,36 +288,36 @@ def _sorted_groups(contexts: DataFrame, length: int) -> DataFrame:
         if rows:
             yield work(pa.Table.from_batches(waiting).combine_chunks())
 
-    return (contexts.where("not hot").repartition("gram").sortWithinPartitions("gram").select("gram", "c", "rid", "n_bytes", "pos", "lead", "bytes")
+    return (contexts.repartition("part").sortWithinPartitions("part")
             .mapInArrow(sort, "rid long, n_bytes int, low int, high int"))
 
 
 def _dealt_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """As :func:`_sorted_groups`, for grams with very many contexts: each string is a row."""
-    width = length - GRAM + 1
-
+    """As :func:`_sorted_groups`, for parts with very many contexts: each string is a row."""
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, 6, CHUNK // 8):
-                data, at = text_bytes(part.column(6))
+            for some in chunks(batch, 8, CHUNK // 8):
+                data, at = text_bytes(some.column(8))
                 sums = prefix_hashes(data)
-                lead = part.column(5).to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(lead)), width)
-                o = np.tile(np.arange(width), len(lead))
+                lead, least, most = (some.column(k).to_numpy().astype(np.int64) for k in (5, 6, 7))
+                size = np.minimum(most, lead) - least + 1
+                size = np.maximum(size, 0)
+                row = np.repeat(np.arange(len(lead)), size)
+                o = least[row] + np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 start = at[row] + lead[row] - o
-                fits = (o <= lead[row]) & (start + length <= at[row + 1])
+                fits = start + length <= at[row + 1]
                 row, o, start = row[fits], o[fits], start[fits]
                 one = span_hashes(sums, start, start + length)
                 half = span_hashes(sums, start, start + length // 2)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), pa.array(o.astype(np.int32)), pa.array(one.astype(np.int64)),
-                     pa.array(half.astype(np.int64)), *[part.column(k).take(take) for k in (1, 2, 3, 4)]],
-                    ["gram", "o", "one", "half", "c", "rid", "n_bytes", "pos"])
+                    [some.column(0).take(take), pa.array(o.astype(np.int32)), pa.array(one.astype(np.int64)),
+                     pa.array(half.astype(np.int64)), *[some.column(k).take(take) for k in (1, 2, 3, 4)]],
+                    ["part", "o", "one", "half", "c", "rid", "n_bytes", "pos"])
 
-    strings = contexts.where("hot").select("gram", "c", "rid", "n_bytes", "pos", "lead", "bytes").mapInArrow(
-        deal, "gram long, o int, one long, half long, c long, rid long, n_bytes int, pos int")
-    keys = ["gram", "o", "one", "half"]
+    strings = contexts.mapInArrow(
+        deal, "part long, o int, one long, half long, c long, rid long, n_bytes int, pos int")
+    keys = ["part", "o", "one", "half"]
     again = strings.groupBy(*keys).count().where("count > 1").select(*keys)
     return (strings.where("c = 1").join(again, keys)
             .select("rid", "n_bytes", (F.col("pos") - F.col("o")).alias("low"),
@@ -317,15 +340,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     again = stored(anchors.join(again, "gram"), "repeated-anchors")
     classes = again.groupBy("gram", "context").agg(
         F.count("*").alias("c"), F.min(F.struct("rid", "n_bytes", "pos")).alias("one"))
-    several = classes.groupBy("gram").count().where("count > 1").select("gram", (F.col("count") > GROUP).alias("hot"))
-    places = classes.join(several, "gram").select("gram", "context", "c", "hot", "one.*")
+    several = classes.groupBy("gram").count().where("count > 1")
+    places = classes.join(several, "gram").select("gram", "c", "one.*", "count")
 
     whole = again.join(classes.where("c > 1").select("gram", "context"), ["gram", "context"]).select(
         "rid", "n_bytes", F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).alias("low"),
         F.least(F.col("pos") + length, F.col("n_bytes")).alias("high"))
-    contexts = _contexts(places, rows, length)
-    spans = (whole.unionByName(_sorted_groups(contexts, length)).unionByName(_dealt_strings(contexts, length))
-             .distinct().groupBy("rid", "n_bytes").agg(F.collect_list(F.struct("low", "high")).alias("found")))
+    few = _contexts(places.where(F.col("count") <= GROUP), rows, length, halves=False)
+    split = _contexts(places.where(F.col("count") > GROUP), rows, length, halves=True)
+    sizes = split.groupBy("part").agg(F.count("*").alias("size")).where("size > 1")
+    split = split.join(sizes, "part")
+    fields = few.columns
+    small = split.where(F.col("size") <= GROUP).select(*fields)
+    large = split.where(F.col("size") > GROUP).select(*fields)
+    spans = (whole.unionByName(_sorted_groups(few, length)).unionByName(_sorted_groups(small, length))
+             .unionByName(_dealt_strings(large, length))
+             .groupBy("rid", "n_bytes").agg(F.collect_set(F.struct("low", "high")).alias("found")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -17,7 +17,6 @@ from pitgate.llm.packing import packed_documents
 from pitgate.llm.queries import tokenizer
 from pitgate.llm.tables import stored
 
-LEAST_SCORE = 0.5
 COPY_SHARE = 0.5
 
 
@@ -26,10 +25,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told, learned from the labelled ones; texts without letters and
-    those with a score below :data:`LEAST_SCORE` go."""
+    """Documents whose language can be told, learned from the labelled ones; the others, null texts
+    and texts without a letter, go."""
     told = langid.with_language(docs, langid.train(docs))
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return told.where(F.col("lang_pred") != "und").select(*docs.columns)
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

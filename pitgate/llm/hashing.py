@@ -141,6 +141,8 @@ def unique_words(texts: pa.Array, apart: str) -> tuple[pa.Array, np.ndarray, np.
 def letter_grams(words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``n``-character grams of words between boundary marks, and the number of
     the word each belongs to. A word shorter than its grams has none."""
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     joined = "\x02" + "\x03\x02".join(words.to_pylist()) + "\x03"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.cumsum(code == 2) - 1

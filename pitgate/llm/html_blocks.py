@@ -1,10 +1,10 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one per block element. A line weighs the letters of its text
-outside links; a line inside an element that is boilerplate by its tag, role, class or id
-weighs nothing. Sums over a sliding window of lines are low over boilerplate and high over the
-article: the text begins where they surge and ends where they dive, and every line between
-is kept, however short, unless it is in a boilerplate element.
+Markup is stripped to lines, one per block element, without those inside an element that is
+boilerplate by its tag, role, class or id. A line weighs the characters of its text outside links.
+Sums over a sliding window of lines are low over what boilerplate is left and high over the
+article: the text begins where they surge and ends where they dive, and every line between is
+kept, however short.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             inside = not skip and (article > 0 or not has_article)
-            lines.append((text, max(len(text) - linked, 0) if inside else 0, inside))
+            lines.append((text, max(len(text.replace(" ", "")) - linked, 0), inside))
         parts.clear()
         linked = 0
 
@@ -82,7 +82,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if text:
             parts.append(text)
             if link:
-                linked += len(text.strip())
+                linked += len("".join(html.unescape(text).split()))
         tag = (m[2] or "").lower()
         if not tag:
             continue
@@ -116,8 +116,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
 def main_text(page: str | None) -> str:
     """The lines between surge and dive, joined by newlines; empty if there are none."""
-    lines = page_lines(page or "")
-    weight = np.array([w for _, w, _ in lines], np.int64)
+    lines = [(text, weight) for text, weight, inside in page_lines(page or "") if inside]
+    weight = np.array([w for _, w in lines], np.int64)
     if not weight.any():
         return ""
     sums = np.convolve(weight, np.ones(WINDOW, np.int64))
@@ -125,13 +125,15 @@ def main_text(page: str | None) -> str:
     ahead, behind = sums[WINDOW - 1:], sums[:len(weight)]
     surge = int(np.flatnonzero(ahead >= high)[0])
     dive = int(np.flatnonzero(behind >= high)[-1])
-    while surge and weight[surge - 1]:
-        surge -= 1
     while not weight[surge]:
         surge += 1
+    while not weight[dive]:
+        dive -= 1
+    while surge and weight[surge - 1]:
+        surge -= 1
     while dive + 1 < len(weight) and weight[dive + 1]:
         dive += 1
-    return "\n".join(text for text, _, inside in lines[surge:dive + 1] if inside)
+    return "\n".join(text for text, _ in lines[surge:dive + 1])
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", markup: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -89,6 +89,8 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     ranked = ranked.withColumn("total", F.sum("count").over(Window.partitionBy("lang", "n")))
     found = ranked.where(F.col("r") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).toArrow()
     langs = sorted(pc.unique(found["lang"]).to_pylist())
+    if not langs:
+        return Model([], [], np.zeros((0, 0)), {n: (np.zeros(0, np.uint64), np.zeros((0, 0))) for n in range(1, LONGEST + 1)})
 
     def scores(part: pa.Table, column: str) -> tuple[list, np.ndarray]:
         items = pc.unique(part[column])

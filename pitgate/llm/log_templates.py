@@ -3,8 +3,8 @@
 A line goes down a tree of fixed depth: by its number of tokens, then by its leading tokens, in
 which a token with a digit is a variable field. Lines of a leaf are held against the line that
 most documents of the leaf share: those that agree with it in :data:`ALIKE` tenths of
-their tokens or more are one template, and where they differ is a variable field. A template
-of ``min_docs`` documents recurs, and its lines are dropped.
+their tokens or more, fields not counted as agreeing, are one template, and where they differ
+is a variable field. A template of ``min_docs`` documents recurs, and its lines are dropped.
 
 Equal texts count as one document, so copying a document makes no template of its lines.
 What travels per line is a few hashes; texts are fetched for one line of each different kind in
@@ -57,7 +57,7 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) ->
     found = stored(found, "line-kinds")
     modal = found.groupBy("leaf").agg(F.min(F.struct((-F.col("n_docs")).alias("n"), "line")).alias("m")).select(
         "leaf", F.col("m.line").alias("modal"))
-    same = F.aggregate(F.zip_with(F.split("line", " "), F.split("modal", " "), lambda x, y: x == y), F.lit(0),
+    same = F.aggregate(F.zip_with(F.split("line", " "), F.split("modal", " "), lambda x, y: (x == y) & (x != FIELD)), F.lit(0),
                        lambda s, x: s + x.cast("int"))
     members = found.join(modal, "leaf").where(10 * same >= ALIKE * F.size(F.split("line", " "))).select("leaf", "kind")
     belonging = near.join(members, ["leaf", "kind"])

@@ -152,7 +152,7 @@ modal AS (SELECT leaf, ws AS modal FROM k
           QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY n_docs DESC, line) = 1),
 members AS (
     SELECT k.leaf, k.line FROM k JOIN modal USING (leaf)
-    WHERE 10 * len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = modal[i])) >= 6 * len(ws)),
+    WHERE 10 * len(list_filter(range(1, len(ws) + 1), lambda i: ws[i] = modal[i] AND ws[i] <> '<*>')) >= 6 * len(ws)),
 belonging AS (SELECT l.text, l.pos, l.leaf FROM l JOIN members USING (leaf, line)),
 often AS (SELECT leaf FROM belonging GROUP BY leaf HAVING count(DISTINCT text) >= 10),
 gone AS (SELECT text, list(pos) AS gone FROM belonging JOIN often USING (leaf) GROUP BY text)

@@ -8,28 +8,32 @@ from catalog import bindings as b
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
 from catalog.registry import plain, query
 from pitgate.functions import classify, dates, identity, numbers, text
+from catalog.sources import day_tables
 from pitgate.operators.actions import declared_differentials, named_record
+from pitgate.operators.bars import day_table_rows
 from pitgate.operators.checks import failed_checks, key_text, row_violations, summarize
 
 _RAW_NUMBER = """case l_linenumber when 1 then '-' when 2 then '--' when 3 then 'n/a' when 4 then ''
   when 5 then ' ' || cast(cast(l_quantity as bigint) * 1000 as varchar) || ',5 ' when 6 then '-' || cast(cast(l_quantity as bigint) as varchar)
-  else cast(cast(l_extendedprice as decimal(12,2)) as varchar) end"""
+  else cast(cast(l_extendedprice as decimal(12,2)) as varchar) || case l_orderkey % 5 when 0 then '00005' when 1 then '00000000' else '' end end"""
 
 
 @query("numbers_normalized", "N1 N2 N3 N3b N14", f"""
-select l_orderkey, l_linenumber, l_partkey, strict, coalesce(strict, 0) as lenient,
+select l_orderkey, l_linenumber, l_partkey, strict, coalesce(cast(d as double), 0) as lenient,
   case when strict >= 0 then strict end as price,
   case when d * 100 >= 0 and d * 100 = floor(d * 100) then cast(cast(d * 100 as bigint) as varchar) end as scaled,
   cast(cast(coalesce(d, 0) / 10 as decimal(18,6)) as double) as per_share
-from (select *, cast(d as double) as strict from (
-  select l_orderkey, l_linenumber, l_partkey, try_cast(trim(replace({_RAW_NUMBER}, ',', '')) as decimal(18,6)) as d from lineitem))""")
+from (select *, case when d = cast(d as decimal(18,6)) then cast(d as double) end as strict from (
+  select l_orderkey, l_linenumber, l_partkey, try_cast(trim(replace({_RAW_NUMBER}, ',', '')) as decimal(30,12)) as d from lineitem))""")
 def numbers_normalized(spark, sf):
     quantity = F.col("l_quantity").cast("bigint")
     raw = (F.when(F.col("l_linenumber") == 1, "-").when(F.col("l_linenumber") == 2, "--")
            .when(F.col("l_linenumber") == 3, "n/a").when(F.col("l_linenumber") == 4, "")
            .when(F.col("l_linenumber") == 5, F.concat(F.lit(" "), (quantity * 1000).cast("string"), F.lit(",5 ")))
            .when(F.col("l_linenumber") == 6, F.concat(F.lit("-"), quantity.cast("string")))
-           .otherwise(F.col("l_extendedprice").cast("decimal(12,2)").cast("string")))
+           .otherwise(F.concat(F.col("l_extendedprice").cast("decimal(12,2)").cast("string"),
+                               F.when(F.col("l_orderkey") % 5 == 0, "00005").when(F.col("l_orderkey") % 5 == 1, "00000000")
+                               .otherwise(""))))
     rows = b.table(spark, sf, "lineitem").withColumn("raw", raw)
     lenient = numbers.lenient_decimal(F.col("raw"))
     return plain(rows.select(
@@ -66,8 +70,8 @@ def dates_normalized(spark, sf):
 
 @query("html_text_clean", "N8", r"""
 select page_id, length(t) as n_chars, md5(t) as digest from (
-  select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(html,
-    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&#39;', ''''), '&#8217;', '’'), '&amp;', '&'),
+  select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html,
+    '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', ' '), '&#39;', ''''), '&#8217;', '’'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'),
     '<[^>]*>', '', 'g'), '[\s\x0b\x1c-\x1f\x85\p{Z}]+', ' ', 'g')) as t from pages)""")
 def html_text_clean(spark, sf):
     cleaned = b.table(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("t"))
@@ -187,11 +191,17 @@ def active_on_day(spark, sf):
     return plain(joined.select("exchange", "code", "l_orderkey", "l_linenumber", "l_partkey", active.alias("active")))
 
 
-@query("placeholder_rows", "P6", """
-select doc_id from documents where regexp_full_match(split_part(text, ' ', 1), '[A-Z][a-z]{1,4}')""")
+@query("placeholder_rows", "P6", with_ctes("""
+select exchange, code, count(*) as placeholders from bars where exchange = 'SSE' group by 1, 2"""))
 def placeholder_rows(spark, sf):
-    first = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
-    return b.table(spark, sf, "documents").where(first.rlike(r"\A[A-Z][a-z]{1,4}\z")).select("doc_id")
+    """Rows of the day tables that hold no data: neither kept as bars nor reported."""
+    table = day_tables(spark, sf)
+    rows, bad = day_table_rows(table)
+    read = rows.select("code").unionByName(bad.select(F.split_part("key", F.lit(":"), F.lit(2)).alias("code")))
+    counts = table.groupBy("证券代码").agg(F.count(F.lit(1)).alias("all")).withColumnRenamed("证券代码", "code").join(
+        read.groupBy("code").agg(F.count(F.lit(1)).alias("read")), "code", "left")
+    quiet = counts.withColumn("placeholders", F.col("all") - F.coalesce("read", F.lit(0))).where("placeholders > 0")
+    return quiet.select(b.venue(F.col("code").cast("bigint")).alias("exchange"), "code", "placeholders")
 
 
 @query("required_fields", "P7", f"""

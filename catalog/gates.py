@@ -167,6 +167,7 @@ union all select 'new-regime first day not no-limit', r.exchange || ':' || r.cod
   where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date = p.first_date
 union all select 'new-regime later day not 10pct', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
   where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date <> p.first_date
+union all select 'delisting period opens under another rule', exchange || ':' || code || ':' || cast(first_date as varchar) from periods
 union all select 'delisting period has no classified rows', exchange || ':' || code from periods p where not exists (select 1 from ruled r where r.exchange = p.exchange and r.code = p.code and rule like 'DELISTING_%')
 union all select 'security missing from state sources', exchange || ':' || code from life where k % 16 = 3
 union all select 'source hash missing', exchange || ':' || code from life where k % 16 <> 3 and k % 18 = 4

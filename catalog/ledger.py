@@ -293,7 +293,9 @@ def adjustment_chain(spark, sf):
 
 @query("adjustment_faults", "C16 C18", with_ctes("""
 select decision as "check", exchange || ':' || code || ':' || cast(t.ex_date as varchar) as key, '' as detail
-from walk w join terms t using (exchange, code, rn) where w.price is null""", _TERMS, _WALK, recursive=True))
+from walk w join terms t using (exchange, code, rn) where w.price is null
+union all select 'no state row on the action''s day', exchange || ':' || code || ':' || cast(ex_date as varchar), '' from terms where not has_control""",
+    _TERMS, _WALK, recursive=True))
 def adjustment_faults(spark, sf):
     _, bad = _chain(spark, sf)
     return bad
@@ -346,20 +348,19 @@ def suspended_bootstrap(spark, sf):
 
 @query("bootstrapped_chain", "C17 C18 J8", with_ctes(f"""
 select exchange, code, cast(ex_date as varchar) as ex_date, reference_source, round(price, 6) as ex_reference_price from (
-  select exchange, code, ex_date, row_number() over (partition by exchange, code order by ex_date) as n, (20e0 - paid) / shares as price,
-    'OFFICIAL_ACTION_FORMULA_WITH_{ad.FROM_BOOTSTRAP}' as reference_source from terms) where n = 1""", _TERMS))
+  select exchange, code, ex_date, rn, (20e0 - paid) / shares as price,
+    'OFFICIAL_ACTION_FORMULA_WITH_{ad.FROM_BOOTSTRAP}' as reference_source from terms where prior_close is null) where rn = 1""", _TERMS))
 def bootstrapped_chain(spark, sf):
-    """Only the first action of each code, without any bar: its price comes from the bootstrap."""
+    """Actions before their code's first bar: the first of a code gets its price from the bootstrap."""
     get = lambda n: F.col(n).cast("double")
     ledger = b.action_ledger(spark, sf)
-    spans = ledger.groupBy(*SECURITY).agg(F.min("ex_date").alias("ex_date"))
-    first = ledger.join(spans, KEY, "left_semi")
+    early = b.whitelist(spark, sf)
     nominal = ad.nominal_reference(F.lit(20.0), get)
-    state = first.select(*SECURITY, F.col("ex_date").alias("trade_date"), F.lit(False).alias("tradable"),
-                         nominal.alias("preclose"))
-    listed = first.select(*KEY, F.lit(20.0).alias("expected_prior_reference_price"))
-    no_bars = b.bars(spark, sf).where("trade_date < date '1990-01-01'")
-    chain, _ = ad.adjustment_chain(first, no_bars, RULES, state=state, whitelist=listed)
+    state = ledger.join(early, KEY, "left_semi").select(
+        *SECURITY, F.col("ex_date").alias("trade_date"), F.lit(False).alias("tradable"), nominal.alias("preclose"))
+    listed = early.withColumn("expected_prior_reference_price", F.lit(20.0))
+    whole, _ = ad.adjustment_chain(ledger, b.bars(spark, sf), RULES, state=state, whitelist=listed)
+    chain = whole.where(F.col("reference_source").endswith(ad.FROM_BOOTSTRAP))
     return plain(chain.select(*KEY, "reference_source", F.round("ex_reference_price", 6).alias("ex_reference_price")))
 
 

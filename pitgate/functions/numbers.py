@@ -1,7 +1,8 @@
 """Strict and lenient number normalisers.
 
-The strict forms give null for anything that is not a clean number, for the caller to
-report; the lenient forms give zero. They are different operators on purpose.
+The strict forms give null for anything that is not a clean number or does not fit, for the
+caller to report; the lenient forms give zero for what is no number. They are different
+operators on purpose. Nothing is rounded before it is tested.
 """
 
 from __future__ import annotations
@@ -12,18 +13,36 @@ from pyspark.sql import functions as F
 from pitgate.functions.text import unescape
 
 _DECIMAL = "decimal(18,6)"
+_EXACT = "decimal(30,12)"
+_WIDE = "decimal(38,12)"
+# A digit beyond the twelfth decimal that is not zero: the exact types cannot hold it.
+_FINER = r"\.[0-9]{12}[0-9]*[1-9]"
 
 
 def _bare(col: Column) -> Column:
     return F.trim(F.replace(col.cast("string"), F.lit(","), F.lit("")))
 
 
+def _exact(col: Column, kind: str) -> Column:
+    """The number in a type that holds it without rounding, or null."""
+    text = _bare(col)
+    return F.when(~text.rlike(_FINER), text.try_cast(kind))
+
+
 def strict_decimal(col: Column, kind: str = _DECIMAL) -> Column:
-    return _bare(col).try_cast(kind)
+    """The number as ``kind``; null for text that is no number, and for a number that ``kind``
+    would round or cannot hold."""
+    value = _exact(col, _EXACT)
+    held = value.try_cast(kind)
+    return F.when(held == value, held)
 
 
-def lenient_decimal(col: Column, kind: str = _DECIMAL) -> Column:
-    return F.coalesce(_bare(unescape(col.cast("string"))).try_cast(kind), F.lit(0).cast(kind))
+def lenient_decimal(col: Column, kind: str = _WIDE) -> Column:
+    """The number as ``kind``, and 0 for text that is no number. A number too large for
+    ``kind`` is null, not 0: it is not missing."""
+    text = _bare(unescape(col.cast("string")))
+    number = text.try_cast(kind)
+    return F.when(number.isNotNull() | text.try_cast("double").isNotNull(), number).otherwise(F.lit(0).cast(kind))
 
 
 def non_negative_price(col: Column) -> Column:
@@ -33,13 +52,14 @@ def non_negative_price(col: Column) -> Column:
 
 def non_negative_integer(col: Column, multiplier: int = 1) -> Column:
     """Whole shares or money after a unit conversion; null unless it comes out whole."""
-    value = strict_decimal(col) * F.lit(multiplier)
-    return F.when((value >= 0) & (value == F.floor(value)), value.cast("bigint"))
+    value = _exact(col, _EXACT) * F.lit(multiplier).cast("decimal(7,0)")
+    whole = value.try_cast("bigint")
+    return F.when((value >= 0) & (whole == value), whole)
 
 
 def per_ten(col: Column) -> Column:
     """A ratio per ten shares as a ratio per share."""
-    return (col.cast(_DECIMAL) / F.lit(10)).cast(_DECIMAL)
+    return (col.try_cast(_EXACT) / F.lit(10)).try_cast(_DECIMAL)
 
 
 def ohlc_valid(o: Column, h: Column, l: Column, c: Column) -> Column:

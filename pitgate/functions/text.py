@@ -2,54 +2,70 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The entity names the source pages use. Their order does not matter,
-# since no replacement yields an ampersand before the last step.
-NAMED_ENTITIES = {
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "nbsp": " ",
-}
-# A private-use character stands for a decoded ampersand, so that "&amp;lt;" and
-# "&#38;lt;" end as "&lt;", as one left-to-right pass would leave them.
-_AMP = "\ue000"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
+# What HTML calls a character reference: decimal, hexadecimal, or a name with or without ";".
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_NO_CHARACTER = 0xFFFD
 
 
-def _code_point(number: Column) -> Column:
-    """The character of a code point; U+FFFD where there is none."""
-    valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    safe = F.when(valid, number).otherwise(F.lit(0xFFFD))
-    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
-    return F.when(number == 38, F.lit(_AMP)).otherwise(char)
+def _windows(number: int) -> str:
+    """What browsers make of a reference to a C1 control: the character of code page 1252."""
+    try:
+        return bytes([number]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(number)
+
 
+def _table(pairs: dict) -> Column:
+    """A constant map from text to text."""
+    return F.from_json(F.lit(json.dumps(pairs)), "map<string,string>")
 
-_NUMERIC = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+def _code_point(number: Column) -> Column:
+    """The character of a numeric reference: U+FFFD where there is none, empty where there may not be one."""
+    known = {0: chr(_NO_CHARACTER), 13: "\r", **{n: _windows(n) for n in range(0x80, 0xA0)}}
+    banned = (number.between(1, 8) | (number == 11) | number.between(14, 31) | (number == 127)
+              | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(0xFFFE) == 0xFFFE))
+    outside = (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    safe = F.when(outside, F.lit(_NO_CHARACTER)).otherwise(number)
+    char = F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+    return F.coalesce(F.try_element_at(_table(known), number.cast("string")), F.when(~outside & banned, F.lit("")).otherwise(char))
 
 
-def _numeric_entities(col: Column) -> Column:
-    found = F.array_distinct(F.regexp_extract_all(col, F.lit(_NUMERIC), F.lit(0)))
+def _number(digits: Column, base: int) -> Column:
+    """The value of a run of digits; anything long is beyond Unicode."""
+    bare = F.ltrim(digits, F.lit("0"))
+    value = F.conv(F.when(bare == "", "0").otherwise(bare), base, 10).cast("bigint")
+    return F.when(F.length(bare) > 8, F.lit(0x110000)).otherwise(value)
 
-    def decode_one(acc: Column, entity: Column) -> Column:
-        digits = F.regexp_extract(entity, _NUMERIC, 1)
-        is_hex = F.lower(F.substring(digits, 1, 1)) == "x"
-        number = F.when(is_hex, F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits)
-        return F.replace(acc, entity, _code_point(number.cast("bigint")))
 
-    return F.aggregate(found, col, decode_one)
+def _decoded(reference: Column) -> Column:
+    name = F.substring(reference, 2, 40)
+    digits = F.regexp_extract(reference, r"^&#[xX]?([0-9a-fA-F]+);?$", 1)
+    hexadecimal = F.lower(F.substring(reference, 3, 1)) == "x"
+    number = F.when(hexadecimal, _number(digits, 16)).otherwise(_number(digits, 10))
+    # Names that need no ";" also count at the start of a longer word, the longest first.
+    bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+    start = F.get(F.filter(F.from_json(F.lit(json.dumps(bare)), "array<string>"), lambda n: F.startswith(name, n)), F.lit(0))
+    named = _table(html5)
+    return (F.when(F.startswith(reference, F.lit("&#")), _code_point(number))
+            .otherwise(F.coalesce(F.try_element_at(named, name), F.concat(
+                F.try_element_at(named, start), F.substr(name, F.length(start) + 1)), reference)))
 
 
 def unescape(col: Column) -> Column:
-    """Decode named and numeric HTML entities once."""
-    for name, char in NAMED_ENTITIES.items():
-        col = F.replace(col, F.lit(f"&{name};"), F.lit(char))
-    col = _numeric_entities(col)
-    col = F.replace(col, F.lit("&amp;"), F.lit(_AMP))
-    return F.replace(col, F.lit(_AMP), F.lit("&"))
+    """Decode HTML character references once, from left to right, as browsers do."""
+    between = F.split(col, _REFERENCE, -1)
+    found = F.regexp_extract_all(col, F.lit(_REFERENCE), F.lit(0))
+    decoded = F.zip_with(between, found, lambda text, ref: F.concat(
+        text, F.when(ref.isNull(), F.lit("")).otherwise(_decoded(ref))))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(decoded, "")).otherwise(col)
 
 
 def strip_tags(col: Column) -> Column:

@@ -70,14 +70,15 @@ def evidence_union(first: DataFrame, second: DataFrame, keys: Sequence[str],
 
 def _lane(digest: Column, i: int) -> Column:
     part = F.substring(digest, 1 + i * LANE_DIGITS, LANE_DIGITS)
-    return F.conv(part, 16, 10).cast("decimal(20,0)")
+    return F.conv(part, 16, 10).cast("decimal(28,0)")
 
 
 def content_digest(line: Column, lanes: int = 4) -> Column:
     """Digest of a multiset of text lines, whatever their order and partitioning.
 
     Sums of four 60-bit parts of each line's SHA-256 with the count, hashed: it combines
-    before the shuffle, so a dataset of any size is digested without sorting it.
+    before the shuffle, so a dataset of any size is digested without sorting it. The sums have
+    38 digits, room for 10**19 lines.
     """
     digest = F.sha2(line, 256)
     sums = [F.coalesce(F.sum(_lane(digest, i)), F.lit(0)).cast("string") for i in range(lanes)]

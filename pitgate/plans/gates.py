@@ -232,6 +232,13 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
         "old-regime delisting contains non-10pct row": (F.col("regime") != OLD_REGIME) | later_rule,
         "new-regime first day not no-limit": (F.col("regime") != NEW_REGIME) | ~is_first | first_rule,
         "new-regime later day not 10pct": (F.col("regime") != NEW_REGIME) | is_first | later_rule})
+    starts = periods.select(*SECURITY, F.col("first_date").alias("trade_date"), "regime").join(
+        state.select(*DAY, "limit_rule"), DAY, "left").groupBy(*DAY, "regime").agg(
+            F.count("limit_rule").alias("n"), F.min("limit_rule").alias("limit_rule"))
+    opened = row_violations(starts, key, {
+        "delisting period without one row on its first day": F.col("n") == 1,
+        "delisting period opens under another rule": (F.col("n") == 0) | F.when(
+            F.col("regime") == NEW_REGIME, first_rule).otherwise(later_rule)})
     counted = state.groupBy(*SECURITY).agg(F.count(F.lit(1)).alias("state_rows"))
     accounted = manifest.join(counted, list(SECURITY), "left")
     relisted = state.join(relisting.select(*DAY), DAY, "left_semi")
@@ -242,7 +249,7 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
         "unclassified day only in manifest", "unclassified day not in manifest", *DAY)]
     return gather(
         *listed,
-        rows, delisting, period_violations(periods, rules),
+        rows, delisting, opened, period_violations(periods, rules),
         _duplicates(state, DAY, "duplicate state row"),
         _one_sided(set_sides(universe, manifest, SECURITY), "security missing from state sources",
                    "state source outside universe", *SECURITY),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,12 +16,13 @@ from pitgate.operators.blocks import dense_index
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as ``spark.checkpoint.dir`` names it.
 
-    Only a local session without the setting gets a folder of its own.
+    Only a session whose executors are threads of this process gets a folder of its own where
+    the setting is missing; every cluster, also one of local processes, must name it.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster")
     folder = tempfile.mkdtemp(prefix="pitgate-")
     spark.conf.set("spark.checkpoint.dir", folder)

@@ -11,9 +11,11 @@ from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _chain, _controlled,
 from catalog.registry import plain, query
 from catalog.states import _INDEXED, _P, _stored
 from pitgate.operators import actions as ac
+from pitgate.operators import adjust as ad
 from pitgate.operators import control as ct
 from pitgate.operators import state as st
-from pitgate.operators.checks import enforce_unique, report, summarize
+from pitgate.operators.aggregates import content_digest
+from pitgate.operators.checks import enforce_unique, gather, report, summarize
 from pitgate.operators.joins import interval_join
 from pitgate.operators.lifecycle import apply_transitions
 from pitgate.operators.trading_days import weekdays
@@ -228,34 +230,51 @@ def gate_factors(spark, sf):
 
 def _final_facts(spark, sf):
     """The figures the last gates compare: ledger, chain and control, each in one row."""
-    recon = ac.reconciliation_counts(_reconciled(spark, sf))
+    text = lambda c: F.col(c).cast("string")
+    reconciled = _reconciled(spark, sf)
+    recon = ac.reconciliation_counts(reconciled).select(
+        (F.col("unresolved") == 0).alias("pass"), F.col("unresolved").alias("native_conflicts"))
+    empty = reconciled.agg(F.count_if(F.col("checked") & (F.col("action_type") == "")).alias("native_missing"))
+    ledger = b.action_ledger(spark, sf).agg(
+        F.count(F.lit(1)).alias("official_action_count"),
+        content_digest(F.concat_ws(",", *[text(c) for c in (*KEYS["action_ledger"], "action_type")])).alias("fingerprint"))
     chain, faults = (stored(df, "chain") for df in _chain(spark, sf))
-    adjusted = chain.agg(F.count(F.lit(1)).alias("adjustment_event_count"))
-    failed = faults.agg(F.count(F.lit(1)).alias("fault_count"))
-    ledger = b.action_ledger(spark, sf).agg(F.count(F.lit(1)).alias("official_action_count"))
+    booted = F.col("reference_source").endswith(ad.FROM_BOOTSTRAP)
+    made = chain.agg(
+        F.count(F.lit(1)).alias("adjustment_event_count"), F.count_if(booted).alias("bootstrap_count"),
+        content_digest(F.concat_ws(",", *[text(c) for c in KEYS["adjustment_chain"]])).alias("fingerprint"))
+    failed = faults.agg(
+        (F.count(F.lit(1)) == 0).alias("pass"), F.count_if(F.col("check") == ad.MATERIAL).alias("material_nonshare"),
+        F.count_if(F.col("check").startswith("no state row")).alias("controls_missing"))
+    listed = ledger.select(F.lit(0).alias("bootstrap_listed"), "official_action_count")
     actions, changes, _ = _controlled(spark, sf)
-    control = stored(ct.control_counts(actions, changes), "control")
-    parts = [fx.facts_of(recon, "ledger."), fx.facts_of(adjusted, "chain."), fx.facts_of(failed, "chain."),
-             fx.facts_of(ledger, "ledger."), fx.facts_of(control, "control.")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
-
-
-@query("gate_final_figures", "G5b", with_ctes("""
-select 'not every official action produced an adjustment event' as "check", 'ledger.official_action_count=chain.adjustment_event_count' as key,
-  (select count(*) from terms)::varchar || ' <> ' || (select count(*) from walk where price is not null)::varchar as detail
-union all select 'pinned figure not met', 'control.mismatches', (select count(*) from judged where status = 'MISMATCH')::varchar || ' instead of 0'
-union all select 'pinned figure not met', 'ledger.unresolved',
-  (select sum((c = 'UNRESOLVED')::int + (b = 'UNRESOLVED')::int + (t = 'UNRESOLVED')::int) from valued where checked)::bigint::varchar || ' instead of 0'
-union all select 'pinned figure not met', 'ledger.absent', 'missing instead of 1' """, *_CONTROL, *_RECON, _TERMS, _WALK, recursive=True))
+    control = ct.control_counts(actions, changes).select("mismatches", (F.col("mismatches") == 0).alias("pass"))
+    parts = [fx.facts_of(recon, "ledger."), fx.facts_of(empty, "ledger."), fx.facts_of(ledger, "ledger."),
+             fx.facts_of(made, "chain."), fx.facts_of(failed, "chain."), fx.facts_of(listed, "chain."),
+             fx.facts_of(control, "control.")]
+    return gather(*parts)
+
+
+@query("gate_final_figures", "G5b", with_ctes(f"""
+select "check", key, detail from (
+  with f as (select (select count(*) from terms) as n, (select count(*) from walk where price is not null) as made,
+    (select count(*) from terms where not has_control) as bare,
+    (select count(*) from walk where decision = '{ad.MATERIAL}') as material,
+    (select count(*) from judged where status = 'MISMATCH') as off,
+    (select sum((c = 'UNRESOLVED')::int + (b = 'UNRESOLVED')::int + (t = 'UNRESOLVED')::int) from valued where checked)::bigint as unresolved,
+    (select count(*) from valued where checked and greatest(vc, 0) + greatest(vb, 0) + greatest(vt, 0) + greatest(rights, 0) = 0) as nothing)
+  select 'a sub-audit does not pass' as "check", 'ledger.pass' as key, 'false instead of true' as detail from f where unresolved > 0
+  union all select 'a sub-audit does not pass', 'chain.pass', 'false instead of true' from f where n - made + bare > 0
+  union all select 'a sub-audit does not pass', 'control.pass', 'false instead of true' from f where off > 0
+  union all select 'actions without a state control', 'chain.controls_missing', bare || ' instead of 0' from f where bare > 0
+  union all select 'price gaps that no share distribution explains', 'chain.material_nonshare', material || ' instead of 0' from f where material > 0
+  union all select 'factors contradict the chain', 'control.mismatches', off || ' instead of 0' from f where off > 0
+  union all select 'venue components in conflict', 'ledger.native_conflicts', unresolved || ' instead of 0' from f where unresolved > 0
+  union all select 'venue components missing', 'ledger.native_missing', nothing || ' instead of 0' from f where nothing > 0
+  union all select 'an action has no chain event', 'chain.official_action_count=chain.adjustment_event_count', n || ' <> ' || made from f where n <> made
+  union all select 'fingerprint missing', 'bars.fingerprint', '')""", *_CONTROL, *_RECON, _TERMS, _WALK, recursive=True))
 def gate_final_figures(spark, sf):
-    facts = stored(_final_facts(spark, sf), "facts")
-    pairs = spark.createDataFrame([
-        ("not every official action produced an adjustment event", "ledger.official_action_count", "chain.adjustment_event_count"),
-        ("chain and control disagree", "ledger.official_action_count", "control.actions"),
-    ], "check string, left string, right string")
-    pins = spark.createDataFrame([("control.mismatches", "0"), ("ledger.unresolved", "0"), ("ledger.absent", "1")],
-                                 "name string, expected string")
-    return fx.unequal_pairs(facts, pairs).unionByName(fx.unmet_pins(facts, pins))
+    return gt.final_gate(stored(_final_facts(spark, sf), "facts"))
 
 
 def _gate_reports(spark, sf):
@@ -278,19 +297,43 @@ def gate_stage(spark, sf):
 
 
 @query("gate_freeze", "GF N18 A12", with_ctes("""
-select 'pinned figure not met' as "check", 'g3.total_rows' as key, cast((select count(*) from bars) as varchar) || ' instead of 8038444' as detail
-union all select 'pinned figure not met', 'g3.dataset_fingerprint', 'missing instead of x'
-union all select 'unequal figures', 'g3.trading_days=g2.total_intervals', (select count(distinct trade_date)::varchar from bars) || ' <> ' || (select count(*)::varchar from life)"""))
+select "check", key, detail from (
+  with e as (select event_type as gate, count_if(value < 1) < count(*) / 50 as ok, count_if(value < 1) as errors from events group by 1),
+  f as (select (select count(*) from bars) as n, (select count(distinct trade_date) from bars) as days, (select count(*) from life) as lives)
+  select 'gate does not pass' as "check", gate as key, '' as detail from e where not ok
+  union all select 'gate reports errors', gate, '' from e where errors > 0
+  union all select 'gate fingerprint differs from the manifest', gate, '' from e where gate in ('click', 'view')
+  union all select 'canonical fingerprint differs', 'fingerprint', ''
+  union all select 'evidence missing', 'lost', '' union all select 'evidence digest mismatch', 'canonical', ''
+  union all select 'evidence digest mismatch', 'bars', ''
+  union all select 'file without registered digest', 'extra', ''
+  union all select 'the freeze is not enabled', 'enabled', 'false instead of true'
+  union all select 'an interval count moved', 'g2.total_intervals', 'missing instead of 1'
+  union all select 'rows differ', 'basis.bars.rows=g3.total_rows', (n + 1) || ' <> ' || n from f)"""))
 def gate_freeze(spark, sf):
-    bars = b.bars(spark, sf).agg(F.count(F.lit(1)).alias("total_rows"), F.count_distinct("trade_date").alias("trading_days"),
-                                 F.count_distinct("exchange").alias("venues"))
-    life = b.life(spark, sf).agg(F.count(F.lit(1)).alias("total_intervals"))
-    facts = fx.facts_of(bars, "g3.").unionByName(fx.facts_of(life, "g2."))
-    pinned = spark.createDataFrame([("g3.total_rows", "8038444"), ("g3.venues", "2"), ("g3.dataset_fingerprint", "x")],
-                                   "name string, expected string")
-    pairs = spark.createDataFrame([("unequal figures", "g3.trading_days", "g2.total_intervals")],
-                                  "check string, left string, right string")
-    return fx.unmet_pins(facts, pinned).unionByName(fx.unequal_pairs(facts, pairs))
+    """A manifest that holds some figures of the data rightly and others wrongly."""
+    frame = lambda rows, shape: spark.createDataFrame(rows, shape)
+    bars = stored(b.bars(spark, sf).agg(
+        F.count(F.lit(1)).alias("total_rows"), F.count_distinct("trade_date").alias("trading_days")), "bar-figures")
+    facts = fx.facts_of(bars, "g3.")
+    gates = stored(b.table(spark, sf, "events").groupBy(F.col("event_type").alias("gate")).agg(
+        (F.count_if(F.col("value") < 1) < F.count(F.lit(1)) / 50).alias("pass"),
+        F.count_if(F.col("value") < 1).alias("errors"),
+        content_digest(F.col("event_id").cast("string")).alias("fingerprint")), "gate-evidence")
+    off = F.when(F.col("gate").isin("click", "view"), "x").otherwise("")
+    manifest = gather(
+        gates.select(F.concat(F.lit("basis."), "gate", F.lit(".fingerprint")).alias("name"),
+                     F.concat("fingerprint", off).alias("value")),
+        bars.select(F.lit("basis.bars.rows").alias("name"), (F.col("total_rows") + 1).cast("string").alias("value")),
+        bars.select(F.lit("basis.bars.days").alias("name"), F.col("trading_days").cast("string").alias("value")),
+        frame([("status", "PASS"), ("enabled", "false"), ("fingerprint", "old")], "name string, value string"))
+    sums = frame([("lost", "a"), ("canonical", "b"), ("bars", "c"), ("life", "d")], "key string, sha256 string")
+    files = frame([("bars", "changed"), ("life", "d"), ("extra", "e")], "key string, sha256 string")
+    pins = frame([("the freeze is not enabled", "enabled", "true"), ("the freeze has no pass", "status", "PASS"),
+                  ("an interval count moved", "g2.total_intervals", "1")], "check string, name string, expected string")
+    pairs = frame([("rows differ", "basis.bars.rows", "g3.total_rows"), ("days differ", "basis.bars.days", "g3.trading_days")],
+                  "check string, left string, right string")
+    return gt.freeze_gate(manifest, facts, gates, sums, files, pins, pairs)
 
 
 @query("gate_report", "S16 A13 A18", with_ctes("""

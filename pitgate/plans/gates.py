@@ -19,6 +19,7 @@ from pitgate.operators.checks import (
 from pitgate.operators.joins import at_keys, lifecycle_status, missing_keys, override_hits, set_sides
 from pitgate.operators.state import NEW_REGIME, OLD_REGIME
 from pitgate.operators.trading_days import calendar_mismatch, venue_days, weekdays
+from pitgate.plans.facts import canonical_fingerprint, unequal_pairs
 from pitgate.schema import KEYS, SECURITY, Rules
 
 DAY = [*SECURITY, "trade_date"]
@@ -307,3 +308,79 @@ def stage_gate(reports: DataFrame, config: DataFrame) -> DataFrame:
             "evidence passes but config does not": ~passed | listed})).alias("check"),
         F.col("gate").alias("key"), F.coalesce("status", F.lit("")).alias("detail"))
 
+
+
+# What the final gate compares: figures of the ledger, the chain and the secondary control.
+FINAL_PINS = [
+    ("a sub-audit does not pass", "ledger.pass", "true"), ("a sub-audit does not pass", "chain.pass", "true"),
+    ("a sub-audit does not pass", "control.pass", "true"),
+    ("actions without a state control", "chain.controls_missing", "0"),
+    ("price gaps that no share distribution explains", "chain.material_nonshare", "0"),
+    ("factors contradict the chain", "control.mismatches", "0"),
+    ("venue components missing", "ledger.native_missing", "0"),
+    ("venue components in conflict", "ledger.native_conflicts", "0"),
+]
+FINAL_PAIRS = [
+    ("the chain did not read every action", "ledger.official_action_count", "chain.official_action_count"),
+    ("an action has no chain event", "chain.official_action_count", "chain.adjustment_event_count"),
+    ("the bootstrap list is not used exactly", "chain.bootstrap_count", "chain.bootstrap_listed"),
+]
+FINAL_PRINTS = ("ledger.fingerprint", "chain.fingerprint", "bars.fingerprint")
+
+
+def _pinned(facts: DataFrame, pins: DataFrame) -> DataFrame:
+    """Violations of ``pins`` (check, name, expected) that the facts do not meet exactly."""
+    joined = pins.join(facts, "name", "left").where(~F.col("expected").eqNullSafe(F.col("value")))
+    return joined.select("check", F.col("name").alias("key"), F.concat_ws(
+        " instead of ", F.coalesce("value", F.lit("missing")), "expected").alias("detail"))
+
+
+def final_gate(facts: DataFrame) -> DataFrame:
+    """The last check of the actions: ``facts`` (name, value) of the sub-audits must agree, and
+    ledger, chain and bars must have a fingerprint. A figure that is absent fails."""
+    spark = facts.sparkSession
+    prints = spark.createDataFrame([(n,) for n in FINAL_PRINTS], "name string").join(facts, "name", "left")
+    return gather(
+        _pinned(facts, spark.createDataFrame(FINAL_PINS, "check string, name string, expected string")),
+        unequal_pairs(facts, spark.createDataFrame(FINAL_PAIRS, "check string, left string, right string")),
+        violations(prints.where(F.length(F.coalesce("value", F.lit(""))) == 0), "fingerprint missing", F.col("name")))
+
+
+def final_fingerprint(facts: DataFrame) -> DataFrame:
+    """One fingerprint of ledger, chain and the control's figures."""
+    of = lambda name: F.coalesce(F.max(F.when(F.col("name") == name, F.col("value"))), F.lit(""))
+    control = facts.where(F.col("name").startswith("control."))
+    parts = beside(facts.agg(of("ledger.fingerprint").alias("a"), of("chain.fingerprint").alias("b")),
+                   canonical_fingerprint(control).withColumnRenamed("fingerprint", "c"))
+    return parts.select(F.sha2(F.concat_ws("\n", "a", "b", "c"), 256).alias("fingerprint"))
+
+
+def freeze_gate(manifest: DataFrame, facts: DataFrame, gates: DataFrame, sums: DataFrame, files: DataFrame,
+                pins: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Whether a frozen manifest says what the evidence says.
+
+    ``manifest`` (name, value): its figures; those named ``basis.…`` are what ``fingerprint``
+    covers, and ``basis.<gate>.fingerprint`` is a gate's. ``facts`` (name, value): figures
+    computed from the data. ``gates`` (gate, pass, errors, fingerprint): the gates' evidence.
+    ``sums`` and ``files`` (key, sha256): the registered and the actual digests; the key
+    ``canonical`` stands for the fingerprint. ``pins`` (check, name, expected) must hold in manifest
+    and facts; ``pairs`` (check, left, right) name figures of either that must be equal.
+    """
+    figures = manifest.unionByName(facts)
+    basis = canonical_fingerprint(manifest.where(F.col("name").startswith("basis.")))
+    said = manifest.where("name = 'fingerprint'").agg(F.max("value").alias("said"))
+    canon = beside(basis, said)
+    printed = gates.join(manifest.select(F.col("name").alias("_n"), F.col("value").alias("frozen")),
+                         F.concat(F.lit("basis."), "gate", F.lit(".fingerprint")) == F.col("_n"), "left")
+    actual = files.select("key", "sha256").unionByName(
+        basis.select(F.lit("canonical").alias("key"), F.col("fingerprint").alias("sha256")))
+    return gather(
+        row_violations(gates, F.col("gate"), {
+            "gate does not pass": F.col("pass"), "gate reports errors": F.col("errors") == 0}),
+        row_violations(printed, F.col("gate"), {
+            "gate fingerprint differs from the manifest": F.col("fingerprint") == F.col("frozen")}),
+        violations(canon.where(~F.col("fingerprint").eqNullSafe(F.col("said"))), "canonical fingerprint differs",
+                   F.lit("fingerprint")),
+        digest_violations(sums, actual, "key"),
+        violations(missing_keys(actual, sums, ["key"]), "file without registered digest", F.col("key")),
+        _pinned(figures, pins), unequal_pairs(figures, pairs))

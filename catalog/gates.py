@@ -49,13 +49,13 @@ _MASTER = ("m", f"""select {sql_venue('k')} as exchange, {sql_code6('case when k
 
 @query("gate_master", "G1 A18 U5", summary_sql("""
 select 'out-of-scope row' as "check", exchange || ':' || code as key from m where k % 17 = 3
-union all select 'STAR contamination', exchange || ':' || code from m where exchange = 'SSE' and k % 31 = 7
-union all select 'ChiNext contamination', exchange || ':' || code from m where exchange = 'SZSE' and k % 31 = 8
-union all select 'weak board evidence', exchange || ':' || code from m where k % 19 = 4
+union all select 'technology-board code of the first venue', exchange || ':' || code from m where exchange = 'SSE' and k % 31 = 7
+union all select 'growth-board code of the second venue', exchange || ':' || code from m where exchange = 'SZSE' and k % 31 = 8
+union all select 'board only guessed from the code', exchange || ':' || code from m where k % 19 = 4
 union all select 'duplicate security', exchange || ':' || code from m group by exchange, code having count(*) > 1
 union all select 'only in primary', exchange || ':' || code from (select exchange, code from m except select exchange, code from life)
 union all select 'only in control', exchange || ':' || code from (select exchange, code from life except select exchange, code from m)
-union all select 'implausibly small universe', 'SSE' from (select count(*) as n from m where exchange = 'SSE') where n < 100000000""", _MASTER))
+union all select 'fewer securities than plausible', 'SSE' from (select count(*) as n from m where exchange = 'SSE') where n < 100000000""", _MASTER))
 def gate_master(spark, sf):
     return summarize(gt.master_gate(_master(spark, sf), b.intervals(spark, sf), {"SSE": 100_000_000, "SZSE": 1}))
 
@@ -93,7 +93,7 @@ union all select 'duplicate DELIST security', exchange || ':' || code from ev wh
 union all select 'current and delisted', exchange || ':' || code from split s where t is null and k % 15 <> 4 and exists (select 1 from ev where kind = 'DELIST' and ev.exchange = s.exchange and ev.code = s.code)
 union all select 'closed interval without evidence', exchange || ':' || code from (select exchange, code from split where t is not null except (select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions))
 union all select 'evidence without closed interval', exchange || ':' || code from ((select exchange, code from ev where kind = 'DELIST' union select exchange, old_code from transitions) except select exchange, code from split where t is not null)
-union all select 'no historical DELIST events', e from (values ('SSE'), ('SZSE')) v(e) where not exists (select 1 from ev where kind = 'DELIST' and exchange = e)
+union all select 'venue without any delisting', e from (values ('SSE'), ('SZSE')) v(e) where not exists (select 1 from ev where kind = 'DELIST' and exchange = e)
 union all select 'manifest count mismatch', 'code_transitions' union all select 'manifest count mismatch', 'current_active'""", _SPLIT, _EV))
 def gate_lifecycle(spark, sf):
     split = _split(spark, sf)
@@ -162,25 +162,25 @@ def gate_bars(spark, sf):
 
 
 @query("gate_state", "G4 J5 A14", summary_sql("""
-select 'unclassified special no-limit day' as "check", exchange || ':' || code || ':' || cast(trade_date as varchar) as key from ruled where rule = 'UNCLASSIFIED_SPECIAL_NO_LIMIT'
-union all select 'old-regime delisting contains non-10pct row', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+select 'special day left unclassified' as "check", exchange || ':' || code || ':' || cast(trade_date as varchar) as key from ruled where rule = 'UNCLASSIFIED_SPECIAL_NO_LIMIT'
+union all select 'old-regime delisting day under another rule', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
   where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime = 'OLD_30DAY_ALL_10PCT'
-union all select 'new-regime first day not no-limit', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+union all select 'new-regime first day has a limit', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
   where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date = p.first_date
-union all select 'new-regime later day not 10pct', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
+union all select 'new-regime later day under another rule', r.exchange || ':' || r.code || ':' || cast(r.trade_date as varchar) from ruled r join periods p using (exchange, code)
   where rule = 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT' and p.regime <> 'OLD_30DAY_ALL_10PCT' and r.trade_date <> p.first_date
 union all select 'delisting period opens under another rule', exchange || ':' || code || ':' || cast(first_date as varchar) from periods
 union all select 'delisting period has no classified rows', exchange || ':' || code from periods p where not exists (select 1 from ruled r where r.exchange = p.exchange and r.code = p.code and rule like 'DELISTING_%')
 union all select 'security missing from state sources', exchange || ':' || code from life where k % 16 = 3
 union all select 'source hash missing', exchange || ':' || code from life where k % 16 <> 3 and k % 18 = 4
 union all select 'source rows differ from state rows', exchange || ':' || code from life where k % 16 <> 3 and k % 14 = 2
-union all select 'missing relisting first-day state', exchange || ':' || code || ':2000-02-01' from life l where k % 6 = 4 and k % 5 = 0
-union all select 'relisting first day not classified no-limit', exchange || ':' || code || ':2000-02-01' from ruled where k % 6 = 4 and trade_date = date '2000-02-01'
+union all select 'relisting day without state', exchange || ':' || code || ':2000-02-01' from life l where k % 6 = 4 and k % 5 = 0
+union all select 'relisting day has a limit', exchange || ':' || code || ':2000-02-01' from ruled where k % 6 = 4 and trade_date = date '2000-02-01'
 union all select 'suspension control row missing', exchange || ':' || code || ':1995-03-01' from life l where k % 8 = 1 and not exists (select 1 from ruled r where r.exchange = l.exchange and r.code = l.code and r.trade_date = date '1995-03-01')
 union all select 'suspension control contradicted', exchange || ':' || code || ':1995-03-01' from ruled where k % 8 = 1 and trade_date = date '1995-03-01' and tradable
 union all select 'predecessor has zero bars', exchange || ':' || old_code || ':' || new_code from transitions
 union all select 'successor bar predates transition', exchange || ':' || old_code || ':' || new_code from transitions
-union all select 'tradable state without bar', exchange || ':' || code || ':' || cast(trade_date as varchar) from ruled r where tradable
+union all select 'traded day without bar', exchange || ':' || code || ':' || cast(trade_date as varchar) from ruled r where tradable
   and not exists (select 1 from px p where p.exchange = r.exchange and p.code = r.code and p.trade_date = r.trade_date and p.q > 10)""",
     _P, _INDEXED, ("ruled", """select *, case when not tradable then 'SUSPENDED'
   when listed_from >= date '1995-07-01' and ti <= 5 then 'IPO_FIRST5_NO_LIMIT'
@@ -219,7 +219,7 @@ select 'unmatched factor event' as "check", exchange || ':' || code || ':' || ca
   where not exists (select 1 from components c where c.exchange = f.exchange and c.code = f.code and c.ex_date = f.effective_date)
 union all select 'nonpositive factor', exchange || ':' || code || ':' || cast(effective_date as varchar) from factors where least(fore, back, adj) <= 0
 union all select 'missing source hash', exchange || ':' || code from (select distinct exchange, code from factors) where cast(code as bigint) % 13 = 6
-union all select 'scanned events differ from manifest', (select count(*) from factors) || ' <> ' || (select count(*) + count(distinct exchange || code) from factors)"""))
+union all select 'events found and declared differ', (select count(*) from factors) || ' <> ' || (select count(*) + count(distinct exchange || code) from factors)"""))
 def gate_factors(spark, sf):
     events = _factor_events(spark, sf)
     k = F.col("code").cast("bigint")

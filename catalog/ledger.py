@@ -197,7 +197,7 @@ def allotment_records(spark, sf):
 
 
 @query("components_outside_life", "J3 P1", with_ctes("""
-select c.exchange, c.code, count(*) as n, case when l.code is null then 'out-of-universe official row' else 'official action outside lifecycle' end as "check"
+select c.exchange, c.code, count(*) as n, case when l.code is null then 'action of an unknown security' else 'action outside the life of its security' end as "check"
 from components c left join (select * from life where k % 9 <> 4) l using (exchange, code)
 where l.code is null or c.ex_date < l.listed_from or c.ex_date >= l.listed_to_exclusive or c.ex_date not between date '1995-02-01' and date '2001-06-30'
 group by 1, 2, 4"""))
@@ -244,11 +244,11 @@ _TERMS = ("terms", """select a.exchange, a.code, a.k, a.ex_date, a.action_type,
 
 def _decide(base):
     nominal = f"(({base}) - t.paid) / t.shares"
-    return f"""case when ({base}) is null then 'missing prior close/reference' when not (({base}) > 0 and t.shares > 0 and {nominal} > 0) then 'invalid ex-reference input'
-      when not t.has_control then 'OFFICIAL_ACTION_FORMULA' when t.preclose <= 0 then 'ex-date preclose is nonpositive'
+    return f"""case when ({base}) is null then 'no price to start from' when not (({base}) > 0 and t.shares > 0 and {nominal} > 0) then 'terms leave no positive price'
+      when not t.has_control then 'OFFICIAL_ACTION_FORMULA' when t.preclose <= 0 then 'market reference is not positive'
       when abs(t.preclose - {nominal}) / greatest(abs({nominal}), 1e-18) <= 0.01e0 then 'OFFICIAL_ACTION_FORMULA'
       when t.distributed then '{ad.MARKET}'
-      else 'material nominal/market reference discrepancy without share-distribution semantics' end"""
+      else 'market and formula differ and no shares were distributed' end"""
 
 
 def _price(base):
@@ -322,10 +322,10 @@ def reference_selection(spark, sf):
     return plain(priced.select(*KEY, ad.choose_reference(F.col("prior_close").cast("double"), get, RULES).alias("decision")))
 
 
-_BOOT = ("boot", """select *, case when not has_row then 'whitelisted suspended bootstrap lacks state row'
-    when tradable then 'whitelisted suspended bootstrap is not suspended' when pre <= 0 then 'whitelisted suspended bootstrap has invalid preclose'
-    when pre * shares + paid <= 0 then 'whitelisted suspended bootstrap derived invalid prior'
-    when abs(pre * shares + paid - filed) > 0.0001 then 'bootstrap independent control mismatch' end as err
+_BOOT = ("boot", """select *, case when not has_row then 'listed start has no state row'
+    when tradable then 'listed start was traded' when pre <= 0 then 'listed start has no market reference'
+    when pre * shares + paid <= 0 then 'listed start leads to no price'
+    when abs(pre * shares + paid - filed) > 0.0001 then 'listed start differs from its filing' end as err
   from (select t.exchange, t.code, t.ex_date, paid, shares, t.k % 7 <> 6 as has_row, t.k % 7 = 5 as tradable, case when t.k % 7 = 4 then 0e0 else 10e0 end as pre,
       10e0 * shares + paid + case when t.k % 7 = 3 then 1e0 else 0e0 end as filed from terms t)""")
 

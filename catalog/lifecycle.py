@@ -16,10 +16,10 @@ from pitgate.schema import SECURITY
 from pitgate.sources.readers import objects_with_key, payload_rows
 
 _MARKED = ("marked", """select *, case
-    when kind = 'LIST' and not (prev is null or prev = 'DELIST') then 'duplicate LIST without DELIST'
-    when kind = 'RENAME' and (prev is null or prev = 'DELIST') then 'RENAME before LIST'
-    when kind = 'DELIST' and (prev is null or prev = 'DELIST') then 'DELIST before LIST'
-    when kind = 'DELIST' and effective_date <= opened then 'non-positive life interval' end as fault
+    when kind = 'LIST' and not (prev is null or prev = 'DELIST') then 'listed again while still listed'
+    when kind = 'RENAME' and (prev is null or prev = 'DELIST') then 'renamed while not listed'
+    when kind = 'DELIST' and (prev is null or prev = 'DELIST') then 'delisted while not listed'
+    when kind = 'DELIST' and effective_date <= opened then 'life ends before it begins' end as fault
   from (select exchange, code, event_type as kind, effective_date, name, prec,
       lag(event_type) over w as prev,
       last_value(case when event_type = 'LIST' then effective_date end ignore nulls) over (w rows between unbounded preceding and current row) as opened,
@@ -51,7 +51,7 @@ def lifecycle_faults(spark, sf):
 select 'bad code' as "check", 'error' as severity, count(*) as n_violations, min(k) as first_key, max(k) as last_key
 from (select exchange || ':' || (code || 'x') || ':' || event_type as k from lifecycle_events where event_type = 'RENAME')
 union all
-select 'bad effective_date', 'error', count(*), min(k), max(k)
+select 'event without a day', 'error', count(*), min(k), max(k)
 from (select exchange || ':' || code || ':' || event_type as k from lifecycle_events where event_type = 'DELIST' and exchange = 'SSE')"""))
 def lifecycle_event_checks(spark, sf):
     events = b.lifecycle_events(spark, sf).withColumns({
@@ -91,10 +91,10 @@ def lifecycle_stage(spark, sf):
 
 @query("code_transition_faults", "C2", with_ctes(f"""
 select "check", exchange || ':' || old_code || ':' || code as key, cast(eff as varchar) as detail from (
-  select t.exchange, t.old_code, t.code, t.eff, case when l.listed_from is null then 'transition successor absent from base intervals'
-    when o.code is not null then 'transition predecessor already exists in base intervals'
-    when l.listed_to_exclusive is not null then 'transition successor is not current/open'
-    when l.listed_from >= t.eff then 'transition effective date must be after inherited entity listing date' end as "check"
+  select t.exchange, t.old_code, t.code, t.eff, case when l.listed_from is null then 'successor has no life'
+    when o.code is not null then 'predecessor has a life of its own'
+    when l.listed_to_exclusive is not null then 'successor is no longer listed'
+    when l.listed_from >= t.eff then 'change not after the listing' end as "check"
   from (select exchange, {b.sql_code6('k + 2 - k % 3 * 2')} as old_code,
       case when k % 10 = 3 then {b.sql_code6('k + 700000')} else code end as code, k,
       case when k % 4 = 1 then date '1995-01-10' else date '1998-06-01' end as eff from life) t

@@ -173,7 +173,7 @@ def reclassification_counts(spark, sf):
 
 
 @query("relisting_faults", "J14", with_ctes("""
-select 'relisting override date missing/duplicate' as "check", exchange || ':' || code || ':2000-02-01' as key, '0' as detail
+select 'relisting day without exactly one state row' as "check", exchange || ':' || code || ':2000-02-01' as key, '0' as detail
 from life l where k % 6 = 4 and not exists (select 1 from quiet q where q.exchange = l.exchange and q.code = l.code
   and q.trade_date = date '2000-02-01')""", _INDEXED, _RULED, _QUIET))
 def relisting_faults(spark, sf):

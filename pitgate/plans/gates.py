@@ -47,12 +47,12 @@ def master_gate(master: DataFrame, control: DataFrame, minimum: dict[str, int])
     rows = row_violations(master, key_text(*SECURITY), {
         "invalid exchange": exchange.isin("SSE", "SZSE"),
         "out-of-scope row": (F.col("board") == "MAIN") & (F.col("security_type") == "A_SHARE"),
-        "STAR contamination": ~((exchange == "SSE") & code.rlike("^68[89]")),
-        "ChiNext contamination": ~((exchange == "SZSE") & code.rlike("^30[01]")),
-        "weak board evidence": ~F.col("board_basis").eqNullSafe(F.lit("DERIVED_CODE_PREFIX")),
+        "technology-board code of the first venue": ~((exchange == "SSE") & code.rlike("^68[89]")),
+        "growth-board code of the second venue": ~((exchange == "SZSE") & code.rlike("^30[01]")),
+        "board only guessed from the code": ~F.col("board_basis").eqNullSafe(F.lit("DERIVED_CODE_PREFIX")),
     })
     sizes = master.agg(*[F.count_if(exchange == e).alias(e) for e in minimum])
-    small = [_required(sizes, F.col(e) >= n, "implausibly small universe", F.lit(e)) for e, n in minimum.items()]
+    small = [_required(sizes, F.col(e) >= n, "fewer securities than plausible", F.lit(e)) for e, n in minimum.items()]
     sides = _one_sided(set_sides(master, control, SECURITY), "only in primary", "only in control", *SECURITY)
     return gather(rows, _duplicates(master, SECURITY, "duplicate security"), sides, *small)
 
@@ -87,7 +87,7 @@ def lifecycle_gate(master: DataFrame, intervals: DataFrame, events: DataFrame,
         *[F.count_if((F.col("exchange") == e) & (F.col("event_type") == "DELIST")).alias(e) for e in ("SSE", "SZSE")])
     found.append(_required(shape, F.col("first") <= F.lit(rules.coverage_start),
                            "lifecycle evidence starts after the coverage", F.col("first").cast("string")))
-    found += [_required(shape, F.col(e) > 0, "no historical DELIST events", F.lit(e)) for e in ("SSE", "SZSE")]
+    found += [_required(shape, F.col(e) > 0, "venue without any delisting", F.lit(e)) for e in ("SSE", "SZSE")]
 
     life = lambda side: intervals.select(
         "exchange", F.col("code").alias(f"{side}_code"), F.col("listed_from").alias(f"{side}_from"),
@@ -98,13 +98,13 @@ def lifecycle_gate(master: DataFrame, intervals: DataFrame, events: DataFrame,
     eff, evidence = F.col("effective_date"), F.col("evidence_class")
     has = lambda side: F.coalesce(F.col(f"{side}_found"), F.lit(False))
     found.append(row_violations(both, key_text("exchange", "old_code", "new_code"), {
-        "transition predecessor interval missing": has("old"),
-        "transition predecessor end mismatch": ~has("old") | F.col("old_to").eqNullSafe(eff),
-        "transition predecessor evidence mismatch": ~has("old") | F.col("old_delist").eqNullSafe(evidence),
-        "transition successor interval missing": has("new"),
-        "transition successor start mismatch": ~has("new") | F.col("new_from").eqNullSafe(eff),
-        "transition successor unexpectedly closed": ~has("new") | F.col("new_to").isNull(),
-        "transition successor evidence mismatch": ~has("new") | F.col("new_list").eqNullSafe(evidence),
+        "predecessor has no interval": has("old"),
+        "predecessor ends on another day": ~has("old") | F.col("old_to").eqNullSafe(eff),
+        "end of predecessor has other evidence": ~has("old") | F.col("old_delist").eqNullSafe(evidence),
+        "successor has no interval": has("new"),
+        "successor starts on another day": ~has("new") | F.col("new_from").eqNullSafe(eff),
+        "successor is closed": ~has("new") | F.col("new_to").isNull(),
+        "start of successor has other evidence": ~has("new") | F.col("new_list").eqNullSafe(evidence),
     }))
     counts = [
         (master, "current_active"), (delists, "delisted_a_all_history"), (intervals, "expected_intervals"),
@@ -138,7 +138,7 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
         "bad source sha": well_formed_sha256(F.col("sha256")), "empty source": F.col("bytes") > 0})
     requested = row_violations(day_sources, key_text("exchange", "day"), {
         "bad source sha": well_formed_sha256(F.col("sha256")), "empty source": F.col("bytes") > 0,
-        "market-data day has zero in-scope rows": (F.col("source_rows") <= 0) | (F.col("normalized_rows") > 0)})
+        "day with data but none in scope": (F.col("source_rows") <= 0) | (F.col("normalized_rows") > 0)})
 
     relevant = life.where((F.col("listed_from") <= F.lit(rules.coverage_end)) & (
         F.col("listed_to_exclusive").isNull() | (F.col("listed_to_exclusive") > F.lit(rules.coverage_start))))
@@ -165,7 +165,7 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
     positive = day_sources.where("source_rows > 0")
     found = gather(
         data, origin, requested, per_file,
-        _duplicates(bars, DAY, "duplicate key"), _duplicates(sources, SECURITY, "code fetched in multiple shards"),
+        _duplicates(bars, DAY, "duplicate key"), _duplicates(sources, SECURITY, "security in several shards"),
         violations(shards.where("not complete"), "missing shards", F.col("shards_found").cast("string")),
         _one_sided(set_sides(expected, sources, SECURITY), "expected security without source",
                    "source without expected security", *SECURITY),
@@ -176,7 +176,7 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
                    F.col("exchange"), F.concat_ws(" <> ", F.col("normalized").cast("string"), F.col("scanned").cast("string"))),
         violations(calendar_mismatch(days, first, second), "trading-day calendar mismatch", key_text("only", "day")),
     )
-    quiet = violations(sources.where("normalized_rows = 0"), "security with zero rows needs a state explanation",
+    quiet = violations(sources.where("normalized_rows = 0"), "security without rows",
                        key_text(*SECURITY))
     return found, quiet
 
@@ -202,9 +202,9 @@ def period_violations(periods: DataFrame, rules: Rules) -> DataFrame:
     return row_violations(periods, key_text(*SECURITY), {
         "unknown delisting regime": old | new,
         "old delisting period too long": ~old | (n <= 30),
-        "post-reform short period classed old": ~old | (first < reform) | (n > 15),
+        "short period after the reform under the old regime": ~old | (first < reform) | (n > 15),
         "new delisting period too long": ~new | (n <= 15),
-        "pre-reform period classed new": ~new | (first >= reform),
+        "period before the reform under the new regime": ~new | (first >= reform),
     })
 
 
@@ -221,8 +221,8 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
     key = key_text(*DAY)
     no_limit = F.col("limit_up_rate").isNull() & F.col("limit_down_rate").isNull()
     rows = row_violations(state, key, {
-        "suspended row with non-suspended rule": F.col("tradable") | (F.col("limit_rule") == "SUSPENDED"),
-        "unclassified special no-limit day": F.col("limit_rule") != "UNCLASSIFIED_SPECIAL_NO_LIMIT"})
+        "suspended day under a trading rule": F.col("tradable") | (F.col("limit_rule") == "SUSPENDED"),
+        "special day left unclassified": F.col("limit_rule") != "UNCLASSIFIED_SPECIAL_NO_LIMIT"})
     marks = periods.select(*SECURITY, "first_date", "regime")
     special = state.where(F.col("limit_rule").startswith("DELISTING_"))
     ruled = special.join(marks, list(SECURITY), "left")
@@ -230,9 +230,9 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
     first_rule = F.col("limit_rule") == "DELISTING_15DAY_FIRST_DAY_NO_LIMIT"
     later_rule = F.col("limit_rule") == "DELISTING_CONSOLIDATION_10PCT"
     delisting = row_violations(ruled.where("regime is not null"), key, {
-        "old-regime delisting contains non-10pct row": (F.col("regime") != OLD_REGIME) | later_rule,
-        "new-regime first day not no-limit": (F.col("regime") != NEW_REGIME) | ~is_first | first_rule,
-        "new-regime later day not 10pct": (F.col("regime") != NEW_REGIME) | is_first | later_rule})
+        "old-regime delisting day under another rule": (F.col("regime") != OLD_REGIME) | later_rule,
+        "new-regime first day has a limit": (F.col("regime") != NEW_REGIME) | ~is_first | first_rule,
+        "new-regime later day under another rule": (F.col("regime") != NEW_REGIME) | is_first | later_rule})
     starts = periods.select(*SECURITY, F.col("first_date").alias("trade_date"), "regime").join(
         state.select(*DAY, "limit_rule"), DAY, "left").groupBy(*DAY, "regime").agg(
             F.count("limit_rule").alias("n"), F.min("limit_rule").alias("limit_rule"))
@@ -260,15 +260,15 @@ def state_gate(state: DataFrame, universe: DataFrame, manifest: DataFrame, perio
             "source hash missing": F.length(F.coalesce("sha256", F.lit(""))) > 0,
             "source rows differ from state rows": F.col("rows") == F.coalesce("state_rows", F.lit(0))}),
         violations(missing_keys(periods, special, SECURITY), "delisting period has no classified rows", key_text(*SECURITY)),
-        violations(override_hits(state, relisting, DAY).where("n = 0"), "missing relisting first-day state", key),
+        violations(override_hits(state, relisting, DAY).where("n = 0"), "relisting day without state", key),
         row_violations(relisted, key, {
-            "relisting first day not classified no-limit":
+            "relisting day has a limit":
                 (F.col("limit_rule") == "RELISTING_FIRST_DAY_NO_LIMIT") & no_limit}),
         violations(override_hits(state, suspended_controls, DAY).where("n = 0"), "suspension control row missing", key),
         row_violations(quiet, key, {"suspension control contradicted":
                                     ~F.col("tradable") & (F.col("limit_rule") == "SUSPENDED")}),
         moved.where(F.col("check") != "successor first bar is not the effective date"),
-        violations(missing_keys(state.where("tradable"), bars, DAY), "tradable state without bar", key),
+        violations(missing_keys(state.where("tradable"), bars, DAY), "traded day without bar", key),
     )
 
 
@@ -288,7 +288,7 @@ def factor_gate(events: DataFrame, manifest: DataFrame, shards: int) -> DataFram
         _duplicates(events, KEYS["factor_event"], "duplicate factor event"),
         row_violations(manifest, key_text(*SECURITY), {"missing source hash": F.length(F.coalesce("sha256", F.lit(""))) > 0}),
         violations(have.where(F.col("n") != shards), "shard manifests missing", F.col("n").cast("string")),
-        violations(totals.where(~F.col("declared").eqNullSafe(F.col("scanned"))), "scanned events differ from manifest",
+        violations(totals.where(~F.col("declared").eqNullSafe(F.col("scanned"))), "events found and declared differ",
                    F.concat_ws(" <> ", F.col("scanned").cast("string"), F.col("declared").cast("string"))),
     )
 

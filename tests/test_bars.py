@@ -22,38 +22,38 @@ def payloads(spark, code, kline, shown=None):
     return spark.createDataFrame([("SSE", code, doc)], "exchange string, code string, payload string")
 
 
-KLINE = [[20141231, 10, 11, 9, 10.5, 100, 1000], [20150105, 10, 12, 9, 11, 200, 2200], [20150106, 11, 11.5, 10.5, 11.2, 300, 3300]]
+KLINE = [[20141230, 21, 22.5, 20.8, 22, 150, 3200], [20150106, 22, 24, 21.5, 23.25, 420, 9600], [20150107, 23, 23.5, 22.75, 23, 310, 7150]]
 
 
 def test_array_payload_is_cut_to_the_coverage(spark):
-    raw, bad = br.explode_array_payload(payloads(spark, "600000", KLINE))
+    raw, bad = br.explode_array_payload(payloads(spark, "600718", KLINE))
     assert checks(bad) == [] and raw.count() == 3
-    made, faults, seen = br.normalize_bars(raw, lives(spark, ("SSE", "600000", "2010-01-01", None)), Rules(coverage_end=day("2015-01-06")))
+    made, faults, seen = br.normalize_bars(raw, lives(spark, ("SSE", "600718", "2010-01-01", None)), Rules(coverage_end=day("2015-01-07")))
     assert rows(made, "trade_date", "volume_shares", "amount_cny", "close") == [
-        (day("2015-01-05"), 200, 2200, Decimal("11.000000")), (day("2015-01-06"), 300, 3300, Decimal("11.200000"))]
-    assert checks(faults) == [] and rows(seen, "normalized_rows", "first_date") == [(2, day("2015-01-05"))]
+        (day("2015-01-06"), 420, 9600, Decimal("23.250000")), (day("2015-01-07"), 310, 7150, Decimal("23.000000"))]
+    assert checks(faults) == [] and rows(seen, "normalized_rows", "first_date") == [(2, day("2015-01-06"))]
     assert made.schema.simpleString() == schema.BAR.simpleString()
 
 
 def test_bar_outside_life_is_a_violation(spark):
-    raw, _ = br.explode_array_payload(payloads(spark, "600000", [[20150105, 10, 11, 9, 10, 1, 10]]))
-    made, faults, _ = br.normalize_bars(raw, lives(spark, ("SSE", "600000", "2015-01-06", None)), Rules())
-    assert rows(made) == [] and checks(faults) == [("outside lifecycle", "SSE:600000:2015-01-05")]
+    raw, _ = br.explode_array_payload(payloads(spark, "600718", [[20150112, 31, 32, 30, 31, 4, 124]]))
+    made, faults, _ = br.normalize_bars(raw, lives(spark, ("SSE", "600718", "2015-01-13", None)), Rules())
+    assert rows(made) == [] and checks(faults) == [("outside lifecycle", "SSE:600718:2015-01-12")]
 
 
 @pytest.mark.parametrize("kline, shown, want", [
     ([KLINE[1], KLINE[0]], None, "non-increasing dates"), ([KLINE[1], KLINE[1]], None, "non-increasing dates"),
-    ([[20150105, 1, 1, 1, 1, 1]], None, "malformed kline"), (KLINE, "600001", "code mismatch"),
+    ([[20150105, 1, 1, 1, 1, 1]], None, "malformed kline"), (KLINE, "600719", "code mismatch"),
 ])
 def test_malformed_payloads(spark, kline, shown, want):
-    raw, bad = br.explode_array_payload(payloads(spark, "600000", kline, shown))
+    raw, bad = br.explode_array_payload(payloads(spark, "600718", kline, shown))
     assert names(bad) == [want] and raw.count() == 0
 
 
 def test_row_faults(spark):
-    raw, _ = br.explode_array_payload(payloads(spark, "600000", [
+    raw, _ = br.explode_array_payload(payloads(spark, "600718", [
         [20150105, 10, 9, 9, 10, 1, 10], [20150106, "-", 11, 9, 10, 1, 10], [20150107, 10, 11, 9, 10, 1.5, 10], [20150108, 10, 11, 9, 10, 1, -1]]))
-    _, faults, _ = br.normalize_bars(raw, lives(spark, ("SSE", "600000", "2010-01-01", None)), Rules())
+    _, faults, _ = br.normalize_bars(raw, lives(spark, ("SSE", "600718", "2010-01-01", None)), Rules())
     assert {c for c, k in checks(faults) if k.endswith("05")} == {"OHLC invariant"}
     assert "missing price" in {c for c, k in checks(faults) if k.endswith("06")}
     assert {c for c, k in checks(faults) if k.endswith("07")} == {"volume not a non-negative integer"}
@@ -67,12 +67,12 @@ def day_table(spark, data, requested):
 
 def test_day_table_units_and_scope(spark):
     table = day_table(spark, [
-        ("2015-01-05", "000001", "a", "9", "10", "11", "9", "10.5", "0", "1.25", "2.34", ""),
-        ("2015-01-05", "300001", "b", "9", "10", "11", "9", "10.5", "0", "1", "2", "")], "2015-01-05")
+        ("2017-03-09", "000729", "a", "6", "6.1", "6.4", "6", "6.25", "0", "3.6", "22.41", ""),
+        ("2017-03-09", "300418", "b", "8", "8", "8.2", "7.9", "8.1", "0", "5", "40", "")], "2017-03-09")
     raw, bad = br.day_table_rows(require_columns(table, br.DAY_TABLE_HEADER))
-    made, faults, seen = br.normalize_bars(raw, lives(spark, ("SZSE", "000001", "1991-04-03", None)), Rules(),
+    made, faults, seen = br.normalize_bars(raw, lives(spark, ("SZSE", "000729", "1997-07-11", None)), Rules(),
                                            unit=br.TEN_THOUSAND, outside="ignore")
-    assert rows(made, "code", "volume_shares", "amount_cny") == [("000001", 12500, 23400)]
+    assert rows(made, "code", "volume_shares", "amount_cny") == [("000729", 36000, 224100)]
     assert checks(bad) == checks(faults) == []
     total = seen.agg(F.sum("source_rows"), F.sum("ignored_rows")).first()
     assert tuple(total) == (2, 1)
@@ -113,7 +113,7 @@ def test_identity_checks(spark):
 def test_repair_replaces_only_the_codes_and_years(spark):
     change = spark.createDataFrame([("SSE", "601313", "601360", day("2018-02-28"))], CHANGE)
     life = lives(spark, ("SSE", "601313", "2012-01-16", "2018-02-28"), ("SSE", "601360", "2018-02-28", None))
-    stored = bar_rows(spark, [("601360", "2018-02-14"), ("601360", "2018-02-28"), ("600000", "2018-02-14"), ("600000", "2019-01-02")])
+    stored = bar_rows(spark, [("601360", "2018-02-14"), ("601360", "2018-02-28"), ("600718", "2018-02-14"), ("600718", "2019-01-02")])
     source = [(c, d) for c in ("601313", "601360") for d in ("2018-02-14", "2018-02-28")]
     text = spark.createDataFrame([("SSE", c, day(d), *["2"] * 6) for c, d in source],
                                  "exchange string, code string, trade_date date, open string, high string, low string, "
@@ -121,7 +121,7 @@ def test_repair_replaces_only_the_codes_and_years(spark):
     fixed, bad = br.repair_transition(text, stored, life, change, Rules(), [2018])
     assert checks(bad) == []
     assert rows(fixed, "code", "trade_date") == [
-        ("600000", day("2018-02-14")), ("601313", day("2018-02-14")), ("601360", day("2018-02-28"))]
+        ("600718", day("2018-02-14")), ("601313", day("2018-02-14")), ("601360", day("2018-02-28"))]
 
 
 def test_calendars(spark):

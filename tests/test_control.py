@@ -21,36 +21,36 @@ def run(spark, factors, actions, changes=()):
         Rules())
 
 
-FIRST = ("600001", "2020-01-01", 1, 1)
+FIRST = ("603009", "2018-11-01", 1, 1)
 
 
 @pytest.mark.parametrize("second, action, want", [
-    ((0.5, 1.1), ("CASH_DIVIDEND", 1.1), {"matched": 1, "mismatches": 0, "rebases": 1}),
-    ((1, 1), ("CASH_DIVIDEND", 1.001), {"matched": 0, "unobserved": 1, "mismatches": 0}),
+    ((0.4, 1.25), ("CASH_DIVIDEND", 1.25), {"matched": 1, "mismatches": 0, "rebases": 1}),
+    ((1, 1), ("CASH_DIVIDEND", 1.002), {"matched": 0, "unobserved": 1, "mismatches": 0}),
     ((1, 1), ("CASH_DIVIDEND", 1.0004), {"tiny_unobserved": 1, "unobserved": 0}),
-    ((1.2, 1.2), ("CAPITAL_TRANSFER", 1.1), {"matched": 0, "mismatches": 1}),
+    ((1.3, 1.3), ("CAPITAL_TRANSFER", 1.15), {"matched": 0, "mismatches": 1}),
 ])
 def test_cases(spark, second, action, want):
-    actions, changes, bad = run(spark, [FIRST, ("600001", "2020-06-02", *second)], [("600001", "2020-06-01", *action)])
+    actions, changes, bad = run(spark, [FIRST, ("603009", "2019-03-05", *second)], [("603009", "2019-03-04", *action)])
     counts = ct.control_counts(actions, changes).first().asDict()
     assert {k: counts[k] for k in want} == want
     assert bool(checks(bad)) == (want.get("mismatches", 0) > 0)
 
 
 def test_uncovered_actions(spark):
-    actions, _, _ = run(spark, [FIRST, ("600001", "2020-06-02", 1.1, 1.1)], [
-        ("600001", "2020-01-01", "CASH_DIVIDEND", 1.1), ("600001", "2020-06-03", "CASH_DIVIDEND", 1.1), ("600002", "2020-02-03", "CASH_DIVIDEND", 1.1)])
+    actions, _, _ = run(spark, [FIRST, ("603009", "2019-03-05", 1.1, 1.1)], [
+        ("603009", "2018-11-01", "CASH_DIVIDEND", 1.1), ("603009", "2019-03-06", "CASH_DIVIDEND", 1.1), ("603010", "2020-02-03", "CASH_DIVIDEND", 1.1)])
     assert rows(actions, "status") == [("NOT_COVERED",)] * 3
 
 
 def test_nonpositive_factors_neither_count_nor_reset(spark):
-    _, changes, _ = run(spark, [FIRST, ("600001", "2020-02-01", 0, 2), ("600001", "2020-03-01", 1.5, 1.5)], [("600001", "2021-01-01", "X", 1.0)])
+    _, changes, _ = run(spark, [FIRST, ("603009", "2020-02-01", 0, 2), ("603009", "2020-03-01", 1.5, 1.5)], [("603009", "2021-01-01", "X", 1.0)])
     assert rows(changes, "change_date", "back_ratio", "is_change") == [(day("2020-03-01"), 1.5, True)]
 
 
 def test_factor_rows_follow_the_code_of_their_day(spark):
-    actions, _, _ = run(spark, [("601360", "2018-01-01", 1, 1), ("601360", "2018-02-01", 1.1, 1.1), ("601360", "2018-03-01", 1.1, 1.1)],
-                        [("601313", "2018-02-01", "CASH_DIVIDEND", 1.1)], [("601313", "601360", "2018-02-28")])
+    actions, _, _ = run(spark, [("603881", "2018-01-01", 1, 1), ("603881", "2018-02-01", 1.1, 1.1), ("603881", "2018-03-01", 1.1, 1.1)],
+                        [("603118", "2018-02-01", "CASH_DIVIDEND", 1.1)], [("603118", "603881", "2018-02-28")])
     assert rows(actions, "status", "change_date") == [("MATCHED", day("2018-02-01"))]
 
 
@@ -82,12 +82,12 @@ def test_random_matches_equal_the_greedy_walk(spark):
 def test_factor_events(spark):
     from tests.helpers import dec
 
-    factors = spark.createDataFrame([("SSE", c, day("2020-06-01"), dec(f), dec(1), dec(1)) for c, f in [("1", 1), ("2", 1), ("3", 0)]],
+    factors = spark.createDataFrame([("SSE", c, day("2019-03-04"), dec(f), dec(1), dec(1)) for c, f in [("1", 1), ("2", 1), ("3", 0)]],
                                     "exchange string, code string, effective_date date, fore_adjust_factor decimal(18,6), "
                                     "back_adjust_factor decimal(18,6), adjust_factor decimal(18,6)")
     dividends = spark.createDataFrame([
-        ("SSE", "1", day("2020-06-01"), 2, dec(9), None, None, "later"), ("SSE", "1", day("2020-06-01"), 1, dec(1), dec(1), None, "first"),
-        ("SSE", "3", day("2020-06-01"), 1, None, None, dec(1), "x")],
+        ("SSE", "1", day("2019-03-04"), 2, dec(9), None, None, "later"), ("SSE", "1", day("2019-03-04"), 1, dec(1), dec(1), None, "first"),
+        ("SSE", "3", day("2019-03-04"), 1, None, None, dec(1), "x")],
         "exchange string, code string, operate_date date, seq int, cash_ps_before_tax decimal(18,6), stock_ps decimal(18,6), "
         "reserve_to_stock_ps decimal(18,6), event_detail string")
     events, bad = ct.factor_events(factors, dividends)

@@ -15,7 +15,9 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    own = load()
+    assert own.QUERIES.keys() == own.SQL.keys()
+    assert own.QUERIES.keys() <= entry.queries().keys() and own.SQL.keys() <= entry.oracle_sql().keys()
 
 
 def test_every_inventory_id_has_a_query():

@@ -22,9 +22,23 @@ def test_clean_text(spark, raw, want):
     assert one(spark, text.clean_text, raw) == want
 
 
+def test_references_decode_as_browsers_do(spark):
+    import html
+    import random
+
+    rng = random.Random(3)
+    parts = ["&copy;", "&amp", "&ampx;", "&notit;", "&nope;", "&#00000039;", "&#x00000027;", "&#150;", "&#0;", "&#x110000;", "&#xD800",
+             "&#128512;", "&#7;", "&", "&&", "a b", "&lt;&gt;", "&#", "&#x", "&frac12", "é;"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(text.unescape(F.col("t"))).collect()] == [html.unescape(t) for t in texts]
+
+
 @pytest.mark.parametrize("raw, strict, lenient", [
     ("1,234.5", "1234.500000", "1234.500000"), ("--", None, "0.000000"), ("", None, "0.000000"),
     ("None", None, "0.000000"), ("abc", None, "0.000000"), (None, None, "0.000000"), ("-3", "-3.000000", "-3.000000"),
+    ("200.0000001", None, "200.0000001"), ("10.12345678", None, "10.12345678"), ("1234567890123", None, "1234567890123"),
+    ("4.5000000", "4.500000", "4.5"), ("0.0000000000001", None, "0"),
 ])
 def test_strict_and_lenient_numbers(spark, raw, strict, lenient):
     assert one(spark, numbers.strict_decimal, raw) == (None if strict is None else Decimal(strict))
@@ -36,6 +50,8 @@ def test_unit_conversion(spark):
     assert one(spark, ten_thousand, "1.25") == 12500
     assert one(spark, ten_thousand, "1.00005") is None
     assert one(spark, ten_thousand, "-1") is None
+    assert one(spark, ten_thousand, "0.00001") is None and one(spark, numbers.non_negative_integer, "200.0000001") is None
+    assert one(spark, numbers.lenient_decimal, "9" * 30) is None
     assert one(spark, numbers.non_negative_price, "-0.5") is None
 
 

@@ -21,9 +21,8 @@ def test_master_gate(spark):
     assert checks(gt.master_gate(good, good, {"SSE": 1, "SZSE": 1})) == []
     bad = spark.createDataFrame([("SSE", "688001", "GEM", "A_SHARE", "DERIVED_CODE_PREFIX"), ("SSE", "688001", "MAIN", "A_SHARE", "X"),
                                  ("SZSE", "300001", "MAIN", "A_SHARE", "X"), ("NYSE", "1", "MAIN", "A_SHARE", "X")], ddl)
-    assert names(gt.master_gate(bad, good, {"SSE": 3})) == [
-        "ChiNext contamination", "STAR contamination", "duplicate security", "implausibly small universe", "invalid exchange",
-        "only in control", "only in primary", "out-of-scope row", "weak board evidence"]
+    assert names(gt.master_gate(bad, good, {"SSE": 3})) == sorted(["growth-board code of the second venue", "technology-board code of the first venue", "duplicate security", "fewer securities than plausible", "invalid exchange",
+        "only in control", "only in primary", "out-of-scope row", "board only guessed from the code"])
 
 
 def test_clean_lifecycle_passes(spark):
@@ -42,9 +41,8 @@ def test_clean_lifecycle_passes(spark):
         "name string, expected string")
     assert checks(gt.lifecycle_gate(master, intervals, events, change, counts(1, 2, 4, 5, 1), Rules())) == []
     late = change.withColumn("effective_date", F.lit("2018-03-01").cast("date")).withColumn("evidence_class", F.lit("Q"))
-    assert names(gt.lifecycle_gate(master, intervals, events, late, counts(1, 2, 4, 5, 2), Rules())) == [
-        "manifest count mismatch", "transition predecessor end mismatch", "transition predecessor evidence mismatch",
-        "transition successor evidence mismatch", "transition successor start mismatch"]
+    assert names(gt.lifecycle_gate(master, intervals, events, late, counts(1, 2, 4, 5, 2), Rules())) == sorted(["manifest count mismatch", "predecessor ends on another day", "end of predecessor has other evidence",
+        "start of successor has other evidence", "successor starts on another day"])
 
 
 def stored_bars(spark):
@@ -82,7 +80,7 @@ def test_each_bar_fault_is_found(spark):
         names(gt.bars_gate(gap, life, sources, days, files, RULES)[0]))
     assert "weekday not requested" in names(gt.bars_gate(bars, life, sources, days.limit(4), files, RULES)[0])
     lost = sources.withColumn("shards", F.lit(2))
-    assert names(gt.bars_gate(bars, life, lost, days, files, RULES)[0]) == ["missing shards"]
+    assert names(gt.bars_gate(bars, life, lost, days, files, RULES)[0]) == sorted(["missing shards"])
     silent = sources.withColumn("normalized_rows", F.lit(0).cast("bigint"))
     found, quiet = gt.bars_gate(bars.where("exchange = 'SZSE'"), life, silent, days, files.where("exchange = 'SZSE'"), RULES)
     assert len(checks(quiet)) == 1 and "trading-day calendar mismatch" in names(found)
@@ -93,10 +91,9 @@ def test_period_rules(spark):
     make = lambda first, n, regime: spark.createDataFrame([("SSE", "1", day(first), day(first), n, regime)], ddl)
     assert checks(gt.period_violations(make("2021-03-01", 15, "NEW_15DAY_FIRST_NO_LIMIT"), Rules())) == []
     assert checks(gt.period_violations(make("2021-03-01", 16, "OLD_30DAY_ALL_10PCT"), Rules())) == []
-    assert names(gt.period_violations(make("2021-03-01", 9, "OLD_30DAY_ALL_10PCT"), Rules())) == ["post-reform short period classed old"]
-    assert names(gt.period_violations(make("2019-03-01", 16, "NEW_15DAY_FIRST_NO_LIMIT"), Rules())) == [
-        "new delisting period too long", "pre-reform period classed new"]
-    assert names(gt.period_violations(make("2019-03-01", 31, "OTHER"), Rules())) == ["unknown delisting regime"]
+    assert names(gt.period_violations(make("2021-03-01", 9, "OLD_30DAY_ALL_10PCT"), Rules())) == sorted(["short period after the reform under the old regime"])
+    assert names(gt.period_violations(make("2019-03-01", 16, "NEW_15DAY_FIRST_NO_LIMIT"), Rules())) == sorted(["new delisting period too long", "period before the reform under the new regime"])
+    assert names(gt.period_violations(make("2019-03-01", 31, "OTHER"), Rules())) == sorted(["unknown delisting regime"])
 
 
 def test_stage_gate(spark):
@@ -138,3 +135,49 @@ def test_unique_rows_and_reports(spark):
     assert (none["pass"], none["errors"], none["warnings"]) == (True, [], ["duplicate key: a 2"])
     many = spark.range(100).select(F.lit("c").alias("check"), F.lpad(F.col("id").cast("string"), 3, "0").alias("key"), F.lit("").alias("detail"))
     assert ck.samples(many, 20).count() == 20 and ck.summarize(many).first()["last_key"] == "099"
+
+
+def final_facts(spark, **changed):
+    facts = {name: expected for _, name, expected in gt.FINAL_PINS} | {n: "f" for n in gt.FINAL_PRINTS}
+    facts |= {n: "7" for _, *both in gt.FINAL_PAIRS for n in both} | changed
+    return spark.createDataFrame([(k, v) for k, v in facts.items() if v is not None], "name string, value string")
+
+
+def test_final_gate(spark):
+    assert checks(gt.final_gate(final_facts(spark))) == []
+    for check, name, _ in gt.FINAL_PINS:
+        assert checks(gt.final_gate(final_facts(spark, **{name: "1"}))) == [(check, name)]
+    for check, left, right in gt.FINAL_PAIRS:
+        assert (check, f"{left}={right}") in checks(gt.final_gate(final_facts(spark, **{right: "8"})))
+    missing = gt.final_gate(final_facts(spark, **{"chain.fingerprint": "", "bars.fingerprint": None}))
+    assert checks(missing) == [("fingerprint missing", "bars.fingerprint"), ("fingerprint missing", "chain.fingerprint")]
+    prints = {gt.final_fingerprint(final_facts(spark, **c)).first()[0] for c in ({}, {"control.mismatches": "1"}, {"chain.fingerprint": "g"})}
+    assert len(prints) == 3
+
+
+def test_freeze_gate(spark):
+    frame = spark.createDataFrame
+    named = lambda pairs: frame(pairs, "name string, value string")
+    basis = [("basis.G3.fingerprint", "p"), ("basis.G3.rows", "9")]
+    print_ = fx.canonical_fingerprint(named(basis)).first()[0]
+    gates = lambda ok=True, n=0, p="p": frame([("G3", ok, n, p)], "gate string, pass boolean, errors int, fingerprint string")
+    digests = lambda *pairs: frame(pairs, "key string, sha256 string")
+    pins = frame([("not enabled", "status", "PASS")], "check string, name string, expected string")
+    pairs = frame([("rows differ", "basis.G3.rows", "g3.rows")], "check string, left string, right string")
+
+    def found(manifest=(("status", "PASS"), ("fingerprint", print_)), rows_="9", evidence=None,
+              sums=(("a", "x"), ("canonical", print_)), files=(("a", "x"),)):
+        return checks(gt.freeze_gate(named([*basis, *manifest]), named([("g3.rows", rows_)]), evidence or gates(),
+                                     digests(*sums), digests(*files), pins, pairs))
+
+    assert found() == []
+    assert found(rows_="8") == [("rows differ", "basis.G3.rows=g3.rows")]
+    assert found(manifest=(("status", "FAIL"), ("fingerprint", print_))) == [("not enabled", "status")]
+    assert found(manifest=(("status", "PASS"), ("fingerprint", "old"))) == [("canonical fingerprint differs", "fingerprint")]
+    assert found(evidence=gates(False)) == [("gate does not pass", "G3")]
+    assert found(evidence=gates(n=2)) == [("gate reports errors", "G3")]
+    assert found(evidence=gates(p="q")) == [("gate fingerprint differs from the manifest", "G3")]
+    assert found(files=(("a", "y"),)) == [("evidence digest mismatch", "a")]
+    assert found(files=()) == [("evidence missing", "a")]
+    assert found(files=(("a", "x"), ("b", "z"))) == [("file without registered digest", "b")]
+    assert found(sums=(("a", "x"), ("canonical", "old"))) == [("evidence digest mismatch", "canonical")]

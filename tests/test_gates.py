@@ -181,3 +181,27 @@ def test_freeze_gate(spark):
     assert found(files=()) == [("evidence missing", "a")]
     assert found(files=(("a", "x"), ("b", "z"))) == [("file without registered digest", "b")]
     assert found(sums=(("a", "x"), ("canonical", "old"))) == [("evidence digest mismatch", "canonical")]
+
+
+def test_a_period_must_open_with_its_own_rule(spark):
+    shape = ("exchange string, code string, trade_date date, tradable boolean, limit_rule string, limit_up_rate decimal(4,2), "
+             "limit_down_rate decimal(4,2)")
+    days = [dt.date(2022, 3, 1), dt.date(2022, 3, 2)]
+    state = lambda first: spark.createDataFrame(
+        [("SSE", "1", d, True, r, None, None) for d, r in zip(days, (first, "DELISTING_CONSOLIDATION_10PCT"), strict=True) if r], shape)
+    periods = spark.createDataFrame([("SSE", "1", days[0], days[1], 2, "NEW_15DAY_FIRST_NO_LIMIT")],
+                                    "exchange string, code string, first_date date, last_date date, trade_days int, regime string")
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    key = none("exchange string, code string, trade_date date")
+    changes = none("exchange string, old_code string, new_code string, effective_date date")
+
+    def found(first):
+        rows_ = state(first)
+        universe = rows_.select("exchange", "code").distinct()
+        manifest = rows_.groupBy("exchange", "code").agg(F.count("*").alias("rows")).withColumn("sha256", F.lit("x"))
+        bars = rows_.select("exchange", "code", "trade_date").withColumn("close", F.lit(1))
+        return names(gt.state_gate(rows_, universe, manifest, periods, key, changes, bars, key, Rules()))
+
+    assert found("DELISTING_15DAY_FIRST_DAY_NO_LIMIT") == []
+    assert found("MAIN_BOARD_10PCT") == ["delisting period opens under another rule"]
+    assert found(None) == ["delisting period without one row on its first day"]

@@ -66,8 +66,20 @@ _INDEXED = ("indexed", """select s.*, sum(tradable::integer) over (partition by
   (exchange, code) in (select exchange, new_code from transitions) as successor from state s""")
 
 
-@query("limit_rules", "C6 W1", with_ctes("""
-select i.exchange, i.code, cast(i.trade_date as varchar) as trade_date, case
+# What each rule allows, and why; the tag of a delisting period says where it comes from.
+_RATES = """case {rule} when 'RISK_WARNING_5PCT' then 0.05 when 'IPO_FIRST_DAY_2014_RULE' then {first} when 'DELISTING_CONSOLIDATION_10PCT' then 0.1
+  when 'RISK_WARNING_10PCT' then 0.1 when 'MAIN_BOARD_10PCT' then 0.1 end::double"""
+_UP, _DOWN = (lambda rule: _RATES.format(rule=rule, first=0.44)), (lambda rule: _RATES.format(rule=rule, first=0.36))
+_PERIOD_EVIDENCE = """when 'DELISTING_15DAY_FIRST_DAY_NO_LIMIT' then 'BAOSTOCK_POINT_IN_TIME+EXCHANGE_2020_DELISTING_REFORM+{tag}'
+  when 'DELISTING_CONSOLIDATION_10PCT' then 'BAOSTOCK_POINT_IN_TIME+EXCHANGE_DELISTING_RULE+{tag}'"""
+
+
+@query("limit_rules", "C6 W1", with_ctes(f"""
+select *, {_UP('limit_rule')} as limit_up_rate, {_DOWN('limit_rule')} as limit_down_rate,
+  case limit_rule when 'SUSPENDED' then 'BAOSTOCK_POINT_IN_TIME' {_PERIOD_EVIDENCE.format(tag='FINAL_TRADING_BLOCK')}
+    when 'IPO_FIRST5_NO_LIMIT' then 'LIFECYCLE+EXCHANGE_REGISTRATION_RULE' when 'IPO_FIRST_DAY_2014_RULE' then 'LIFECYCLE+EXCHANGE_IPO_RULE'
+    when 'MAIN_BOARD_10PCT' then 'EXCHANGE_RULE_VERSION' else 'BAOSTOCK_POINT_IN_TIME+EXCHANGE_RULE_VERSION' end as evidence
+from (select i.exchange, i.code, cast(i.trade_date as varchar) as trade_date, case
   when not tradable then 'SUSPENDED'
   when p.regime = 'NEW_15DAY_FIRST_NO_LIMIT' and i.trade_date = p.first_date then 'DELISTING_15DAY_FIRST_DAY_NO_LIMIT'
   when i.trade_date between p.first_date and p.last_date then 'DELISTING_CONSOLIDATION_10PCT'
@@ -75,28 +87,26 @@ select i.exchange, i.code, cast(i.trade_date as varchar) as trade_date, case
   when not successor and listed_from between date '1995-02-01' and date '1995-06-30' and ti = 1 then 'IPO_FIRST_DAY_2014_RULE'
   when risk_warning and i.trade_date < date '1998-01-01' then 'RISK_WARNING_5PCT'
   when risk_warning then 'RISK_WARNING_10PCT' else 'MAIN_BOARD_10PCT' end as limit_rule
-from indexed i left join periods p using (exchange, code)""", _P, _INDEXED))
+from indexed i left join periods p using (exchange, code))""", _P, _INDEXED))
 def limit_rules(spark, sf):
     successors = b.transitions(spark, sf).select("exchange", F.col("new_code").alias("code"))
     rows = stored(b.state(spark, sf), "state")
     ruled = st.classify_state(rows, b.intervals(spark, sf), RULES, successors=successors)
-    return plain(ruled.select(*DAY, "limit_rule"))
+    return plain(ruled.select(*DAY, "limit_rule", "limit_up_rate", "limit_down_rate", "evidence"))
 
 
 @query("limit_rules_v1", "C6b", with_ctes("""
 select exchange, code, cast(trade_date as varchar) as trade_date, rule as limit_rule,
-  case when rule = 'IPO_FIRST_DAY_2014_RULE' then 0.44 when rule = 'RISK_WARNING_5PCT' then 0.05
-    when rule in ('RISK_WARNING_10PCT', 'MAIN_BOARD_10PCT') then 0.1 end::double as limit_up_rate
-from (select *, case when not tradable then 'SUSPENDED'
+  UP as limit_up_rate, DOWN as limit_down_rate from (select *, case when not tradable then 'SUSPENDED'
   when listed_from >= date '1995-07-01' and ti <= 5 then 'IPO_FIRST5_NO_LIMIT'
   when listed_from between date '1995-01-01' and date '1995-06-30' and ti = 1 then 'IPO_FIRST_DAY_2014_RULE'
   when abs(coalesce(pct_chg, 0)) > 10.5 and date_diff('day', trade_date, listed_to_exclusive) between 1 and 45 then 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT'
   when abs(coalesce(pct_chg, 0)) > 10.5 then 'UNCLASSIFIED_SPECIAL_NO_LIMIT'
   when risk_warning and trade_date < date '1998-01-01' then 'RISK_WARNING_5PCT'
-  when risk_warning then 'RISK_WARNING_10PCT' else 'MAIN_BOARD_10PCT' end as rule from indexed)""", _INDEXED))
+  when risk_warning then 'RISK_WARNING_10PCT' else 'MAIN_BOARD_10PCT' end as rule from indexed)""".replace("UP", _UP("rule")).replace("DOWN", _DOWN("rule")), _INDEXED))
 def limit_rules_v1(spark, sf):
     ruled = st.classify_state(b.state(spark, sf), b.intervals(spark, sf), RULES, mode="v1", legacy=True)
-    return plain(ruled.select(*DAY, "limit_rule", "limit_up_rate"))
+    return plain(ruled.select(*DAY, "limit_rule", "limit_up_rate", "limit_down_rate"))
 
 
 @query("unexplained_moves", "C7", with_ctes("""
@@ -139,7 +149,7 @@ _RULED = ("ruled", """select *, case when not tradable then 'SUSPENDED'
   when risk_warning then 'RISK_WARNING_10PCT' else 'MAIN_BOARD_10PCT' end as rule from indexed""")
 _QUIET = ("quiet", """select r.exchange, coalesce(t.old_code, r.code) as code, r.k, r.trade_date, r.listed_to_exclusive,
   case when q then false else tradable end as tradable, case when q then 'SUSPENDED' else rule end as rule,
-  t.old_code is not null as remapped, q and (tradable or rule <> 'SUSPENDED') as overridden
+  t.old_code is not null as remapped, q as quieted, q and (tradable or rule <> 'SUSPENDED') as overridden
   from (select *, k % 6 = 5 and trade_date = date '1996-05-13' and (exchange, code) not in (select exchange, new_code from transitions where effective_date > date '1996-05-13') as q from ruled) r
   left join transitions t on t.exchange = r.exchange and t.new_code = r.code and r.trade_date < t.effective_date""")
 _TARGET = ("target", """select q.*, case
@@ -150,13 +160,18 @@ _TARGET = ("target", """select q.*, case
 _QP = ("periods", _PERIODS.format(src="quiet"))
 
 
-@query("state_reclassified", "C9 J14 N23", with_ctes("""
+@query("state_reclassified", "C9 J14 N23", with_ctes(f"""
 select exchange, code, cast(trade_date as varchar) as trade_date, cast(tradable as integer) as tradable,
   coalesce(target, rule) as limit_rule, cast(remapped as integer) as remapped, cast(overridden as integer) as overridden,
-  cast(coalesce(target <> rule, false) as integer) as rewritten from target""", _INDEXED, _RULED, _QUIET, _QP, _TARGET))
+  cast(coalesce(target <> rule, false) as integer) as rewritten,
+  {_UP('coalesce(target, rule)')} as limit_up_rate, {_DOWN('coalesce(target, rule)')} as limit_down_rate,
+  case target when 'RELISTING_FIRST_DAY_NO_LIMIT' then 'EXCHANGE_OFFICIAL_RELISTING_ANNOUNCEMENT+OFFLINE_OVERRIDE' {_PERIOD_EVIDENCE.format(tag='OFFLINE_FINAL_BLOCK_RECLASS')}
+    else case when quieted then 'SCHEDULE+OFFLINE_OVERRIDE' else 'BAOSTOCK_POINT_IN_TIME+EXCHANGE_RULE_VERSION' ||
+      case when remapped then '+OFFICIAL_CODE_TIME_IDENTITY_REMAP' else '' end end end as evidence from target""", _INDEXED, _RULED, _QUIET, _QP, _TARGET))
 def state_reclassified(spark, sf):
     out, _, _ = _reclassified(spark, sf)
-    return plain(out.select(*DAY, "tradable", "limit_rule", "remapped", "overridden", "rewritten"))
+    return plain(out.select(*DAY, "tradable", "limit_rule", "remapped", "overridden", "rewritten",
+                            "limit_up_rate", "limit_down_rate", "evidence"))
 
 
 @query("reclassification_counts", "A2 A15 C9", with_ctes("""

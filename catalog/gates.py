@@ -181,7 +181,7 @@ union all select 'suspension control contradicted', exchange || ':' || code || '
 union all select 'predecessor has zero bars', exchange || ':' || old_code || ':' || new_code from transitions
 union all select 'successor bar predates transition', exchange || ':' || old_code || ':' || new_code from transitions
 union all select 'traded day without bar', exchange || ':' || code || ':' || cast(trade_date as varchar) from ruled r where tradable
-  and not exists (select 1 from px p where p.exchange = r.exchange and p.code = r.code and p.trade_date = r.trade_date and p.q > 10)""",
+  and not exists (select 1 from px p where p.exchange = r.exchange and p.code = r.code and p.trade_date + case when p.q > 10 then 0 else 1 end = r.trade_date)""",
     _P, _INDEXED, ("ruled", """select *, case when not tradable then 'SUSPENDED'
   when listed_from >= date '1995-07-01' and ti <= 5 then 'IPO_FIRST5_NO_LIMIT'
   when listed_from between date '1995-01-01' and date '1995-06-30' and ti = 1 then 'IPO_FIRST_DAY_2014_RULE'
@@ -199,7 +199,8 @@ def gate_state(spark, sf):
     day = lambda text: F.lit(text).cast("date").alias("trade_date")
     relisting = life.where(k % 6 == 4).select(*SECURITY, day("2000-02-01"))
     quiet = life.where(k % 8 == 1).select(*SECURITY, day("1995-03-01"))
-    official = b.px(spark, sf).where("q > 10").select(*DAY)
+    filed = F.date_add("trade_date", F.when(F.col("q") > 10, 0).otherwise(1)).alias("trade_date")
+    official = b.px(spark, sf).select(*SECURITY, filed)
     changes = stored(b.transitions(spark, sf), "transitions")
     return summarize(gt.state_gate(state, life.select(*SECURITY), manifest, periods, relisting,
                                    changes, official, quiet, RULES))

@@ -12,6 +12,7 @@ from catalog.sources import day_tables
 from pitgate.operators.actions import declared_differentials, named_record
 from pitgate.operators.bars import day_table_rows
 from pitgate.operators.checks import failed_checks, key_text, row_violations, summarize
+from pitgate.operators.joins import lifecycle_status
 
 _RAW_NUMBER = """case l_linenumber when 1 then '-' when 2 then '--' when 3 then 'n/a' when 4 then ''
   when 5 then ' ' || cast(cast(l_quantity as bigint) * 1000 as varchar) || ',5 ' when 6 then '-' || cast(cast(l_quantity as bigint) as varchar)
@@ -186,9 +187,10 @@ def active_on_day(spark, sf):
     life = b.intervals(spark, sf).where(dates.overlaps(
         F.col("listed_from"), F.col("listed_to_exclusive"), RULES.coverage_start, RULES.coverage_end))
     rows = b.px(spark, sf).where(F.col("trade_date").between(F.lit(RULES.coverage_start), F.lit(RULES.coverage_end)))
-    joined = rows.join(life.select("exchange", "code", "listed_from", "listed_to_exclusive"), ["exchange", "code"])
+    # By (security, year slice), so a busy security is several groups.
+    placed = lifecycle_status(rows, life, "trade_date", RULES).where("lifecycle_status <> 'OUT_OF_UNIVERSE'")
     active = dates.active_on(F.col("listed_from"), F.col("listed_to_exclusive"), F.col("trade_date"))
-    return plain(joined.select("exchange", "code", "l_orderkey", "l_linenumber", "l_partkey", active.alias("active")))
+    return plain(placed.select("exchange", "code", "l_orderkey", "l_linenumber", "l_partkey", active.alias("active")))
 
 
 @query("placeholder_rows", "P6", with_ctes("""

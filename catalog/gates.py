@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import bindings as b
@@ -22,7 +24,7 @@ from pitgate.operators.trading_days import weekdays
 from pitgate.plans import facts as fx
 from pitgate.plans import gates as gt
 from pitgate.schema import KEYS, SECURITY
-from pitgate.sources.writers import rank_shards, stored
+from pitgate.sources.writers import rank_shards, shared_folder, stored, write_report
 
 DAY = [*SECURITY, "trade_date"]
 SUMMARY = """select "check", 'error' as severity, count(*) as n_violations, min(key) as first_key, max(key) as last_key from found group by 1"""
@@ -345,5 +347,8 @@ from (select 'duplicate bar' as c, 'duplicate bar: ' || key || ' ' || n as line,
 def gate_report(spark, sf):
     _, found = enforce_unique(b.px(spark, sf), list(KEYS["bar"]), "duplicate bar")
     facts = b.px(spark, sf).agg(F.count_distinct("code").alias("securities"))
+    path = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
     made = report("G1", found, facts)
+    write_report(made, path)
+    made = spark.read.schema(made.schema).json(path)
     return plain(made.withColumn("errors", F.array_join("errors", "|")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitgate.functions.text import unwrap_jsonp
+from pitgate.operators.checks import violations
 
 
 class HeaderError(ValueError):
@@ -75,6 +76,12 @@ def payload_rows(payloads: DataFrame, payload: str, fields: Sequence[str],
     return rows.select(*rest, *[F.get_json_object("row_json", f"$.{f}").alias(f) for f in fields], "row_json")
 
 
+def unreadable_payloads(payloads: DataFrame, payload: str, key: str) -> DataFrame:
+    """Violations for payloads that are no JSON; :func:`objects_with_key` passes them over."""
+    broken = payloads.where(F.try_parse_json(payload).isNull())
+    return violations(broken, "payload is no JSON", F.col(key).cast("string"))
+
+
 def objects_with_key(payloads: DataFrame, payload: str, *keys: str) -> DataFrame:
     """One row per object, at any depth of the payload, that has one of ``keys``.
 
@@ -98,7 +105,8 @@ def objects_with_key(payloads: DataFrame, payload: str, *keys: str) -> DataFrame
         return docs.map(lambda d: [json.dumps(o, ensure_ascii=False, sort_keys=True) for o in holders(d)])
 
     rest = [c for c in payloads.columns if c != payload]
-    return payloads.select(*rest, F.posexplode(walk(F.col(payload))).alias("position", "object_json"))
+    readable = F.when(F.try_parse_json(payload).isNotNull(), F.col(payload)).otherwise("null")
+    return payloads.select(*rest, F.posexplode(walk(readable)).alias("position", "object_json"))
 
 
 def json_fields(col: Column, fields: Sequence[str]) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pitgate import schema
 from pitgate.sources import readers as rd
 from pitgate.sources import writers as wr
-from tests.helpers import day, dec, rows
+from tests.helpers import checks, day, dec, rows
 
 
 @pytest.fixture
@@ -109,3 +109,9 @@ def test_checkpoint_goes_to_the_named_folder(spark):
     cut = wr.cut_lineage(spark.range(5))
     assert cut.count() == 5 and spark.sparkContext.getCheckpointDir().startswith(
         ("file:" + wr.shared_folder(spark), wr.shared_folder(spark)))
+
+
+def test_broken_payloads_are_violations(spark):
+    docs = spark.createDataFrame([("a", '{"k": 1}'), ("b", "{broken"), ("c", None)], "id string, p string")
+    assert rows(rd.objects_with_key(docs, "p", "k"), "id", "object_json") == [("a", '{"k": 1}')]
+    assert checks(rd.unreadable_payloads(docs, "p", "id")) == [("payload is no JSON", "b"), ("payload is no JSON", "c")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pitgate.functions.classify import dividend_class
 from pitgate.operators.actions import ACTION_KEY
-from pitgate.operators.checks import beside, gather, key_text, violations
+from pitgate.operators.checks import beside, enforce_unique, gather, key_text, violations
 from pitgate.operators.joins import first_match, near_clusters, remap_identity
 from pitgate.schema import SECURITY, Rules
 
@@ -100,10 +100,14 @@ def factor_control(chain: DataFrame, factors: DataFrame, transitions: DataFrame,
     """``(actions, changes, violations)``.
 
     Every official action gets a status; every factor change gets ``is_rebase`` and, when
-    no action took it, ``supplier_only``. Only a comparable factor that differs by more
-    than the tolerance is a violation.
+    no action took it, ``supplier_only``. A comparable factor that differs by more than the
+    tolerance is a violation; so are a day with two factor rows of one security (after the
+    remap) and an action that is there twice, which take no part: changes are told apart by
+    their day, and days bound every group.
     """
-    rows = covered_factors(factors, transitions, rules)
+    rows, doubled = enforce_unique(covered_factors(factors, transitions, rules), [*SECURITY, "effective_date"],
+                                   "two factor rows of one day")
+    chain, twice = enforce_unique(chain, ACTION_KEY, "action listed twice")
     changes = factor_changes(rows, rules)
     official = chain.select(
         *ACTION_KEY, "action_type", F.col("back_adjust_multiplier").cast("double").alias("theory"))
@@ -127,7 +131,7 @@ def factor_control(chain: DataFrame, factors: DataFrame, transitions: DataFrame,
         "supplier_only", F.col("is_change") & F.col("_taken").isNull()).drop("_taken")
     bad = violations(actions.where(F.col("status") == MISMATCH), "factor ratio mismatch",
                      key_text(*ACTION_KEY), F.col("change_date"))
-    return actions, marked, bad
+    return actions, marked, gather(bad, doubled, twice)
 
 
 def control_counts(actions: DataFrame, changes: DataFrame) -> DataFrame:

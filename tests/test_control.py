@@ -94,3 +94,10 @@ def test_factor_events(spark):
     assert rows(events, "code", "event_type", "event_detail") == [
         ("1", "CASH_AND_STOCK_DISTRIBUTION", "first"), ("2", "UNMATCHED_FACTOR_EVENT", None), ("3", "STOCK_DIVIDEND_OR_CAPITAL_TRANSFER", "x")]
     assert names(bad) == ["nonpositive factor", "unmatched factor event"]
+
+
+def test_doubled_rows_take_no_part(spark):
+    actions, _, bad = run(spark, [FIRST, ("603009", "2019-03-05", 1.1, 1.1), ("603009", "2019-03-05", 1.2, 1.2), ("603009", "2019-06-03", 1, 1)],
+                          [("603009", "2019-03-04", "CASH_DIVIDEND", 1.1), ("603010", "2019-03-04", "X", 1.0), ("603010", "2019-03-04", "X", 1.0)])
+    assert rows(actions, "status") == [("UNOBSERVED",)]
+    assert checks(bad) == [("action listed twice", "SSE:603010:2019-03-04"), ("two factor rows of one day", "SSE:603009:2019-03-05")]

@@ -26,25 +26,28 @@ FIELD = "<*>"
 
 def masked(line: Column) -> Column:
     """The line's tokens with single spaces, and a field where a token holds a digit."""
-    tidy = F.trim(F.regexp_replace(line, r"[ \t\r]+", " "))
+    uneven = F.contains(line, F.lit("  ")) | F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r"))
+    tidy = F.trim(F.when(uneven, F.regexp_replace(line, r"[ \t\r]+", " ")).otherwise(line))
     return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)).otherwise(tidy)
 
 
 def _placed(texts: DataFrame) -> DataFrame:
-    """``rid, pos, leaf, kind`` of every line that has :data:`LEAST_TOKENS` tokens."""
+    """``rid, pos, leaf, kind`` of every line; the leaf is null below :data:`LEAST_TOKENS` tokens.
+
+    The filter comes after these are stored: before, it would have every line masked twice.
+    """
     lines = texts.select("rid", F.posexplode(F.split("body", "\n")).alias("pos", "raw"))
     lines = lines.select("rid", "pos", masked(F.col("raw")).alias("line"))
-    tokens = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n", tokens).where(F.col("n") >= LEAST_TOKENS)
-    return lines.select("rid", "pos", F.xxhash64("n", F.substring_index("line", " ", LEADING)).alias("leaf"),
-                        F.xxhash64("line").alias("kind"))
+    n = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    leaf = F.when(n >= LEAST_TOKENS, F.xxhash64(n, F.substring_index("line", " ", LEADING)))
+    return lines.select("rid", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
 
 
 def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
     """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text."""
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.xxhash64(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("body"))
-    thin = stored(_placed(rows).distinct(), "lines")
+    thin = stored(_placed(rows), "lines").where("leaf is not null").distinct()
     busy = (thin.select("leaf", "rid").distinct().groupBy("leaf").count()
             .where(F.col("count") >= min_docs).select("leaf"))
     near = stored(thin.join(busy, "leaf"), "busy-leaves")

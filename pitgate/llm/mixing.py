@@ -6,7 +6,9 @@ counted through all shards, run through pseudorandom permutations of its block i
 per pass over the source), and blocks are joined by index. Draws fall short of or exceed a
 source's due number by chance: what exceeds it is dropped, and a last shard gets the rest.
 
-Everything on rows is DataFrame functions. The driver holds one row per source.
+Everything on rows is DataFrame functions. The driver holds one row per source. Joins of
+exploded rows are merge joins by a hint: Spark takes their size from the files before the
+explosion, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -139,7 +141,8 @@ def _slots(docs: DataFrame, sources: list[Source], seed: int) -> DataFrame:
     before = Window.partitionBy("number").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
     runs = runs.withColumn("last", F.least(F.col("first") + F.col("count"), _lookup(sources, "slots", "long")) - 1)
-    runs = runs.where("first <= last").repartition("shard", "number")
+    # The number is given, since the few rows of runs would else be merged into one task that explodes them all.
+    runs = runs.where("first <= last").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard", "number")
     index = runs.withColumn("k", F.explode(F.sequence("first", "last"))).withColumns({
         "n": _lookup(sources, "blocks", "long"), "slot": F.col("k") - F.col("first")})
     index = index.withColumns({"take": F.floor(F.col("k") / F.col("n")), "index": F.pmod("k", "n")})
@@ -176,7 +179,7 @@ def mixed_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
     low = F.greatest("at", F.col("block") * block)
     high = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     parts = worded.select("number", "block", "at", (low - F.col("at")).alias("first_word"), (high - low).alias("n_words"))
-    placements = _slots(docs, sources, seed).join(parts, ["number", "block"]).select(
+    placements = _slots(docs, sources, seed).hint("merge").join(parts.hint("merge"), ["number", "block"]).select(
         "shard", "slot", "number", "take", "at", "first_word", "n_words")
     return documents, placements
 
@@ -185,7 +188,7 @@ def mixed_words(docs: DataFrame, **options) -> DataFrame:
     """``key, size, source_size, target, taken``: how many words the mix takes of each document."""
     documents, placements = mixed_blocks(docs, **options)
     taken = placements.groupBy("number", "at").agg(F.sum("n_words").alias("taken")).withColumn("worded", F.lit(True))
-    out = documents.withColumn("worded", F.col("size") > 0).join(taken, ["number", "at", "worded"], "left")
+    out = documents.withColumn("worded", F.col("size") > 0).join(taken.hint("merge"), ["number", "at", "worded"], "left")
     return out.select(F.col("key").alias(options.get("key", "doc_id")), "size", "source_size", "target",
                       F.coalesce("taken", F.lit(0)).alias("taken"))
 
@@ -197,16 +200,18 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     documents, placements = mixed_blocks(docs, key, text, source, **options)
     spans = placements.groupBy("number", "at", "take").agg(
         F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("spans"))
-    chosen = documents.where("size > 0").join(spans, ["number", "at"])
+    chosen = documents.where("size > 0").join(spans.hint("merge"), ["number", "at"])
     copies = Window.partitionBy("key", "digest", "take").orderBy("number", "at")
     chosen = chosen.withColumn("copy", F.row_number().over(copies)).select(
         F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("copy").alias("_copy"), "spans")
     once = Window.partitionBy("_key", "_digest").orderBy(F.lit(0))
     rows = docs.withColumns({"_key": F.col(f"`{key}`"), "_digest": F.xxhash64(f"`{text}`")})
     rows = rows.withColumn("_copy", F.row_number().over(once))
-    joined = rows.join(chosen, rows["_key"].eqNullSafe(chosen["_key"]) & (rows["_digest"] == chosen["_digest"])
+    joined = rows.join(chosen.hint("merge"), rows["_key"].eqNullSafe(chosen["_key"]) & (rows["_digest"] == chosen["_digest"])
                        & (rows["_copy"] == chosen["_copy"])).drop("_key", "_digest", "_copy")
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    pieces = F.flatten(F.transform("spans", lambda s: F.slice("_words", s["first_word"].cast("int") + 1, s["n_words"].cast("int"))))
-    return joined.withColumn("_words", words).withColumn(
-        text, F.regexp_replace(F.array_join(pieces, ""), r"^[\x20\x09-\x0D]+", "")).select(*docs.columns)
+    # The array of one holds the words, so that the text is split once and not for each span.
+    taken = F.transform(F.array(words), lambda w: F.flatten(F.transform("spans", lambda s: F.slice(
+        w, s["first_word"].cast("int") + 1, s["n_words"].cast("int")))))
+    return joined.withColumn(
+        text, F.regexp_replace(F.array_join(F.get(taken, F.lit(0)), ""), r"^[\x20\x09-\x0D]+", "")).select(*docs.columns)

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pitgate.llm.tables import small_batches
+
 WINDOW = 3
 SURGE = 40
 UNSEEN = re.compile(
@@ -148,7 +150,7 @@ def main_texts(pages: DataFrame, key: str = "page_id", markup: str = "html", kee
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], texts], [*names, "text"])
 
     names = [f"k{i}" for i in range(len(keep) + 1)]
-    picked = pages.select(F.col(f"`{markup}`").alias("markup"), *[
+    picked = small_batches(pages).select(F.col(f"`{markup}`").alias("markup"), *[
         F.col(f"`{c}`").alias(n) for c, n in zip((key, *keep), names, strict=True)])
     shape = ", ".join(f"{n} {picked.schema[n].dataType.simpleString()}" for n in names) + ", text string"
     return picked.mapInArrow(extract, shape).select(

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitgate.llm.hashing import chunks, mix, text_bytes, word_hashes
-from pitgate.llm.tables import hashed_counts
+from pitgate.llm.tables import hashed_counts, small_batches
 
 SUBSETS = 32
 BITS = 20
@@ -102,7 +102,7 @@ def fingerprinted(docs: DataFrame, table: np.ndarray, key: str = "doc_id", text:
                 found = [_hex(x) for x in fingerprints(part.column(1), band)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["id", "fingerprint"])
 
-    picked = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    picked = small_batches(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")))
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(make, f"id {kind}, fingerprint string").withColumnRenamed("id", key)
 
@@ -142,7 +142,8 @@ def edited_likeness(docs: DataFrame, table: np.ndarray, key: str = "doc_id", tex
     A null text is empty. A single row is its own next.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(f"`{text}`", F.lit("")).alias("text"))
+    picked = small_batches(docs.select(
+        F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(f"`{text}`", F.lit("")).alias("text")))
     bounds = _bounds(picked.select("id"))
     firsts = _firsts(picked.select("id"), bounds)
     deals = list(firsts)

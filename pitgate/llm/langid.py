@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitgate.llm.hashing import chunks, letter_grams, unique_words
+from pitgate.llm.tables import small_batches
 
 SAMPLE = 10_000
 WORDS = 20_000
@@ -55,7 +56,7 @@ def _counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             for lang in pc.unique(batch.column(0)):
                 own = batch.filter(pc.equal(batch.column(0), lang))
-                for part in chunks(own, 1, 4 << 20):
+                for part in chunks(own, 1, 2 << 20):
                     words, index, _ = unique_words(part.column(1), APART)
                     many = np.bincount(index, minlength=len(words))
                     for n in range(LONGEST + 1):
@@ -83,7 +84,7 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
     rows = labelled.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"),
         F.col(f"`{key}`").alias("key"))
-    chosen = bounded_sample(rows, "key", sample).select("lang", "text")
+    chosen = small_batches(bounded_sample(rows, "key", sample)).select("lang", "text")
     ranked = _counts(chosen).withColumn("r", F.row_number().over(
         Window.partitionBy("lang", "n").orderBy(F.desc("count"), "word", "gram")))
     ranked = ranked.withColumn("total", F.sum("count").over(Window.partitionBy("lang", "n")))
@@ -153,7 +154,7 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", keep: list[
         known = pa.array(own.words, pa.string())
         names = [*own.langs, "und"]
         for batch in batches:
-            for part in chunks(batch, 0, 4 << 20):
+            for part in chunks(batch, 0, 2 << 20):
                 words, index, at = unique_words(part.column(0), APART)
                 each = word_scores(own, words.cast(pa.string()), known)
                 size = np.diff(at)
@@ -173,8 +174,8 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", keep: list[
                     [*fields, "lang_pred", "score"])
 
     fields = [f"k{i}" for i in range(len(kept))]
-    picked = docs.select(F.col(f"`{text}`").alias("text"), *[
-        F.col(f"`{c}`").alias(f) for c, f in zip(kept, fields, strict=True)])
+    picked = small_batches(docs.select(F.col(f"`{text}`").alias("text"), *[
+        F.col(f"`{c}`").alias(f) for c, f in zip(kept, fields, strict=True)]))
     shape = T.StructType([*picked.schema.fields[1:], T.StructField("lang_pred", T.StringType()),
                           T.StructField("score", T.DoubleType())])
     return picked.mapInArrow(predict, shape).select(

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitgate.llm.hashing import chunks, mix, powers, prefix_hashes, span_hashes, text_bytes
-from pitgate.llm.tables import stored
+from pitgate.llm.tables import small_batches, stored
 
 GRAM = 32
 GROUP = 8192
@@ -333,7 +333,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Strings never cross texts; overlaps within one text count. Repeated rows remove each
     other wholly, also with the same or no key. Other columns are not looked at.
     """
-    rows = docs.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
+    rows = small_batches(docs).select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("body"))
     rows = rows.select(F.xxhash64("id", "body").alias("rid"), F.octet_length("body").alias("n_bytes"), "id", "body")
     anchors = stored(_anchors(rows, length), "anchors")
     again = anchors.groupBy("gram").count().where("count > 1").select("gram")

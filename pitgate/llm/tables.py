@@ -11,9 +11,23 @@ from pyspark.sql import functions as F
 
 from pitgate.sources.writers import stored
 
-__all__ = ["components", "hashed_counts", "levels", "stored"]
+__all__ = ["components", "hashed_counts", "levels", "small_batches", "stored"]
 
 BLOCK = 1 << 14
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are limited to about :data:`BATCH_BYTES` bytes.
+
+    Ten thousand rows, the usual limit, are gigabytes where texts are long. A smaller limit that
+    is set already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(name).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
 
 
 def hashed_counts(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]],
@@ -51,7 +65,7 @@ def hashed_counts(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[n
                  "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     shape = "block long, counts binary"
-    added = rows.mapInArrow(count, shape).repartition("block").mapInArrow(add, shape)
+    added = small_batches(rows).mapInArrow(count, shape).repartition("block").mapInArrow(add, shape)
     out = np.zeros(size, np.int64)
     for row in added.toLocalIterator():
         part = np.frombuffer(row["counts"], np.int64)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from pitgate.llm.hashing import chunks, letter_grams, unique_words
 from pitgate.llm.langid import bounded_sample
+from pitgate.llm.tables import small_batches
 
 SAMPLE = 6_000
 BUCKETS = 1 << 16
@@ -127,7 +128,7 @@ def train(labelled: DataFrame, label: str = "toxic", text: str = "text", key: st
     rows = labelled.where(F.col(f"`{label}`").isin(0, 1)).select(
         F.col(f"`{label}`").cast("int").alias("label"), F.col(f"`{text}`").alias("text"),
         F.col(f"`{key}`").alias("key"))
-    found = _bags(bounded_sample(rows, "key", sample).select("label", "text")).toArrow()
+    found = _bags(small_batches(bounded_sample(rows, "key", sample)).select("label", "text")).toArrow()
     if not found.num_rows:
         return np.zeros(BUCKETS, np.float32), 0.0
     buckets = [np.asarray(x) for x in found["buckets"].to_numpy()]
@@ -159,6 +160,6 @@ def toxic_scores(docs: DataFrame, model: tuple[np.ndarray, float], key: str = "d
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))], ["id", "score"])
 
-    picked = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    picked = small_batches(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")))
     kind = picked.schema["id"].dataType.simpleString()
     return picked.mapInArrow(score, f"id {kind}, score double").withColumnRenamed("id", key)

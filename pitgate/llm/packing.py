@@ -12,6 +12,7 @@ their length and their rank within it.
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import combinations_with_replacement
@@ -22,66 +23,68 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgate.llm.hashing import chunks
-from pitgate.llm.tables import stored
+from pitgate.llm.hashing import chunks, prefix_hashes, span_hashes, text_bytes
+from pitgate.llm.tables import small_batches, stored
 
 END_ID = 1
 CLASSES = 256
 DEPTH = 3
 RANKED_TOGETHER = 20_000
-MARK = "<|endoftext|>"
-CACHED_WORDS = 400_000
+TOGETHER = 64
+CACHED_WORDS = 1_000_000
 
 
 class WordTokens:
-    """Token ids of words. A word is encoded once while it stays in the cache; many words go to
-    the tokenizer as one text with a special token between them."""
+    """Token ids of words. A word is encoded once while it stays in the cache, which knows words
+    by 64-bit hashes; words go to the tokenizer some at a time, and its tokens are told apart by
+    where they start."""
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallelism; threads of the tokenizer would come on top of them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.token_to_id(MARK)
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+        self.place = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = [MARK not in w and "<|" not in w for w in words]
-        joined = [w for w, ok in zip(words, plain, strict=True) if ok]
-        texts = [MARK.join(joined[k:k + 512]) + MARK for k in range(0, len(joined), 512)]
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(flat == self.mark)
-        size = np.zeros(len(words), np.int64)
-        size[np.array(plain, bool)] = np.diff(ends, prepend=-1) - 1
-        flat = flat[flat != self.mark]
-        if all(plain):
-            return flat, size
-        parts, at = [], 0
-        for i, (w, ok) in enumerate(zip(words, plain, strict=True)):
-            if ok:
-                parts.append(flat[at:at + size[i]])
-                at += size[i]
-            else:
-                parts.append(np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32))
-                size[i] = len(parts[-1])
-        return np.concatenate(parts), size
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        """Positions of the words in the cache (``ids[at[i]:at[i + 1]]``)."""
-        if len(self.known) > CACHED_WORDS:
+        runs = [words[k:k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        found = self.tokenizer.encode_batch([" ".join(run) for run in runs], add_special_tokens=False)
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        counts = []
+        for k, e in enumerate(found):
+            own = size[k * TOGETHER:(k + 1) * TOGETHER]
+            ends = np.cumsum(own)
+            first = np.array([start for start, _ in e.offsets], np.int64)
+            counts.append(np.bincount(np.searchsorted(ends, first, "right"), minlength=len(own)))
+        return np.concatenate([np.array(e.ids, np.uint32) for e in found]), np.concatenate(counts)
+
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """Places of the different ``words`` in the cache (``ids[at[i]:at[i + 1]]``)."""
+        if len(self.hashes) > CACHED_WORDS:
             self.clear()
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            flat, size = self._encode(fresh)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
-            self.ids = np.concatenate((self.ids, flat))
+        data, at = text_bytes(words)
+        hashes = span_hashes(prefix_hashes(data), at[:-1], at[1:])
+        where = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[where] == hashes
+        known &= where < len(self.hashes)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            fresh = fresh[np.argsort(hashes[fresh])]
+            ids, size = self._encode(words.take(pa.array(fresh)).to_pylist())
+            into, first = where[fresh], len(self.hashes)
+            self.hashes = np.insert(self.hashes, into, hashes[fresh])
+            self.place = np.insert(self.place, into, np.arange(first, first + len(fresh)))
+            self.ids = np.concatenate((self.ids, ids))
             self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(size)))
-        return np.array([self.known[w] for w in words], np.int64)
+            where = np.searchsorted(self.hashes, hashes)
+        return self.place[where]
 
 
 def _token_ids(tokens: WordTokens, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +96,7 @@ def _token_ids(tokens: WordTokens, texts: pa.Array) -> tuple[np.ndarray, np.ndar
     coded = words.flatten().dictionary_encode()
     word_at = words.offsets.to_numpy().astype(np.int64)
     word_at -= word_at[0]
-    place = tokens(coded.dictionary.to_pylist())
+    place = tokens(coded.dictionary)
     flat = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int64)
     size = tokens.at[flat + 1] - tokens.at[flat]
     ends = np.concatenate(([0], np.cumsum(size)))
@@ -109,13 +112,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     A text's ids end with ``END_ID``; a null or empty text has that one only. Only what exceeds
     ``capacity`` is cut. ``tokenizer`` is the path of a ``tokenizers`` file whose
-    pre-tokenizer splits at white space and that has ``MARK`` as a special token; it must exist
-    on every executor. The checksum is over little-endian unsigned 32-bit ids.
+    pre-tokenizer splits at white space; it must exist on every executor. The checksum is over little-endian unsigned 32-bit ids.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(tokenizer)
         for batch in batches:
-            for part in chunks(batch, 1):
+            for part in chunks(batch, 1, 1 << 20):
                 ids, at = _token_ids(tokens, part.column(1))
                 size = np.diff(at)
                 pieces = -(-size // capacity)
@@ -134,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                         pa.array(raw.astype(np.int32)))
                 yield pa.RecordBatch.from_pydict(out)
 
-    picked = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    picked = small_batches(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")))
     kind = picked.schema["id"].dataType.simpleString()
     shape = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return picked.mapInArrow(cut, shape).withColumnRenamed("id", key)

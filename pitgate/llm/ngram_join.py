@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitgate.llm.hashing import chunks, mix, shingle_hashes, text_bytes, word_hashes
-from pitgate.llm.tables import components, hashed_counts, levels, stored
+from pitgate.llm.tables import components, hashed_counts, levels, small_batches, stored
 
 CLASSES = 16
 
@@ -146,7 +146,7 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
     Other columns of ``docs`` are not looked at, whatever their names. ``bits`` sets the
     size of the frequency table and has no influence on the result.
     """
-    plain = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    plain = small_batches(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")))
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for part in chunks(batch, 0):
@@ -159,16 +159,16 @@ def ngram_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n
 
     full = sets.where("n_shingles > 0 and id is not null")
     same = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    reps = (full.join(same, ["h1", "h2"]).where("id = rep")
-            .groupBy("id", "h1", "h2").agg(F.first(F.struct("n_shingles", "classes", "prefix")).alias("s"))
-            .select("id", "s.*"))
+    # Copies combine in the map tasks, so prefixes are shuffled once for each different set.
+    reps = full.groupBy("h1", "h2").agg(
+        F.min("id").alias("id"), F.min_by(F.struct("n_shingles", "prefix"), "id").alias("s")).select("id", "s.*")
     rows = reps.select("id", "n_shingles", F.posexplode("prefix").alias("pos", "gram"))
     shared = rows.groupBy("gram").count().where("count > 1").select("gram")
     rows = stored(rows.join(shared, "gram"), "shared-grams")
 
     active = rows.select("id").distinct()
     texts = stored(_packed(plain.where("id is not null")).join(active, "id"), "active-texts")
-    thin = full.select("id", "n_shingles", "classes")
+    thin = full.select("id", "n_shingles", "classes").distinct()
 
     hubs = rows.groupBy("gram").agg(F.min(F.struct("pos", "id", "n_shingles")).alias("hub")).select("gram", "hub.*")
     star = (rows.alias("x").join(hubs.alias("y"), "gram").where("x.id <> y.id").where(_may_link("x", "y", percent))

@@ -144,20 +144,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
     """Non-negative least squares by the active-set method of Lawson and Hanson."""
-    gram, target = a.T @ a, a.T @ b
-    x = np.zeros(len(target))
+    x = np.zeros(a.shape[1])
     active = np.zeros(0, np.int64)
-    least = 1e-6 * max(1.0, float(np.abs(target).max(initial=0)))
+    inner = np.zeros((0, 0))  # products of the active columns only: all pairs of patterns would be hundreds of MB
+    least = 1e-6 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
     for _ in range(rounds):
-        slope = target - gram[:, active] @ x[active]
+        slope = a.T @ (b - a[:, active] @ x[active])
         slope[active] = -np.inf
         best = int(np.argmax(slope))
         if slope[best] <= least or len(active) == len(b):
             break
+        cross = a[:, active].T @ a[:, best]
+        inner = np.block([[inner, cross[:, None]], [cross[None, :], np.array([[a[:, best] @ a[:, best] + 1e-9]])]])
         active = np.append(active, best)
         while len(active):
-            inner = gram[np.ix_(active, active)] + 1e-9 * np.eye(len(active))
-            trial = np.linalg.solve(inner, target[active])
+            trial = np.linalg.solve(inner, a[:, active].T @ b)
             if (trial > 0).all():
                 x[active] = trial
                 break
@@ -167,7 +168,7 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 1000) -> np.ndarray:
             now = now + step * (trial - now)
             x[active] = 0
             stay = now > 1e-9
-            active = active[stay]
+            active, inner = active[stay], inner[np.ix_(stay, stay)]
             x[active] = now[stay]
     return x
 

@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgate.llm import langid
-from pitgate.llm.log_templates import without_templates
+from pitgate.llm.log_templates import near_groups, without_templates
 from pitgate.llm.mixing import mixed_documents
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
 from pitgate.llm.queries import tokenizer
 from pitgate.llm.tables import stored
 
-COPY_SHARE = 0.5
-
 
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -32,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; a document that is mostly such lines is a
-    copy, and is left to the next stage as it is."""
-    return _counted(without_templates(docs, most_share=COPY_SHARE).select(*docs.columns))
+    """Documents without lines of recurring templates. Texts that are mostly such lines and near copies
+    of each other count as one document, so lines that only near copies share are left to the next stage."""
+    return _counted(without_templates(docs, groups=near_groups(docs)).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

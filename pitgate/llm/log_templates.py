@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.tables import stored
 
 LEADING = 3
@@ -43,16 +44,24 @@ def _placed(texts: DataFrame) -> DataFrame:
     return lines.select("rid", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) -> DataFrame:
-    """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text."""
+def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, groups: DataFrame | None = None) -> DataFrame:
+    """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text.
+
+    The texts of a group of ``groups`` (rid, grp) count as one document.
+    """
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.xxhash64(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("body"))
     thin = stored(_placed(rows), "lines").where("leaf is not null").distinct()
     busy = (thin.select("leaf", "rid").distinct().groupBy("leaf").count()
             .where(F.col("count") >= min_docs).select("leaf"))
-    near = stored(thin.join(busy, "leaf"), "busy-leaves")
+    near = thin.join(busy, "leaf")
+    if groups is None:
+        near = near.withColumn("grp", F.col("rid"))
+    else:
+        near = near.join(groups, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
+    near = stored(near, "busy-leaves")
     kinds = near.groupBy("leaf", "kind").agg(
-        F.count_distinct("rid").alias("n_docs"), F.min(F.struct("rid", "pos")).alias("one"))
+        F.count_distinct("grp").alias("n_docs"), F.min(F.struct("rid", "pos")).alias("one"))
     wanted = kinds.groupBy("one.rid").agg(F.collect_list(F.struct("leaf", "kind", "n_docs", "one.pos")).alias("ks"))
     once = rows.join(wanted, "rid").dropDuplicates(["rid"])
     found = once.select(F.split("body", "\n").alias("lines"), F.explode("ks").alias("k")).select(
@@ -64,15 +73,30 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10) ->
                        lambda s, x: s + x.cast("int"))
     members = found.join(modal, "leaf").where(10 * same >= ALIKE * F.size(F.split("line", " "))).select("leaf", "kind")
     belonging = near.join(members, ["leaf", "kind"])
-    often = (belonging.select("leaf", "rid").distinct().groupBy("leaf").count()
+    often = (belonging.select("leaf", "grp").distinct().groupBy("leaf").count()
              .where(F.col("count") >= min_docs).select("leaf"))
     return belonging.join(often, "leaf").groupBy("rid").agg(F.collect_set("pos").alias("drop"))
 
 
+def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share: float = 0.5,
+                n: int = 5, percent: int = 80) -> DataFrame | None:
+    """``rid, grp`` of the texts of which more than ``share`` of the characters are recurring lines:
+    the group of texts that share ``percent`` of their ``n``-word shingles; None if there are none."""
+    body = F.col(f"`{text}`")
+    rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("rid"), body.alias("body"))
+    rows = rows.join(recurring_lines(docs, text, min_docs), "rid")
+    less = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
+    mostly = rows.where(F.char_length("body") - F.char_length(less) > F.lit(share) * F.char_length("body"))
+    mostly = stored(mostly.select("rid", "body").dropDuplicates(["rid"]), "mostly-recurring")
+    if mostly.isEmpty():
+        return None
+    return ngram_components(mostly, "rid", "body", n, percent).select("rid", F.col("component_id").alias("grp"))
+
+
 def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10,
-                      most_share: float = 1.0) -> DataFrame:
+                      most_share: float = 1.0, groups: DataFrame | None = None) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from their text, and ``_n_lines`` and
-    ``_n_dropped`` added.
+    ``_n_dropped`` added. The texts of a group of ``groups`` (rid, grp) count as one document.
 
     A document of which more than ``most_share`` of the characters would go keeps them all: it
     is a copy as a whole, and its place is in the deduplication of documents. Null texts stay
@@ -81,7 +105,7 @@ def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns are kept as they are; names that clash with ``_n_lines`` and ``_n_dropped`` are replaced.
     """
     columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    drops = recurring_lines(docs, text, min_docs).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
+    drops = recurring_lines(docs, text, min_docs, groups).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(f"`{text}`").alias("_rid")).join(drops, "_rid", "left")
     body = F.col(f"`{text}`")
     rows = rows.withColumn("_all", F.split(body, "\n")).withColumn("_kept", F.when(

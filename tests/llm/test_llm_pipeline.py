@@ -3,7 +3,10 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
+from cases import documents, words
 from pitgate.llm import queries
 from pitgate.llm.tables import components, stored
 from test_llm_ngram_join import brute
@@ -85,3 +88,14 @@ def test_other_queries_return_a_row_per_document(spark, sf, name):
     rows = queries.QUERIES[name](spark, sf).count()
     source = {"op10": "pages", "op3_": "embeddings"}.get(name[:4], "documents")
     assert rows >= (1 if source == "embeddings" else spark.read.parquet(f"{sf}/{source}.parquet").count())
+
+
+def test_boilerplate_goes_where_it_is_most_of_a_text_and_near_copies_keep_theirs(spark):
+    common = "\n".join(words(12, 900 + i) for i in range(4))
+    body = [words(14, 700 + i) for i in range(20)]
+    rows = [(i, f"{common}\n{words(6, i)}") for i in range(12)]
+    rows += [(100 + i, "\n".join([*body, words(5, 300 + i)])) for i in range(12)]
+    out = {r["doc_id"]: r["text"] for r in pipeline.repeated_lines(
+        spark, documents(spark, rows).withColumn("n_chars", F.lit(0)), "").collect()}
+    assert all(out[i] == words(6, i) for i in range(12))
+    assert all(out[k] == text for k, text in rows[12:])

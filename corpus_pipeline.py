@@ -30,9 +30,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates. Texts that are mostly such lines and near copies
+    """Documents without lines of recurring templates or masked forms. Texts that are mostly such lines and near copies
     of each other count as one document, so lines that only near copies share are left to the next stage."""
-    return _counted(without_templates(docs, groups=near_groups(docs)).select(*docs.columns))
+    return _counted(without_templates(docs, groups=near_groups(docs, every_kind=True), every_kind=True).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,10 +44,13 @@ def _placed(texts: DataFrame) -> DataFrame:
     return lines.select("rid", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, groups: DataFrame | None = None) -> DataFrame:
+def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, groups: DataFrame | None = None,
+                    every_kind: bool = False) -> DataFrame:
     """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text.
 
-    The texts of a group of ``groups`` (rid, grp) count as one document.
+    The texts of a group of ``groups`` (rid, grp) count as one document. With ``every_kind`` a line
+    also goes if ``min_docs`` documents share its masked form and a token of that is no field, whatever
+    else is in the leaf.
     """
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.xxhash64(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("body"))
@@ -75,16 +78,20 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, gro
     belonging = near.join(members, ["leaf", "kind"])
     often = (belonging.select("leaf", "grp").distinct().groupBy("leaf").count()
              .where(F.col("count") >= min_docs).select("leaf"))
-    return belonging.join(often, "leaf").groupBy("rid").agg(F.collect_set("pos").alias("drop"))
+    gone = belonging.join(often, "leaf").select("rid", "pos")
+    if every_kind:
+        shared = found.where((F.col("n_docs") >= min_docs) & F.exists(F.split("line", " "), lambda x: x != FIELD))
+        gone = gone.unionByName(near.join(shared.select("leaf", "kind"), ["leaf", "kind"]).select("rid", "pos"))
+    return gone.groupBy("rid").agg(F.collect_set("pos").alias("drop"))
 
 
 def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share: float = 0.5,
-                n: int = 5, percent: int = 80) -> DataFrame | None:
+                n: int = 5, percent: int = 80, every_kind: bool = False) -> DataFrame | None:
     """``rid, grp`` of the texts of which more than ``share`` of the characters are recurring lines:
     the group of texts that share ``percent`` of their ``n``-word shingles; None if there are none."""
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("rid"), body.alias("body"))
-    rows = rows.join(recurring_lines(docs, text, min_docs), "rid")
+    rows = rows.join(recurring_lines(docs, text, min_docs, every_kind=every_kind), "rid")
     less = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     mostly = rows.where(F.char_length("body") - F.char_length(less) > F.lit(share) * F.char_length("body"))
     mostly = stored(mostly.select("rid", "body").dropDuplicates(["rid"]), "mostly-recurring")
@@ -94,9 +101,9 @@ def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share:
 
 
 def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10,
-                      most_share: float = 1.0, groups: DataFrame | None = None) -> DataFrame:
+                      most_share: float = 1.0, groups: DataFrame | None = None, every_kind: bool = False) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from their text, and ``_n_lines`` and
-    ``_n_dropped`` added. The texts of a group of ``groups`` (rid, grp) count as one document.
+    ``_n_dropped`` added. ``groups`` and ``every_kind`` as in :func:`recurring_lines`.
 
     A document of which more than ``most_share`` of the characters would go keeps them all: it
     is a copy as a whole, and its place is in the deduplication of documents. Null texts stay
@@ -105,7 +112,7 @@ def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns are kept as they are; names that clash with ``_n_lines`` and ``_n_dropped`` are replaced.
     """
     columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    drops = recurring_lines(docs, text, min_docs, groups).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
+    drops = recurring_lines(docs, text, min_docs, groups, every_kind).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(f"`{text}`").alias("_rid")).join(drops, "_rid", "left")
     body = F.col(f"`{text}`")
     rows = rows.withColumn("_all", F.split(body, "\n")).withColumn("_kept", F.when(

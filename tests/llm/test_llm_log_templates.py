@@ -39,3 +39,13 @@ def test_odd_cases(spark):
     out = run(spark, odd_rows())
     assert out[1] == (None, 0, 0) and out[2] == ("", 1, 0) and out[5][0] == dict((r[0], r[1]) for r in odd_rows())[5]
     assert run(spark, []) == {}
+
+
+def test_every_shared_masked_form_goes_beside_the_template_of_its_leaf(spark):
+    rows = [(i, f"Click here to subscribe to our daily newsletter\n{words(5, i)}") for i in range(4)]
+    rows += [(10 + i, f"Click here to view all comments on article\nPage {i} of 17\n{i} {i + 1} {i + 2}\n{words(6, 20 + i)}")
+             for i in range(3)]
+    out, plain = run(spark, rows, every_kind=True), run(spark, rows)
+    assert all(out[i] == (words(5, i), 2, 1) for i in range(4))
+    assert all(out[10 + i] == (f"{i} {i + 1} {i + 2}\n{words(6, 20 + i)}", 4, 2) for i in range(3))
+    assert all(plain[i][2] == 1 for i in range(4)) and all(plain[10 + i][2] == 0 for i in range(3))

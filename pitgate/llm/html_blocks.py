@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,45 +41,111 @@ WORDS = frozenset(
     "breadcrumbs footer masthead topbar comment comments commentlist disqus reply replies discussion respond "
     "related recommended recommendations share sharing social subscribe subscription newsletter signup login "
     "popup modal overlay pagination pager skip toolbar contentinfo complementary search".split())
+#: Words that name subjects too: alone they make no boilerplate of a heading or of a block of much unlinked text.
+TOPICS = frozenset("discussion related recommended recommendations search share sharing social navigation".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SCOPE = frozenset("table caption td th html".split())
+LOOSE = BLOCKS - {"address", "div", "p"}
+TABLE = frozenset(["table"])
+HOLDING = SCOPE | {"ul", "ol", "menu", "dl"}
+#: What the start of an element ends, and what holds that in.
+IMPLIED = ({"li": (("li",), LOOSE), "option": (("option",), BLOCKS)} | {t: (("dt", "dd"), LOOSE) for t in ("dt", "dd")}
+           | {t: (("td", "th"), TABLE) for t in ("td", "th")} | {"tr": (("tr",), TABLE)}
+           | {t: (("thead", "tbody", "tfoot"), TABLE) for t in ("thead", "tbody", "tfoot")})
 PART = re.compile(r"[a-z0-9]+")
 
 
-def _boilerplate(tag: str, rest: str, in_article: bool) -> bool:
+def _ends(tags: list[re.Match[str]]) -> list[int]:
+    """For each start tag the number of the tag at which its element ends. Elements without an end tag
+    end as HTML says: at the next of their kind, a block for a paragraph, or the end of what holds them."""
+    ends = [len(tags)] * len(tags)
+    opened: list[tuple[str, int]] = []
+    many: Counter[str] = Counter()
+
+    def close(names: tuple[str, ...], stop: frozenset[str], at: int) -> None:
+        if not any(many[x] for x in names):
+            return
+        for k in range(len(opened) - 1, -1, -1):
+            if opened[k][0] in names:
+                for tag, i in opened[k:]:
+                    ends[i] = at
+                    many[tag] -= 1
+                del opened[k:]
+                return
+            if opened[k][0] in stop:
+                return
+
+    for i, m in enumerate(tags):
+        tag = (m[2] or "").lower()
+        if not tag or tag in VOID:
+            continue
+        names, stop = IMPLIED.get(tag, ((tag,), SCOPE if tag in BLOCKS and tag != "p" else BLOCKS))
+        if m[1]:
+            close((tag,), HOLDING if stop is LOOSE else stop, i)
+            continue
+        if tag in BLOCKS:
+            close(("p",), BLOCKS, i)
+        if tag in IMPLIED:
+            close(names, stop, i)
+        opened.append((tag, i))
+        many[tag] += 1
+    return ends
+
+
+def _boilerplate(tag: str, rest: str, in_article: bool, heavy: Callable[[], bool]) -> bool:
     if tag in OUTSIDE or (tag == "header" and not in_article):
         return True
     if not rest or tag in ("html", "body", "main"):
         return False
     if HIDDEN.search(rest):
         return True
+    if tag in HEADINGS and in_article:
+        return False
     for found in NAMED.finditer(rest):
         value = next((x for x in found.groups() if x), "")
         spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        if not WORDS.isdisjoint(PART.findall(spaced)):
+        said = WORDS.intersection(PART.findall(spaced))
+        if said and (said - TOPICS or found[0][:4].lower() == "role" or not (tag in HEADINGS or heavy())):
             return True
     return False
 
 
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """``(text, weight, inside)`` of each line; ``inside``: not in a boilerplate element."""
+    """``(text, weight, inside)`` of each line; ``inside``: not in a boilerplate element, and in an article
+    if the page has one with text outside boilerplate."""
     page = UNSEEN.sub(" ", page)
     tags = list(TAG.finditer(page))
-    lines: list[tuple[str, int, bool]] = []
+    ends = _ends(tags)
+    lines: list[tuple[str, int, bool, bool]] = []
     parts: list[str] = []
+    sums: list[tuple[int, int]] = []
     linked = 0
-    skip, depth, link, article = "", 0, 0, 0
-    has_article = any(not m[1] and m[2] and m[2].lower() in ("article", "main") for m in tags)
+    skip, article, link = -1, -1, 0
 
     def end_line() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            inside = not skip and (article > 0 or not has_article)
-            lines.append((text, max(len(text.replace(" ", "")) - linked, 0), inside))
+            lines.append((text, max(len(text.replace(" ", "")) - linked, 0), skip < 0, article >= 0))
         parts.clear()
         linked = 0
 
+    def heavy(i: int) -> bool:
+        """Whether the element of a start tag is mostly text outside links, and not little."""
+        if not sums:
+            plain, links, inside, at = 0, 0, False, 0
+            for m in [*tags, None]:
+                many = len("".join(html.unescape(page[at:m.start() if m else None]).split()))
+                plain, links = (plain, links + many) if inside else (plain + many, links)
+                sums.append((plain, links))
+                if m:
+                    at = m.end()
+                    inside = not m[1] if (m[2] or "").lower() == "a" else inside
+        plain, links = (sums[ends[i]][j] - sums[i][j] for j in (0, 1))
+        return plain >= 2 * SURGE and plain >= 4 * links
+
     at = 0
-    for m in tags:
+    for i, m in enumerate(tags):
         text = page[at:m.start()]
         at = m.end()
         if text:
@@ -90,30 +157,26 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag == "br":
             parts.append(" ")
-        if tag in BLOCKS:
+        if tag in BLOCKS or (i == skip and parts):
             end_line()
-        if tag in ("article", "main") and not skip:
-            article = max(article + (-1 if m[1] else 1), 0)
+        if i == skip:
+            skip = -1
+        if i == article:
+            article = -1
         if tag == "a":
             link = 0 if m[1] else 1
-        if tag in VOID:
+        if m[1] or tag in VOID or skip >= 0:
             continue
-        if skip:
-            if tag == skip:
-                depth += -1 if m[1] else 1
-                if not depth:
-                    if parts:
-                        end_line()
-                    skip = ""
-        elif not m[1] and _boilerplate(tag, m[3] or "", article > 0):
+        if _boilerplate(tag, m[3] or "", article >= 0, lambda k=i: heavy(k)):
             if parts:
                 end_line()
-            if tag in ("article", "main"):
-                article -= 1
-            skip, depth, link = tag, 1, 0
+            skip, link = ends[i], 0
+        elif tag in ("article", "main") and article < 0:
+            article = ends[i]
     parts.append(page[at:])
     end_line()
-    return lines
+    has_article = any(weight and clean and own for _, weight, clean, own in lines)
+    return [(text, weight, clean and (own or not has_article)) for text, weight, clean, own in lines]
 
 
 def main_text(page: str | None) -> str:

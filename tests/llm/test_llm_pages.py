@@ -29,3 +29,24 @@ def test_pages_keep_their_rows(spark):
     assert sorted((str(r["page_id"]), str(r["url"]), len(r["text"])) for r in out) == [
         ("1", "u", 0), ("2", "u", 11), ("2", "u", 11), ("3", "v", len(BODY) * 20_000 - 1), ("None", "None", 0)]
     assert main_texts(pages.limit(0)).collect() == []
+
+
+SAID = BODY.strip()
+
+
+@pytest.mark.parametrize(("markup", "text"), [
+    (f"<div class=entry><p>{BODY}</p></div><div><article class='comment-body'><p>{BODY}x</p></article></div>", SAID),
+    (f"<div class=entry><p>{BODY}</p></div><aside><article><p>{BODY}x</p></article></aside>", SAID),
+    (f"<div class=entry><p>{BODY}</p></div><article><a href=1>Read more</a></article>", SAID),
+    (f"<article><p>{BODY}</p><h2 id='discussion'>Discussion</h2><section id='search-methods'><p>{BODY}</p><p>{BODY}</p>"
+     f"</section><div class='related-work'><p>{BODY}{BODY}</p></div></article>",
+     f"{SAID}\nDiscussion\n{SAID}\n{SAID}\n{BODY}{SAID}"),
+    (f"<article><p>{BODY}</p><ul class=related><li><a href=1>{BODY}</a></ul><p>End</p></article>", f"{SAID}\nEnd"),
+    (f"<article><ul><li class=share>Share<li>{BODY}<li>{BODY}</ul><p class=promo>Buy<p>{BODY}</article>",
+     f"{SAID}\n{SAID}\n{SAID}"),
+    (f"<article><ul><li class=share><h3>Share</li><li>{BODY}</ul></article>", SAID),
+    (f"<article><div class=ad>buy<p>now</article><div>{BODY}</div>", f"{SAID}"),
+    (f"<main><table><tr><td class=ads>buy<td>{BODY}<tr><td>{BODY}</table></main>", f"{SAID}\n{SAID}"),
+])
+def test_articles_headings_and_missing_end_tags(markup, text):
+    assert main_text(markup) == text

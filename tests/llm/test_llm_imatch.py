@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -55,3 +56,20 @@ def test_one_row_and_no_rows(spark):
     only, = run(spark, [(5, "some words of one text")])
     assert only["near_next"] == 1.0
     assert run(spark, []) == []
+
+
+def test_a_third_of_near_copies_stays_alike(spark):
+    group = [f"{words(80, 7)} {words(2, 5000 + i)}" for i in range(80)] + [f"{words(80, 7)} end"] * 40
+    rows = [(i, words(60 + i % 50, i, 300)) for i in range(240)] + [(1000 + i, text) for i, text in enumerate(group)]
+    out = {r["doc_id"]: r for r in run(spark, rows)}
+    assert min(out[1000 + i]["near_next"] for i in range(119)) > 0.5
+    assert np.median([out[1000 + i]["near_edited"] for i in range(119)]) > 0.35
+    assert np.percentile([out[i]["near_next"] for i in range(240)], 95) < 0.2
+
+
+def test_texts_of_common_words_are_told_by_their_rarest(spark):
+    common = words(30, 9).split()
+    rows = [(i, " ".join(random.Random(i).sample(common + words(30, i, 100).split(), 60))) for i in range(120)]
+    rows += [(900, " ".join(common)), (901, " ".join(common[::-1][1:]))]
+    out = {r["doc_id"]: r for r in run(spark, rows)}
+    assert out[900]["near_next"] > 0.5 and out[119]["near_next"] < 0.2

@@ -7,8 +7,9 @@ best of them next: the order in which leaves are visited. How many leaves are vi
 calibrated: sample queries are answered exactly from all rows, and the number of visits is
 widened until their recall is reached.
 
-A leaf is searched where its rows are. Its rows are dealt into parts of bounded size, so a
-vector that fills a third of the table is many tasks.
+A leaf is searched where its rows are. Its rows and the queries that visit it are dealt into parts
+of bounded size, and each part of the rows meets each part of the queries, so a vector that fills a
+third of the table is many tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,10 @@ BRANCHES = 8
 LEAF = 1_500
 ROUNDS = 8
 TRIALS = 96
+LEAST_LEAF = 64
 PART = 4_000
+QUERIES = 4_000
+WALKED = 64
 SLACK = 1e-9
 
 
@@ -60,8 +64,9 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray
     return centres, owner
 
 
-def fit_tree(x: np.ndarray, seed: int = 5) -> Tree:
-    """Split by k-means until a node has :data:`LEAF` rows or no two different ones."""
+def fit_tree(x: np.ndarray, seed: int = 5, leaf_rows: int | None = None) -> Tree:
+    """Split by k-means until a node has ``leaf_rows`` (:data:`LEAF`) rows or no two different ones."""
+    most = LEAF if leaf_rows is None else leaf_rows
     rng = np.random.default_rng(seed)
     centres = [x.mean(axis=0) if len(x) else np.zeros(x.shape[1])]
     children: list[np.ndarray] = [np.zeros(0, np.int64)]
@@ -72,7 +77,7 @@ def fit_tree(x: np.ndarray, seed: int = 5) -> Tree:
         node, rows = todo.pop()
         own = x[rows]
         parts = []
-        if len(rows) > LEAF and (own != own[0]).any():
+        if len(rows) > most and (own != own[0]).any():
             found, owner = _kmeans(own, BRANCHES, rng)
             parts = [(found[j], rows[owner == j]) for j in range(BRANCHES) if (owner == j).any()]
         if len(parts) < 2:
@@ -182,10 +187,19 @@ def _index(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(deal, "leaf long, id long, v array<double>")
 
 
-def calibrate(index: DataFrame, tree: Tree, recall: float, k: int, trials: int = TRIALS) -> tuple[int, float]:
-    """``(visits, recall)``: the fewest leaves with which sample queries find this share of their
+def trial_queries(index: DataFrame, fitted: int | None, trials: int) -> pa.Table:
+    """``id, v`` of rows by a hash other than the sample's; first those that the tree was not fitted
+    on, whose hash is above ``fitted``."""
+    rows = index.select("id", "v")
+    inside = F.lit(False) if fitted is None else F.xxhash64("id") <= F.lit(fitted)
+    return rows.orderBy(inside, F.xxhash64("id", F.lit(7)), "id", F.xxhash64("v")).limit(trials).toArrow()
+
+
+def calibrate(index: DataFrame, tree: Tree, recall: float, k: int, trials: int = TRIALS,
+              fitted: int | None = None) -> tuple[int, float]:
+    """``(visits, recall)``: the fewest leaves with which trial queries find this share of their
     ``k`` true neighbours, which a search of all rows, block by block, gives."""
-    sample = bounded_sample(index.select("id", "v"), "id", trials).toArrow()
+    sample = trial_queries(index, fitted, trials)
     ids, q = sample["id"].to_numpy(), _matrix(sample["v"].combine_chunks())
     shared = index.sparkSession.sparkContext.broadcast((ids, q))
 
@@ -211,6 +225,50 @@ def calibrate(index: DataFrame, tree: Tree, recall: float, k: int, trials: int =
     return visits, float((needed <= visits).mean())
 
 
+def leaf_rows(rows: int, sampled: int) -> int:
+    """How many rows of the sample a leaf may have: :data:`LEAF` rows of the table, as far as the sample
+    can tell so many leaves apart (:data:`LEAST_LEAF`)."""
+    return max(min(LEAF, LEAST_LEAF), LEAF * sampled // max(rows, 1))
+
+
+def dealt_parts(index: DataFrame, queries: DataFrame, tree: Tree, visits: int) -> tuple[DataFrame, DataFrame]:
+    """``leaf, part, salt, id, v`` and ``leaf, part, salt, query_id, q``: each part of a leaf's rows
+    with each part of the queries that visit it. Parts have about :data:`PART` rows and :data:`QUERIES`
+    queries at most."""
+    spark = index.sparkSession
+    shared = spark.sparkContext.broadcast(tree)
+    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    salts = max(-(-queries.count() // QUERIES), 1)
+    parts = spark.sparkContext.broadcast({leaf: -(-n // PART) for leaf, n in sizes.items()})
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, many = shared.value, parts.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            q = _unit(_matrix(batch.column(1)))
+            for first in range(0, len(q), WALKED):
+                row, leaf, part = [], [], []
+                for i in range(first, min(first + WALKED, len(q))):
+                    for visited in leaf_order(own, q[i], visits):
+                        for p in range(many.get(visited, 0)):
+                            row.append(i)
+                            leaf.append(visited)
+                            part.append(p)
+                take = pa.array(row, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), batch.column(0).take(take),
+                     batch.column(1).take(take)], ["leaf", "part", "query_id", "q"])
+
+    salt = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(salts))
+    walked = queries.mapInArrow(walk, "leaf long, part long, query_id long, q array<double>").select(
+        "leaf", "part", salt.alias("salt"), "query_id", "q")
+    many = spark.createDataFrame([(k_, v) for k_, v in parts.value.items()], "leaf long, parts long")
+    dealt = index.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    return dealt.select("leaf", "part", copies.alias("salt"), "id", "v"), walked
+
+
 def neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding",
                k: int = 5, recall: float = 0.96) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, itself excepted.
@@ -224,37 +282,13 @@ def neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     """
     spark = rows.sparkSession
     good = usable(rows, key, vector)
-    sample = bounded_sample(good, "id", SAMPLE).toArrow()
+    sample = bounded_sample(good, "id", SAMPLE).select("id", "v", F.xxhash64("id").alias("h")).toArrow()
     if not sample.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = fit_tree(_unit(_matrix(sample["v"].combine_chunks())))
-    shared = spark.sparkContext.broadcast(tree)
-    index = stored(_index(good, shared), "leaves")
-    visits, _ = calibrate(index, tree, recall, k)
-    sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    parts = spark.sparkContext.broadcast({leaf: -(-n // PART) for leaf, n in sizes.items()})
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, many = shared.value, parts.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _unit(_matrix(batch.column(1)))
-            row, leaf, part = [], [], []
-            for i in range(len(q)):
-                for visited in leaf_order(own, q[i], visits):
-                    for p in range(many.get(visited, 0)):
-                        row.append(i)
-                        leaf.append(visited)
-                        part.append(p)
-            take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), batch.column(0).take(take),
-                 batch.column(1).take(take)], ["leaf", "part", "query_id", "q"])
-
-    walked = usable(queries, key, vector).mapInArrow(walk, "leaf long, part long, query_id long, q array<double>")
-    many = spark.createDataFrame([(k_, v) for k_, v in parts.value.items()], "leaf long, parts long")
-    dealt = index.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
+    tree = fit_tree(_unit(_matrix(sample["v"].combine_chunks())), leaf_rows=leaf_rows(good.count(), sample.num_rows))
+    index = stored(_index(good, spark.sparkContext.broadcast(tree)), "leaves")
+    visits, _ = calibrate(index, tree, recall, k, fitted=max(sample["h"].to_pylist()))
+    dealt, walked = dealt_parts(index, usable(queries, key, vector), tree, visits)
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -266,6 +300,6 @@ def neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
             found.append(nearest(left["id"].to_numpy(), x, some["query_id"].to_numpy(), np.stack(some["q"].to_numpy()), k))
         return pd.concat(found)
 
-    found = dealt.groupBy("leaf", "part").cogroup(walked.groupBy("leaf", "part")).applyInPandas(
+    found = dealt.groupBy("leaf", "part", "salt").cogroup(walked.groupBy("leaf", "part", "salt")).applyInPandas(
         search, "query_id long, vec_id long, score double")
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

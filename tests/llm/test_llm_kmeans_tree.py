@@ -73,3 +73,36 @@ def test_walk_visits_every_leaf_once_and_the_own_first(monkeypatch):
     for i in range(0, 600, 50):
         order = leaf_order(tree, x[i], tree.leaves)
         assert sorted(order) == list(range(tree.leaves)) and order[0] == own[i]
+
+
+def test_queries_of_a_leaf_are_dealt_and_all_answered(spark, monkeypatch):
+    monkeypatch.setattr(module, "LEAF", 100)
+    monkeypatch.setattr(module, "PART", 50)
+    monkeypatch.setattr(module, "QUERIES", 25)
+    rows = vectors(600) + [(1000 + i, [1.0] * 16) for i in range(300)]
+    got, want = found(spark, rows, 3), brute(rows, 3)
+    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want if q < 1000)
+    assert got.keys() == want.keys() and hits >= 0.9 * 5 * sum(q < 1000 for q in want)
+    index = module.usable(frame(spark, rows), "vec_id", "embedding")
+    tree = fit_tree(np.array([v for _, v in rows]))
+    index = module._index(index, spark.sparkContext.broadcast(tree))
+    queries = module.usable(frame(spark, rows), "vec_id", "embedding")
+    dealt, walked = module.dealt_parts(index, queries, tree, tree.leaves)
+    for side in (dealt, walked):
+        assert max(r["count"] for r in side.groupBy("leaf", "part", "salt").count().collect()) <= 100
+    pairs = dealt.join(walked, ["leaf", "part", "salt"]).groupBy("id", "query_id").count()
+    assert pairs.count() == 900 * 900 and pairs.where("count > 1").isEmpty()
+
+
+def test_leaves_grow_with_the_table_and_trials_are_rows_not_fitted_on(spark, monkeypatch):
+    monkeypatch.setattr(module, "LEAF", 100)
+    assert [module.leaf_rows(n, min(n, 1000)) for n in (10, 1000, 1250, 10**9)] == [100, 100, 80, 64]
+    monkeypatch.setattr(module, "SAMPLE", 400)
+    seen = []
+    inner = module.trial_queries
+    monkeypatch.setattr(module, "trial_queries", lambda index, fitted, trials: seen.append(
+        (fitted, inner(index, fitted, trials))) or seen[0][1])
+    found(spark, vectors(800), 50)
+    (fitted, trials), = seen
+    hashes = spark.createDataFrame([(i,) for i in trials["id"].to_pylist()], "id long").selectExpr("xxhash64(id) as h")
+    assert trials.num_rows == module.TRIALS and all(r["h"] > fitted for r in hashes.collect())

@@ -11,6 +11,7 @@ from pitgate.llm import imatch, langid, toxicity
 from pitgate.llm.html_blocks import main_texts
 from pitgate.llm.kmeans_tree import neighbours
 from pitgate.llm.log_templates import without_templates
+from pitgate.llm.merkle import dataset_proofs, folded, leaf_digest, siblings_digest
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -166,3 +167,73 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines whose template ten documents share."""
     found = without_templates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+@query("op13_merkle_manifest", f"""
+WITH RECURSIVE enc AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree,
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+           text, translate(text, '{UPPER}', '{LOWER}') AS low,
+           list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''),
+               lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)),
+               lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+    FROM documents),
+base AS (
+    SELECT row_number() OVER () AS id, doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+           CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-'))
+                ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS claim
+    FROM enc),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY tree) AS n FROM base),
+nodes(tree, level, pos, h, n) AS (
+    SELECT tree, 0, pos, leaf, n FROM placed
+    UNION ALL
+    SELECT tree, level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8
+    FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+subs AS (
+    SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(level, pos, h, n) AS (
+    SELECT 0, pos, h, n FROM subs
+    UNION ALL
+    SELECT level + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8
+    FROM tops WHERE n > 1 GROUP BY level, pos // 8, n),
+every_node AS (
+    SELECT tree, level, pos, h FROM nodes WHERE n > 1 UNION ALL SELECT NULL, level, pos, h FROM tops WHERE n > 1),
+runs AS (
+    SELECT tree, level, pos,
+           coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos
+                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(h, '') OVER (PARTITION BY tree, level, pos // 8 ORDER BY pos
+                    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM every_node),
+up(id, tree, level, pos, h, proof) AS (
+    SELECT id, tree, 0, pos, claim, '' FROM placed
+    UNION ALL
+    SELECT id, up.tree, level + 1, pos // 8, sha256(l || h || r), proof || l || r
+    FROM up JOIN runs USING (tree, level, pos)),
+at_sub AS (SELECT id, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM up GROUP BY id, tree),
+over(id, level, pos, h, proof) AS (
+    SELECT id, 0, subs.pos, at_sub.h, proof FROM at_sub JOIN subs USING (tree)
+    UNION ALL
+    SELECT id, over.level + 1, over.pos // 8, sha256(l || h || r), proof || l || r
+    FROM over JOIN runs ON runs.tree IS NULL AND runs.level = over.level AND runs.pos = over.pos),
+done AS (SELECT id, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM over GROUP BY id)
+SELECT doc_id, leaf, subs.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(done.proof) AS proof_sha256,
+       done.h AS folded_root, done.h = (SELECT h FROM tops WHERE n = 1) AS verified
+FROM base JOIN subs USING (tree) JOIN done USING (id)""")
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, roots and proof in the manifest, checked against texts of which a third changed."""
+    docs = table(spark, sf_dir, "documents")
+    head = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    low = leaf_digest(*head, F.translate("text", UPPER, LOWER))
+    leaves = docs.select("doc_id", "lang", leaf_digest(*head, F.col("text")).alias("leaf"),
+                         F.when(remainder(3) == 0, low).alias("claim"))
+    found = dataset_proofs(leaves, "lang", "doc_id", "leaf", keep=["claim"])
+    checked = found.withColumn("folded_root", folded(F.coalesce("claim", "leaf"), F.col("proof")))
+    return checked.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"),
+                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))

@@ -15,6 +15,7 @@ from pitgate.llm.merkle import dataset_proofs, folded, leaf_digest, siblings_dig
 from pitgate.llm.mixing import mixed_words
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
+from pitgate.llm.setsketch import sketch_components
 from pitgate.llm.suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -237,3 +238,34 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = found.withColumn("folded_root", folded(F.coalesce("claim", "leaf"), F.col("proof")))
     return checked.select("doc_id", "leaf", "subroot", "root", siblings_digest(F.col("proof")).alias("proof_sha256"),
                           "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op12_minhash_near_dedup", """
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\\x20\\x09-\\x0D]+') AS ws FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (
+    SELECT doc_id, w || ' ' || lead(w, 1) OVER d || ' ' || lead(w, 2) OVER d || ' ' || lead(w, 3) OVER d || ' '
+                   || lead(w, 4) OVER d AS g
+    FROM u WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+e AS (
+    SELECT doc_id, g FROM g WHERE g IS NOT NULL
+    UNION SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id
+    JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+    WHERE 100 * least(na.n, nb.n) >= 85 * greatest(na.n, nb.n)
+    GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+    HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))),
+reach AS (
+    WITH RECURSIVE r(doc_id, root) AS (
+        SELECT doc_id, doc_id FROM documents
+        UNION SELECT l.b, r.root FROM r JOIN links l ON l.a = r.doc_id)
+    SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, reach.component_id, d.doc_id = reach.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id)""")
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles overlap by 85 % or more."""
+    return sketch_components(table(spark, sf_dir, "documents"), n=5, percent=85)

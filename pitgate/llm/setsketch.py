@@ -5,20 +5,23 @@ hashes of the set's members, kept as the number of its interval on an exponentia
 :data:`BASE` and truncated to 16 bits. The sketch of a union is the larger of two registers, each on its
 own; two registers are equal with a chance that rises with the sets' Jaccard similarity.
 
-* :data:`BANDS` bands of five registers: sets with one band in common are candidates. At 85 % a pair
-  misses all bands with a chance of 7e-9.
+* The first half of the registers makes :data:`BANDS` bands of five: sets with one band in common are
+  candidates. At 85 % a pair misses all bands with a chance of 7e-9.
 * A candidate's registers, larger, smaller and equal ones counted, and the two known set sizes give the
   likelihood of each similarity. A pair goes if the threshold is :data:`SIGMAS` standard errors off.
 * What is left is verified once, on the whole sets.
 
-Equal sets meet as one. Pairs are made in two rounds, since a group of near copies must not meet in all
-pairs: first each member of a bucket meets the one with the smallest id. Then, in buckets that still hold
+Equal sets meet as one. Pairs are made in three rounds, since a group of near copies must not meet in all
+pairs. First each member of a bucket meets the one with the smallest id. Then, in buckets that still hold
 several components, members of different ones are compared in blocks inside tasks, each pair in its
-first common band only; no more comes out than the likelihood leaves.
+first common band only, and of the pairs that seem to link no more come out than join the block's
+components, likeliest first. Last, the same comparison gives every pair between different components that
+the likelihood leaves.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitgate.llm.hashing import chunks, mix, shingle_hashes, text_bytes, word_hashes
-from pitgate.llm.ngram_join import _packed, _verified
+from pitgate.llm.ngram_join import _packed
 from pitgate.llm.tables import components, small_batches, stored
 
 BANDS = 32
 WIDTH = 5
-REGISTERS = BANDS * WIDTH
+BANDED = BANDS * WIDTH
+REGISTERS = 2 * BANDED
 BASE = 1.001
 RATE = 20.0
 LIMIT = (1 << 16) - 2
-SIGMAS = 6.0
+SIGMAS = 5.0
 BLOCK = 512
 PAIRS = 1 << 17
 _DRAWN = np.random.default_rng(12).integers(0, 1 << 63, (2, REGISTERS), dtype=np.int64).astype(np.uint64)
@@ -64,7 +68,7 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def bands(sketches: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each band of each sketch."""
-    parts = sketches.reshape(-1, BANDS, WIDTH).astype(np.uint64)
+    parts = sketches[:, :BANDED].reshape(-1, BANDS, WIDTH).astype(np.uint64)
     out = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), parts.shape[:2])
     for j in range(WIDTH):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
@@ -93,14 +97,39 @@ def estimated(more: np.ndarray, less: np.ndarray, same: np.ndarray, na: np.ndarr
     return (low + high) / 2
 
 
-def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of sketches may have a similarity of ``percent`` or more."""
+def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray,
+           percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of sketches may have a similarity of ``percent`` or more, and the likeliest one of each."""
     more, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     same, u = REGISTERS - more - less, na / (na + nb)
     found = estimated(more, less, same, na, nb)
     least = np.minimum(percent / 100, np.minimum(na, nb) / np.maximum(na, nb))
     lost = _log_likelihood(found, more, less, same, u) - _log_likelihood(least, more, less, same, u)
-    return (found >= least) | (2 * lost <= SIGMAS**2)
+    return (found >= least) | (2 * lost <= SIGMAS**2), found
+
+
+def forest(x: np.ndarray, y: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the pairs that join ``n`` nodes as all pairs (x, y) do, those of high scores first: each
+    part takes its best pair to another, until none is left."""
+    part, order = np.arange(n), np.argsort(score, kind="stable")
+    x, y = x[order], y[order]
+    taken = []
+    while True:
+        apart = np.flatnonzero(part[x] != part[y])
+        if not len(apart):
+            return order[np.unique(np.concatenate([*taken, np.zeros(0, np.int64)]))]
+        best = np.full(n, -1)
+        np.maximum.at(best, part[x[apart]], apart)
+        np.maximum.at(best, part[y[apart]], apart)
+        chosen = np.unique(best[best >= 0])
+        taken.append(chosen)
+        while True:
+            a, b = part[x[chosen]], part[y[chosen]]
+            if (a == b).all():
+                break
+            least = np.arange(n)
+            np.minimum.at(least, np.maximum(a, b), np.minimum(a, b))
+            part = least[part]
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -148,7 +177,7 @@ def _likely_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 na, nb = (batch.column(k).to_numpy() for k in (2, 4))
-                keep = pa.array(likely(_rows(batch.column(3)), _rows(batch.column(5)), na, nb, percent))
+                keep = pa.array(likely(_rows(batch.column(3)), _rows(batch.column(5)), na, nb, percent)[0])
                 yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     thin = sets.select("id", "n_shingles", "sketch")
@@ -168,8 +197,38 @@ def _pairs_within(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first = last
 
 
-def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b`` of different components in one bucket that are likely to link.
+def _members(texts: DataFrame, n: int) -> DataFrame:
+    """``id, members``: the sets of compressed texts, as sorted hashes."""
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, 1, 1 << 16):
+                out = []
+                for packed in part.column(1).to_pylist():
+                    data = np.frombuffer(zlib.decompress(packed), np.uint8)
+                    out.append(np.unique(shingle_hashes(*word_hashes(data, np.array([0, len(data)])), n)[0]).tobytes())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "members"])
+
+    return texts.mapInArrow(unpack, "id long, members binary")
+
+
+def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the similarity."""
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                a, b = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct()
+
+
+def _cross_pairs(rows: DataFrame, percent: int, joining: bool) -> DataFrame:
+    """``a, b`` of different components in one bucket that are likely to link; with ``joining`` only as many
+    as join the components of a block, of pairs whose likeliest similarity reaches the threshold.
 
     ``rows`` (bucket, id, n_shingles, comp, size, sketch): the members of buckets of ``size`` members. A bucket
     is dealt into blocks of about :data:`BLOCK`, and every two blocks (and each with itself) meet in a task,
@@ -182,20 +241,34 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
                         F.col("_own").alias("own"), "id", "n_shingles", "comp", "sketch")
     met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
+    def likely_pairs(table: pa.Table, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        bucket, i, j, own, ids, n, comp = (table[k].to_numpy() for k in range(7))
+        sketch = _rows(table["sketch"].combine_chunks())
+        for x, y in _pairs_within(end):
+            small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+            fits = (comp[x] != comp[y]) & (100 * small >= percent * large) & ((i[x] == j[x]) | (own[x] != own[y]))
+            x, y = x[fits], y[fits]
+            if not len(x):
+                continue
+            shared = (sketch[x, :BANDED] == sketch[y, :BANDED]).reshape(-1, BANDS, WIDTH).all(axis=2)
+            first = np.take_along_axis(bands(sketch[x]), shared.argmax(axis=1)[:, None], 1)[:, 0]
+            here = first == bucket[x]
+            x, y = x[here], y[here]
+            keep, score = likely(sketch[x], sketch[y], n[x], n[y], percent)
+            keep &= (score >= percent / 100) | (not joining)
+            yield x[keep], y[keep], score[keep]
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(table: pa.Table, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-            bucket, i, j, own, ids, n, comp = (table[k].to_numpy() for k in range(7))
-            sketch = _rows(table["sketch"].combine_chunks())
-            for x, y in _pairs_within(end):
-                small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-                fits = (comp[x] != comp[y]) & (100 * small >= percent * large) & ((i[x] == j[x]) | (own[x] != own[y]))
-                x, y = x[fits], y[fits]
-                shared = (sketch[x] == sketch[y]).reshape(-1, BANDS, WIDTH).all(axis=2)
-                first = np.take_along_axis(bands(sketch[x]), shared.argmax(axis=1)[:, None], 1)[:, 0] if len(x) else x
-                here = first == bucket[x]
-                x, y = x[here], y[here]
-                keep = likely(sketch[x], sketch[y], n[x], n[y], percent)
-                a, b = ids[x[keep]], ids[y[keep]]
+        def pairs(table: pa.Table, end: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, comp = table["id"].to_numpy(), table["comp"].to_numpy()
+            found = list(likely_pairs(table, end)) if joining else likely_pairs(table, end)
+            if joining and found:
+                x, y, score = (np.concatenate(part) for part in zip(*found, strict=True))
+                nodes = np.unique(np.stack((end, comp)), axis=1, return_inverse=True)[1].ravel()
+                best = forest(nodes[x], nodes[y], score, len(nodes))
+                found = [(x[best], y[best], score[best])]
+            for x, y, _ in found:
+                a, b = ids[x], ids[y]
                 yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
         rest = None
@@ -208,15 +281,32 @@ def _cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
             new = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             cut = int(new[-1]) if len(new) else 0
             if cut:
-                ends = np.repeat(new, np.diff(np.concatenate(([0], new))))
-                yield from found(table.slice(0, cut), ends)
+                yield from pairs(table.slice(0, cut), np.repeat(new, np.diff(np.concatenate(([0], new)))))
             rest = table.slice(cut).combine_chunks()
         if rest is not None:
-            yield from found(rest, np.full(rest.num_rows, rest.num_rows))
+            yield from pairs(rest, np.full(rest.num_rows, rest.num_rows))
 
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
+def _open(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, id, n_shingles, comp, size`` of the buckets that hold several components."""
+    placed = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
+        "bucket", "id", "n_shingles", F.coalesce("root", "id").alias("comp"))
+    several = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    return placed.join(several.where("c1 <> c2").select("bucket", "size"), "bucket")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The roots (node, root) after more links."""
+    ends = (links.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+            .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    upper = stored(components(ends, "sketch-upper"), "sketch-above")
+    moved = roots.join(upper.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = upper.join(roots.select("node"), "node", "left_anti")
+    return stored(moved.unionByName(new), "sketch-roots")
+
+
 def sketch_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
                       percent: int = 85) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``docs``.
@@ -240,15 +330,17 @@ def sketch_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = _bucketed(reps)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").drop("c")
     rows = stored(rows.join(shared, "bucket"), "sketch-buckets")
-    texts = stored(_packed(plain.where("id is not null")).join(rows.select("id").distinct(), "id"), "sketch-texts")
+    active = _packed(plain.where("id is not null")).join(rows.select("id").distinct(), "id")
+    members = stored(_members(active, n), "sketch-members")
+    thin = reps.select("id", "sketch")
 
     fits = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
     star = rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     size = reps.select("id", "n_shingles")
     star = (star.join(size.alias("x"), F.col("a") == F.col("x.id")).join(size.alias("y"), F.col("b") == F.col("y.id"))
             .where(fits).select("a", "b").distinct())
-    tried = stored(_likely_pairs(star, reps, percent), "sketch-star")
-    links = stored(_verified(tried, texts, n, percent).distinct(), "sketch-links")
+    star = stored(_likely_pairs(star, reps, percent), "sketch-star")
+    links = _linked(star, members, percent)
 
     # A key with several texts joins what they link.
     of_text = full.select("id", "h1", "h2").join(reps.select("h1", "h2", F.col("id").alias("rep")), ["h1", "h2"])
@@ -256,20 +348,15 @@ def sketch_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     same_key = of_text.join(several, "id").select(F.col("rep").alias("a"), "b").where("a <> b")
     roots = stored(components(links.unionByName(same_key)), "sketch-roots")
 
-    placed = rows.join(roots.withColumnRenamed("node", "id"), "id", "left").select(
-        "bucket", "id", "n_shingles", F.coalesce("root", "id").alias("comp"))
-    several = placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    several = several.where("c1 <> c2").select("bucket", "size")
-    open_rows = stored(placed.join(several, "bucket"), "sketch-open")
-    cross = _cross_pairs(open_rows.join(reps.select("id", "sketch"), "id"), percent)
-    cross = stored(cross.join(tried, ["a", "b"], "left_anti"), "sketch-cross")
-    more = stored(_verified(cross, texts, n, percent).distinct(), "sketch-more")
-    joined = (more.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
-              .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    upper = components(joined, "sketch-upper")
+    tried = star
+    for joining in (True, False):
+        open_rows = _open(rows, roots).join(thin, "id")
+        cross = _cross_pairs(open_rows, percent, joining).join(tried, ["a", "b"], "left_anti")
+        cross = stored(cross, "sketch-cross")
+        roots = _joined(roots, _linked(cross, members, percent))
+        tried = tried.unionByName(cross)
 
     top = (reps.select("h1", "h2", F.col("id").alias("node")).join(roots, "node", "left")
-           .withColumn("node", F.coalesce("root", "node")).drop("root").join(upper, "node", "left")
            .select("h1", "h2", F.coalesce("root", "node").alias("top")))
     keyed = sets.where("id is not null").select("id", "n_shingles", "h1", "h2").join(top, ["h1", "h2"], "left").select(
         "id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("top")).otherwise(F.col("id")).alias("top"))

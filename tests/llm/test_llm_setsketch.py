@@ -4,13 +4,13 @@ import numpy as np
 import pytest
 
 from cases import documents, odd_rows, words
-from pitgate.llm.setsketch import BANDS, bands, estimated, likely, merged, registers, sketch_components
+from pitgate.llm.setsketch import BANDS, bands, estimated, forest, likely, merged, registers, sketch_components
 from test_llm_ngram_join import brute, grams
 
 
 def found(spark, rows, n=5, percent=85):
     out = sketch_components(documents(spark, rows), n=n, percent=percent).collect()
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)  # also of a null
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in out)
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr)
 
 
@@ -59,7 +59,7 @@ def test_no_linked_pair_is_dropped_and_far_ones_are():
         pairs = [sets_of(rng, similarity, 200) for _ in range(200)]
         a, b = sketched(*[p[0] for p in pairs]), sketched(*[p[1] for p in pairs])
         size = np.full(200, 200)
-        assert (likely(a, b, size, size, 85) == keeps).all()
+        assert (likely(a, b, size, size, 85)[0] == keeps).all()
         if keeps:
             assert (bands(a) == bands(b)).any(axis=1).all() and bands(a).shape[1] == BANDS
 
@@ -70,6 +70,28 @@ def test_far_sets_share_no_band():
     assert len(np.unique(keys)) == keys.size
 
 
+def test_forest_joins_as_all_pairs_do_with_the_best_ones():
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 60, 300), rng.integers(0, 60, 300)
+    score = rng.random(300)
+
+    def parts(rows):
+        root = list(range(60))
+        for i in rows:
+            a, b = root[x[i]], root[y[i]]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    best, root = [], list(range(60))
+    for i in np.argsort(-score):
+        if root[x[i]] != root[y[i]]:
+            best.append(i)
+            root = parts(best)
+    assert sorted(forest(x, y, score, 60)) == sorted(best)
+    assert parts(best) == parts(range(300))
+    assert len(forest(x[:0], y[:0], score[:0], 60)) == 0
+
+
 @pytest.mark.parametrize(("n", "percent"), [(5, 85), (5, 80), (3, 90)])
 def test_chains_and_copies_equal_brute_force(spark, n, percent):
     rng = random.Random(n * percent)

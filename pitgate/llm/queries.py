@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgate.llm import imatch, langid, toxicity
+from pitgate.llm.gnat_tree import hard_negatives
 from pitgate.llm.html_blocks import main_texts
 from pitgate.llm.kmeans_tree import neighbours
 from pitgate.llm.log_templates import without_templates
@@ -240,6 +241,30 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query("op11_hard_negatives", """
+WITH r AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.id AS anchor_id, a.label AS anchor_label, r.id, r.label, list_inner_product(a.v, r.v)::BIGINT AS score
+    FROM r AS a JOIN r ON r.id <> a.id WHERE a.id % 100 = 0),
+p AS (
+    SELECT * FROM s WHERE label = anchor_label
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id)::INTEGER AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+WHERE 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10""")
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every hundredth vector and its five nearest of the same label, the ten hardest of other labels."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), label, F.col("id") % 100 == 0)
+
+
 @query("op12_minhash_near_dedup", """
 WITH w AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -83,8 +83,12 @@ def intervals(spark, sf) -> DataFrame:
 
 
 def transitions(spark, sf) -> DataFrame:
+    return transitions_of(life(spark, sf))
+
+
+def transitions_of(lives: DataFrame) -> DataFrame:
     k = F.col("k")
-    return life(spark, sf).where(k % 10 == 3).select(
+    return lives.where(k % 10 == 3).select(
         "exchange", code6(k + 900000).alias("old_code"), F.col("code").alias("new_code"),
         F.date_add(F.lit(dt.date(1998, 6, 1)), (k % 50).cast("int")).alias("effective_date"),
         F.concat(F.lit("O"), "code").alias("old_name"), F.concat(F.lit("N"), "code").alias("new_name"),
@@ -118,17 +122,18 @@ def lifecycle_events(spark, sf) -> DataFrame:
         F.lit("RETROSPECTIVE_PRIMARY").alias("evidence_class"))
 
 
-def state_days(spark, sf) -> DataFrame:
+def state_days(spark, sf, lives: DataFrame | None = None) -> DataFrame:
     """A row per security and trading day of its life, with the day's close if it traded."""
     b = bars(spark, sf)
-    days = security_days(life(spark, sf).select(*SECURITY, "k", "listed_from", "listed_to_exclusive"),
+    lives = life(spark, sf) if lives is None else lives
+    days = security_days(lives.select(*SECURITY, "k", "listed_from", "listed_to_exclusive"),
                          venue_days(b), RULES.coverage_start, RULES.coverage_end)
     return days.join(b.select(*SECURITY, "trade_date", "close"), [*SECURITY, "trade_date"], "left")
 
 
-def state(spark, sf) -> DataFrame:
+def state(spark, sf, lives: DataFrame | None = None) -> DataFrame:
     """Daily state; a day without a bar is a suspension."""
-    joined = state_days(spark, sf)
+    joined = state_days(spark, sf, lives)
     # One row per security and day by construction, so a plain window will do here.
     before = (Window.partitionBy(*SECURITY).orderBy("trade_date")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -393,6 +398,7 @@ def with_ctes(body: str, *extra: tuple[str, str], recursive: bool = False) -> st
     for _, text in extra:
         visit(text)
     parts = [f"{n} as materialized ({CTES[n]})" for n in needed]
-    parts += [f"{n} as ({t})" for n, t in extra]
+    # Materialized, as those before: a plan under a limit must not run a table anew for every row.
+    parts += [f"{n} as {'' if re.search(rf'{chr(92)}b{n}{chr(92)}b', t) else 'materialized '}({t})" for n, t in extra]
     head = "with recursive " if recursive else "with "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body

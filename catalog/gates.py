@@ -11,7 +11,7 @@ from catalog.aggregates import partition_digests
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
 from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _chain, _controlled, _reconciled
 from catalog.registry import plain, query
-from catalog.states import _INDEXED, _P, _stored
+from catalog.states import _INDEXED, _P, _ruled
 from pitgate.operators import actions as ac
 from pitgate.operators import adjust as ad
 from pitgate.operators import control as ct
@@ -190,7 +190,7 @@ union all select 'traded day without bar', exchange || ':' || code || ':' || cas
   when abs(coalesce(pct_chg, 0)) > 10.5 and date_diff('day', trade_date, listed_to_exclusive) between 1 and 45 then 'DELISTING_OR_TERMINATION_SPECIAL_NO_LIMIT'
   when abs(coalesce(pct_chg, 0)) > 10.5 then 'UNCLASSIFIED_SPECIAL_NO_LIMIT' else 'OTHER' end as rule from indexed""")))
 def gate_state(spark, sf):
-    state = _stored(spark, sf)
+    state = stored(_ruled(spark, sf), "ruled-state")
     life = stored(b.life(spark, sf), "life")
     k = F.col("k")
     counts = st.identity_manifest(state)

@@ -89,9 +89,9 @@ from (select i.exchange, i.code, cast(i.trade_date as varchar) as trade_date, ca
   when risk_warning then 'RISK_WARNING_10PCT' else 'MAIN_BOARD_10PCT' end as limit_rule
 from indexed i left join periods p using (exchange, code))""", _P, _INDEXED))
 def limit_rules(spark, sf):
-    successors = b.transitions(spark, sf).select("exchange", F.col("new_code").alias("code"))
-    rows = stored(b.state(spark, sf), "state")
-    ruled = st.classify_state(rows, b.intervals(spark, sf), RULES, successors=successors)
+    lives = stored(b.life(spark, sf), "life")
+    successors = b.transitions_of(lives).select("exchange", F.col("new_code").alias("code"))
+    ruled = st.classify_state(b.state(spark, sf, lives), lives.drop("k"), RULES, successors=successors)
     return plain(ruled.select(*DAY, "limit_rule", "limit_up_rate", "limit_down_rate", "evidence"))
 
 
@@ -118,26 +118,26 @@ where tradable and abs(coalesce(pct_chg, 0)) > 10.5
     and (listed_from >= date '1995-07-01' and ti <= 5 or listed_from between date '1995-02-01' and date '1995-06-30' and ti = 1))""",
                                         _P, _INDEXED))
 def unexplained_moves(spark, sf):
-    successors = b.transitions(spark, sf).select("exchange", F.col("new_code").alias("code"))
-    rows = stored(b.state(spark, sf), "state")
-    ruled = st.classify_state(rows, b.intervals(spark, sf), RULES, successors=successors)
+    lives = stored(b.life(spark, sf), "life")
+    successors = b.transitions_of(lives).select("exchange", F.col("new_code").alias("code"))
+    ruled = st.classify_state(b.state(spark, sf, lives), lives.drop("k"), RULES, successors=successors)
     return plain(st.unexplained_moves(ruled).select(*DAY, F.round("pct_chg", 4).alias("pct_chg")))
 
 
-def _stored(spark, sf):
-    """State as an earlier run would have stored it: by today's code, with the v1 rules."""
-    ruled = st.classify_state(stored(b.state(spark, sf), "state"), b.intervals(spark, sf), RULES,
-                              mode="v1", legacy=True)
-    return stored(ruled, "ruled-state")
+def _ruled(spark, sf, lives=None):
+    """State as an earlier run would have ruled it: by today's code, with the v1 rules."""
+    lives = b.life(spark, sf) if lives is None else lives
+    return st.classify_state(b.state(spark, sf, lives), lives.drop("k"), RULES, mode="v1", legacy=True)
 
 
 def _reclassified(spark, sf):
-    life = b.life(spark, sf)
+    life = stored(b.life(spark, sf), "life")
+    changes = b.transitions_of(life)
     quiet = life.where("k % 6 = 5").select(
         *SECURITY, F.lit("1996-05-13").cast("date").alias("trade_date"), F.lit("SCHEDULE").alias("reason"))
     relisted = life.where("k % 6 = 4").select(*SECURITY, F.lit("2000-02-01").cast("date").alias("trade_date"))
     closed = life.where("listed_to_exclusive is not null").select(*SECURITY, "listed_to_exclusive")
-    return st.reclassify(_stored(spark, sf), closed, b.transitions(spark, sf), quiet, relisted, RULES)
+    return st.reclassify(_ruled(spark, sf, life), closed, changes, quiet, relisted, RULES)
 
 
 _RULED = ("ruled", """select *, case when not tradable then 'SUSPENDED'

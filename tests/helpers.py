@@ -21,3 +21,19 @@ def checks(violations):
 
 def names(violations):
     return sorted({r["check"] for r in violations.collect()})
+
+
+def shuffles_above(df, leaf):
+    """How often the rows of a scan are shuffled on their way up: exchanges among the ancestors of each plan line that
+    names ``leaf``, the fewest of them."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [min((line.find(c) for c in ("+-", ":-") if c in line), default=0) for line in lines]
+    found = []
+    for i, line in enumerate(lines):
+        if leaf in line:
+            above, at = 0, depth[i]
+            for j in range(i - 1, -1, -1):
+                if depth[j] < at:
+                    above, at = above + (" Exchange " in lines[j]), depth[j]
+            found.append(above)
+    return found

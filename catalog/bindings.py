@@ -398,7 +398,9 @@ def with_ctes(body: str, *extra: tuple[str, str], recursive: bool = False) -> st
     for _, text in extra:
         visit(text)
     parts = [f"{n} as materialized ({CTES[n]})" for n in needed]
-    # Materialized, as those before: a plan under a limit must not run a table anew for every row.
-    parts += [f"{n} as {'' if re.search(rf'{chr(92)}b{n}{chr(92)}b', t) else 'materialized '}({t})" for n, t in extra]
+    # Materialized as well, unless it reads itself: a plan under a limit must not run a table anew for every row.
+    for n, t in extra:
+        itself = re.search(rf"\b(from|join)\s+{n}\b", t)
+        parts.append(f"{n} as ({t})" if itself else f"{n} as materialized ({t})")
     head = "with recursive " if recursive else "with "
     return (head + ",\n".join(parts) + "\n" if parts else "") + body

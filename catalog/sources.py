@@ -16,13 +16,16 @@ from catalog.registry import plain, query
 from pitgate.functions.text import first_nonempty
 from pitgate.operators import bars as br
 from pitgate.operators.blocks import last_before
-from pitgate.operators.checks import beside, summarize
-from pitgate.operators.joins import interval_join
+from pitgate.operators.checks import beside, gather, summarize, violations
+from pitgate.operators.joins import interval_join, missing_keys
 from pitgate.operators.lifecycle import apply_transitions
+from pitgate.plans import gates as gt
 from pitgate.plans import stages
 from pitgate.schema import BAR, SECURITY
+from pitgate.sources import files as fl
 from pitgate.sources import readers as rd
 from pitgate.sources import writers as wr
+from pitgate.sources.writers import stored
 
 DAY = [*SECURITY, "trade_date"]
 VALUES = ("open", "high", "low", "close", "volume_shares", "amount_cny")
@@ -293,3 +296,79 @@ def sorted_partitions(spark, sf):
     return plain(linked.groupBy("exchange").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col("key") <= F.col("previous")).alias("descents"),
         F.min("trade_date").alias("first_day")))
+
+
+def _year_files(bars, path):
+    """A compressed file for each venue and year, in order; equal rows give equal bytes."""
+    dated = bars.withColumn("year", F.year("trade_date"))
+    keys = ["exchange", "year"]
+    arranged = dated.repartition(*keys).sortWithinPartitions(*keys, "trade_date", "code")
+    write = arranged.select(*[c for c in dated.columns if c not in keys], *keys).write.option("header", True)
+    write.option("compression", "gzip").mode("append").partitionBy(*keys).csv(path)
+
+
+IN_FILE = ["code", "trade_date", *VALUES]
+
+
+def _faulty_year_files(spark, sf):
+    """Bars by venue and year: one year runs backwards, one has another header, and one is of no venue."""
+    path = _folder(spark, "bars-by-year")
+    bars = b.bars(spark, sf).withColumn("year", F.year("trade_date"))
+    backwards, renamed = "(exchange = 'SSE' and year = 1997)", "(exchange = 'SZSE' and year = 1998)"
+    _year_files(bars.where(f"not {backwards} and not {renamed}").drop("year"), path)
+    _year_files(bars.where(renamed).drop("year").withColumnRenamed("code", "number"), path)
+    bars.where(backwards).repartition(1).sortWithinPartitions(
+        "exchange", "year", F.desc("trade_date"), F.desc("code")).select(
+        *IN_FILE, "exchange", "year").write.option("header", True).option("compression", "gzip").mode("append").partitionBy(
+        "exchange", "year").csv(path)
+    orders = fl.csv_orders(spark, path, IN_FILE, ["trade_date", "code"])
+    return orders.withColumns({c: fl.partition_value("file", c) for c in ("exchange", "year")})
+
+
+@query("bar_file_orders", "G3 W6 S1", with_ctes("""
+select exchange, cast(year(trade_date) as varchar) as year, count(*) as "rows",
+  case when exchange = 'SZSE' and year(trade_date) = 1998 then 0 else 1 end as header_ok,
+  case when exchange = 'SSE' and year(trade_date) = 1997 then count(*) - 1 else 0 end as descents,
+  case when exchange = 'SSE' and year(trade_date) = 1997 then cast(max(trade_date) as varchar) else cast(min(trade_date) as varchar) end as first_day
+from bars group by exchange, year(trade_date)"""))
+def bar_file_orders(spark, sf):
+    """Header and order of each file, tested in one pass over its blocks."""
+    orders = _faulty_year_files(spark, sf)
+    return plain(orders.select("exchange", "year", "rows", "header_ok", "descents",
+                               F.split("first_key", "\x1f")[0].alias("first_day")))
+
+
+@query("gate_bar_files", "G3 W6", with_ctes("""
+select 'unexpected header' as "check", exchange || ':' || year as key, '' as detail from f where exchange = 'SZSE' and year = 1998
+union all select 'key does not rise in its file', exchange || ':' || year, (select cast(trade_date as varchar) || ':' || code from (
+    select trade_date, code, row_number() over (order by trade_date desc, code desc) as i from bars where exchange = 'SSE' and year(trade_date) = 1997) where i = 2)
+  from f where exchange = 'SSE' and year = 1997
+union all select 'year without data file', exchange || ':' || year, '' from (select * from y except select exchange, year from f)
+union all select 'data file outside the coverage', exchange || ':' || year, '' from (select exchange, year from f except select * from y)""",
+    ("f", "select exchange, year(trade_date) as year from bars group by 1, 2"),
+    ("y", "select e as exchange, y as year from (values ('SSE'), ('SZSE')) v(e), range(1995, 2002) r(y)")))
+def gate_bar_files(spark, sf):
+    return gt.bar_files_gate(stored(_faulty_year_files(spark, sf), "file-orders"), RULES)
+
+
+@query("file_digest_faults", "S15 S17 A20 G3", with_ctes("""
+select 'evidence digest mismatch' as "check", 'exchange=SSE/year=1997' as key from bars where exchange = 'SSE' and year(trade_date) = 1997 group by 1, 2
+union all select 'evidence missing', 'exchange=SZSE/year=1998' from bars where exchange = 'SZSE' and year(trade_date) = 1998 group by 1, 2
+union all select 'file without registered digest', 'exchange=OTHER/year=1996' from bars where exchange = 'SSE' and year(trade_date) = 1996 group by 1, 2"""))
+def file_digest_faults(spark, sf):
+    """Digests kept from before against files written anew: one altered, one missing, one more than listed."""
+    kept, later, listed = (_folder(spark, name) for name in ("files-kept", "files-later", "sums"))
+    bars = stored(b.bars(spark, sf), "bars").withColumn("year", F.year("trade_date"))
+    named = lambda path: fl.digests(spark, path).select(
+        F.concat(F.lit("exchange="), fl.partition_value("path", "exchange"), F.lit("/year="),
+                 fl.partition_value("path", "year")).alias("key"), "sha256")
+    _year_files(bars.drop("year"), kept)
+    named(kept).select(F.concat_ws("  ", "sha256", "key").alias("value")).write.text(listed)
+    more = F.when((F.col("exchange") == "SSE") & (F.col("year") == 1997), 1).otherwise(0)
+    other = bars.where("exchange = 'SSE' and year = 1996").withColumn("exchange", F.lit("OTHER"))
+    moved = bars.where("not (exchange = 'SZSE' and year = 1998)").withColumn("amount_cny", F.col("amount_cny") + more)
+    _year_files(moved.unionByName(other).drop("year"), later)
+    registered, actual = rd.read_digest_list(spark, listed).withColumnRenamed("name", "key"), stored(named(later), "digests")
+    return gather(
+        gt.digest_violations(registered, actual, "key"),
+        violations(missing_keys(actual, registered, ["key"]), "file without registered digest", F.col("key"))).select("check", "key")

@@ -181,6 +181,24 @@ def bars_gate(bars: DataFrame, life: DataFrame, sources: DataFrame, day_sources:
     return found, quiet
 
 
+def bar_files_gate(orders: DataFrame, rules: Rules, venues: tuple[str, ...] = ("SSE", "SZSE")) -> DataFrame:
+    """Each stored file's header and order, and a file for every year of the coverage.
+
+    ``orders``: exchange, year and what ``sources.files.csv_orders`` says of each file.
+    """
+    key = key_text("exchange", "year")
+    text = lambda c: F.coalesce(F.replace(F.col(c), F.lit("\x1f"), F.lit(":")), F.lit(""))
+    years = F.explode(F.sequence(F.lit(rules.coverage_start.year), F.lit(rules.coverage_end.year)))
+    wanted = orders.sparkSession.createDataFrame([(v,) for v in venues], "exchange string").select("exchange", years.alias("year"))
+    found = orders.select("exchange", F.col("year").cast("int").alias("year"))
+    return gather(
+        violations(orders.where(~F.coalesce("header_ok", F.lit(False))), "unexpected header", key),
+        violations(orders.where("descents > 0"), "key does not rise in its file", key, text("first_descent")),
+        violations(orders.where("unread > 0"), "row without a key", key, F.col("unread")),
+        _one_sided(set_sides(wanted, found, ["exchange", "year"]), "year without data file",
+                   "data file outside the coverage", "exchange", "year"))
+
+
 def digest_violations(registered: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Registered digests (``key``, sha256) that no evidence has, or that differ from it."""
     found = actual.select(key, F.col("sha256").alias("_actual"))

@@ -171,7 +171,7 @@ def action_ledger(spark, sf) -> DataFrame:
 def action_state(spark, sf) -> DataFrame:
     """The market's preclose on action days: the prior close for even codes, half of it for odd."""
     keys = action_ledger(spark, sf).select(*SECURITY, F.col("ex_date").alias("trade_date"), "k")
-    priced = strict_asof(keys, bars(spark, sf), SECURITY, "trade_date", "trade_date", ["close"], prefix="p_")
+    priced = strict_asof(keys, bars(spark, sf), SECURITY, "trade_date", "trade_date", ["close"], prefix="p_", block=None)
     close = F.col("p_close").cast("double")
     return priced.select(
         *SECURITY, "trade_date", (F.col("k") % 3 == 0).alias("tradable"),
@@ -264,7 +264,7 @@ def factors(spark, sf) -> DataFrame:
 
 def whitelist(spark, sf) -> DataFrame:
     """Actions of codes that have no earlier bar, with the price their filing states."""
-    priced = strict_asof(action_ledger(spark, sf), bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
+    priced = strict_asof(action_ledger(spark, sf), bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"], block=None)
     return priced.where("prior_close is null").select(*SECURITY, "ex_date")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog import bindings as b
 from catalog.aggregates import partition_digests
 from catalog.bindings import RULES, sql_code6, sql_venue, with_ctes
-from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _chain, _controlled, _reconciled
+from catalog.ledger import _CONTROL, _RECON, _TERMS, _WALK, _controlled, _reconciled, _tagged_chain
 from catalog.registry import plain, query
 from catalog.states import _INDEXED, _P, _ruled
 from pitgate.operators import actions as ac
@@ -241,7 +241,8 @@ def _final_facts(spark, sf):
     ledger = b.action_ledger(spark, sf).agg(
         F.count(F.lit(1)).alias("official_action_count"),
         content_digest(F.concat_ws(",", *[text(c) for c in (*KEYS["action_ledger"], "action_type")])).alias("fingerprint"))
-    chain, faults = (stored(df, "chain") for df in _chain(spark, sf))
+    tagged = stored(_tagged_chain(spark, sf), "chain")
+    chain, faults = ad.chain_rows(tagged), ad.chain_faults(tagged)
     booted = F.col("reference_source").endswith(ad.FROM_BOOTSTRAP)
     made = chain.agg(
         F.count(F.lit(1)).alias("adjustment_event_count"), F.count_if(booted).alias("bootstrap_count"),

@@ -270,9 +270,13 @@ def _action_state(spark, sf):
     return b.action_state(spark, sf).where(F.col("code").cast("bigint") % 4 != 3)
 
 
+def _tagged_chain(spark, sf):
+    return ad.tagged_chain(b.action_ledger(spark, sf), b.bars(spark, sf), RULES, state=_action_state(spark, sf))
+
+
 def _chain(spark, sf):
-    ledger = b.action_ledger(spark, sf)
-    return ad.adjustment_chain(ledger, b.bars(spark, sf), RULES, state=_action_state(spark, sf))
+    tagged = _tagged_chain(spark, sf)
+    return ad.chain_rows(tagged), ad.chain_faults(tagged)
 
 
 @query("adjustment_chain", "C18 C15 C16 W8 J7", with_ctes(f"""
@@ -316,7 +320,7 @@ def ex_reference_formula(spark, sf):
 select exchange, code, cast(ex_date as varchar) as ex_date, {_decide('t.prior_close')} as decision from terms t""", _TERMS))
 def reference_selection(spark, sf):
     ledger = b.action_ledger(spark, sf).withColumn("shares_distributed", F.col("action_type").contains("CAPITAL_TRANSFER"))
-    controlled = ad.with_controls(ledger, _action_state(spark, sf))
+    controlled = ad.listed_actions(ledger, _action_state(spark, sf), None)
     priced = strict_asof(controlled, b.bars(spark, sf), SECURITY, "ex_date", "trade_date", ["close"])
     get = lambda n: F.col(n).cast("double") if n.endswith(("_share", "_price")) else F.col(n)
     return plain(priced.select(*KEY, ad.choose_reference(F.col("prior_close").cast("double"), get, RULES).alias("decision")))
@@ -342,7 +346,7 @@ def suspended_bootstrap(spark, sf):
         F.when(k == 4, 0.0).otherwise(10.0).alias("preclose"))
     listed = ledger.select(*KEY, (F.lit(10.0) * shares + paid + F.when(k == 3, 1.0).otherwise(0.0))
                            .alias("expected_prior_reference_price"))
-    booted = ad.bootstrap(ad.with_controls(ledger, state), listed)
+    booted = ad.bootstrap(ad.listed_actions(ledger, state, listed))
     return plain(booted.select(*KEY, "boot_error", F.round("boot_prior", 6).alias("boot_prior")))
 
 

@@ -88,18 +88,30 @@ def last_before(df: DataFrame, keys: Sequence[str], day: str, value: Column, out
 
 def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day: str,
                 right_day: str, values: Sequence[str], prefix: str = "prior_",
-                block: Block = year_block) -> DataFrame:
+                block: Block | None = year_block) -> DataFrame:
     """Each left row with the values of the last right row strictly before its day.
 
     Left rows sort before right rows of the same day, so one window finds the match. The
-    right side is shuffled once, by (key, block), and once more as one row per block.
+    right side is shuffled once, by (key, block), and once more as one row per block. Without
+    ``block`` it is read and shuffled once only, by key: for sides of which a key holds one row a day
+    at most, so that the calendar bounds the window; the result is then partitioned by key.
     """
     values = list(dict.fromkeys([right_day, *values]))
     a = left.select(*keys, F.col(left_day).alias("_d"), F.lit(0).alias("_side"),
                     F.struct(*left.columns).alias("_l"))
     b = right.select(*keys, F.col(right_day).alias("_d"), F.lit(1).alias("_side"),
                      F.struct(*values).alias("_r"))
-    both = _blocked(a.unionByName(b, allowMissingColumns=True), "_d", block)
+    both = a.unionByName(b, allowMissingColumns=True)
+
+    def matched(found: DataFrame) -> DataFrame:
+        return found.select(
+            *[F.col(c) if c in keys else F.col(f"_l.`{c}`").alias(c) for c in left.columns],
+            *[F.col(f"_m.`{c}`").alias(prefix + c) for c in values])
+
+    if block is None:
+        before = Window.partitionBy(*keys).orderBy("_d", "_side").rowsBetween(Window.unboundedPreceding, -1)
+        return matched(both.withColumn("_m", F.last("_r", ignorenulls=True).over(before)).where("_side = 0"))
+    both = _blocked(both, "_d", block)
     per_block = both.groupBy(*keys, BLOCK).agg(
         F.max_by("_r", F.when(F.col("_side") == 1, F.col("_d"))).alias("_t"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
@@ -107,11 +119,7 @@ def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day
     inside = (Window.partitionBy(*keys, BLOCK).orderBy("_d", "_side")
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = both.withColumn("_b", F.last("_r", ignorenulls=True).over(inside)).where("_side = 0")
-    found = _with_carry(placed, carry, keys).withColumn("_m", F.coalesce("_b", "_c"))
-    return found.select(
-        *[F.col(f"_l.`{c}`").alias(c) for c in left.columns],
-        *[F.col(f"_m.`{c}`").alias(prefix + c) for c in values],
-    )
+    return matched(_with_carry(placed, carry, keys).withColumn("_m", F.coalesce("_b", "_c")))
 
 
 def dense_index(df: DataFrame, keys: Sequence[str], prefix: Column, out: str) -> DataFrame:

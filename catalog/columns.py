@@ -44,6 +44,23 @@ def numbers_normalized(spark, sf):
         numbers.per_ten(lenient).alias("per_share")))
 
 
+@query("exponent_numbers", "N1 N3 N3b", """
+select l_orderkey, l_linenumber, l_partkey,
+  case when k - z <= 6 then round(q / pow(10, k), 6) end as strict, case when k - z <= 6 then round(q / pow(10, k), 6) end as price,
+  case when k - z <= 2 then cast(cast(round(q * 100 / pow(10, k)) as bigint) as varchar) end as scaled
+from (select l_orderkey, l_linenumber, l_partkey, cast(l_quantity as bigint) as q, l_orderkey % 25 as k,
+  case when cast(l_quantity as bigint) % 10 = 0 then 1 else 0 end as z from lineitem)""")
+def exponent_numbers(spark, sf):
+    """Numbers in exponent form: what a type would round is rejected, however small it is."""
+    raw = F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit("e-"), (F.col("l_orderkey") % 25).cast("string"))
+    rows = b.table(spark, sf, "lineitem").withColumn("raw", raw)
+    exact = lambda c: F.round(c.cast("double"), 6)
+    return plain(rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", exact(numbers.strict_decimal(F.col("raw"))).alias("strict"),
+        exact(numbers.non_negative_price(F.col("raw"))).alias("price"),
+        numbers.non_negative_integer(F.col("raw"), 100).cast("string").alias("scaled")))
+
+
 @query("dates_normalized", "N5 N6 N7", """
 select o_orderkey, case when o_orderpriority in ('1-URGENT', '2-HIGH') then cast(d as varchar) end as strict,
   case when o_orderpriority = '5-LOW' then null else cast(d as varchar) end as lenient, cast(d as varchar) as in_text

@@ -15,18 +15,29 @@ from pitgate.functions.text import unescape
 _DECIMAL = "decimal(18,6)"
 _EXACT = "decimal(30,12)"
 _WIDE = "decimal(38,12)"
-# A digit beyond the twelfth decimal that is not zero: the exact types cannot hold it.
-_FINER = r"\.[0-9]{12}[0-9]*[1-9]"
+_PLACES = 12
+_EXPONENT = r"^[+-]?([0-9]*)\.?([0-9]*)[eE]([+-]?[0-9]+)$"
 
 
 def _bare(col: Column) -> Column:
     return F.trim(F.replace(col.cast("string"), F.lit(","), F.lit("")))
 
 
+def _too_fine(text: Column) -> Column:
+    """Whether a number has a digit beyond the twelfth decimal that is not zero, which the exact types cannot
+    hold; in exponent form the point is moved first."""
+    part = lambda i: F.regexp_extract(text, _EXPONENT, i)
+    digits = F.concat(part(1), part(2))
+    kept = F.regexp_replace(digits, "0+$", "")
+    places = F.length(part(2)) - (F.length(digits) - F.length(kept)) - part(3).try_cast("int")
+    moved = (F.length(kept) > 0) & F.coalesce(places > _PLACES, part(3).startswith("-"))
+    return F.when(text.rlike(_EXPONENT), moved).otherwise(text.rlike(rf"\.[0-9]{{{_PLACES}}}[0-9]*[1-9]"))
+
+
 def _exact(col: Column, kind: str) -> Column:
     """The number in a type that holds it without rounding, or null."""
     text = _bare(col)
-    return F.when(~text.rlike(_FINER), text.try_cast(kind))
+    return F.when(~_too_fine(text), text.try_cast(kind))
 
 
 def strict_decimal(col: Column, kind: str = _DECIMAL) -> Column:

@@ -122,17 +122,33 @@ def strict_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], left_day
     return matched(_with_carry(placed, carry, keys).withColumn("_m", F.coalesce("_b", "_c")))
 
 
-def dense_index(df: DataFrame, keys: Sequence[str], prefix: Column, out: str) -> DataFrame:
+def dense_index(df: DataFrame, keys: Sequence[str], prefix: Column, out: str,
+                steps: Sequence[int] = (2, 4, 6)) -> DataFrame:
     """0-based rank of each distinct key in key order, without one global sort task.
 
-    ``prefix`` must rise with the keys; ranks run inside a prefix and add the number of
-    keys before it.
+    ``prefix``, a text, must rise with the keys; ranks run inside a prefix and add the number of keys
+    before it. That number comes from a tree over the prefixes, cut after ``steps`` characters: at each
+    level a node adds the keys of its earlier siblings, so a window holds the children of one node and
+    never all prefixes. Only the nodes of the first level, texts of two characters, meet in one row.
     """
-    work = df.select(*keys).distinct().withColumn("_p", prefix)
-    counts = work.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_o"))
+    work = df.select(*keys).distinct().withColumn("_p", prefix.cast("string"))
+    cuts = [F.substring("_p", 1, n) for n in steps]
+    named = {f"_c{i}": c for i, c in enumerate(cuts)} | {f"_c{len(cuts)}": F.col("_p")}
+    counts = work.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumns(named)
+
+    first = F.array_sort(F.collect_list(F.struct("_c0", "_n")))
+    tops = counts.groupBy("_c0").agg(F.sum("_n").alias("_n")).agg(first.alias("_all")).select(
+        "_all", F.posexplode("_all").alias("_i", "_x"))
+    # Numbers of keys, added up over at most so many nodes as there are texts of two characters.
+    earlier = F.aggregate(F.slice("_all", 1, F.col("_i")), F.lit(0).cast("long"), lambda s, x: s + x["_n"])
+    offsets = counts.join(tops.select(F.col("_x._c0").alias("_c0"), earlier.alias("_o")), "_c0")
+    for i in range(len(cuts)):
+        parent, node = f"_c{i}", f"_c{i + 1}"
+        siblings = Window.partitionBy(parent).orderBy(node).rowsBetween(Window.unboundedPreceding, -1)
+        nodes = counts.groupBy(parent, node).agg(F.sum("_n").alias("_s")).select(
+            parent, node, F.coalesce(F.sum("_s").over(siblings), F.lit(0)).alias("_b"))
+        offsets = offsets.join(nodes, [parent, node]).withColumn("_o", F.col("_o") + F.col("_b")).drop("_b")
     inside = Window.partitionBy("_p").orderBy(*keys)
-    return (work.join(offsets, "_p")
+    return (work.join(offsets.select("_p", "_o"), "_p")
             .withColumn(out, F.col("_o") + F.row_number().over(inside) - 1)
             .select(*keys, out))

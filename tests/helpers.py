@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from decimal import Decimal
 
 
@@ -24,13 +25,13 @@ def names(violations):
 
 
 def shuffles_above(df, leaf):
-    """How often the rows of a scan are shuffled on their way up: exchanges among the ancestors of each plan line that
-    names ``leaf``, the fewest of them."""
+    """How often the rows of a scan are shuffled on their way up: exchanges among the ancestors of each plan line
+    that the pattern ``leaf`` finds."""
     lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     depth = [min((line.find(c) for c in ("+-", ":-") if c in line), default=0) for line in lines]
     found = []
     for i, line in enumerate(lines):
-        if leaf in line:
+        if re.search(leaf, line):
             above, at = 0, depth[i]
             for j in range(i - 1, -1, -1):
                 if depth[j] < at:

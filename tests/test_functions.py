@@ -131,3 +131,14 @@ def test_canonical_json_sorts_and_keeps_nulls(spark):
     assert df.select(identity.canonical_json(["b", "a"])).first()[0] == '{"a":null,"b":"x"}'
     entries = spark.range(1).select(identity.canonical_map(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2"))))
     assert entries.first()[0] == '{"a":"2","b":"1"}'
+
+
+def test_exponents_move_the_point_before_the_test(spark):
+    cases = {"1e-20": None, "1e-6": Decimal("0.000001"), "1e-7": None, "12.50e1": Decimal("125"), "1200e-3": Decimal("1.2"),
+             "0e-30": Decimal("0"), "0.00e-99999999999": None, "1e-99999999999": None, "1e40": None,
+             "-3.5E+2": Decimal("-350"), "1.0000000000000e0": Decimal("1"), "1.0000000000001e0": None, "1e": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string")
+    got = {r["raw"]: r for r in rows.select(
+        "raw", numbers.strict_decimal(F.col("raw")).alias("x"), numbers.non_negative_integer(F.col("raw")).alias("n")).collect()}
+    assert {k: r["x"] for k, r in got.items()} == cases
+    assert got["1e-20"]["n"] is None and got["12.50e1"]["n"] == 125 and got["-3.5E+2"]["n"] is None

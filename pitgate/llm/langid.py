@@ -158,13 +158,15 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", keep: list[
                 words, index, at = unique_words(part.column(0), APART)
                 each = word_scores(own, words.cast(pa.string()), known)
                 size = np.diff(at)
+                letters = np.asarray(pc.match_substring_regex(words.cast(pa.string()), r"\p{L}").to_numpy(zero_copy_only=False), bool)
+                lettered = np.concatenate(([0], np.cumsum(letters[index])))
                 mean = np.zeros((len(size), len(own.langs)))
                 for k in range(len(own.langs)):
                     running = np.concatenate(([0.0], np.cumsum(each[index, k])))
                     mean[:, k] = (running[at[1:]] - running[at[:-1]]) / np.maximum(size, 1)
                 best = np.full(len(size), len(own.langs))
                 share = np.zeros(len(size))
-                told = np.flatnonzero(size > 0) if own.langs else np.zeros(0, np.int64)
+                told = np.flatnonzero(lettered[at[1:]] > lettered[at[:-1]]) if own.langs else np.zeros(0, np.int64)
                 if len(told):
                     weight = np.exp(SHARPNESS * (mean[told] - mean[told].max(axis=1, keepdims=True)))
                     best[told] = np.argmax(weight, axis=1)

@@ -31,11 +31,12 @@ def test_languages_are_told_apart_on_unseen_words(spark):
 
 def test_language_of_odd_cases(spark):
     model = langid.train(documents(spark, spoken(30)))
-    rows = [*odd_rows(), (30, "123 !!! 456", None, None), (31, "слово", None, None)]
+    rows = [*odd_rows(), (30, "123 !!! 456", None, None), (31, "слово", None, None),
+            (32, "\u0301\u0301 \u0902", None, None), (33, "\u0301 e\u0301te", None, None)]
     out = langid.with_language(documents(spark, rows), model).collect()
     assert len(out) == len(rows)
     by = {r["doc_id"]: r["lang_pred"] for r in out}
-    assert [by[k] for k in (1, 2, 3, 30)] == ["und"] * 4 and by[31] in TONGUES and by[4] in TONGUES
+    assert [by[k] for k in (1, 2, 3, 30, 32)] == ["und"] * 5 and by[31] in TONGUES and by[33] in TONGUES and by[4] in TONGUES
 
 
 def test_language_without_training_rows_or_documents(spark):

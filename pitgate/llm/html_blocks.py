@@ -23,10 +23,12 @@ from pitgate.llm.tables import small_batches
 
 WINDOW = 3
 SURGE = 40
+#: Attributes: a value without quotes may hold some; nothing is matched in two ways.
+ATTRIBUTES = r"(?:[^<>\"'=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>][^\s>]*+)?+|\"[^\"]*\"|'[^']*')*+"
 UNSEEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)", re.S | re.I)
-TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>")
+    rf"<!--.*?(?:-->|$)|<svg\b{ATTRIBUTES}(?<=/)>|<(script|style|noscript|template|svg|iframe|textarea|select|object|title)\b"
+    rf"{ATTRIBUTES}>.*?(?:</\1\s*>|$)", re.S | re.I)
+TAG = re.compile(rf"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({ATTRIBUTES})>|<[!?][^>]*>")
 NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
 BLOCKS = frozenset(

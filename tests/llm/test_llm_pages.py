@@ -15,6 +15,9 @@ BODY = "A paragraph long enough to be the text of an article, with a few more wo
     (f"<script>var t='<p>no</p>';</script><style>p{{}}</style><!-- <p>no</p> --><p><b>{BODY}<br>two\n lines<p>next",
      f"{BODY.strip()} two lines\nnext"),
     (f"<main><p>{BODY}</p><form><p>Send</p></form><div class=adBanner>buy</div><p>End</p></main>", f"{BODY.strip()}\nEnd"),
+    (f"<article><p>{BODY}</p><svg/><p>After it.</p><svg width=1 class='x' /><p>And then.</p><svg a=b><title>no</title></svg></article>",
+     f"{BODY.strip()}\nAfter it.\nAnd then."),
+    (f"<article><p title=it's>{BODY}</p><p class=\"a\" title='b \"c\"'>Two of them.</p></article>", f"{BODY.strip()}\nTwo of them."),
     (f"<div><a href=1>one</a> <a href=2>two</a></div><div>{BODY}</div><div><a href=3>three links here</a></div>", BODY.strip()),
 ])
 def test_main_text(markup, text):

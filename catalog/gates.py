@@ -251,8 +251,8 @@ def _final_facts(spark, sf):
         (F.count(F.lit(1)) == 0).alias("pass"), F.count_if(F.col("check") == ad.MATERIAL).alias("material_nonshare"),
         F.count_if(F.col("check").startswith("no state row")).alias("controls_missing"))
     listed = ledger.select(F.lit(0).alias("bootstrap_listed"), "official_action_count")
-    actions, changes, _ = _controlled(spark, sf)
-    control = ct.control_counts(actions, changes).select("mismatches", (F.col("mismatches") == 0).alias("pass"))
+    tagged = stored(_controlled(spark, sf), "control")
+    control = ct.control_counts(ct.control_actions(tagged, RULES), ct.control_changes(tagged, RULES)).select("mismatches", (F.col("mismatches") == 0).alias("pass"))
     parts = [fx.facts_of(recon, "ledger."), fx.facts_of(empty, "ledger."), fx.facts_of(ledger, "ledger."),
              fx.facts_of(made, "chain."), fx.facts_of(failed, "chain."), fx.facts_of(listed, "chain."),
              fx.facts_of(control, "control.")]

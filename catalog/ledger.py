@@ -14,6 +14,7 @@ from pitgate.operators.aggregates import has_conflict, unique_value
 from pitgate.operators.blocks import running_product, strict_asof
 from pitgate.plans import stages
 from pitgate.schema import SECURITY
+from pitgate.sources.writers import stored
 
 KEY = [*SECURITY, "ex_date"]
 
@@ -425,14 +426,14 @@ _CONTROL = (_FROWS, _LINKED, _RATIOS, _COVERED, _LISTS, _MATCH, _JUDGED)
 
 
 def _controlled(spark, sf):
-    return ct.factor_control(b.official_chain(spark, sf), b.factors(spark, sf), b.transitions(spark, sf), RULES)
+    return ct.tagged_control(b.official_chain(spark, sf), b.factors(spark, sf), b.transitions(spark, sf), RULES)
 
 
 @query("factor_control", "C20 J10 J9", with_ctes("""
 select exchange, code, cast(ex_date as varchar) as ex_date, status, cast(change_date as varchar) as change_date,
   round(observed, 6) as observed from judged""", *_CONTROL, recursive=True))
 def factor_control(spark, sf):
-    actions, _, _ = _controlled(spark, sf)
+    actions = ct.control_actions(_controlled(spark, sf), RULES)
     return plain(actions.select(*KEY, "status", "change_date", F.round("observed", 6).alias("observed")))
 
 
@@ -445,5 +446,5 @@ select a.*, r.rebases, s.supplier_only from
   (select count(*) as supplier_only from ratios x where abs(rb - 1) > 0.000001e0 and not exists (select 1 from judged j
     where j.exchange = x.exchange and j.code = x.code and j.change_date = x.change_date)) s""", *_CONTROL, recursive=True))
 def factor_control_counts(spark, sf):
-    actions, changes, _ = _controlled(spark, sf)
-    return ct.control_counts(actions, changes)
+    tagged = stored(_controlled(spark, sf), "control")
+    return ct.control_counts(ct.control_actions(tagged, RULES), ct.control_changes(tagged, RULES))

@@ -76,7 +76,13 @@ def test_random_matches_equal_the_greedy_walk(spark):
         want.update({(code, d): c for d, c in sequential_matches(mine, seen, 10).items()})
     got = ct.greedy_match(spark.createDataFrame(acts, "exchange string, code string, ex_date date, theory double"),
                           spark.createDataFrame(chgs, "exchange string, code string, change_date date, observed double"), 10)
-    assert {(r["code"], r["ex_date"]): r["change_date"] for r in got.collect()} == want
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for rows_a_batch in (spark.conf.get(size), "3"):  # the sweep goes on from batch to batch
+        before = spark.conf.get(size)
+        spark.conf.set(size, rows_a_batch)
+        found = {(r["code"], r["ex_date"]): r["change_date"] for r in got.collect()}
+        spark.conf.set(size, before)
+        assert found == want
 
 
 def test_factor_events(spark):
@@ -101,3 +107,31 @@ def test_doubled_rows_take_no_part(spark):
                           [("603009", "2019-03-04", "CASH_DIVIDEND", 1.1), ("603010", "2019-03-04", "X", 1.0), ("603010", "2019-03-04", "X", 1.0)])
     assert rows(actions, "status") == [("UNOBSERVED",)]
     assert checks(bad) == [("action listed twice", "SSE:603010:2019-03-04"), ("two factor rows of one day", "SSE:603009:2019-03-05")]
+
+
+def test_one_frame_holds_actions_changes_and_faults(spark):
+    chain = spark.createDataFrame(
+        [("SSE", "1", day("2018-02-01"), "X", 1.1), ("SSE", "1", day("2018-02-05"), "X", 1.3), (None, None, None, "X", None)], CHAIN)
+    factors = spark.createDataFrame(
+        [("SSE", "1", day(d), f, f) for d, f in [("2018-01-01", 1.0), ("2018-02-03", 1.1), ("2018-08-01", 1.2), ("2018-09-01", 1.2)]], FACTORS)
+    none = spark.createDataFrame([], "exchange string, old_code string, new_code string, effective_date date")
+    tagged = ct.tagged_control(chain, factors, none, Rules())
+    assert rows(ct.control_actions(tagged, Rules()), "ex_date", "status", "change_date", "distance") == [
+        (None, "NOT_COVERED", None, None), (day("2018-02-01"), "MATCHED", day("2018-02-03"), 2), (day("2018-02-05"), "UNOBSERVED", None, None)]
+    assert rows(ct.control_changes(tagged, Rules()), "change_date", "is_change", "supplier_only") == [
+        (day("2018-02-03"), True, False), (day("2018-08-01"), True, True), (day("2018-09-01"), False, False)]
+    assert rows(ct.control_faults(tagged, Rules())) == []
+
+
+def test_actions_and_factors_are_shuffled_twice(spark, sf):
+    from tests.helpers import shuffles_above
+
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        tagged = ct.tagged_control(spark.read.schema(CHAIN).parquet(f"{sf}/orders.parquet"),
+                                   spark.read.schema(FACTORS).parquet(f"{sf}/lineitem.parquet"),
+                                   spark.createDataFrame([], "exchange string, old_code string, new_code string, effective_date date"), Rules())
+        assert shuffles_above(tagged, r"Scan parquet \[.*ex_date") == [2]
+        assert max(shuffles_above(tagged, r"Scan parquet \[.*effective_date")) <= 3  # one more where code changes are too many to broadcast
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", True)

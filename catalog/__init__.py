@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("columns", "joins", "aggregates", "lifecycle", "states", "ledger", "sources", "gates")
+MODULES = ("columns", "joins", "aggregates", "lifecycle", "states", "ledger", "sources", "gates", "shards")
 
 
 def load():

@@ -44,32 +44,39 @@ def _placed(texts: DataFrame) -> DataFrame:
     return lines.select("rid", "pos", leaf.alias("leaf"), F.xxhash64("line").alias("kind"))
 
 
-def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, groups: DataFrame | None = None,
-                    every_kind: bool = False) -> DataFrame:
-    """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text.
-
-    The texts of a group of ``groups`` (rid, grp) count as one document. With ``every_kind`` a line
-    also goes if ``min_docs`` documents share its masked form and a token of that is no field, whatever
-    else is in the leaf.
-    """
+def line_table(docs: DataFrame, text: str = "text", min_docs: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What :func:`recurring_lines` decides on, both stored: ``leaf, kind, rid, pos`` of the lines in leaves that
+    ``min_docs`` texts or more share, and ``leaf, kind, n_docs, line`` with the masked form of each kind."""
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(
         F.xxhash64(f"`{text}`").alias("rid"), F.col(f"`{text}`").alias("body"))
     thin = stored(_placed(rows), "lines").where("leaf is not null").distinct()
     busy = (thin.select("leaf", "rid").distinct().groupBy("leaf").count()
             .where(F.col("count") >= min_docs).select("leaf"))
-    near = thin.join(busy, "leaf")
-    if groups is None:
-        near = near.withColumn("grp", F.col("rid"))
-    else:
-        near = near.join(groups, "rid", "left").withColumn("grp", F.coalesce("grp", "rid"))
-    near = stored(near, "busy-leaves")
+    near = stored(thin.join(busy, "leaf"), "busy-leaves")
     kinds = near.groupBy("leaf", "kind").agg(
-        F.count_distinct("grp").alias("n_docs"), F.min(F.struct("rid", "pos")).alias("one"))
+        F.count_distinct("rid").alias("n_docs"), F.min(F.struct("rid", "pos")).alias("one"))
     wanted = kinds.groupBy("one.rid").agg(F.collect_list(F.struct("leaf", "kind", "n_docs", "one.pos")).alias("ks"))
     once = rows.join(wanted, "rid").dropDuplicates(["rid"])
     found = once.select(F.split("body", "\n").alias("lines"), F.explode("ks").alias("k")).select(
         "k.leaf", "k.kind", "k.n_docs", masked(F.get("lines", F.col("k.pos"))).alias("line"))
-    found = stored(found, "line-kinds")
+    return near, stored(found, "line-kinds")
+
+
+def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, groups: DataFrame | None = None,
+                    every_kind: bool = False, table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``rid, drop``: the numbers (from 0) of the lines to drop, by the hash of the text.
+
+    The texts of a group of ``groups`` (rid, grp) count as one document. With ``every_kind`` a line
+    also goes if ``min_docs`` documents share its masked form and a token of that is no field, whatever
+    else is in the leaf. ``table`` is the :func:`line_table` of these documents where it is there already.
+    """
+    near, found = table or line_table(docs, text, min_docs)
+    if groups is None:
+        near = near.withColumn("grp", F.col("rid"))
+    else:
+        near = stored(near.join(groups, "rid", "left").withColumn("grp", F.coalesce("grp", "rid")), "grouped-lines")
+        counts = near.groupBy("leaf", "kind").agg(F.count_distinct("grp").alias("n_docs"))
+        found = found.drop("n_docs").join(counts, ["leaf", "kind"])
     modal = found.groupBy("leaf").agg(F.min(F.struct((-F.col("n_docs")).alias("n"), "line")).alias("m")).select(
         "leaf", F.col("m.line").alias("modal"))
     same = F.aggregate(F.zip_with(F.split("line", " "), F.split("modal", " "), lambda x, y: (x == y) & (x != FIELD)), F.lit(0),
@@ -86,12 +93,13 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, gro
 
 
 def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share: float = 0.5,
-                n: int = 5, percent: int = 80, every_kind: bool = False) -> DataFrame | None:
+                n: int = 5, percent: int = 80, every_kind: bool = False,
+                table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame | None:
     """``rid, grp`` of the texts of which more than ``share`` of the characters are recurring lines:
     the group of texts that share ``percent`` of their ``n``-word shingles; None if there are none."""
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("rid"), body.alias("body"))
-    rows = rows.join(recurring_lines(docs, text, min_docs, every_kind=every_kind), "rid")
+    rows = rows.join(recurring_lines(docs, text, min_docs, every_kind=every_kind, table=table), "rid")
     less = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     mostly = rows.where(F.char_length("body") - F.char_length(less) > F.lit(share) * F.char_length("body"))
     mostly = stored(mostly.select("rid", "body").dropDuplicates(["rid"]), "mostly-recurring")
@@ -101,9 +109,10 @@ def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share:
 
 
 def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10,
-                      most_share: float = 1.0, groups: DataFrame | None = None, every_kind: bool = False) -> DataFrame:
+                      most_share: float = 1.0, groups: DataFrame | None = None, every_kind: bool = False,
+                      table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from their text, and ``_n_lines`` and
-    ``_n_dropped`` added. ``groups`` and ``every_kind`` as in :func:`recurring_lines`.
+    ``_n_dropped`` added. ``groups``, ``every_kind`` and ``table`` as in :func:`recurring_lines`.
 
     A document of which more than ``most_share`` of the characters would go keeps them all: it
     is a copy as a whole, and its place is in the deduplication of documents. Null texts stay
@@ -112,7 +121,7 @@ def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text",
     columns are kept as they are; names that clash with ``_n_lines`` and ``_n_dropped`` are replaced.
     """
     columns = [c for c in docs.columns if c not in ("_n_lines", "_n_dropped")]
-    drops = recurring_lines(docs, text, min_docs, groups, every_kind).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
+    drops = recurring_lines(docs, text, min_docs, groups, every_kind, table).select(F.col("rid").alias("_rid"), F.col("drop").alias("_drop"))
     rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(f"`{text}`").alias("_rid")).join(drops, "_rid", "left")
     body = F.col(f"`{text}`")
     rows = rows.withColumn("_all", F.split(body, "\n")).withColumn("_kept", F.when(

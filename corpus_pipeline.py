@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitgate.llm import langid
-from pitgate.llm.log_templates import near_groups, without_templates
+from pitgate.llm.log_templates import line_table, near_groups, without_templates
 from pitgate.llm.mixing import mixed_documents
 from pitgate.llm.ngram_join import ngram_components
 from pitgate.llm.packing import packed_documents
@@ -32,15 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates or masked forms. Texts that are mostly such lines and near copies
     of each other count as one document, so lines that only near copies share are left to the next stage."""
-    return _counted(without_templates(docs, groups=near_groups(docs, every_kind=True), every_kind=True).select(*docs.columns))
+    table = line_table(docs)
+    groups = near_groups(docs, every_kind=True, table=table)
+    return _counted(without_templates(docs, groups=groups, every_kind=True, table=table).select(*docs.columns))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 80 % or more of their five-word shingles: the one with
-    the smallest id. Rows without an id are in no group and stay."""
+    the smallest id. Rows without an id are in no group and stay. Of rows that share id and text one stays;
+    different texts under the id that stays all do."""
     groups = ngram_components(docs, n=5, percent=80)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,6 @@ from pitgate.llm.hashing import chunks, letter_grams, unique_words
 from pitgate.llm.tables import small_batches
 
 SAMPLE = 10_000
-WORDS = 20_000
-GRAMS = 20_000
 LONGEST = 4
 APART = r"[^\p{L}\p{M}]+"
 UNSEEN = 0.5
@@ -38,16 +36,26 @@ class Model:
     """Log frequencies per language of words, and of n-grams by sorted hash and length."""
 
     langs: list[str]
-    words: list[str]
+    words: pa.Array
     word_scores: np.ndarray
     grams: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def bounded_sample(rows: DataFrame, order: str, limit: int) -> DataFrame:
-    """The rows with the smallest hashes of ``order``, about ``limit`` (ties stay together)."""
+    """The ``limit`` rows with the smallest hashes of ``order``, at most.
+
+    Rows that share ``order`` follow the hash of the whole row, and equal rows count as one, so a value of
+    ``order`` that many rows share, or a null, does not make the sample larger.
+    """
     hashed = rows.withColumn("_h", F.xxhash64(order))
-    last = hashed.select("_h").orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]
-    return hashed.where(F.col("_h") <= F.lit(last)).drop("_h")
+    least = hashed.select("_h").orderBy("_h").limit(limit + 1).toArrow()["_h"].to_numpy()
+    if len(np.unique(least)) == len(least):
+        return hashed.where(F.col("_h") <= F.lit(int(least[:limit].max(initial=-1 << 63)))).drop("_h")
+    hashed = hashed.withColumn("_t", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]))
+    h, t = (hashed.select("_h", "_t").distinct().orderBy("_h", "_t").limit(limit)
+            .agg(F.max(F.struct("_h", "_t"))).first()[0])
+    chosen = hashed.where((F.col("_h") < h) | ((F.col("_h") == h) & (F.col("_t") <= t)))
+    return chosen.dropDuplicates(["_h", "_t"]).drop("_h", "_t")
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
@@ -85,38 +93,35 @@ def train(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str
         F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"),
         F.col(f"`{key}`").alias("key"))
     chosen = small_batches(bounded_sample(rows, "key", sample)).select("lang", "text")
-    ranked = _counts(chosen).withColumn("r", F.row_number().over(
-        Window.partitionBy("lang", "n").orderBy(F.desc("count"), "word", "gram")))
-    ranked = ranked.withColumn("total", F.sum("count").over(Window.partitionBy("lang", "n")))
-    found = ranked.where(F.col("r") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).toArrow()
+    found = _counts(chosen).toArrow()
     langs = sorted(pc.unique(found["lang"]).to_pylist())
     if not langs:
-        return Model([], [], np.zeros((0, 0)), {n: (np.zeros(0, np.uint64), np.zeros((0, 0))) for n in range(1, LONGEST + 1)})
+        return Model([], pa.array([], pa.string()), np.zeros((0, 0)), {n: (np.zeros(0, np.uint64), np.zeros((0, 0))) for n in range(1, LONGEST + 1)})
 
-    def scores(part: pa.Table, column: str) -> tuple[list, np.ndarray]:
+    def scores(part: pa.Table, column: str) -> tuple[pa.Array, np.ndarray]:
         items = pc.unique(part[column])
         row = pc.index_in(part[column], items).to_numpy()
         col = pc.index_in(part["lang"], pa.array(langs)).to_numpy()
-        total = np.ones(len(langs))
-        total[col] = part["total"].to_numpy()
-        out = np.tile(np.log(UNSEEN / (total + len(items))), (len(items), 1))
-        out[row, col] = np.log(part["count"].to_numpy() / (total[col] + len(items)))
-        return items.to_pylist(), out.astype(np.float32)
+        count = part["count"].to_numpy()
+        total = np.bincount(col, weights=count, minlength=len(langs))
+        out = np.tile(np.log(UNSEEN / (np.maximum(total, 1) + len(items))), (len(items), 1))
+        out[row, col] = np.log(count / (total[col] + len(items)))
+        return items, out.astype(np.float32)
 
     words, word_scores = scores(found.filter(pc.equal(found["n"], 0)), "word")
     grams = {}
     for n in range(1, LONGEST + 1):
         items, values = scores(found.filter(pc.equal(found["n"], n)), "gram")
-        hashes = np.array(items, np.int64).astype(np.uint64)
+        hashes = items.to_numpy().astype(np.uint64)
         order = np.argsort(hashes)
         grams[n] = hashes[order], values[order]
     return Model(langs, words, word_scores, grams)
 
 
-def word_scores(model: Model, words: pa.Array, known: pa.Array) -> np.ndarray:
+def word_scores(model: Model, words: pa.Array) -> np.ndarray:
     """Log frequencies of each word in each language; zero where not even a letter is known."""
     out = np.zeros((len(words), len(model.langs)))
-    place = pc.index_in(words, known)
+    place = pc.index_in(words, model.words)
     seen = np.asarray(place.is_valid().to_numpy(zero_copy_only=False), bool)
     out[seen] = model.word_scores[place.drop_null().to_numpy()]
     open_ = np.flatnonzero(~seen)
@@ -146,17 +151,17 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", keep: list[
     any text under a model without languages, is ``und`` with score 0. Ties go to the first
     language by name. Repeated rows give a row each; columns of the two new names are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    plain = (model.langs, model.words, model.word_scores, model.grams)
+    shared = docs.sparkSession.sparkContext.broadcast(plain)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known = pa.array(own.words, pa.string())
+        own = Model(*shared.value)
         names = [*own.langs, "und"]
         for batch in batches:
             for part in chunks(batch, 0, 2 << 20):
                 words, index, at = unique_words(part.column(0), APART)
-                each = word_scores(own, words.cast(pa.string()), known)
+                each = word_scores(own, words.cast(pa.string()))
                 size = np.diff(at)
                 letters = np.asarray(pc.match_substring_regex(words.cast(pa.string()), r"\p{L}").to_numpy(zero_copy_only=False), bool)
                 lettered = np.concatenate(([0], np.cumsum(letters[index])))

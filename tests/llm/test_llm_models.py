@@ -78,3 +78,26 @@ def test_toxicity_of_odd_cases(spark):
     empty = toxicity.train(spark.createDataFrame([], "doc_id long, text string, toxic int"))
     assert [r["score"] for r in toxicity.toxic_scores(documents(spark, [(1, "x")]), empty).collect()] == [0.5]
     assert toxicity.toxic_scores(documents(spark, []), empty).collect() == []
+
+
+def test_bounded_sample_is_bounded_when_a_key_or_a_row_repeats(spark):
+    many = [(7, f"text {i}") for i in range(300)] + [(8, "same")] * 300 + [(None, f"null {i}") for i in range(300)]
+    rows = many + [(100 + i, "x") for i in range(100)]
+    df = spark.createDataFrame(rows, "key long, text string")
+    distinct = set(rows)
+    for limit in (1, 50, 350, 701, 5000):
+        got = [tuple(r) for r in langid.bounded_sample(df.repartition(5), "key", limit).collect()]
+        assert len(got) == len(set(got)) == min(limit, len(distinct)) and set(got) <= distinct
+        assert sorted(got, key=repr) == sorted((tuple(r) for r in langid.bounded_sample(df, "key", limit).collect()), key=repr)
+    assert langid.bounded_sample(df.limit(0), "key", 5).collect() == []
+
+
+def test_rare_words_of_the_sample_count(spark):
+    """Every word of the sample is known, however many there are."""
+    texts = [(i, " ".join(f"{a}{b}{c}x" for a in "bcdfghjklm" for b in "aeiou" for c in letters), None, lang)
+             for i, (letters, lang) in enumerate((("bcdfg", "aa"), ("lmnpq", "bb"), ("rstvw", "aa")))]
+    model = langid.train(documents(spark, texts))
+    assert len(model.words) == 750
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.with_language(
+        documents(spark, [(1, "bacx", None, None), (2, "baqx mopx", None, None)]), model, keep=["doc_id"]).collect()}
+    assert got == {1: "aa", 2: "bb"}

@@ -4,12 +4,12 @@ The tree is fitted in numpy on a bounded sample of unit vectors (:data:`SAMPLE`,
 smallest hashes of the id); every row is then dealt to a leaf. A query goes down to the
 nearest child, keeps the children it passes in a priority queue by distance, and takes up the
 best of them next: the order in which leaves are visited. How many leaves are visited is
-calibrated: sample queries are answered exactly from all rows, and the number of visits is
-widened until their recall is reached.
+calibrated: trial queries are answered exactly from all rows, and the number of visits is
+widened until their recall is reached; other trial queries then measure the recall.
 
-A leaf is searched where its rows are. Its rows and the queries that visit it are dealt into parts
-of bounded size, and each part of the rows meets each part of the queries, so a vector that fills a
-third of the table is many tasks.
+A leaf is searched where its rows are. Its rows are dealt into parts of about :data:`PART` rows, so a
+vector that fills a third of the table is many parts. A task holds one part, and the queries that visit
+the leaf stream past it; rows are not copied, whatever the number of queries.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pitgate.llm.langid import bounded_sample
@@ -31,10 +31,10 @@ SAMPLE = 50_000
 BRANCHES = 8
 LEAF = 1_500
 ROUNDS = 8
-TRIALS = 96
+TRIALS = 192
 LEAST_LEAF = 64
 PART = 4_000
-QUERIES = 4_000
+TOGETHER = 256
 WALKED = 64
 SLACK = 1e-9
 
@@ -176,15 +176,26 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _index(rows: DataFrame, shared) -> DataFrame:
-    """``leaf, id, v`` of every row."""
+def _broadcast(spark: SparkSession, tree: Tree):
+    """Plain arrays, which workers without this package can read."""
+    return spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaf))
+
+
+def _index(rows: DataFrame, tree: Tree) -> DataFrame:
+    """``leaf, id, v, place`` of every row, ``place`` its number in its task."""
+    shared = _broadcast(rows.sparkSession, tree)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, done = Tree(*shared.value), 0
         for batch in batches:
             if batch.num_rows:
-                leaves = leaf_of(shared.value, _unit(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([pa.array(leaves), *batch.columns], ["leaf", "id", "v"])
+                leaves = leaf_of(own, _unit(_matrix(batch.column(1))))
+                place = np.arange(done, done + batch.num_rows)
+                done += batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(leaves), *batch.columns, pa.array(place)],
+                                                 ["leaf", "id", "v", "place"])
 
-    return rows.mapInArrow(deal, "leaf long, id long, v array<double>")
+    return rows.mapInArrow(deal, "leaf long, id long, v array<double>, place long")
 
 
 def trial_queries(index: DataFrame, fitted: int | None, trials: int) -> pa.Table:
@@ -197,8 +208,9 @@ def trial_queries(index: DataFrame, fitted: int | None, trials: int) -> pa.Table
 
 def calibrate(index: DataFrame, tree: Tree, recall: float, k: int, trials: int = TRIALS,
               fitted: int | None = None) -> tuple[int, float]:
-    """``(visits, recall)``: the fewest leaves with which trial queries find this share of their
-    ``k`` true neighbours, which a search of all rows, block by block, gives."""
+    """``(visits, recall)``: the fewest leaves with which every other trial query finds this share of its
+    ``k`` true neighbours, which a search of all rows, block by block, gives; and the share that the
+    queries between them, which had no part in the choice, then find."""
     sample = trial_queries(index, fitted, trials)
     ids, q = sample["id"].to_numpy(), _matrix(sample["v"].combine_chunks())
     shared = index.sparkSession.sparkContext.broadcast((ids, q))
@@ -215,14 +227,18 @@ def calibrate(index: DataFrame, tree: Tree, recall: float, k: int, trials: int =
                 yield pa.RecordBatch.from_pandas(found, preserve_index=False)
 
     true = _best(index.mapInArrow(exact, "query_id long, vec_id long, score double, leaf long"), k).toPandas()
-    place = {}
-    for i, query in zip(ids, _unit(q), strict=True):
-        place[i] = {leaf: n for n, leaf in enumerate(leaf_order(tree, query, tree.leaves))}
-    needed = np.sort([place[a][b] + 1 for a, b in zip(true["query_id"], true["leaf"], strict=True)])
+    place, chooses = {}, {}
+    for n, (i, query) in enumerate(zip(ids, _unit(q), strict=True)):
+        place[i] = {leaf: at for at, leaf in enumerate(leaf_order(tree, query, tree.leaves))}
+        chooses[i] = n % 2 == 0
+    needed = np.array([place[a][b] + 1 for a, b in zip(true["query_id"], true["leaf"], strict=True)], np.int64)
     if not len(needed):
         return 1, 1.0
-    visits = int(needed[max(int(np.ceil(recall * len(needed))) - 1, 0)])
-    return visits, float((needed <= visits).mean())
+    choosing = np.array([chooses[a] for a in true["query_id"]])
+    choice = np.sort(needed[choosing] if choosing.any() else needed)
+    visits = int(choice[max(int(np.ceil(recall * len(choice))) - 1, 0)])
+    others = needed[~choosing] if not choosing.all() else needed
+    return visits, float((others <= visits).mean())
 
 
 def leaf_rows(rows: int, sampled: int) -> int:
@@ -231,47 +247,72 @@ def leaf_rows(rows: int, sampled: int) -> int:
     return max(min(LEAF, LEAST_LEAF), LEAF * sampled // max(rows, 1))
 
 
-def dealt_parts(index: DataFrame, queries: DataFrame, tree: Tree, visits: int) -> tuple[DataFrame, DataFrame]:
-    """``leaf, part, salt, id, v`` and ``leaf, part, salt, query_id, q``: each part of a leaf's rows
-    with each part of the queries that visit it. Parts have about :data:`PART` rows and :data:`QUERIES`
-    queries at most."""
+def dealt_parts(index: DataFrame, queries: DataFrame, tree: Tree, visits: int) -> DataFrame:
+    """``leaf, part, query_id, id, v``: each row once, in a part of its leaf of about :data:`PART` rows, with a
+    null ``query_id``; and each query once for every part of the leaves that it visits, with a null ``id``."""
     spark = index.sparkSession
-    shared = spark.sparkContext.broadcast(tree)
     sizes = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    salts = max(-(-queries.count() // QUERIES), 1)
-    parts = spark.sparkContext.broadcast({leaf: -(-n // PART) for leaf, n in sizes.items()})
+    many = [-(-sizes.get(leaf, 0) // PART) for leaf in range(tree.leaves)]
+    shared, parts = _broadcast(spark, tree), spark.sparkContext.broadcast(many)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, many = shared.value, parts.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q = _unit(_matrix(batch.column(1)))
-            for first in range(0, len(q), WALKED):
+        own = Tree(*shared.value)
+        for whole in batches:
+            for first in range(0, whole.num_rows, WALKED):
+                batch = whole.slice(first, WALKED)
                 row, leaf, part = [], [], []
-                for i in range(first, min(first + WALKED, len(q))):
-                    for visited in leaf_order(own, q[i], visits):
-                        for p in range(many.get(visited, 0)):
+                for i, query in enumerate(_unit(_matrix(batch.column(1)))):
+                    for visited in leaf_order(own, query, visits):
+                        for p in range(parts.value[visited]):
                             row.append(i)
                             leaf.append(visited)
                             part.append(p)
                 take = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), batch.column(0).take(take),
-                     batch.column(1).take(take)], ["leaf", "part", "query_id", "q"])
+                     batch.column(1).take(take)], ["leaf", "part", "query_id", "v"])
 
-    salt = F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(salts))
-    walked = queries.mapInArrow(walk, "leaf long, part long, query_id long, q array<double>").select(
-        "leaf", "part", salt.alias("salt"), "query_id", "q")
-    many = spark.createDataFrame([(k_, v) for k_, v in parts.value.items()], "leaf long, parts long")
-    dealt = index.join(many, "leaf").withColumn("part", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
-    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    return dealt.select("leaf", "part", copies.alias("salt"), "id", "v"), walked
+    walked = queries.mapInArrow(walk, "leaf long, part long, query_id long, v array<double>")
+    part = F.pmod(F.xxhash64("id", "place"), F.get(F.lit(many), F.col("leaf").cast("int")).cast("long"))
+    nothing = F.lit(None).cast("long")
+    return index.select("leaf", part.alias("part"), nothing.alias("query_id"), "id", "v").unionByName(
+        walked.select("leaf", "part", "query_id", nothing.alias("id"), "v"))
+
+
+def _searched(parts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best rows of a part for each query that visits it. Rows come first; they are held, and the
+    queries are answered as they stream past."""
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, block = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            asks = np.asarray(batch.column(2).is_valid().to_numpy(zero_copy_only=False), bool)
+            cuts = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if (leaf[a], part[a]) != here:
+                    here, held, block = (leaf[a], part[a]), [], None
+                run = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append((run.column(3).to_numpy(), _matrix(run.column(4))))
+                    continue
+                if block is None and held:
+                    block = [np.concatenate(x) for x in zip(*held, strict=True)]
+                for first in range(0, run.num_rows if block else 0, TOGETHER):
+                    some = run.slice(first, TOGETHER)
+                    found = nearest(*block, some.column(2).to_numpy(), _matrix(some.column(4)), k)
+                    yield pa.RecordBatch.from_pandas(found, preserve_index=False)
+
+    together = parts.repartition("leaf", "part").sortWithinPartitions("leaf", "part", F.col("query_id").asc_nulls_first())
+    return together.mapInArrow(stream, "query_id long, vec_id long, score double")
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding",
                k: int = 5, recall: float = 0.96) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest rows found for each query, itself excepted.
+    """``query_id, rank, vec_id, score, visits, trial_recall``: the ``k`` nearest rows found for each query, itself
+    excepted. ``visits`` is the number of leaves each query was searched in, ``trial_recall`` the share of their
+    true neighbours that trial queries found in so many (see :func:`calibrate`).
 
     ``rows`` are all candidates, ``queries`` has the same columns. Score is the cosine in double
     precision on the original vectors; ties go to the smaller id. Rows with a null id, or a
@@ -284,22 +325,11 @@ def neighbours(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector:
     good = usable(rows, key, vector)
     sample = bounded_sample(good, "id", SAMPLE).select("id", "v", F.xxhash64("id").alias("h")).toArrow()
     if not sample.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, visits int, trial_recall double")
     tree = fit_tree(_unit(_matrix(sample["v"].combine_chunks())), leaf_rows=leaf_rows(good.count(), sample.num_rows))
-    index = stored(_index(good, spark.sparkContext.broadcast(tree)), "leaves")
-    visits, _ = calibrate(index, tree, recall, k, fitted=max(sample["h"].to_pylist()))
-    dealt, walked = dealt_parts(index, usable(queries, key, vector), tree, visits)
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return nearest(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), np.zeros((0, 1)), k)
-        x = np.stack(left["v"].to_numpy())
-        found = []
-        for a in range(0, len(right), 256):
-            some = right.iloc[a:a + 256]
-            found.append(nearest(left["id"].to_numpy(), x, some["query_id"].to_numpy(), np.stack(some["q"].to_numpy()), k))
-        return pd.concat(found)
-
-    found = dealt.groupBy("leaf", "part", "salt").cogroup(walked.groupBy("leaf", "part", "salt")).applyInPandas(
-        search, "query_id long, vec_id long, score double")
-    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    index = stored(_index(good, tree), "leaves")
+    visits, measured = calibrate(index, tree, recall, k, fitted=max(sample["h"].to_pylist()))
+    parts = dealt_parts(index, usable(queries, key, vector).select(F.col("id").alias("query_id"), "v"), tree, visits)
+    return _best(_searched(parts, k), k).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.lit(visits).alias("visits"),
+        F.lit(measured).alias("trial_recall"))

@@ -75,23 +75,49 @@ def test_walk_visits_every_leaf_once_and_the_own_first(monkeypatch):
         assert sorted(order) == list(range(tree.leaves)) and order[0] == own[i]
 
 
-def test_queries_of_a_leaf_are_dealt_and_all_answered(spark, monkeypatch):
+def test_rows_of_a_leaf_are_dealt_into_parts_once_whatever_the_queries(spark, monkeypatch):
     monkeypatch.setattr(module, "LEAF", 100)
     monkeypatch.setattr(module, "PART", 50)
-    monkeypatch.setattr(module, "QUERIES", 25)
-    rows = vectors(600) + [(1000 + i, [1.0] * 16) for i in range(300)]
-    got, want = found(spark, rows, 3), brute(rows, 3)
+    monkeypatch.setattr(module, "TOGETHER", 25)
+    rows = vectors(600) + [(1000 + i, [1.0] * 16) for i in range(200)] + [(5000, [1.0] * 16)] * 100
+    got, want = found(spark, rows, 3), brute([r for r in rows if r[0] != 5000], 3)
     hits = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in want if q < 1000)
     assert got.keys() == want.keys() and hits >= 0.9 * 5 * sum(q < 1000 for q in want)
-    index = module.usable(frame(spark, rows), "vec_id", "embedding")
+    all_rows = module.usable(frame(spark, rows), "vec_id", "embedding")
     tree = fit_tree(np.array([v for _, v in rows]))
-    index = module._index(index, spark.sparkContext.broadcast(tree))
-    queries = module.usable(frame(spark, rows), "vec_id", "embedding")
-    dealt, walked = module.dealt_parts(index, queries, tree, tree.leaves)
-    for side in (dealt, walked):
-        assert max(r["count"] for r in side.groupBy("leaf", "part", "salt").count().collect()) <= 100
-    pairs = dealt.join(walked, ["leaf", "part", "salt"]).groupBy("id", "query_id").count()
-    assert pairs.count() == 900 * 900 and pairs.where("count > 1").isEmpty()
+    index = module._index(all_rows, tree)
+    for every in (1, 30):
+        queries = all_rows.where(f"id % {every} = 0").selectExpr("id as query_id", "v")
+        parts = module.dealt_parts(index, queries, tree, tree.leaves)
+        own, asks = parts.where("query_id is null"), parts.where("query_id is not null")
+        assert own.count() == 900
+        assert max(r["count"] for r in own.groupBy("leaf", "part").count().collect()) <= 100
+        many = own.select("leaf", "part").distinct().count()
+        assert asks.count() == many * queries.count()
+
+
+def test_trial_recall_is_of_queries_that_did_not_choose(spark, monkeypatch):
+    monkeypatch.setattr(module, "LEAF", 40)
+    rows = vectors(1500)
+    df = frame(spark, rows)
+    out = neighbours(df, df.where("vec_id % 10 = 0"))
+    (visits, recall), = {(r["visits"], r["trial_recall"]) for r in out.select("visits", "trial_recall").collect()}
+    got, want = {}, brute(rows, 10)
+    for r in out.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    real = sum(len(got[q] & {j for j, _ in want[q]}) for q in want) / (5 * len(want))
+    assert 1 <= visits and abs(recall - real) < 0.08 and recall >= 0.9
+
+
+def test_broadcasts_are_plain_arrays(spark):
+    """A worker that lacks the package must be able to read them."""
+    import pickletools
+    import pickle
+
+    tree = fit_tree(np.array([v for _, v in vectors(50)]))
+    value = module._broadcast(spark, tree).value
+    names = [arg for op, arg, _ in pickletools.genops(pickle.dumps(value)) if isinstance(arg, str)]
+    assert not any("pitgate" in n for n in names)
 
 
 def test_leaves_grow_with_the_table_and_trials_are_rows_not_fitted_on(spark, monkeypatch):

@@ -16,13 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pitgate.llm.ngram_join import ngram_components
-from pitgate.llm.tables import stored
+from pitgate.llm.tables import components, stored
 
 LEADING = 3
 ALIKE = 6
 LEAST_TOKENS = 3
 FIELD = "<*>"
+SKETCH = 256
+KEYS = 8
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def masked(line: Column) -> Column:
@@ -92,20 +94,43 @@ def recurring_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, gro
     return gone.groupBy("rid").agg(F.collect_set("pos").alias("drop"))
 
 
+def _sketched(texts: DataFrame, n: int) -> DataFrame:
+    """``rid, sketch``: the :data:`SKETCH` least hashes of each text's ``n``-word shingles, in order. ``words`` are
+    to be stored, as the shingles refer to them one by one; fewer than ``n`` words are one shingle, none have no row."""
+    size = F.size("words")
+    shingles = F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.xxhash64(F.slice("words", i, n))))
+    shingles = shingles.otherwise(F.array(F.xxhash64("words")))
+    return texts.where(size > 0).select("rid", F.slice(F.array_sort(F.array_distinct(shingles)), 1, SKETCH).alias("sketch"))
+
+
 def near_groups(docs: DataFrame, text: str = "text", min_docs: int = 10, share: float = 0.5,
                 n: int = 5, percent: int = 80, every_kind: bool = False,
-                table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame | None:
-    """``rid, grp`` of the texts of which more than ``share`` of the characters are recurring lines:
-    the group of texts that share ``percent`` of their ``n``-word shingles; None if there are none."""
+                table: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """``rid, grp`` of near copies among the texts of which more than ``share`` of the characters are recurring lines.
+
+    Two texts are near copies if they share ``percent`` of their ``n``-word shingles, estimated from the
+    :data:`SKETCH` least hashes of both, which is exact where both together have no more. A text meets, for each of
+    its :data:`KEYS` least hashes, the first text that has it among its own, so a group of any size makes a few
+    pairs for each text; what these pairs join is a group. Texts that are in none have no row.
+    """
     body = F.col(f"`{text}`")
     rows = docs.where(body.isNotNull()).select(F.xxhash64(body).alias("rid"), body.alias("body"))
     rows = rows.join(recurring_lines(docs, text, min_docs, every_kind=every_kind, table=table), "rid")
     less = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("drop", i)), "\n")
     mostly = rows.where(F.char_length("body") - F.char_length(less) > F.lit(share) * F.char_length("body"))
-    mostly = stored(mostly.select("rid", "body").dropDuplicates(["rid"]), "mostly-recurring")
-    if mostly.isEmpty():
-        return None
-    return ngram_components(mostly, "rid", "body", n, percent).select("rid", F.col("component_id").alias("grp"))
+    words = F.filter(F.split(F.translate("body", CAPITALS, CAPITALS.lower()), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    mostly = stored(mostly.dropDuplicates(["rid"]).select("rid", words.alias("words")), "mostly-recurring")
+    sketches = stored(_sketched(mostly, n), "line-sketches")
+    keys = sketches.select("rid", F.explode(F.slice("sketch", 1, KEYS)).alias("h"))
+    first = keys.groupBy("h").agg(F.min("rid").alias("hub"))
+    pairs = keys.join(first, "h").where("rid != hub").select("rid", "hub").distinct()
+    met = pairs.join(sketches, "rid").join(
+        sketches.select(F.col("rid").alias("hub"), F.col("sketch").alias("other")), "hub")
+    least = F.slice(F.array_sort(F.array_union("sketch", "other")), 1, SKETCH)
+    met = met.select("rid", "hub", F.size(least).alias("all"),
+                     F.size(F.array_intersect(least, F.array_intersect("sketch", "other"))).alias("both"))
+    links = met.where(100 * F.col("both") >= percent * F.col("all")).select(F.col("rid").alias("a"), F.col("hub").alias("b"))
+    return components(links, "line-links").select(F.col("node").alias("rid"), F.col("root").alias("grp"))
 
 
 def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_docs: int = 10,

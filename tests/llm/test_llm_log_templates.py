@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from cases import documents, odd_rows, words
-from pitgate.llm.log_templates import masked, without_templates
+from pitgate.llm import log_templates as module
+from pitgate.llm.log_templates import masked, near_groups, without_templates
+from test_llm_ngram_join import brute
 
 
 def run(spark, rows, **options):
@@ -49,3 +51,55 @@ def test_every_shared_masked_form_goes_beside_the_template_of_its_leaf(spark):
     assert all(out[i] == (words(5, i), 2, 1) for i in range(4))
     assert all(out[10 + i] == (f"{i} {i + 1} {i + 2}\n{words(6, 20 + i)}", 4, 2) for i in range(3))
     assert all(plain[i][2] == 1 for i in range(4)) and all(plain[10 + i][2] == 0 for i in range(3))
+
+
+def near_cases():
+    """Fifteen near copies, five copies of another text that differ too much, one text alone; all end in a shared line."""
+    tail = "this line of eight words is in all"
+    base, other = words(150, 1).split(), words(150, 2).split()
+    rows = []
+    for i in range(15):
+        mine = list(base)
+        mine[7 * i % 150] = f"Changed{chr(97 + i)}"
+        rows.append((i, " ".join(mine) + "\n" + "\n".join([tail] * 40)))
+    for i in range(5):
+        mine = [w if k % 6 else f"w{chr(97 + i)}{chr(97 + k % 26)}" for k, w in enumerate(other)]
+        rows.append((100 + i, " ".join(mine) + "\n" + "\n".join([tail] * 40)))
+    return [*rows, (200, "\n".join([tail] * 9))]
+
+
+def grouped(spark, rows):
+    docs = documents(spark, rows)
+    groups = {r["rid"]: r["grp"] for r in near_groups(docs, every_kind=True).collect()}
+    rid = {r["doc_id"]: r["rid"] for r in docs.select("doc_id", F.xxhash64("text").alias("rid")).collect()}
+    return {k: groups.get(v, v) for k, v in rid.items()}
+
+
+def test_near_groups_equal_brute_force(spark):
+    rows = near_cases()
+    got = grouped(spark, rows)
+    want = {k: root for k, _, root in brute(rows, 5, 80)}
+    assert len({want[k] for k in range(15)}) == 1 and len(set(want.values())) > 2
+    for a in want:
+        assert {b for b in want if got[a] == got[b]} == {b for b in want if want[a] == want[b]}
+
+
+def test_near_groups_of_odd_texts(spark):
+    assert len(grouped(spark, odd_rows())) == len({r[0] for r in odd_rows()}) and grouped(spark, []) == {}
+
+
+def test_the_line_stage_runs_no_python(spark, monkeypatch):
+    plans, inner = [], module.stored
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return inner(df, name)
+
+    monkeypatch.setattr(module, "stored", seen)
+    monkeypatch.setattr("pitgate.llm.tables.stored", seen)
+    docs = documents(spark, near_cases())
+    table = module.line_table(docs)
+    out = without_templates(docs, groups=near_groups(docs, every_kind=True, table=table), every_kind=True, table=table)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("InArrow" in p or "Python" in p or "Pandas" in p for p in plans)
+    assert max(p.count("Exchange ") for p in plans) < 40

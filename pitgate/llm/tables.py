@@ -78,11 +78,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(4 * np.log2(np.maximum(counts, 1)), 127).astype(np.int8)
 
 
+def release(df: DataFrame) -> None:
+    """Have the driver's JVM collect garbage. Spark removes shuffles and broadcasts that nothing refers to any
+    more only after that, and a driver with little garbage of its own may not collect for long."""
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b): the smallest node it is joined to.
 
     Alternates large and small stars until the edges no longer change; each round is written
-    to the shared folder. A node with very many links is a key of joins and combining
+    to the shared folder, and the shuffles before it are released. A node with very many links is a key of joins and combining
     aggregations only, which Spark can split.
     """
     edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -99,6 +105,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         small = (large.join(first, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(first.select("a", F.col("m").alias("b"))).where("a > b").distinct())
         edges = stored(small, name)
+        release(edges)
         seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == mark:
             break

@@ -18,9 +18,12 @@ from pitgate.schema import SECURITY
 from pitgate.sources import files as fl
 from pitgate.sources.writers import shared_folder, stored
 
-K = F.col("code").cast("bigint")
 LANES = [sh.Lane("PRIMARY", 8), sh.Lane("RIGHTS", 4, venue="SZSE", optional=True), sh.Lane("CONTROL", 1, queried=False)]
-DATA_FILE = F.concat(F.lit("lane="), "lane", F.lit("/shard="), F.col("shard").cast("string"))
+
+
+def _k():
+    """A security's code as a number; a function, for a column needs a running session."""
+    return F.col("code").cast("bigint")
 
 
 def _written(spark, rows, name):
@@ -35,7 +38,8 @@ def _written(spark, rows, name):
 def _manifests(counts, files, universe):
     """What the shards would declare if nothing were wrong; ``universe`` has lane, shard and its securities."""
     asked = universe.groupBy(*sh.SHARD).agg(F.count(F.lit(1)).alias("securities"))
-    held = counts.drop("securities").withColumn("data_file", DATA_FILE).join(
+    data_file = F.concat(F.lit("lane="), "lane", F.lit("/shard="), F.col("shard").cast("string"))
+    held = counts.drop("securities").withColumn("data_file", data_file).join(
         files.select(F.col("file").alias("data_file"), F.col("sha256").alias("data_sha256")), "data_file")
     return held.join(asked, sh.SHARD, "left").withColumns({
         "securities": F.coalesce("securities", F.lit(0)), "errors": F.array().cast("array<string>")})
@@ -77,13 +81,13 @@ def gate_ledger_shards(spark, sf):
     """The ledger's shards with a manifest lost, a digest altered, an error, a wrong count, and actions moved by a day."""
     primary, control = b.components(spark, sf), b.control_components(spark, sf)
     placed = lambda rows, lane, n: rows.select(
-        F.lit(lane).alias("lane"), F.pmod(K, F.lit(n)).cast("int").alias("shard"), *ac.ACTION_KEY, "action_component", "source_id")
+        F.lit(lane).alias("lane"), F.pmod(_k(), F.lit(n)).cast("int").alias("shard"), *ac.ACTION_KEY, "action_component", "source_id")
     second = control.where("action_component = 'RIGHTS' and exchange = 'SZSE'")
     rows, files = _written(spark, placed(primary, "PRIMARY", 8).unionByName(placed(second, "RIGHTS", 4)).unionByName(
         placed(control, "CONTROL", 1)), "ledger-shards")
     life = stored(b.life(spark, sf), "life")
-    asked = life.select(F.lit("PRIMARY").alias("lane"), F.pmod(K, F.lit(8)).cast("int").alias("shard")).unionByName(
-        life.where("exchange = 'SZSE'").select(F.lit("RIGHTS").alias("lane"), F.pmod(K, F.lit(4)).cast("int").alias("shard")))
+    asked = life.select(F.lit("PRIMARY").alias("lane"), F.pmod(_k(), F.lit(8)).cast("int").alias("shard")).unionByName(
+        life.where("exchange = 'SZSE'").select(F.lit("RIGHTS").alias("lane"), F.pmod(_k(), F.lit(4)).cast("int").alias("shard")))
     counts = rows.groupBy(*sh.SHARD).agg(F.count(F.lit(1)).alias("rows"))
     more = ((F.col("lane") == "PRIMARY") & (F.col("shard") == 4)).cast("int")
     manifests = stored(_spoilt(_manifests(counts, files, asked), "PRIMARY", lost=5, altered=2, error=3).withColumn(
@@ -112,16 +116,16 @@ def gate_state_shards(spark, sf):
     """The state's sixteen shards with faults in manifests, sources and relisting days."""
     life = stored(b.life(spark, sf), "life")
     shard = F.pmod(F.col("k"), F.lit(16)).cast("int").alias("shard")
-    ruled = _ruled(spark, sf, life).withColumns({"lane": F.lit("STATE"), "shard": F.pmod(K, F.lit(16)).cast("int")})
+    ruled = _ruled(spark, sf, life).withColumns({"lane": F.lit("STATE"), "shard": F.pmod(_k(), F.lit(16)).cast("int")})
     state, files = _written(spark, ruled.select(*sh.SHARD, *SECURITY, "trade_date", "tradable", "risk_warning", "limit_rule"), "state-shards")
     by_shard, each = sh.state_counts_by_shard(state)
     each = stored(each, "state-counts")
     asked = life.select(F.lit("STATE").alias("lane"), shard)
     manifests = stored(_spoilt(_manifests(by_shard, files, asked), "STATE", lost=7, altered=2, error=4).withColumn(
         "suspended", F.col("suspended") + (F.col("shard") == 3).cast("int")), "state-manifests")
-    sources = each.where(K % 37 != 11).select(
-        *sh.SHARD, *SECURITY, (F.col("rows") + (K % 14 == 2).cast("int")).alias("rows"),
-        F.when(K % 18 != 4, F.sha2("code", 256)).alias("sha256"))
+    sources = each.where(_k() % 37 != 11).select(
+        *sh.SHARD, *SECURITY, (F.col("rows") + (_k() % 14 == 2).cast("int")).alias("rows"),
+        F.when(_k() % 18 != 4, F.sha2("code", 256)).alias("sha256"))
     day = F.lit("2000-02-01").cast("date").alias("trade_date")
     told = life.where("(k % 6 = 4 and k % 4 <> 0) or k % 29 = 3").select(*SECURITY, day)
     official = life.where("k % 6 = 4").select(*SECURITY, day)
@@ -134,7 +138,7 @@ select 64 as digits, 1 as same_when_moved, 0 as same_when_changed, count(*) as a
 def ledger_fingerprint(spark, sf):
     """One fingerprint of files and ledger: the same for rows in another order, another one for other rows."""
     ledger = stored(b.action_ledger(spark, sf), "ledger")
-    files = ledger.groupBy(F.pmod(K, F.lit(8)).alias("shard")).agg(F.count(F.lit(1)).alias("n")).select(
+    files = ledger.groupBy(F.pmod(_k(), F.lit(8)).alias("shard")).agg(F.count(F.lit(1)).alias("n")).select(
         F.concat(F.lit("shard-"), F.col("shard").cast("string")).alias("file"), F.sha2(F.col("n").cast("string"), 256).alias("sha256"))
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in (*ac.ACTION_KEY, "action_type")])
     print_ = lambda rows: sh.shards_fingerprint(files, line, rows)

@@ -1,4 +1,6 @@
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
@@ -14,6 +16,13 @@ def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
+def test_queries_are_listed_before_a_session_starts():
+    listed = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", listed], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(entry.queries())), str(len(entry.oracle_sql()))]
+
+
 def test_every_query_has_sql():
     own = load()
     assert own.QUERIES.keys() == own.SQL.keys()

@@ -23,6 +23,10 @@ def test_master_gate(spark):
                                  ("SZSE", "300001", "MAIN", "A_SHARE", "X"), ("NYSE", "1", "MAIN", "A_SHARE", "X")], ddl)
     assert names(gt.master_gate(bad, good, {"SSE": 3})) == sorted(["growth-board code of the second venue", "technology-board code of the first venue", "duplicate security", "fewer securities than plausible", "invalid exchange",
         "only in control", "only in primary", "out-of-scope row", "board only guessed from the code"])
+    long = good.union(spark.createDataFrame([("SSE", "693007", "MAIN", "A_SHARE", "X"), ("SZSE", "303008", "MAIN", "A_SHARE", "X")], ddl))
+    listed = long.withColumn("listed", F.replace(F.replace("code", F.lit("693"), F.lit("688")), F.lit("303"), F.lit("301")))
+    assert checks(gt.master_gate(listed, long, {"SSE": 1}, "listed")) == [
+        ("growth-board code of the second venue", "SZSE:303008"), ("technology-board code of the first venue", "SSE:693007")]
 
 
 def test_clean_lifecycle_passes(spark):

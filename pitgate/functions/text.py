@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 # What HTML calls a character reference: decimal, hexadecimal, or a name with or without ";".
 _REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+_CLOSED = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});"
 _NO_CHARACTER = 0xFFFD
 
 
@@ -45,26 +46,33 @@ def _number(digits: Column, base: int) -> Column:
     return F.when(F.length(bare) > 8, F.lit(0x110000)).otherwise(value)
 
 
-def _decoded(reference: Column) -> Column:
+def _decoded(reference: Column, closed: bool) -> Column:
     name = F.substring(reference, 2, 40)
     digits = F.regexp_extract(reference, r"^&#[xX]?([0-9a-fA-F]+);?$", 1)
     hexadecimal = F.lower(F.substring(reference, 3, 1)) == "x"
     number = F.when(hexadecimal, _number(digits, 16)).otherwise(_number(digits, 10))
+    named = _table(html5)
+    if closed:
+        return F.when(F.startswith(reference, F.lit("&#")), _code_point(number)).otherwise(
+            F.coalesce(F.try_element_at(named, name), reference))
     # Names that need no ";" also count at the start of a longer word, the longest first.
     bare = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
     start = F.get(F.filter(F.from_json(F.lit(json.dumps(bare)), "array<string>"), lambda n: F.startswith(name, n)), F.lit(0))
-    named = _table(html5)
     return (F.when(F.startswith(reference, F.lit("&#")), _code_point(number))
             .otherwise(F.coalesce(F.try_element_at(named, name), F.concat(
                 F.try_element_at(named, start), F.substr(name, F.length(start) + 1)), reference)))
 
 
-def unescape(col: Column) -> Column:
-    """Decode HTML character references once, from left to right, as browsers do."""
-    between = F.split(col, _REFERENCE, -1)
-    found = F.regexp_extract_all(col, F.lit(_REFERENCE), F.lit(0))
+def unescape(col: Column, closed: bool = False) -> Column:
+    """Decode HTML character references once, from left to right, as browsers do.
+
+    With ``closed`` only references that end with ";" count; cut ones stay as they are.
+    """
+    pattern = _CLOSED if closed else _REFERENCE
+    between = F.split(col, pattern, -1)
+    found = F.regexp_extract_all(col, F.lit(pattern), F.lit(0))
     decoded = F.zip_with(between, found, lambda text, ref: F.concat(
-        text, F.when(ref.isNull(), F.lit("")).otherwise(_decoded(ref))))
+        text, F.when(ref.isNull(), F.lit("")).otherwise(_decoded(ref, closed))))
     return F.when(F.contains(col, F.lit("&")), F.array_join(decoded, "")).otherwise(col)
 
 
@@ -76,9 +84,9 @@ def collapse_space(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, _SPACE, " "))
 
 
-def clean_text(col: Column) -> Column:
-    """Unescape, strip tags, collapse whitespace, trim; null becomes ''."""
-    return collapse_space(strip_tags(unescape(F.coalesce(col.cast("string"), F.lit("")))))
+def clean_text(col: Column, closed: bool = False) -> Column:
+    """Unescape (``closed`` as in :func:`unescape`), strip tags, collapse whitespace, trim; null becomes ''."""
+    return collapse_space(strip_tags(unescape(F.coalesce(col.cast("string"), F.lit("")), closed)))
 
 
 def squeeze(col: Column) -> Column:

@@ -34,6 +34,11 @@ def test_references_decode_as_browsers_do(spark):
     assert [r[0] for r in df.select(text.unescape(F.col("t"))).collect()] == [html.unescape(t) for t in texts]
 
 
+def test_closed_references_only(spark):
+    closed = lambda c: text.clean_text(c, closed=True)
+    assert one(spark, closed, "a &amp b &ampx; &amp;lt; &copy; &#65; &#65 &am") == "a &amp b &ampx; &lt; © A &#65 &am"
+
+
 @pytest.mark.parametrize("raw, strict, lenient", [
     ("1,234.5", "1234.500000", "1234.500000"), ("--", None, "0.000000"), ("", None, "0.000000"),
     ("None", None, "0.000000"), ("abc", None, "0.000000"), (None, None, "0.000000"), ("-3", "-3.000000", "-3.000000"),

@@ -30,6 +30,7 @@ SHEET_ALIASES = {
     "board": ("板块", "所属板块", "市场板块"),
 }
 DELISTED_HEADER = ("证券代码", "证券简称", "上市日期", "终止上市日期")
+INVALID_QUOTE_CODE = "invalid code in quote control"
 
 
 def _aliased(json: str, aliases: dict[str, tuple[str, ...]]):
@@ -85,7 +86,7 @@ def quote_control(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = violations(items.where("subtype is null"), "malformed quote row", F.coalesce("code", F.lit("")))
     shares = items.where("subtype = 'ASH'")
     ok = F.col("code").rlike("^6[0-9]{5}$")
-    bad = violations(shares.where(~ok), "invalid code in quote control", F.col("code"))
+    bad = violations(shares.where(~ok), INVALID_QUOTE_CODE, F.col("code"))
     codes = shares.where(ok).select(F.lit("SSE").alias("exchange"), "code").distinct()
     return codes, gather(cut, short, bad)
 

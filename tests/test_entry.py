@@ -4,6 +4,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import load
@@ -50,3 +51,25 @@ def test_queries_equal_their_sql(spark, sf, name):
     names = [d[0] for d in found.description]
     want = sorted((tuple(r[names.index(c)] for c in cols) for r in found.fetchall()), key=repr)
     assert sorted(names) == cols and sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == want
+
+
+def test_long_keys_and_cut_references_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    frames = {
+        "supplier": spark.createDataFrame([(k,) for k in (7, 8, 2021, 5007, 690007, 301000)], "s_suppkey long"),
+        "customer": spark.createDataFrame([(k, "MACHINERY") for k in (5, 99_999, 100_000, 900_000)], "c_custkey long, c_mktsegment string")
+        .withColumn("c_name", F.lit("c")),
+        "lineitem": spark.createDataFrame([(k, k, 1, 1, 1.0, 2.0) for k in (7, 8, 5007)], "l_orderkey long, l_suppkey long, l_partkey long, "
+                                          "l_linenumber int, l_quantity double, l_extendedprice double")
+        .withColumn("l_shipdate", F.lit("1996-01-02").cast("timestamp")),
+        "pages": spark.createDataFrame([(1, "<p>a &amp b &amp; c</p>")], "page_id long, html string")}
+    con = duckdb.connect()
+    for table, frame in frames.items():
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    for name in ("gate_master", "quote_control", "html_text_clean"):
+        df = load().QUERIES[name](spark, str(tmp_path))
+        found = con.execute(entry.oracle_sql()[name])
+        names = [d[0] for d in found.description]
+        assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall()), name

@@ -31,7 +31,8 @@ def _too_fine(text: Column) -> Column:
     kept = F.regexp_replace(digits, "0+$", "")
     places = F.length(part(2)) - (F.length(digits) - F.length(kept)) - part(3).try_cast("int")
     moved = (F.length(kept) > 0) & F.coalesce(places > _PLACES, part(3).startswith("-"))
-    return F.when(text.rlike(_EXPONENT), moved).otherwise(text.rlike(rf"\.[0-9]{{{_PLACES}}}[0-9]*[1-9]"))
+    short = (F.length(text) <= _PLACES + 1) & ~F.contains(F.lower(text), F.lit("e"))
+    return F.when(short, F.lit(False)).when(text.rlike(_EXPONENT), moved).otherwise(text.rlike(rf"\.[0-9]{{{_PLACES}}}[0-9]*[1-9]"))
 
 
 def _exact(col: Column, kind: str) -> Column:

@@ -132,3 +132,12 @@ def test_calendars(spark):
     assert rows(calendar_mismatch(venue_days(b), "SSE", "SZSE")) == [(day("2015-01-05"), "SSE")]
     spread = security_days(lives(spark, ("SSE", "1", "2015-01-01", "2015-01-06")), venue_days(b), day("2015-01-01"), day("2015-12-31"))
     assert rows(spread, "trade_date") == [(day("2015-01-05"),)]
+
+
+def test_texts_are_parsed_once_a_row(spark):
+    parsed, bad = br.explode_array_payload(payloads(spark, "600718", KLINE))
+    made, faults, _ = br.normalize_bars(parsed, lives(spark, ("SSE", "600718", "2010-01-01", None)), Rules())
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(parsed).count("from_json(") == plan(bad).count("from_json(") == 1
+    # Every check and filter that uses a price, volume or money tried its text anew.
+    assert plan(made).count("decimal(30,12)") < 50 and plan(faults).count("decimal(30,12)") < 50

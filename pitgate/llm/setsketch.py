@@ -16,7 +16,11 @@ pairs. First each member of a bucket meets the one with the smallest id. Then, i
 several components, members of different ones are compared in blocks inside tasks, each pair in its
 first common band only, and of the pairs that seem to link no more come out than join the block's
 components, likeliest first. Last, the same comparison gives every pair between different components that
-the likelihood leaves.
+it leaves.
+
+Blocks compare sets of up to :data:`CODED` members by the low 16 bits of all their hashes (:func:`most_common`). That
+bounds the intersection from above and hardly exceeds it, so no linked pair goes, and pairs just below the threshold do.
+The likelihood judges larger sets there, and all sets in the first round.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ LIMIT = (1 << 16) - 2
 SIGMAS = 5.0
 BLOCK = 512
 PAIRS = 1 << 17
+CODED = 1 << 13
 _DRAWN = np.random.default_rng(12).integers(0, 1 << 63, (2, REGISTERS), dtype=np.int64).astype(np.uint64)
 
 
@@ -132,6 +137,35 @@ def forest(x: np.ndarray, y: np.ndarray, score: np.ndarray, n: int) -> np.ndarra
             part = least[part]
 
 
+def codes(members: np.ndarray) -> bytes:
+    """The low 16 bits of each member of a set, sorted; nothing of a set of over :data:`CODED` members."""
+    return np.sort(members.astype(np.uint16)).tobytes() if len(members) <= CODED else b""
+
+
+def most_common(values: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many members the sets x and y of each pair have in common at most, as far as their codes tell.
+
+    ``at`` are the ``len + 1`` offsets of the sets' codes in ``values``, and ``x`` is sorted. Of the classes that
+    codes name, both sets' members are counted; the smaller counts add up to no less than the intersection.
+    """
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
+    begins = np.flatnonzero(new)
+    # The k-th member of a class only meets a k-th one.
+    numbered = values + ((np.arange(len(values)) - begins[np.cumsum(new) - 1]) << 16)
+    out = np.zeros(len(x), np.int64)
+    own = np.zeros(int(numbered.max(initial=0)) + 1, bool)
+    first = np.flatnonzero(np.diff(x, prepend=-1))
+    for a, b in zip(first, np.append(first, len(x))[1:], strict=True):
+        mine = numbered[at[x[a]]:at[x[a] + 1]]
+        own[mine] = True
+        for k in range(a, b):
+            out[k] = np.count_nonzero(own[numbered[at[y[k]]:at[y[k] + 1]]])
+        own[mine] = False
+    return out
+
+
 def _rows(column: pa.Array) -> np.ndarray:
     return text_bytes(column)[0].reshape(-1, 2 * REGISTERS).view(np.uint16)
 
@@ -198,17 +232,20 @@ def _pairs_within(end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _members(texts: DataFrame, n: int) -> DataFrame:
-    """``id, members``: the sets of compressed texts, as sorted hashes."""
+    """``id, n_shingles, members, codes``: the sets of compressed texts, as sorted hashes."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, 1, 1 << 16):
                 out = []
                 for packed in part.column(1).to_pylist():
                     data = np.frombuffer(zlib.decompress(packed), np.uint8)
-                    out.append(np.unique(shingle_hashes(*word_hashes(data, np.array([0, len(data)])), n)[0]).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "members"])
+                    out.append(np.unique(shingle_hashes(*word_hashes(data, np.array([0, len(data)])), n)[0]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([len(x) for x in out], pa.int64()),
+                     pa.array([x.tobytes() for x in out], pa.binary()), pa.array(map(codes, out), pa.binary())],
+                    ["id", "n_shingles", "members", "codes"])
 
-    return texts.mapInArrow(unpack, "id long, members binary")
+    return texts.mapInArrow(unpack, "id long, n_shingles long, members binary, codes binary")
 
 
 def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +259,8 @@ def _linked(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * common >= percent * (len(a) + len(b) - common)
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
-    both = pairs.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b")
+    whole = members.select("id", "members")
+    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(exact, "a long, b long").distinct()
 
 
@@ -230,7 +268,7 @@ def _cross_pairs(rows: DataFrame, percent: int, joining: bool) -> DataFrame:
     """``a, b`` of different components in one bucket that are likely to link; with ``joining`` only as many
     as join the components of a block, of pairs whose likeliest similarity reaches the threshold.
 
-    ``rows`` (bucket, id, n_shingles, comp, size, sketch): the members of buckets of ``size`` members. A bucket
+    ``rows`` (bucket, id, n_shingles, comp, size, sketch, codes): the members of buckets of ``size`` members. A bucket
     is dealt into blocks of about :data:`BLOCK`, and every two blocks (and each with itself) meet in a task,
     which holds no more than them.
     """
@@ -238,12 +276,14 @@ def _cross_pairs(rows: DataFrame, percent: int, joining: bool) -> DataFrame:
     blocks = blocks.withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     blocks = blocks.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     met = blocks.select("bucket", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"),
-                        F.col("_own").alias("own"), "id", "n_shingles", "comp", "sketch")
+                        F.col("_own").alias("own"), "id", "n_shingles", "comp", "sketch", "codes")
     met = met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
     def likely_pairs(table: pa.Table, end: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         bucket, i, j, own, ids, n, comp = (table[k].to_numpy() for k in range(7))
         sketch = _rows(table["sketch"].combine_chunks())
+        raw, ends = text_bytes(table["codes"].combine_chunks())
+        coded, at = raw.view(np.uint16).astype(np.int64), ends // 2
         for x, y in _pairs_within(end):
             small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
             fits = (comp[x] != comp[y]) & (100 * small >= percent * large) & ((i[x] == j[x]) | (own[x] != own[y]))
@@ -254,8 +294,14 @@ def _cross_pairs(rows: DataFrame, percent: int, joining: bool) -> DataFrame:
             first = np.take_along_axis(bands(sketch[x]), shared.argmax(axis=1)[:, None], 1)[:, 0]
             here = first == bucket[x]
             x, y = x[here], y[here]
-            keep, score = likely(sketch[x], sketch[y], n[x], n[y], percent)
-            keep &= (score >= percent / 100) | (not joining)
+            keep, score = np.zeros(len(x), bool), np.zeros(len(x))
+            known = (at[x + 1] > at[x]) & (at[y + 1] > at[y])
+            both, rest = np.flatnonzero(known), np.flatnonzero(~known)
+            common, sizes = most_common(coded, at, x[both], y[both]), n[x[both]] + n[y[both]]
+            keep[both], score[both] = 100 * common >= percent * (sizes - common), common / (sizes - common)
+            if len(rest):
+                keep[rest], score[rest] = likely(sketch[x[rest]], sketch[y[rest]], n[x[rest]], n[y[rest]], percent)
+            keep &= known | (score >= percent / 100) | (not joining)
             yield x[keep], y[keep], score[keep]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,7 +378,8 @@ def sketch_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = stored(rows.join(shared, "bucket"), "sketch-buckets")
     active = _packed(plain.where("id is not null")).join(rows.select("id").distinct(), "id")
     members = stored(_members(active, n), "sketch-members")
-    thin = reps.select("id", "sketch")
+    thin = reps.select("id", "n_shingles", "sketch")
+    of_sets = members.select("id", "n_shingles", "codes").distinct()
 
     fits = F.expr(f"100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")
     star = rows.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
@@ -350,7 +397,7 @@ def sketch_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     tried = star
     for joining in (True, False):
-        open_rows = _open(rows, roots).join(thin, "id")
+        open_rows = _open(rows, roots).join(thin, ["id", "n_shingles"]).join(of_sets, ["id", "n_shingles"])
         cross = _cross_pairs(open_rows, percent, joining).join(tried, ["a", "b"], "left_anti")
         cross = stored(cross, "sketch-cross")
         roots = _joined(roots, _linked(cross, members, percent))

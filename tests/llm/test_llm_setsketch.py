@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from cases import documents, odd_rows, words
+from pitgate.llm import setsketch
 from pitgate.llm.setsketch import BANDS, bands, estimated, forest, likely, merged, registers, sketch_components
 from test_llm_ngram_join import brute, grams
 
@@ -117,6 +118,53 @@ def test_large_group_around_the_threshold(spark):
     assert found(spark, rows) == brute(rows, 5, 85)
 
 
+def test_codes_bound_the_intersection_closely():
+    rng = np.random.default_rng(6)
+    sets = [rng.choice(3000, rng.integers(1, 900), replace=False) * np.int64(97_531) for _ in range(30)]
+    packed = [np.frombuffer(setsketch.codes(s), np.uint16).astype(np.int64) for s in sets]
+    x, y = np.triu_indices(30, 1)
+    got = setsketch.most_common(np.concatenate(packed), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), x, y)
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)])
+    assert (got >= true).all() and (got - true).mean() < 20
+    assert not len(setsketch.most_common(np.zeros(0, np.int64), np.zeros(1, np.int64), x[:0], y[:0]))
+    assert setsketch.codes(np.arange(setsketch.CODED + 1)) == b""
+
+
+def test_copies_just_below_the_threshold_do_not_meet_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = words(120, 51).split()
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(0, 120, 6), 2):
+            text[at] = f"Edit{rng.randrange(9999)}"
+        rows.append((i, " ".join(text)))
+    made, kept = [], setsketch.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name == "sketch-cross":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(setsketch, "stored", counted)
+    assert found(spark, rows) == brute(rows, 5, 85)
+    assert sum(made) < 600
+
+
+def test_sets_without_codes_are_judged_by_likelihood(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "codes", lambda members: b"")
+    rng = random.Random(12)
+    base = words(120, 52).split()
+    rows = []
+    for i in range(80):
+        text = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            text[rng.randrange(len(text))] = f"Edit{rng.randrange(9999)}"
+        rows.append((i, " ".join(text)))
+    assert found(spark, rows) == brute(rows, 5, 85)
+
+
 def test_odd_cases(spark):
     rows = [r[:2] for r in odd_rows()]
     assert found(spark, rows, 5, 85) == brute(rows, 5, 85)

@@ -219,14 +219,15 @@ union all
 select b.exchange, b.code, cast(b.trade_date as varchar), cast(b.close as double) from bars b
 where year(b.trade_date) in (1997, 1998) and not exists (select 1 from transitions t where t.exchange = b.exchange and t.new_code = b.code)"""))
 def transition_repair(spark, sf):
-    changes = b.transitions(spark, sf)
-    split, _ = apply_transitions(b.intervals(spark, sf), changes)
-    bars = b.bars(spark, sf)
+    lives = stored(b.life(spark, sf), "life")
+    changes = b.transitions_of(lives)
+    split, _ = apply_transitions(lives.drop("k"), changes)
+    bars = stored(b.bars(spark, sf), "bars")
     text = bars.select(*DAY, *[F.col(c).cast("string").alias(c) for c in ("open", "high", "low", "close")],
                        F.col("volume_shares").cast("string").alias("volume"), F.col("amount_cny").cast("string").alias("amount"))
     # The successor's source also carries its history under the old code.
     successor = text.join(changes.select("exchange", F.col("new_code").alias("code"), "old_code"), list(SECURITY))
-    both = successor.drop("old_code").unionByName(successor.withColumn("code", F.col("old_code")).drop("old_code"))
+    both = successor.withColumn("code", F.explode(F.array("code", "old_code"))).drop("old_code")
     repaired, _ = br.repair_transition(both, bars, split, changes, RULES, [1997, 1998])
     return plain(repaired.select(*DAY, "close"))
 

@@ -15,7 +15,7 @@ def seven(spark):
     spark.conf.set(name, was)
 
 
-@pytest.mark.parametrize("name", ["adjustment_faults", "bootstrapped_chain"])
+@pytest.mark.parametrize("name", ["adjustment_faults", "bootstrapped_chain", "transition_repair"])
 def test_sources_are_read_once_and_stored(spark, name):
     files = load().QUERIES[name](spark, SF).inputFiles()
     assert files and not [f for f in files if "testdata" in f]

@@ -2,6 +2,7 @@ import pytest
 
 from catalog import bindings, load
 from pitgate.operators.blocks import strict_asof
+from pitgate.operators.control import factor_events
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,7 +16,7 @@ def seven(spark):
     spark.conf.set(name, was)
 
 
-@pytest.mark.parametrize("name", ["adjustment_faults", "bootstrapped_chain", "transition_repair"])
+@pytest.mark.parametrize("name", ["adjustment_faults", "bootstrapped_chain", "transition_repair", "gate_factors"])
 def test_sources_are_read_once_and_stored(spark, name):
     files = load().QUERIES[name](spark, SF).inputFiles()
     assert files and not [f for f in files if "testdata" in f]
@@ -25,3 +26,9 @@ def test_asof_rows_are_not_merged_into_few_tasks(seven):
     bars = bindings.closes(seven, SF)
     out = strict_asof(bindings.action_ledger(seven, SF), bars, ["exchange", "code"], "ex_date", "trade_date", ["close"], block=None)
     assert out.rdd.getNumPartitions() == 7
+
+
+def test_factor_rows_are_not_merged_into_few_tasks(seven):
+    none = seven.createDataFrame([], "exchange string, code string, operate_date date, seq long, cash_ps_before_tax double, "
+                                     "stock_ps double, reserve_to_stock_ps double, event_detail string")
+    assert factor_events(bindings.factors(seven, SF), none)[0].rdd.getNumPartitions() == 7

@@ -1,6 +1,7 @@
 import pytest
 
 from catalog import bindings, load
+from catalog import gates as gate_queries
 from pitgate.operators.blocks import strict_asof
 from pitgate.operators.control import factor_events
 
@@ -22,6 +23,13 @@ def test_sources_are_read_once_and_stored(spark, name):
     assert files and not [f for f in files if "testdata" in f]
 
 
+def test_final_figures_make_the_ledger_once(spark, monkeypatch):
+    made, whole = [], bindings.action_ledger
+    monkeypatch.setattr(bindings, "action_ledger", lambda spark, sf: made.append(sf) or whole(spark, sf))
+    gate_queries._final_facts(spark, SF)
+    assert len(made) == 1
+
+
 def test_asof_rows_are_not_merged_into_few_tasks(seven):
     bars = bindings.closes(seven, SF)
     out = strict_asof(bindings.action_ledger(seven, SF), bars, ["exchange", "code"], "ex_date", "trade_date", ["close"], block=None)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitgate.llm.tables import stored
+from pitgate.llm.tables import release, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 64
@@ -172,7 +172,9 @@ def mixed_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", sourc
         return empty, empty.select(
             *[F.lit(0).cast("long").alias(c) for c in ("shard", "slot")], "number",
             *[F.lit(0).cast("long").alias(c) for c in ("take", "at", "first_word", "n_words")])
-    documents = stored(_offsets(sized, sources, sized.count()), "offsets").withColumns({
+    documents = stored(_offsets(sized, sources, sized.count()), "offsets")
+    release(documents)
+    documents = documents.withColumns({
         "source_size": _lookup(sources, "size", "long"), "target": _lookup(sources, "target", "double")})
     worded = documents.where("size > 0").select("number", "at", "size").withColumn("block", F.explode(F.sequence(
         F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))))

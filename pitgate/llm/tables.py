@@ -84,18 +84,27 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether the distinct edges (a > b) lead from each node to the smallest of its component: no node has two smaller
+    ones, or a smaller and a larger one. A further round would leave such edges as they are."""
+    ends = (edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+            .unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return nodes.where("up > 1 or (up > 0 and down > 0)").count() == 0
+
+
 def components(links: DataFrame, name: str = "links") -> DataFrame:
     """``node, root`` for every node of ``links`` (a, b): the smallest node it is joined to.
 
-    Alternates large and small stars until the edges no longer change; each round is written
+    Alternates large and small stars until every edge ends at a node that has no smaller one; each round is written
     to the shared folder, and the shuffles before it are released. A node with very many links is a key of joins and combining
     aggregations only, which Spark can split.
     """
     edges = (links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
              .where("a > b").distinct())
     edges = stored(edges, name)
-    mark = None
-    while True:
+    release(edges)
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = (both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -106,9 +115,5 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
                  .unionByName(first.select("a", F.col("m").alias("b"))).where("a > b").distinct())
         edges = stored(small, name)
         release(edges)
-        seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if seen == mark:
-            break
-        mark = seen
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

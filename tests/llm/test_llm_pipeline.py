@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from cases import documents, words
-from pitgate.llm import queries
+from pitgate.llm import queries, tables
 from pitgate.llm.tables import components, stored
 from test_llm_ngram_join import brute
 
@@ -83,6 +83,15 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(50)} | {200: 200, 300: 200, 250: 200}
 
 
+@pytest.mark.parametrize(("links", "rounds"), [([(1, 9), (1, 8), (2, 7)], 0), ([], 0), ([(3, 2), (2, 1)], 1)])
+def test_components_makes_no_round_once_edges_are_stars(spark, monkeypatch, links, rounds):
+    made = []
+    monkeypatch.setattr(tables, "stored", lambda df, name: made.append(name) or stored(df, name))
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == ({1: 1, 9: 1, 8: 1, 2: 2, 7: 2} if len(links) == 3 else {1: 1, 2: 1, 3: 1} if links else {})
+    assert len(made) == 1 + rounds
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in queries.SQL])
 def test_other_queries_return_a_row_per_document(spark, sf, name):
     rows = queries.QUERIES[name](spark, sf).count()
